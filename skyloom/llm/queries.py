@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, quality, rules, toxicity
+from . import bpe, neardup, pii, quality, rules, toxicity
 from .common import load
 
 VOCABULARY = "word_bpe_49k.json"
@@ -32,6 +32,10 @@ def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(load(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op5_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(load(spark, sf_dir, "documents"))
+
+
 def op9_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, neardup, pii, quality, rules, toxicity
+from . import bpe, decontaminate, licenses, neardup, passages, pii, quality, rules, secrets, toxicity
 from .common import load
 
 VOCABULARY = "word_bpe_49k.json"
@@ -36,14 +36,30 @@ def op5_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(load(spark, sf_dir, "documents"))
 
 
+def op6_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(load(spark, sf_dir, "documents"))
+
+
+def op7_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(load(spark, sf_dir, "documents"))
+
+
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.deduplicate(load(spark, sf_dir, "documents"))
+
+
 def op9_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda kf: int(kf[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_multipart_secrets": secrets.oracle_sql(), "op7_license_dice": licenses.oracle_sql()}

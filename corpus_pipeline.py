@@ -1,12 +1,51 @@
-"""The corpus pipeline: quality, near-duplicates, benchmark leaks, personal data, tokens."""
+"""The corpus pipeline: from raw documents to tokens, a stage at a time.
+
+Each stage works on all that its predecessor kept, as a table; ``run`` writes every stage's rows to the shared folder
+and reads them back, so a lost executor costs a stage's tasks and not the stages before.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from skyloom.llm import bpe, decontaminate, neardup, pii, quality
+from skyloom.llm.common import load, stage
+from skyloom.llm.queries import vocabulary_path
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.accepted(docs, load(spark, sf_dir, "labels"))
+
+
+def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that of the smallest id."""
+    return neardup.deduplicated(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    return decontaminate.cleaned(docs, load(spark, sf_dir, "benchmark"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents, with identifiers in their texts replaced by their kinds."""
+    return pii.redact(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the documents that are left."""
+    return bpe.encode(docs, vocabulary_path())
+
+
+STAGES = [("quality", keep_good), ("near-duplicates", keep_first_copies), ("benchmark leaks", drop_leaks), ("personal data", redact), ("tokens", encode)]
+
+#: Learned scores, MinHash components and merges have no SQL form; tests hold ``run`` against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = load(spark, sf_dir, "documents")
+    for name, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

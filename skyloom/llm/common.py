@@ -66,3 +66,17 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable], schema: str | T.Str
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, kind.type) for x, kind in zip(out, arrow, strict=True)], schema=arrow)
 
     return texts_of(docs).mapInArrow(run, schema)
+
+
+def keep_texts(docs: DataFrame, make: Callable[[], Callable], rows: int = 1000) -> DataFrame:
+    """The rows of docs, with all their columns, whose texts pass: ``make()`` gives a function from texts to booleans."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                part = whole.slice(start, rows)
+                yield part.filter(pa.array(f([t or "" for t in part.column(at).to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

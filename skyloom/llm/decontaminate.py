@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import keep_texts, map_texts
 
 #: Passages that are searched for in one scan of the documents; more are taken in blocks. Bounds what is broadcast.
 BLOCK = 2048
@@ -171,6 +171,14 @@ def build_index(docs: DataFrame, ids: list[int], words: list[list[bytes]]) -> In
     return Index(ids, words, vocabulary, idf, vectors)
 
 
+def indexes(docs: DataFrame, benchmark: DataFrame) -> list:
+    """An index, broadcast, for each block of passages. Passages without words or id are left out."""
+    whole = sorted((r.item_id, r.text) for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct().toLocalIterator())
+    passages = [(i, ws) for i, t in whole if (ws := words_of(t))]
+    sc = docs.sparkSession.sparkContext
+    return [sc.broadcast(build_index(docs, *map(list, zip(*passages[at : at + BLOCK])))) for at in range(0, len(passages), BLOCK)]
+
+
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, contaminated, items, share): a row for each row of docs.
 
@@ -178,15 +186,16 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     stands in the text in order (0 if none was found). Passages without words or id are never found; passages under
     one id are separate, and either counts. Null and empty texts hold none.
     """
-    schema = "doc_id long, items array<long>, share double"
-    whole = sorted((r.item_id, r.text) for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct().toLocalIterator())
-    passages = [(i, words_of(t)) for i, t in whole]
-    passages = [(i, ws) for i, ws in passages if ws]
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(build_index(docs, *map(list, zip(*passages[at : at + BLOCK])))) for at in range(0, len(passages), BLOCK)]
+    blocks = indexes(docs, benchmark)
 
     def f(ids, texts):
         found = [{k: v for b in blocks for k, v in b.value.leaks(t).items()} for t in texts]
         return ids, [sorted(x) for x in found], [max(x.values(), default=0.0) for x in found]
 
-    return map_texts(docs, lambda: f, schema).select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "share")
+    return map_texts(docs, lambda: f, "doc_id long, items array<long>, share double").select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "share")
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows whose texts hold no passage, with all their columns; nothing is joined."""
+    blocks = indexes(docs, benchmark)
+    return keep_texts(docs, lambda: lambda texts: [not any(b.value.leaks(t) for b in blocks) for t in texts])

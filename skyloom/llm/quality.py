@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts, texts_of
+from .common import held_out, keep_texts, map_texts, texts_of
 
 #: Labelled rows that the model learns from, at most: those of least hash. A documented bound.
 TRAIN_ROWS = 20_000
@@ -215,3 +215,9 @@ def score(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFr
 def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, min_score: float = MIN_SCORE) -> DataFrame:
     """Learn from the labelled rows and score all. Without labels of both kinds every text gets the labels' share."""
     return score(docs, train(docs, labels, rows=rows), min_score)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows whose texts score enough, with all their columns; nothing is joined."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows=rows))
+    return keep_texts(docs, lambda: lambda texts: sent.value.score(np.array([features(t) for t in texts], float).reshape(len(texts), len(FEATURES))) >= min_score)

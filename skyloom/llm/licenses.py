@@ -9,6 +9,8 @@ without any can't reach the threshold.
 from __future__ import annotations
 
 import re
+from fractions import Fraction
+from math import ceil, floor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,8 +60,8 @@ def anchors() -> list[str]:
 
 def bounds(n: int) -> tuple[int, int]:
     """Sizes of bigram sets that can reach the threshold with a template of n bigrams."""
-    ratio = THRESHOLD / (2 - THRESHOLD)
-    return int(-(-n * ratio // 1)), int(n / ratio)
+    t = Fraction(str(THRESHOLD))
+    return ceil(n * t / (2 - t)), floor(n * (2 - t) / t)
 
 
 def scan(docs: DataFrame) -> DataFrame:

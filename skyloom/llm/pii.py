@@ -129,7 +129,7 @@ class Tape:
 
 _UNLIKE = re.compile("[ ­Ͱ-ԯ٠-٩۰-۹०-९ -⁠−　。﻿！-～\U0001d400-\U0001d7ff]")
 _SPELLED = "(?:" + "|".join(DIGITS) + ")"
-_SPELLED_RUN = re.compile(rf"(?<![A-Za-z])(?:{_SPELLED}|[0-9])(?:[ ,-]{{1,2}}(?:{_SPELLED}|[0-9])){{2,}}(?![A-Za-z])", re.I)
+_SPELLED_RUN = re.compile(rf"(?<![A-Za-z])(?:{_SPELLED}|[0-9])(?:(?:[ ,-]{{1,2}}|[ ](?:dot|point)[ ])(?:{_SPELLED}|[0-9])){{2,}}(?![A-Za-z])", re.I)
 _SPELLED_ONE = re.compile(rf"(?<![A-Za-z]){_SPELLED}(?![A-Za-z])", re.I)
 _PLUS = re.compile(r"(?<![A-Za-z])plus[ ]+(?=[0-9])", re.I)
 _BRACKETED = re.compile(r"[ ]?[(\[{<][ ]?(at|dot|@|\.)[ ]?[)\]}>][ ]?", re.I)
@@ -151,7 +151,8 @@ def _inside(tape: Tape, region: re.Pattern, pattern: re.Pattern, to: Callable[[r
 
 def digits_of(m: re.Match) -> str:
     found = m[0].lower()
-    return "".join(DIGITS.get(w, w) for w in re.split(r"[ ,-]+", found)) if re.search("[a-z]", found) else m[0]
+    spoken = DIGITS | {"dot": ".", "point": "."}
+    return "".join(spoken.get(w, w) for w in re.split(r"[ ,-]+", found)) if any(w in found for w in DIGITS) else m[0]
 
 
 def undisguised(text: str) -> Tape:

@@ -8,8 +8,9 @@ table of 2**20 floats, whatever the size of the corpus.
 
 from __future__ import annotations
 
-import pickle
 import re
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,8 @@ from .quality import labelled
 TRAIN_ROWS = 20_000
 BITS, SHARDS, ROUNDS = 20, 4, 6
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 4.0, 0.1
-#: Training rows that must have a feature; the weight of a toxic row.
-LEAST_ROWS, TOXIC_WEIGHT = 4, 2.0
+#: Training rows that must have a feature, at least and for each thousand rows; the weight of a toxic row.
+LEAST_ROWS, LEAST_IN_THOUSAND, TOXIC_WEIGHT = 4, 1, 2.0
 MIN_SCORE = 0.5
 _EDGES = re.compile(rb"[^0-9a-z\x80-\xff]+")
 
@@ -81,48 +82,63 @@ class State:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, seed: int = 1) -> tuple[np.ndarray, float]:
-    """(weights, bias). Rows are dealt to shards by id; between rounds the shards' states are averaged."""
-    size = (1 << BITS) + 1
+    """(weights, bias). The bounded sample is dealt to shards once and kept there; a round has each shard learn from
+    the mean state and sends back what changed, over the features that enough rows have."""
+    spark, size = docs.sparkSession, 1 << BITS
     sample, ys = labelled(docs, labels, label, rows)
-    state = State(np.zeros(size), np.zeros(size))
     if len(set(ys.values())) < 2:
         share = (sum(ys.values()) + 1) / (len(ys) + 2)
-        return np.zeros(size - 1, np.float32), float(np.log(share / (1 - share)))
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(ys)
+        return np.zeros(size, np.float32), float(np.log(share / (1 - share)))
 
     def make():
         hasher = Hasher()
         return lambda ids, texts: (ids, [hasher(t).astype(np.int32).tobytes() for t in texts])
 
-    sent = None
+    hashed = map_texts(sample.repartition(SHARDS, "doc_id"), make, "doc_id long, places binary").persist()
 
-    def counts(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    def counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size, np.int32)
-        for x in frame["places"]:
-            total[np.frombuffer(x, np.int32)] += 1
-        return pd.DataFrame({"state": [total.tobytes()]})
-
-    def shard(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        own, often = State(*(x.astype(float) for x in sent.value[:2])), np.unpackbits(sent.value[2]).view(bool)
-        order = np.random.default_rng(seed + key[0]).permutation(len(frame := frame.sort_values(["doc_id", "places"])))
-        for i in order:
-            at = np.frombuffer(frame["places"].iat[i], np.int32)
-            own.learn(at[often[at]], known.value[frame["doc_id"].iat[i]])
-        touched = np.flatnonzero((own.z != sent.value[0]) | (own.n != sent.value[1]))
-        return pd.DataFrame({"state": [pickle.dumps((touched, own.z[touched] - sent.value[0][touched], own.n[touched] - sent.value[1][touched]))]})
-
-    hashed = map_texts(sample, make, "doc_id long, places binary")
-    hashed = hashed.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).cast("int")).persist()  # bounded by rows
-    often = sum(np.frombuffer(r.state, np.int32) for r in hashed.groupBy("shard").applyInPandas(counts, "state binary").collect()) >= LEAST_ROWS
+        for frame in frames:
+            for x in frame["places"]:
+                total[np.frombuffer(x, np.int32)] += 1
+        yield pd.DataFrame({"n": [zlib.compress(total.tobytes(), 1)]})
+
+    total = np.zeros(size, np.int64)
+    for r in hashed.mapInPandas(counts, "n binary").collect():  # one table a shard
+        total += np.frombuffer(zlib.decompress(r.n), np.int32)
+    often = np.flatnonzero(total >= max(LEAST_ROWS, len(ys) * LEAST_IN_THOUSAND // 1000))
+    place = np.full(size, -1, np.int32)
+    place[often] = np.arange(len(often))
+    sent_place, sent_labels = spark.sparkContext.broadcast(place), spark.sparkContext.broadcast(ys)
+
+    def narrowed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            kept = [sent_place.value[np.frombuffer(x, np.int32)] for x in frame["places"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "places": [x[x >= 0].tobytes() for x in kept], "y": frame["doc_id"].map(sent_labels.value)})
+
+    narrow = hashed.mapInPandas(narrowed, "doc_id long, places binary, y int").persist()
+    state = State(np.zeros(len(often) + 1), np.zeros(len(often) + 1))
     for _ in range(ROUNDS):
-        sent = spark.sparkContext.broadcast((state.z, state.n, np.packbits(often)))
-        got = [pickle.loads(r.state) for r in hashed.groupBy("shard").applyInPandas(shard, "state binary").collect()]
-        for at, z, n in got:
-            np.add.at(state.z, at, z / len(got))
-            np.add.at(state.n, at, n / len(got))
-    hashed.unpersist()
-    return state.weights(slice(0, size - 1)).astype(np.float32), state.bias()
+        sent = spark.sparkContext.broadcast((state.z, state.n))
+
+        def shard(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = State(*(x.copy() for x in sent.value))
+            whole = sorted((r for frame in frames for r in zip(frame["doc_id"], frame["places"], frame["y"])), key=lambda r: r[:2])
+            for i in np.random.default_rng(seed).permutation(len(whole)):
+                own.learn(np.frombuffer(whole[i][1], np.int32), whole[i][2])
+            at = np.flatnonzero(own.n != sent.value[1]).astype(np.int32)
+            yield pd.DataFrame({"at": [at.tobytes()], "z": [(own.z - sent.value[0])[at].astype(np.float32).tobytes()], "n": [(own.n - sent.value[1])[at].astype(np.float32).tobytes()]})
+
+        got = [tuple(np.frombuffer(x, k) for x, k in zip((r.at, r.z, r.n), (np.int32, np.float32, np.float32))) for r in narrow.mapInPandas(shard, "at binary, z binary, n binary").collect()]
+        for at, z, n in sorted(got, key=lambda r: (len(r[0]), r[1].tobytes())):
+            state.z[at] += z / SHARDS
+            state.n[at] += n / SHARDS
+        sent.unpersist()
+    for df in (hashed, narrow):
+        df.unpersist()
+    weights = np.zeros(size, np.float32)
+    weights[often] = state.weights(slice(0, len(often)))
+    return weights, state.bias()
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, min_score: float = MIN_SCORE) -> DataFrame:

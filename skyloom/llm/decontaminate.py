@@ -18,9 +18,13 @@ from pyspark.sql import functions as F
 
 from .common import keep_texts, map_texts
 
-#: Passages that are searched for in one scan of the documents; more are taken in blocks. Bounds what is broadcast.
-BLOCK = 2048
-LATENT, OVERSAMPLED, POWERS = 192, 16, 2
+#: Passages of a block, which has a latent space of its own; as many dimensions hold every passage whole. Bounds what
+#: is broadcast for a block.
+BLOCK = 256
+LATENT, OVERSAMPLED, POWERS = 256, 16, 2
+#: Taken from every inverse document frequency, or half the largest one if that is less: words in more than a thirtieth
+#: of the documents weigh nothing, but for the rarest words of each passage.
+COMMON, RAREST = 3.4, 6
 WINDOW, STRIDE = 64, 16
 #: Of a passage's squared weight, the share that a candidate window must hold; the cosine that it must have.
 MIN_HELD, MIN_COSINE = 0.35, 0.3
@@ -117,38 +121,55 @@ def randomised_svd(rows: DataFrame, width: int, rank: int, seed: int = 3) -> tup
 class Index:
     """A block of passages: vocabulary, weights, latent vectors, and words for the exact check."""
 
-    def __init__(self, ids: list[int], words: list[list[bytes]], vocabulary: dict[bytes, int], idf: np.ndarray, vectors: np.ndarray):
-        self.ids, self.words, self.vocabulary, self.idf = ids, words, vocabulary, idf.astype(np.float32)
-        self.basis = (idf[:, None] * vectors).astype(np.float32)  # what a word adds to a window's latent vector
-        own = [np.array(sorted({vocabulary[w] for w in ws})) for ws in words]
-        self.latent = np.array([self.basis[o].sum(0) for o in own], np.float32).reshape(len(words), vectors.shape[1])
+    def __init__(self, ids: list[int], words: list[list[bytes]], vocabulary: dict[bytes, int], weights: np.ndarray, vectors: np.ndarray):
+        self.ids, self.words = ids, words
+        self.vocabulary = {w: i for w, i in vocabulary.items() if weights[i] > 0}
+        self.mass = weights**2
+        self.basis = (weights[:, None] * vectors).astype(np.float32)  # what a word adds to a window's latent vector
+        self.latent = np.array([self.basis[sorted({vocabulary[w] for w in ws})].sum(0) for ws in words], np.float32)
         self.norm = (self.latent**2).sum(1)
-        self.least = float(self.norm.min()) if len(words) else 0.0
-
-    def candidates(self, at: np.ndarray) -> list[tuple[int, int]]:
-        """(window start, passage) pairs; ``at`` holds the words' places in the vocabulary, -1 for others."""
-        n = len(at)
-        mass = np.concatenate([[0], np.cumsum(np.where(at >= 0, self.idf[at] ** 2, 0))])
-        starts = np.arange(0, max(n - WINDOW, 0) + STRIDE, STRIDE) if n > WINDOW else np.zeros(1, int)
-        ends = np.minimum(starts + WINDOW, n)
+        # passages of like weight are compared together, with the windows that weigh enough for them
+        tier = np.floor(np.log2(np.maximum(self.norm, 1e-9)))
+        self.tiers = [(MIN_HELD * float(self.norm[tier == t].min()) * 0.98, np.flatnonzero(tier == t)) for t in np.unique(tier)]
+
+    def candidates(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """(window start, passage) pairs that hold and resemble enough.
+
+        A window can't hold more of a passage than the weight of all its words, so light windows are not projected.
+        """
+        n = len(words)
+        at = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int32, n)
+        place = np.flatnonzero(at >= 0)
+        if not len(place):
+            return []
+        at = at[place].astype(np.int64)
+        mass = np.concatenate([[0.0], self.mass[at].cumsum()])
+        starts = np.arange(0, max(n - WINDOW, 0) + STRIDE, STRIDE) if n > WINDOW else np.zeros(1, np.int64)
+        low, high = np.searchsorted(place, starts), np.searchsorted(place, starts + WINDOW)
+        weight = mass[high] - mass[low]
+        heavy = np.flatnonzero(weight >= self.tiers[0][0])
         out = []
-        for i in np.flatnonzero(mass[ends] - mass[starts] >= MIN_HELD * self.least * 0.98):
-            have = np.unique(at[starts[i] : ends[i]])
-            have = have[have >= 0]
-            q = self.basis[have].sum(0)
-            dots = self.latent @ q
-            near = (dots >= MIN_HELD * self.norm) & (dots >= MIN_COSINE * np.sqrt(self.norm * (q @ q)))
-            out += [(int(starts[i]), int(p)) for p in np.flatnonzero(near)]
+        for part in (heavy[i : i + 1024] for i in range(0, len(heavy), 1024)):
+            size = high[part] - low[part]
+            row = np.repeat(np.arange(len(part)), size)
+            flat = np.arange(len(row)) - np.repeat(size.cumsum() - size, size) + np.repeat(low[part], size)
+            keys = np.unique(row * len(self.mass) + at[flat])  # a word counts once in a window
+            row, word = keys // len(self.mass), keys % len(self.mass)
+            q = np.add.reduceat(self.basis[word], np.searchsorted(row, np.arange(len(part))))
+            length = (q * q).sum(1)
+            for least, which in self.tiers:
+                if not len(some := np.flatnonzero(weight[part] >= least)):
+                    break
+                dots, norm = q[some] @ self.latent[which].T, self.norm[which]
+                near = (dots >= MIN_HELD * norm) & (dots >= MIN_COSINE * np.sqrt(norm * length[some, None]))
+                out += [(int(starts[part[some[i]]]), int(which[p])) for i, p in zip(*np.nonzero(near))]
         return out
 
     def leaks(self, text: str) -> dict[int, float]:
         """The passages that a text holds, with the largest share of their words in order."""
         words = words_of(text)
-        if not words or not self.ids:
-            return {}
-        at = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int32, len(words))
         found: dict[int, float] = {}
-        for start, p in self.candidates(at):
+        for start, p in self.candidates(words) if words else ():
             own = self.words[p]
             margin = len(own)
             region = words[max(0, start - margin) : start + WINDOW + margin]
@@ -164,11 +185,15 @@ def build_index(docs: DataFrame, ids: list[int], words: list[list[bytes]]) -> In
     vocabulary = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
     total, df = document_frequencies(docs, vocabulary)
     idf = np.log((total + 1) / (df + 1)) + 0.05
-    spark = docs.sparkSession
-    sparse = [(sorted({vocabulary[w] for w in ws}),) for ws in words]
-    rows = spark.createDataFrame([(a, idf[a].tolist()) for (a,) in sparse], "at array<int>, weight array<double>").repartition(max(1, min(8, len(words) // 64)))
+    own = [np.array(sorted({vocabulary[w] for w in ws})) for ws in words]
+    weights = np.maximum(idf - min(COMMON, np.log(total + 1) / 2), 0)
+    for o in own:
+        rarest = o[np.argsort(-idf[o], kind="stable")[:RAREST]]
+        weights[rarest] = np.maximum(weights[rarest], 0.3)
+    sparse = [(o[weights[o] > 0].tolist(), weights[o[weights[o] > 0]].tolist()) for o in own]
+    rows = docs.sparkSession.createDataFrame(sparse, "at array<int>, weight array<double>").repartition(max(1, min(8, len(words) // 64)))
     _, vectors = randomised_svd(rows, len(vocabulary), LATENT)
-    return Index(ids, words, vocabulary, idf, vectors)
+    return Index(ids, words, vocabulary, weights, vectors)
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame) -> list:

@@ -23,11 +23,17 @@ class ExpressionError(ValueError):
 
 @dataclass(frozen=True)
 class Typed:
-    column: Column
+    """A column with its type; without a column it is null."""
+
+    made: Column | None
     kind: T.DataType
 
+    @property
+    def column(self) -> Column:
+        return F.lit(None) if self.made is None else self.made
+
 
-NULL = Typed(F.lit(None), T.NullType())
+NULL = Typed(None, T.NullType())
 
 
 @dataclass(frozen=True)

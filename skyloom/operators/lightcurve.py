@@ -26,11 +26,11 @@ def prepared(points: DataFrame, key: str = "objectId", tie: str | None = None) -
 
 def slope(x: Column, y: Column, err: Column) -> dict[str, Column]:
     """Sums from which ``fit`` makes a weighted least-squares line; x should be centred near the points."""
-    w = 1.0 / (err.cast("double") * err.cast("double"))
+    w = F.try_divide(F.lit(1.0), err.cast("double") * err.cast("double"))
     y = y.cast("double")
     return {
         "n": F.count("*"), "sw": F.sum(w), "swx": F.sum(w * x), "swy": F.sum(w * y), "swxx": F.sum(w * x * x), "swxy": F.sum(w * x * y), "swyy": F.sum(w * y * y),
-        "dt": F.max(x) - F.min(x), "bad": F.max((~((err > 0) & (err < float("inf")) & (w.cast("float") < float("inf")))).cast("int")),
+        "dt": F.max(x) - F.min(x), "bad": F.max((~F.coalesce((err > 0) & (err < float("inf")) & (w.cast("float") < float("inf")), err.isNull())).cast("int")),
     }
 
 
@@ -38,9 +38,9 @@ def fit(sums: Column) -> Column:
     """struct<rate, rate_error, red_chi2, nb_data, dt>, or null: fewer than two points, no span, or errors that aren't
     positive. Two points leave no freedom, so chi squared is NaN."""
     s = {k: sums[k] for k in ("n", "sw", "swx", "swy", "swxx", "swxy", "swyy", "dt", "bad")}
-    xx = s["swxx"] - s["swx"] * s["swx"] / s["sw"]
-    xy = s["swxy"] - s["swx"] * s["swy"] / s["sw"]
-    yy = s["swyy"] - s["swy"] * s["swy"] / s["sw"]
+    xx = s["swxx"] - F.try_divide(s["swx"] * s["swx"], s["sw"])
+    xy = s["swxy"] - F.try_divide(s["swx"] * s["swy"], s["sw"])
+    yy = s["swyy"] - F.try_divide(s["swy"] * s["swy"], s["sw"])
     rate = F.try_divide(xy, xx)
     chi = F.when(s["n"] == 2, F.lit(float("nan"))).otherwise(F.try_divide(F.greatest(yy - rate * xy, F.lit(0.0)), s["n"] - 2))
     ok = (s["n"] > 1) & (s["bad"] == 0) & (xx >= 1e-10)

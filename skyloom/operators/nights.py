@@ -18,7 +18,9 @@ def noon_jd(date: Column, survey: str) -> Column:
 
 def night_of(jd: Column, survey: str) -> Column:
     """The date whose night [noon, next noon) a time lies in."""
-    return F.date_from_unix_date(F.floor(jd - 2440587.5 - (12 - UTC_OFFSET[survey]) / 24.0).cast("int"))
+    noon = 2440587.5 + (12 - UTC_OFFSET[survey]) / 24.0
+    day = F.floor(jd - noon + 1e-6)  # perhaps one too late, as noon itself is rounded
+    return F.date_from_unix_date(F.when(day + noon > jd, day - 1).otherwise(day).cast("int"))
 
 
 def nightly_counts(alerts: DataFrame, survey: str, first: str, last: str, jd: str = "jd") -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIZE = 63
 _KINDS = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
@@ -48,7 +49,7 @@ def normalised(x: np.ndarray) -> np.ndarray:
     return x / n if n > 0 else x
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def pixels(data: pd.Series) -> pd.Series:
     """The normalised image, row by row; null for what is no image."""
 

@@ -1,7 +1,7 @@
 """BPE encoding and decoding through a minimal acyclic transducer of frequent words.
 
-The frequent words of the corpus (counted over all of it) are compiled into an automaton whose states share
-suffixes. Its arcs carry numbers that add up, along the path of a word, to the word's place in a table of ids.
+The frequent words of the corpus, as white space divides them and counted over all of it, are compiled into an
+automaton whose states share suffixes. Its arcs carry numbers that add up, along the path of a word, to the word's place in a table of ids.
 The automaton is one file of plain arrays, sent to the executors by Spark and memory-mapped there; a batch of
 words walks through it at once. Words that it lacks are merged exactly, a batch at a time.
 
@@ -25,14 +25,15 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, shared_path, texts_of
+from .common import map_texts, shared_path, stage, texts_of
 
-#: Words compiled into the automaton; the rest are merged. Bounds the file (about 2 MB) and the driver's work.
-LEXICON_SIZE = 65_536
+#: Words compiled into the automaton; the rest are merged. Bounds the file (about 8 MB) and the driver's work.
+LEXICON_SIZE = 131_072
 #: Words with more symbols than this are merged one by one.
 LONG = 48
-#: Entries of a worker's memory of words before it is emptied.
-REMEMBERED = 250_000
+#: Pieces that a worker remembers before it forgets all but those of the batch at hand.
+REMEMBERED = 500_000
+SLOTS, MULTIPLIER, NONE = 18, 0x9E3779B97F4A7C15, 1 << 40
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -52,11 +53,14 @@ class Vocabulary:
         self.split = regex.compile(split["pattern"]["Regex"])
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.width = max(self.ids.values()) + 1
-        keys = np.array([self.ids[a] * self.width + self.ids[b] for a, b in pairs], np.int64)
-        made = np.array([self.ids[a + b] for a, b in pairs], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
-        self.merge = {int(k): (r, int(m)) for r, (k, m) in enumerate(zip(keys, made))}
+        self.merge = {self.ids[a] * self.width + self.ids[b]: (r, self.ids[a + b]) for r, (a, b) in enumerate(pairs)}
+        # the same as arrays, hashed with linear probing: key, and rank and result in one number
+        self.keys, self.codes = np.full(1 << SLOTS, -1, np.int64), np.full(1 << SLOTS, NONE, np.int64)
+        for key, (rank, made) in self.merge.items():
+            at = (key * MULTIPLIER % 2**64) >> (64 - SLOTS)
+            while self.keys[at] >= 0:
+                at = (at + 1) % (1 << SLOTS)
+            self.keys[at], self.codes[at] = key, rank << 20 | made
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
         self.inner = np.array([self.ids[letters[b]] for b in range(256)], np.int64)
@@ -76,6 +80,13 @@ class Vocabulary:
         piece = unicodedata.normalize("NFC", piece)
         return self.split.findall("".join(c.lower() for c in piece) if "Σ" in piece else piece.lower())
 
+    def pieces(self, pieces: list[str]) -> list[list[int]]:
+        """The ids of pieces without white space; each distinct word is merged once."""
+        split = list(map(self.words, pieces))
+        words = list({w for ws in split for w in ws if w.__class__ is str})
+        known: dict = dict(zip(words, self.many(words))) | {i: [i] for i in self.special.values()}
+        return [known[ws[0]] if len(ws) == 1 else [i for w in ws for i in known[w]] for ws in split]
+
     def one(self, word: str) -> list[int]:
         """The ids of one word, by a heap of its pairs: rank first, then place."""
         raw = word.encode()
@@ -102,6 +113,22 @@ class Vocabulary:
                 push(before[i])
         return [x for x in at if x >= 0]
 
+    def codes_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank and result of each pair, NONE where nothing joins (or a place is empty, -1)."""
+        key = a * self.width + b
+        at = ((key.view(np.uint64) * np.uint64(MULTIPLIER)) >> np.uint64(64 - SLOTS)).view(np.int64)
+        found = self.keys[at]
+        out = np.where((found == key) & (a >= 0) & (b >= 0), self.codes[at], NONE)
+        late = np.flatnonzero(((found != key) & (found >= 0) & (a >= 0) & (b >= 0)).ravel())
+        key, at, flat = key.ravel(), at.ravel(), out.ravel()
+        while len(late):
+            at[late] = (at[late] + 1) % (1 << SLOTS)
+            found = self.keys[at[late]]
+            hit = found == key[late]
+            flat[late[hit]] = self.codes[at[late[hit]]]
+            late = late[~hit & (found >= 0)]
+        return flat.reshape(out.shape)
+
     def many(self, words: list[str]) -> list[list[int]]:
         """The ids of many words: each step joins the first pair of least rank in each word that still has one."""
         raw = [w.encode() for w in words]
@@ -112,44 +139,32 @@ class Vocabulary:
                 out[i] = self.one(words[i])
             else:
                 by_width.setdefault(-(-len(r) // 4) * 4, []).append(i)
-        none = np.int64(1 << 40)
         for width, rows in by_width.items():
             lens = np.array([len(raw[i]) for i in rows])
-            flat = np.frombuffer(b"".join(raw[i].ljust(width, b"\0") for i in rows), np.uint8).reshape(len(rows), width)
-            at = self.inner[flat]
-            at[np.arange(len(rows)), lens - 1] = self.last[flat[np.arange(len(rows)), lens - 1]]
+            flat = np.frombuffer(b"".join([raw[i].ljust(width, b"\0") for i in rows]), np.uint8).reshape(len(rows), width)
+            at, every = self.inner[flat], np.arange(len(rows))
+            at[every, lens - 1] = self.last[flat[every, lens - 1]]
             at = np.concatenate([np.where(np.arange(width) < lens[:, None], at, -1), np.full((len(rows), 1), -1)], 1)
-
-            def ranked(a, b):
-                key = np.where((a >= 0) & (b >= 0), a * self.width + b, -1)
-                i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = self.keys[i] == key
-                return np.where(hit, self.ranks[i], none), np.where(hit, self.made[i], -1)
-
-            rank, made = ranked(at[:, :-1], at[:, 1:])
-            live = np.arange(len(rows))
-            done = np.full((len(rows), width + 1), -1)
+            code = np.concatenate([self.codes_of(at[:, :-1], at[:, 1:]), np.full((len(rows), 1), NONE)], 1)
+            live, done, k = every, np.full((len(rows), width + 1), -1), np.arange(width + 1)
             while len(live):
-                best = rank.argmin(1)
-                some = rank[np.arange(len(live)), best] < none
-                if not some.all():
-                    done[live[~some]] = at[~some]
-                    live, at, rank, made, best = live[some], at[some], rank[some], made[some], best[some]
+                r = np.arange(len(live))
+                best = code.argmin(1)
+                least = code[r, best]
+                if (least == NONE).any():
+                    ended = least == NONE
+                    done[live[ended]] = at[ended]
+                    live, at, code, best, least = (x[~ended] for x in (live, at, code, best, least))
                     if not len(live):
                         break
-                k, r = np.arange(width + 1), np.arange(len(live))
-                new = made[r, best]
+                    r = np.arange(len(live))
                 take = np.minimum(k + (k > best[:, None]), width)
-                at = np.take_along_axis(at, take, 1)
-                at[:, -1] = -1
-                at[r, best] = new
-                rank, made = np.take_along_axis(rank, take[:, :-1].clip(max=width - 1), 1), np.take_along_axis(made, take[:, :-1].clip(max=width - 1), 1)
-                rank[:, -1] = none
+                at, code = np.take_along_axis(at, take, 1), np.take_along_axis(code, take, 1)
+                at[r, best] = least & 0xFFFFF
                 for side in (best - 1, best):
-                    ok = (side >= 0) & (side < width)
-                    s = np.where(ok, side, 0)
-                    a, b = ranked(at[r, s], at[r, s + 1])
-                    rank[r[ok], s[ok]], made[r[ok], s[ok]] = a[ok], b[ok]
+                    ok = np.flatnonzero((side >= 0) & (side < width))
+                    x = side[ok]
+                    code[ok, x] = self.codes_of(at[ok, x], at[ok, x + 1])
             for i, ids in zip(rows, done.tolist()):
                 out[i] = ids[: ids.index(-1)]
         return out
@@ -212,7 +227,7 @@ class Lexicon:
     """The compiled automaton, over memory-mapped arrays."""
 
     def __init__(self, path: str):
-        raw = np.memmap(path, np.int64, "r")
+        raw = np.asarray(np.memmap(path, np.int64, "r"))  # a plain view of the mapped file
         self.root, at, parts = int(raw[0]), 2 + int(raw[1]), []
         for n in raw[2:at].tolist():
             parts.append(raw[at : at + n])
@@ -248,26 +263,16 @@ def pieces(text: str) -> list[str]:
     return [x for x in _WHITE.split(text) if x] if _ODD.search(text) else text.split()
 
 
-def word_counts(docs: DataFrame, vocab: str) -> DataFrame:
+def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts: summed in each batch, then by Spark."""
 
-    def make():
-        v = vocabulary(vocab)
-
-        def f(_, texts):
-            seen: Counter = Counter()
-            for t in texts:
-                seen.update(pieces(t))
-            out: Counter = Counter()
-            for p, n in seen.items():
-                for w in v.words(p):
-                    if isinstance(w, str):
-                        out[w] += n
-            return list(out), list(out.values())
-
-        return f
+    def f(_, texts):
+        seen: Counter = Counter()
+        for t in texts:
+            seen.update(pieces(t))
+        return list(seen), list(seen.values())
 
-    return map_texts(docs, make, "word string, n long", rows=10_000).groupBy("word").agg(F.sum("n").alias("n"))
+    return map_texts(docs, lambda: f, "word string, n long", rows=10_000).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _ship(spark, block: bytes) -> str:
@@ -282,46 +287,71 @@ def _ship(spark, block: bytes) -> str:
     return path.rsplit("/", 1)[1]
 
 
+def frequent(docs: DataFrame, size: int) -> list[str]:
+    """The most frequent words that occur twice at least and aren't too long: as many as fit in whole classes of equal
+    frequency. The classes are counted first, so no more than ``size`` words reach the driver."""
+    counted = stage(word_counts(docs).where((F.col("n") > 1) & (F.octet_length("word") <= LONG)), "words")
+    classes = counted.groupBy("n").count().orderBy(F.desc("n"))  # as many as there are frequencies up to the one sought
+    total, least = 0, None
+    for r in classes.toLocalIterator():
+        total += r["count"]
+        if total > size:
+            break
+        least = r.n
+    return [] if least is None else sorted(r.word for r in counted.where(F.col("n") >= least).collect())
+
+
 def build_lexicon(docs: DataFrame, vocab: str, size: int = LEXICON_SIZE) -> str:
-    """Compile the most frequent words (ties: the smaller word) and ship the automaton; the name of its file."""
+    """Compile the most frequent words and ship the automaton; the name of its file."""
     v = vocabulary(vocab)
-    top = [r.word for r in word_counts(docs, vocab).where(F.length("word") <= LONG).orderBy(F.desc("n"), "word").limit(size).collect()]
-    return _ship(docs.sparkSession, compile_lexicon({w.encode(): ids for w, ids in zip(top, v.many(top))}))
+    words = frequent(docs, size)
+    return _ship(docs.sparkSession, compile_lexicon({p.encode(): ids for p, ids in zip(words, v.pieces(words))}))
 
 
 class Coder:
-    """Encodes pieces: known ones from memory, else by the automaton, else by merging."""
+    """Encodes words: known ones from memory, else by the automaton, else by merging."""
 
     def __init__(self, vocab: str, lexicon: str):
-        self.v, self.lexicon, self.known = vocabulary(vocab), Lexicon(SparkFiles.get(lexicon)), {}
-        self.ids, self.shown = {}, {}
-
-    def learn(self, new: set[str]) -> None:
-        if len(self.ids) + len(new) > REMEMBERED:
-            self.ids, self.shown = {}, {}
-        split = {p: self.v.words(p) for p in new}
-        words = list({w for ws in split.values() for w in ws if isinstance(w, str)})
-        places = self.lexicon.places([w.encode() for w in words]).tolist()
-        rest = [w for w, at in zip(words, places) if at < 0]
-        ids = dict(zip(rest, self.v.many(rest)))
-        for w, at in zip(words, places):
+        self.v, self.lexicon = vocabulary(vocab), Lexicon(SparkFiles.get(lexicon))
+        self.ids: dict[str, str] = {}
+        self.number = [str(i) for i in range(max(self.v.tokens) + 1)]
+        self.token = {str(i): t for i, t in self.v.tokens.items()}
+        ends, ids = self.lexicon.ends.tolist(), self.lexicon.ids.tolist()
+        self.listed = [self.told(ids[a:b]) for a, b in zip(ends, ends[1:])]
+
+    def told(self, ids: list[int]) -> str:
+        return self.number[ids[0]] if len(ids) == 1 else " ".join([self.number[i] for i in ids])
+
+    def learn(self, new: list[str]) -> None:
+        places = self.lexicon.places([p.encode() for p in new]).tolist()
+        rest = []
+        for p, at in zip(new, places):
             if at >= 0:
-                ids[w] = self.lexicon.ids[self.lexicon.ends[at] : self.lexicon.ends[at + 1]].tolist()
-        tokens = self.v.tokens
-        for p, ws in split.items():
-            got = [i for w in ws for i in (ids[w] if isinstance(w, str) else (w,))]
-            self.ids[p] = " ".join(map(str, got))
-            self.shown[p] = " ".join([tokens[i] for i in got])
-
-    def encode(self, texts: list[str]) -> list[list[str]]:
+                self.ids[p] = self.listed[at]
+            else:
+                rest.append(p)
+        self.ids.update(zip(rest, map(self.told, self.v.pieces(rest))))
+
+    def encode(self, texts: list[str]) -> list[str]:
+        """The ids of each text, joined by single spaces."""
         split = [pieces(t) for t in texts]
-        new = {p for ps in split for p in ps}
-        missing = new - self.ids.keys()
-        if missing:
-            self.learn(missing)
-            if gone := new - self.ids.keys():  # memory was emptied
-                self.learn(gone)
-        return split
+        here = set()
+        for ps in split:
+            here.update(ps)
+        if len(self.ids) + len(here) > REMEMBERED:
+            self.ids = {p: self.ids[p] for p in here if p in self.ids}
+        if new := [p for p in here if p not in self.ids]:
+            self.learn(new)
+        return [" ".join(map(self.ids.__getitem__, ps)) for ps in split]
+
+    def decode(self, ids: str) -> str:
+        return " ".join(map(self.token.__getitem__, ids.split(" "))) if ids else ""
+
+
+@lru_cache(2)
+def coder_of(vocab: str, lexicon: str) -> Coder:
+    """A worker's coder lives on from task to task."""
+    return Coder(vocab, lexicon)
 
 
 def encode(docs: DataFrame, vocab_path: str, lexicon_size: int = LEXICON_SIZE, keep: bool = False) -> DataFrame:
@@ -337,13 +367,12 @@ def encode(docs: DataFrame, vocab_path: str, lexicon_size: int = LEXICON_SIZE, k
     sent = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def make():
-        coder = Coder(sent.value, lexicon)
+        coder = coder_of(sent.value, lexicon)
 
         def f(doc_ids, texts):
             n, a, b, ids, shown = [], [], [], [], []
-            for ps in coder.encode(texts):
-                x = " ".join(map(coder.ids.__getitem__, ps))
-                y = " ".join(map(coder.shown.__getitem__, ps))
+            for x in coder.encode(texts):
+                y = coder.decode(x)
                 n.append(x.count(" ") + 1 if x else 0)
                 a.append(hashlib.sha256(x.encode()).hexdigest())
                 b.append(hashlib.sha256(y.encode()).hexdigest())
@@ -354,7 +383,7 @@ def encode(docs: DataFrame, vocab_path: str, lexicon_size: int = LEXICON_SIZE, k
 
         return f
 
-    return map_texts(docs, make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string, decoded string" * keep, rows=2500)
+    return map_texts(docs, make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string, decoded string" * keep, rows=1000)
 
 
 def decode(rows: DataFrame, vocab_path: str) -> DataFrame:

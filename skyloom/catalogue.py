@@ -408,6 +408,151 @@ def state_merge_stream(spark, sf):
     return replayed.merged_objects(spark, sf)
 
 
+# ---- enrichment, packets, bookkeeping ----
+
+
+@query(f"WITH {D}, p AS (SELECT a.candid AS _id, a.ssdistnr < 12 AS rock, b.mag, b.jd FROM d a JOIN d b ON a.objectId = b.objectId AND b.jd <= a.jd WHERE a.programid = 1) SELECT _id, bool_or(rock) AS rock, max(jd) - min(jd) > 0.01 AS stationary, round(min(mag), 4) AS peak_mag, round(max(mag), 4) AS faintest_mag FROM p GROUP BY 1")
+def enrich_properties(spark, sf):
+    """Flags and light-curve statistics of every public alert, from the points up to it."""
+    from skyloom.operators import enrich
+
+    out = enrich.ztf_properties(views.alerts(spark, sf).where("candidate.programid = 1"), views.objects(spark, sf))
+    return out.select("_id", F.col("properties.rock").alias("rock"), F.col("properties.stationary").alias("stationary"), *(F.round(F.col(f"properties.photstats.{c}").cast("double"), 4).alias(c) for c in ("peak_mag", "faintest_mag")))
+
+
+@query(f"WITH {D}, o AS (SELECT 'U' || ((CAST(substr(objectId, 2) AS BIGINT) + 1) % 150) AS alias, jd, programid FROM d WHERE programid = 1) SELECT a.candid AS _id, count(o.jd) AS points FROM d a LEFT JOIN o ON o.alias = a.objectId AND o.jd <= a.jd AND a.jd - o.jd < 365 GROUP BY 1")
+def counterpart_alias(spark, sf):
+    """The history of another survey's object, named by an alert's first alias; only its public points are seen."""
+    mine = views.alerts(spark, sf)
+    other = views.objects(spark, sf)
+    at = (F.substring("objectId", 2, 20).cast("long") + 149) % 150
+    mine = mine.withColumn("aliases", F.struct(F.array(F.concat(F.lit("U"), at.cast("string"))).alias("ZTF")))
+    out = filters.with_counterpart(mine, other, "ZTF", 365.0)
+    return out.select("_id", F.coalesce(F.size(F.col("ZTF.prv_candidates")), F.lit(0)).cast("long").alias("points"))
+
+
+@query(f"WITH {D} SELECT candid AS _id, objectId FROM d WHERE objectId = 'U7' AND mag <= 19 AND jd >= 2460310 ORDER BY candid LIMIT 40")
+def alert_search(spark, sf):
+    return api.alert_search(views.alerts(spark, sf), object_id="U7", ranges={"candidate.magpsf": (None, 19.0), "candidate.jd": (2460310.0, None)}, limit=40).select("_id", "objectId")
+
+
+@query("SELECT o_orderstatus AS topic, sum(greatest(o_orderkey % 100 - o_custkey % 50, 0)) AS messages FROM orders GROUP BY 1")
+def message_counts(spark, sf):
+    o = views.load(spark, sf, "orders").select(F.col("o_orderstatus").alias("topic"), (F.col("o_custkey") % 50).alias("low"), (F.col("o_orderkey") % 100).alias("high"))
+    return nights.message_counts(o)
+
+
+@query("WITH d AS (SELECT o_custkey AS owner, o_orderstatus AS topic, o_orderpriority AS credential, greatest(coalesce(o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 0), 0) AS delta, o_orderkey % 100 AS high, o_custkey % 50 AS committed FROM orders) SELECT owner, round(sum(delta), 2) AS consumed, sum(greatest(high - committed, 0)) AS lag, count(DISTINCT topic) AS topics, count(DISTINCT credential) AS credentials FROM d GROUP BY 1")
+def consumption(spark, sf):
+    o = series.deltas(views.load(spark, sf, "orders"), ["o_custkey"], "o_orderkey", "o_totalprice")
+    out = nights.consumption(o.select(F.col("o_custkey").alias("owner"), F.col("o_orderstatus").alias("topic"), F.col("o_orderpriority").alias("credential"), "delta", (F.col("o_orderkey") % 100).alias("high"), (F.col("o_custkey") % 50).alias("committed")))
+    return out.withColumn("consumed", F.round("consumed", 2))
+
+
+@query("WITH g AS (SELECT DISTINCT lower(replace(p_type, ' ', '-')) || '-' || p_size AS grp FROM part), o AS (SELECT DISTINCT lower(split_part(p_type, ' ', 1)) AS owner FROM part WHERE p_size < 20), m AS (SELECT grp, owner, row_number() OVER (PARTITION BY grp ORDER BY length(owner) DESC) AS n FROM g JOIN o ON grp = owner OR starts_with(grp, owner || '-')) SELECT grp AS \"group\", owner FROM g LEFT JOIN (SELECT * FROM m WHERE n = 1) USING (grp)")
+def owner_by_prefix(spark, sf):
+    p = views.load(spark, sf, "part")
+    groups = p.select(F.concat(F.lower(F.replace("p_type", F.lit(" "), F.lit("-"))), F.lit("-"), F.col("p_size").cast("string")).alias("group")).distinct()
+    return nights.owner_of(groups, p.where("p_size < 20").select(F.lower(F.split("p_type", " ")[0]).alias("owner")).distinct())
+
+
+@query(f"WITH {D} SELECT objectId, count(*) AS points, min(band) AS band, round(sum(mag), 4) AS flux FROM (SELECT objectId, 'ztf' || band AS band, mag FROM d) GROUP BY 1")
+def packet_photometry(spark, sf):
+    point = lambda p: F.struct(p["jd"].alias("jd"), p["magpsf"].alias("psfFlux"), p["sigmapsf"].alias("psfFluxErr"), p["band"].alias("band"), p["programid"].alias("programid"))
+    o = views.objects(spark, sf).select("objectId", rules.packet_photometry("ZTF", F.transform("prv_candidates", point)).alias("p"))
+    return o.select("objectId", F.size("p").cast("long").alias("points"), F.array_min(F.transform("p", lambda x: x["band"])).alias("band"), F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x["flux"]), 4).alias("flux"))
+
+
+@query(f"WITH {D} SELECT objectId, count(*) AS n, arg_min(candid, jd) AS first FROM d WHERE programid = 1 GROUP BY 1")
+def classification_history(spark, sf):
+    a = views.alerts(spark, sf).withColumn("classifications", F.when(F.col("candidate.programid") == 1, F.struct(F.col("candidate.drb").alias("drb"))))
+    return api.history(a).select("objectId", F.size("history").cast("long").alias("n"), F.col("history")[0]["candid"].alias("first"))
+
+
+@query(f"WITH {_sky('a', 'customer', 'c_custkey')}, {_sky('b', 'supplier', 's_suppkey', 0.001)}, m AS (SELECT a.id, count(*) AS n, min({_apart('a', 'b')}) * 3600 AS near FROM a, b WHERE {_apart('a', 'b')} <= 3 GROUP BY 1) SELECT a.id, coalesce(n, 0) AS n, round(coalesce(near, -1), 2) AS near FROM a LEFT JOIN m USING (id)")
+def crossmatch_arrays(spark, sf):
+    """Every object gets an array for the catalogue, empty where nothing matches."""
+    b = views.sky_positions(spark, sf, "supplier", "s_suppkey", 0.001).withColumnRenamed("objectId", "other")
+    out = crossmatch.crossmatch(views.sky_positions(spark, sf, "customer", "c_custkey"), {"S": b}, [crossmatch.Catalog("S", 3 * 3600.0, ("other",))])
+    return out.select(F.col("objectId").alias("id"), F.size("cross_matches.S").cast("long").alias("n"), F.round(F.coalesce(F.get(F.col("cross_matches.S"), F.lit(0))["distance_arcsec"], F.lit(-1.0)), 2).alias("near"))
+
+
+@query("WITH w AS (SELECT c_custkey AS _id, count(DISTINCT o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1) SELECT _id, n + 1 AS n FROM w")
+def watchlist_record(spark, sf):
+    """Newly matched ids join those that a watchlist's rows have already."""
+    wl = views.load(spark, sf, "customer").select(F.col("c_custkey").alias("_id"), F.array(F.lit("old")).alias("matching_ztf_objects"))
+    found = views.load(spark, sf, "orders").select(F.col("o_custkey").alias("_id"), F.col("o_orderkey").cast("string").alias("objectId"))
+    return crossmatch.record_watchers(wl, found.unionByName(found), "matching_ztf_objects").select("_id", F.size("matching_ztf_objects").cast("long").alias("n"))
+
+
+@query("SELECT o_orderkey AS _id, CASE WHEN o_orderkey % 3 = 0 THEN 'changed' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN 9.5::DOUBLE END AS updated_at FROM orders")
+def written_back(spark, sf):
+    from skyloom.sources import surveys
+
+    o = views.load(spark, sf, "orders").select(F.col("o_orderkey").alias("_id"), "o_orderstatus")
+    return surveys.written_back(o, o.where("_id % 3 = 0").select("_id", F.lit("changed").alias("o_orderstatus")), 9.5)
+
+
+@query(f"WITH {D}, k AS (SELECT candid, mag < 15.5 AS star, CASE WHEN candid % 4 = 0 THEN NULL WHEN candid % 4 = 1 THEN 0.9 ELSE 0.4 END AS score, programid = 1 AS inside FROM d) SELECT candid, 'lsst.no-ztf-match.' || CASE WHEN star THEN 'stellar' WHEN score IS NULL AND inside THEN 'hostless' WHEN score IS NULL THEN 'unknown' WHEN score <= 0.5 THEN 'hosted' ELSE 'hostless' END AS topic FROM k")
+def lsst_routing(spark, sf):
+    a = views.alerts(spark, sf)
+    score = F.when(F.col("_id") % 4 == 0, F.lit(None)).when(F.col("_id") % 4 == 1, 0.9).otherwise(0.4)
+    near = F.filter(F.array(F.when(score.isNotNull(), F.struct(score.alias("score")))), lambda x: x.isNotNull())
+    topic = rules.lsst_category(F.col("candidate.magpsf") < 15.5, F.lit(False), near, F.col("candidate.programid") == 1, F.lit(False))
+    return a.select(F.col("_id").alias("candid"), topic.alias("topic"))
+
+
+@query(f"WITH {D} SELECT 'ztf.' || band AS topic, count(*) AS packets FROM d GROUP BY 1")
+def topic_groups(spark, sf):
+    return rules.by_topic(views.detections(spark, sf).withColumn("topic", F.concat(F.lit("ztf."), F.col("band"))))
+
+
+@query("SELECT o_orderkey, len(list_distinct(list_concat(a, b))) AS either, len(list_intersect(a, b)) AS common, len([x for x in a if NOT list_contains(b, x)]) AS only FROM (SELECT o_orderkey, coalesce(list_distinct(list(l_partkey % 10) FILTER (l_quantity > 25)), []) AS a, coalesce(list_distinct(list(l_partkey % 10) FILTER (l_quantity <= 25)), []) AS b FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)")
+def set_expressions(spark, sf):
+    lines = views.load(spark, sf, "lineitem").select("l_orderkey", (F.col("l_partkey") % 10).alias("k"), "l_quantity")
+    sets = lines.groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_quantity") > 25, F.col("k"))).alias("a"), F.collect_set(F.when(F.col("l_quantity") <= 25, F.col("k"))).alias("b"))
+    o = views.load(spark, sf, "orders").select("o_orderkey").join(sets, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    none = lambda c: {"$ifNull": [f"${c}", []]}
+    out = _run(o, [{"$project": {"o_orderkey": 1, "either": {"$size": {"$setUnion": [none("a"), none("b")]}}, "common": {"$size": {"$setIntersection": [none("a"), none("b")]}}, "only": {"$size": {"$setDifference": [none("a"), none("b")]}}}}])
+    return out.select("o_orderkey", *(F.col(c).cast("long").alias(c) for c in ("either", "common", "only")))
+
+
+@query("SELECT s_suppkey, round(53736 + s_suppkey % 4000 + 2400000.5 - CASE WHEN 53736 + s_suppkey % 4000 >= 57754 + 37 / 86400.0 THEN 37 WHEN 53736 + s_suppkey % 4000 >= 57204 + 36 / 86400.0 THEN 36 WHEN 53736 + s_suppkey % 4000 >= 56109 + 35 / 86400.0 THEN 35 WHEN 53736 + s_suppkey % 4000 >= 54832 + 34 / 86400.0 THEN 34 WHEN 53736 + s_suppkey % 4000 >= 53736 + 33 / 86400.0 THEN 33 ELSE 32 END / 86400.0::DOUBLE, 6) AS jd FROM supplier")
+def tai_to_utc(spark, sf):
+    return views.load(spark, sf, "supplier").select("s_suppkey", F.round(photometry.tai_mjd_to_jd((53736 + F.col("s_suppkey") % 4000).cast("double")), 6).alias("jd"))
+
+
+@query(f"WITH {D} SELECT objectId, count(*) FILTER (programid <> 3) AS detections, count(*) FILTER (programid = 3) AS limits FROM d GROUP BY 1")
+def display_curve(spark, sf):
+    from skyloom.operators import enrich
+
+    d = views.detections(spark, sf).select("objectId", "jd", F.when(F.col("programid") != 3, F.col("mag")).alias("mag"), F.lit(20.0).alias("snr"), F.lit(21.0).alias("diffmaglim"))
+    return enrich.display_curve(d).groupBy("objectId").agg(F.count(F.when(F.col("kind") == "detection", 1)).alias("detections"), F.count(F.when(F.col("kind") == "limit", 1)).alias("limits"))
+
+
+@query(f"WITH {D}, c AS (SELECT *, avg(drb) OVER (PARTITION BY objectId) AS r0, avg(sgscore1) OVER (PARTITION BY objectId) AS d0 FROM d) SELECT candid, round((drb - r0) * cos(radians(d0)) * 3600, 3) AS east, round((sgscore1 - d0) * 3600, 3) AS north FROM c")
+def tangent_offsets(spark, sf):
+    w = Window.partitionBy("objectId")
+    a = views.alerts(spark, sf).select("_id", "objectId", F.col("candidate.drb").alias("ra"), F.col("candidate.sgscore1").alias("dec"))
+    o = sky.offsets(F.col("ra"), F.col("dec"), F.avg("ra").over(w), F.avg("dec").over(w))
+    return a.select(F.col("_id").alias("candid"), F.round(o["east"], 3).alias("east"), F.round(o["north"], 3).alias("north"))
+
+
+@query()
+def scorer_stub(spark, sf):
+    """Scores from a stand-in model over every alert: those without all features have none."""
+    from skyloom.operators import models
+    from skyloom.sources import images
+
+    class Mean:
+        def predict(self, features, triplets):
+            return features.mean(1) + triplets.mean((1, 2, 3))
+
+    blank = images.blank()
+    rows = views.alerts(spark, sf).select("_id", F.col("candidate.drb").alias("drb"), F.when(F.col("candidate.band") != "y", F.col("candidate.sgscore1")).alias("sgscore1"), *(F.lit(blank).alias(c) for c in ("cutoutScience", "cutoutTemplate", "cutoutDifference")))
+    return models.scored(rows, {"mean": (Mean(), ("drb", "sgscore1"))}).select("_id", F.round("classifications.mean", 6).alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

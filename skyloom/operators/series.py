@@ -10,14 +10,19 @@ def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
 
 
+def with_value(value: Column, body) -> Column:
+    """``body`` of a column that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean(points: Column) -> Column:
     """Sorted by time, the first of points at one time kept, points without a finite time left out.
 
     A point's place breaks ties, so of two points at a time the earlier in the array stays.
     """
     numbered = F.transform(F.filter(points, lambda p: finite(p["jd"])), lambda p, i: F.struct((p["jd"] + 0.0).alias("jd"), i.alias("i"), p.alias("p")))
-    ordered = F.array_sort(numbered, lambda a, b: F.when(a["jd"] < b["jd"], -1).when(a["jd"] > b["jd"], 1).otherwise(a["i"] - b["i"]))
-    return F.transform(F.filter(F.transform(ordered, lambda x, i: F.struct(x["p"].alias("p"), ((i == 0) | (x["jd"] != F.get(ordered, i - 1)["jd"])).alias("new"))), lambda x: x["new"]), lambda x: x["p"])
+    new = lambda o: F.filter(o, lambda x, i: (i == 0) | (x["jd"] != F.get(o, i - 1)["jd"]))
+    return F.transform(with_value(F.array_sort(numbered), new), lambda x: x["p"])
 
 
 def merge(old: Column, new: Column) -> Column:
@@ -34,8 +39,8 @@ def is_increasing(points: Column) -> Column:
 
 def update_of(old: Column, new: Column) -> Column:
     """struct<add, resort>: the points whose times are not stored yet, and whether one of them precedes what is stored."""
-    known = F.transform(old, lambda p: p["jd"])
-    add = F.filter(clean(new), lambda p: ~F.array_contains(F.coalesce(known, F.array().cast("array<double>")), p["jd"]))
+    known = F.coalesce(F.transform(old, lambda p: p["jd"]), F.array().cast("array<double>"))
+    add = with_value(known, lambda k: F.filter(clean(new), lambda p: ~F.array_contains(k, p["jd"])))
     return F.struct(add.alias("add"), F.coalesce(F.array_min(F.transform(add, lambda p: p["jd"])) < F.array_max(known), F.lit(False)).alias("resort"))
 
 

@@ -42,6 +42,12 @@ def image(data: bytes, size: int = SIZE) -> np.ndarray:
     return out
 
 
+def blank(size: int = SIZE) -> bytes:
+    """A FITS image without light, gzipped."""
+    cards = [f"{k:<8}= {v:>20}" for k, v in (("SIMPLE", "T"), ("BITPIX", -32), ("NAXIS", 2), ("NAXIS1", size), ("NAXIS2", size))]
+    return gzip.compress("".join(c.ljust(80) for c in [*cards, "END"]).ljust(2880).encode() + np.zeros((size, size), ">f4").tobytes(), mtime=0)
+
+
 def normalised(x: np.ndarray) -> np.ndarray:
     """NaN as zero, divided by the Frobenius norm if there is one."""
     x = np.nan_to_num(x, nan=0.0)

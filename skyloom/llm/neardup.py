@@ -300,5 +300,5 @@ def classes(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows that stay, one for each component, with all their columns; of rows of equal id one stays."""
     keep = classes(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    mine = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    mine = docs.join(keep, docs["doc_id"].cast("long") == keep["kept_id"], "left_semi")
     return mine.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -66,6 +66,23 @@ def test_empty_tables(spark, odd, labels):
     assert pii.redact(none).count() == neardup.deduplicated(none).count() == 0
 
 
+def test_stages_take_odd_rows(spark, odd, labels, tmp_path):
+    odd = odd.withColumn("kept_id", F.lit("x")).withColumn("component_id", F.lit(1.5)).withColumn("ids", F.array(F.lit(1)))
+    bench = spark.createDataFrame([(1, "one"), (2, None), (None, "x")], "item_id long, text string")
+    for k, (docs, marks, items) in enumerate(((odd, labels, bench), (odd.where("false"), labels.where("false"), bench.where("false")), (odd, labels.where("false"), bench.where("false")))):
+        sf = str(tmp_path / str(k))
+        for name, df in (("documents", docs), ("labels", marks), ("benchmark", items)):
+            df.coalesce(1).write.parquet(f"{sf}/{name}.parquet")
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            assert name == "tokens" or out.columns == docs.columns, name
+            assert out.count() <= docs.count(), name
+        ids = sorted(str(r.doc_id) for r in neardup.deduplicated(docs).collect())
+        assert ids == ([] if k == 1 else ["1", "2", "3", "4", "5", "7", "8", "None"])
+        assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 

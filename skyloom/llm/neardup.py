@@ -194,8 +194,7 @@ def _close_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
 
     here = texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
     fine = stage(here.select("doc_id", "text").mapInArrow(sketched, "doc_id long, bands binary, fine binary"), "fine")
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "doc_id", "n", "comp")
     rows = dealt.join(fine, "doc_id").select("key", "i", "j", "left", "doc_id", "n", "comp", "bands", "fine").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -203,7 +202,8 @@ def _close_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     def compared(group: tuple, held: list[tuple]) -> tuple[list, list]:
         key, i, j = group
         ids, n, comp = (np.array([r[k] for r in held], np.int64) for k in (1, 2, 3))
-        keys, fine = (np.frombuffer(b"".join(r[k] for r in held), np.int64).reshape(len(held), -1) for k in (4, 5))
+        keys = np.frombuffer(b"".join(r[4] for r in held), np.int64).reshape(len(held), -1)
+        fine = np.frombuffer(b"".join(r[5] for r in held), np.uint64).reshape(len(held), -1)  # of signed numbers, bits of the absolute value would be counted
         left = np.flatnonzero([r[0] for r in held])
         right = left if i == j else np.flatnonzero([not r[0] for r in held])
         out_a, out_b = [], []
@@ -269,8 +269,8 @@ def _links(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
                 links = found if links is None else links.unionByName(found)
                 comps = components(links)
         if turn < STAR_ROUNDS:  # what is left: buckets whose members lie in different components
-            now = members.drop("comp").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")) if comps else members
-            split = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+            now = members.select("key", "doc_id", "n").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")) if comps else members.select("key", "doc_id", "n", "comp")
+            split = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("low < high").select("key", "blocks")
             members = stage(now.join(split, "key"), "members")
             if members.isEmpty():
                 break

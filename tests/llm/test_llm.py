@@ -226,6 +226,40 @@ def test_odd_sketch_estimates():
         assert abs(np.mean(seen) - j) < 0.02
 
 
+def test_many_alike_copies_by_brute_force(spark):
+    """Copies of one text that are alike but often not linked: hubs don't settle them, so sketches of pairs decide."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(160):
+        w = list(base)
+        for k in rng.sample(range(len(w)), rng.randrange(2, 9)):
+            w[k] = f"v{rng.randrange(9000)}"
+        texts.append((i, " ".join(w)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.classes(docs).collect()} == components_by_brute_force(texts)
+    texts = [(i, t) for i, t in texts if i % 2]
+    for rounds, block in ((1, 1024), (1, 16)):  # fewer hub rounds and small blocks leave more to the sketches
+        before = neardup.STAR_ROUNDS, neardup.BLOCK
+        neardup.STAR_ROUNDS, neardup.BLOCK = rounds, block
+        try:
+            got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+        finally:
+            neardup.STAR_ROUNDS, neardup.BLOCK = before
+        assert got == components_by_brute_force(texts)
+
+
+def test_fine_sketches():
+    rng = np.random.default_rng(13)
+    for j, low, high in ((0.75, 0, neardup.FINE_MAX), (0.55, neardup.FINE_MAX, 4096)):
+        for _ in range(20):
+            n = 300
+            k = round(n * 2 * j / (1 + j))
+            x = rng.integers(0, 2**63, 2 * n - k, dtype=np.uint64)
+            a, b = (neardup.odd_sketch(neardup.signature(np.unique(s), neardup._FINE), neardup.FINE_BITS).view(np.uint64) for s in (x[:n], np.concatenate([x[:k], x[n:]])))
+            assert low < np.bitwise_count(a ^ b).sum() <= high
+
+
 def test_long_chains_are_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.comp for r in neardup.components(edges).collect()}

@@ -62,4 +62,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_multipart_secrets": secrets.oracle_sql(), "op7_license_dice": licenses.oracle_sql()}
+    return {"op5_minhash_odd_sketch": neardup.oracle_sql(), "op6_multipart_secrets": secrets.oracle_sql(), "op7_license_dice": licenses.oracle_sql()}

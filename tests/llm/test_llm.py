@@ -360,6 +360,11 @@ def held(spark, texts, operator, sql):
     return {r[0]: r for r in rows}
 
 
+def test_near_duplicates_equal_sql(spark):
+    rows = [r.text for r in table(spark, "documents").select("text").limit(300).collect()]
+    held(spark, rows + rows[:20] + [None, "", "A b", "a  B", "\x1c x"], neardup.classes, neardup.oracle_sql())
+
+
 def test_secrets_equal_sql(spark):
     got = held(spark, TRICKY, secrets.find, secrets.oracle_sql())
     assert [got[i][-1] for i in (3, 4, 5, 6, 7)] == [3, 0, 0, 0, 0]

@@ -136,6 +136,11 @@ def lsst_object_id(dia: Column, sso: Column) -> Column:
     return F.coalesce(F.when(dia != 0, dia.cast("string")), F.concat(F.lit("sso"), F.when(sso != 0, sso).cast("string")))
 
 
+def lsst_history(dia_object: Column, jd: Column) -> dict[str, Column]:
+    """First detection and number of detections of an object; a source without an object is its own first."""
+    return {"jdstarthist": F.coalesce(tai_mjd_to_jd(dia_object["firstDiaSourceMjdTai"]), jd), "ndethist": F.coalesce(dia_object["nDiaSources"], F.lit(1)).cast("int")}
+
+
 def decam_candidate(c: Column) -> dict[str, Column]:
     return {"jd": mjd_to_jd(c["mjd"]), "snr": F.try_divide(F.abs(c["forcediffimflux"]), c["forcediffimfluxunc"]).cast("float"), "flux_njy": c["forcediffimflux"] * 1000.0, "flux_err_njy": c["forcediffimfluxunc"] * 1000.0}
 

@@ -208,3 +208,11 @@ def add_version(f: Filter, fid: str, stages: list[dict]) -> Filter:
     """The filter with another version, made active."""
     validate(stages)
     return Filter(f.id, f.survey, f.versions | {fid: json.dumps(stages)}, fid, f.permissions, f.active, f.watchlist, f.watch_fields)
+
+
+def task_of(text: str) -> tuple[int, int]:
+    """(programme, alert id) of a queued task "p,candid"; a programme has one digit."""
+    program, comma, candid = text.partition(",")
+    if not (comma and len(program) == 1 and program.isdigit() and candid.lstrip("-").isdigit()):
+        raise FilterError(f"no task: {text}")
+    return int(program), int(candid)

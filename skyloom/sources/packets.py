@@ -7,6 +7,7 @@ rest of ingest is DataFrame work. A packet that can't be decoded becomes a row w
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -234,3 +235,93 @@ def good(decoded: DataFrame) -> DataFrame:
 
 def quarantined(decoded: DataFrame) -> DataFrame:
     return decoded.where("error IS NOT NULL").select("error")
+
+
+def schemas_from(files: dict[str, str]) -> dict[int, Any]:
+    """Schemas by id from texts by name: "703.avsc" or "alert_v7_3.avsc" is 703. Names defined in other files of the
+    same version are put in where they are first used."""
+    groups: dict[int, dict[str, Any]] = {}
+    for name, text in sorted(files.items()):
+        numbers = re.findall(r"\d+", name.rsplit("/", 1)[-1])
+        i = int(numbers[-2]) * 100 + int(numbers[-1]) if len(numbers) > 1 else int(numbers[-1])
+        schema = json.loads(text)
+        space = schema.get("namespace", "")
+        groups.setdefault(i, {})[f"{space}.{schema['name']}" if space else schema["name"]] = schema
+    out = {}
+    for i, named in groups.items():
+        used = {n for s in named.values() for n in named if n in re.findall(r'"([^"]+)"', json.dumps({k: v for k, v in s.items() if k not in ("name", "namespace")}))}
+        (top,) = [n for n in named if n not in used] or [next(iter(named))]
+        out[i] = _filled(named[top], named, {top})
+    return out
+
+
+def _filled(s: Any, named: dict[str, Any], seen: set[str]) -> Any:
+    if isinstance(s, str) and s in named and s not in seen:
+        seen.add(s)
+        return _filled(named[s], named, seen)
+    if isinstance(s, list):
+        return [_filled(x, named, seen) for x in s]
+    if isinstance(s, dict):
+        return {k: _filled(v, named, seen) if k in ("type", "items", "values", "fields") else v for k, v in s.items()}
+    return s
+
+
+def avro_schema(kind: T.DataType, name: str = "packet") -> Any:
+    """The Avro schema of a Spark type; fields that may be null are unions with null."""
+    plain = {T.BooleanType: "boolean", T.ByteType: "int", T.ShortType: "int", T.IntegerType: "int", T.LongType: "long", T.FloatType: "float", T.DoubleType: "double", T.StringType: "string", T.BinaryType: "bytes"}
+    if isinstance(kind, T.StructType):
+        wrap = lambda f, s: ["null", s] if f.nullable else s
+        return {"type": "record", "name": name, "fields": [{"name": f.name, "type": wrap(f, avro_schema(f.dataType, f"{name}_{f.name}"))} for f in kind.fields]}
+    if isinstance(kind, T.ArrayType):
+        inner = avro_schema(kind.elementType, f"{name}_item")
+        return {"type": "array", "items": ["null", inner] if kind.containsNull else inner}
+    if isinstance(kind, T.MapType):
+        inner = avro_schema(kind.valueType, f"{name}_value")
+        return {"type": "map", "values": ["null", inner] if kind.valueContainsNull else inner}
+    return plain[type(kind)]
+
+
+def _long(n: int) -> bytes:
+    n, out = (n << 1) ^ (n >> 63), bytearray()
+    while n > 0x7F:
+        out.append(n & 0x7F | 0x80)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
+
+
+def encoded(value: Any, s: Any) -> bytes:
+    """A value as an Avro datum of a schema that ``avro_schema`` made."""
+    if isinstance(s, list):
+        return _long(0) if value is None else _long(1) + encoded(value, s[1])
+    kind = s["type"] if isinstance(s, dict) else s
+    if kind == "record":
+        return b"".join(encoded(value[f["name"]], f["type"]) for f in s["fields"])
+    if kind == "array":
+        return (_long(len(value)) + b"".join(encoded(v, s["items"]) for v in value) if len(value) else b"") + _long(0)
+    if kind == "map":
+        pairs = dict(value).items()  # Arrow gives pairs
+        return (_long(len(pairs)) + b"".join(encoded(k, "string") + encoded(v, s["values"]) for k, v in pairs) if pairs else b"") + _long(0)
+    if kind == "boolean":
+        return b"\1" if value else b"\0"
+    if kind in ("int", "long"):
+        return _long(int(value))
+    if kind in ("float", "double"):
+        return struct.pack("<f" if kind == "float" else "<d", value)
+    raw = value.encode() if kind == "string" else bytes(value)
+    return _long(len(raw)) + raw
+
+
+def encode(rows: DataFrame, name: str = "packet", key: str | None = None) -> DataFrame:
+    """(key, value): each row as an Avro datum of the schema of the whole table, in Arrow batches."""
+    import pyarrow as pa
+
+    schema = avro_schema(rows.schema, name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = b.to_pylist()
+            keys = [str(r[key]) if key else None for r in found]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([encoded(r, schema) for r in found], pa.binary())], ["key", "value"])
+
+    return rows.mapInArrow(run, "key string, value binary")

@@ -84,6 +84,15 @@ def write_by_topic(packets: DataFrame, folder: str, topic: str = "topic") -> Non
     packets.where(F.col(topic).isNotNull()).repartition(topic, F.pmod(F.hash("_id"), F.lit(16))).write.mode("append").partitionBy(topic).parquet(folder)
 
 
+def publish(packets: DataFrame, servers: str | None = None, folder: str | None = None, topic: str = "topic") -> None:
+    """Packets (topic, key, value) to a broker if servers are given, else to a folder for each topic."""
+    if servers:
+        options = {"kafka.bootstrap.servers": servers, "kafka.compression.type": "zstd", "kafka.acks": "1"}
+        packets.select(F.col(topic).alias("topic"), "key", "value").write.format("kafka").options(**options).save()
+    else:
+        packets.where(F.col(topic).isNotNull()).write.mode("append").partitionBy(topic).parquet(folder)
+
+
 def written_back(alerts: DataFrame, results: DataFrame, now: float, key: str = "_id") -> DataFrame:
     """Alerts with new properties and classifications where there are any, and the time of the change."""
     fields = [c for c in results.columns if c != key]

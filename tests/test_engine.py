@@ -375,6 +375,32 @@ def test_packets(spark):
     assert packets.schema_version(703) == (7, 3)
 
 
+def test_encoded_packets(spark):
+    df = spark.createDataFrame([("a", 1, (2.5, None), [(1.0, 3.5)], {"k": 7}, True, b"x"), (None, -9, (1.0, 2.0), [], {}, None, None)], "objectId string, candid long, c struct<jd:double,m:float>, p array<struct<jd:double,m:float>>, d map<string,int>, b boolean, raw binary")
+    got = packets.encode(df, "alert", "candid").collect()
+    decoder = packets.Decoder(packets.avro_schema(df.schema, "alert"))
+    back = [decoder.read(packets.Reader(bytes(r.value))) for r in got]
+    assert back[0] == {"objectId": "a", "candid": 1, "c": {"jd": 2.5, "m": None}, "p": [{"jd": 1.0, "m": 3.5}], "d": {"k": 7}, "b": True, "raw": b"x"}
+    assert back[1]["objectId"] is None and back[1]["p"] == [] and [r.key for r in got] == ["1", "-9"]
+
+
+def test_schemas_by_id(tmp_path):
+    inner = {"type": "record", "name": "src", "namespace": "n", "fields": [{"name": "x", "type": "long"}]}
+    top = {"type": "record", "name": "alert", "namespace": "n", "fields": [{"name": "a", "type": "n.src"}, {"name": "b", "type": ["null", "n.src"]}]}
+    schemas = packets.schemas_from({"v/alert_7_3.avsc": json.dumps(top), "v/src_7_3.avsc": json.dumps(inner)})
+    assert packets.Framed(schemas)(b"\0" + (703).to_bytes(4, "big") + b"\x04\x02\x06") == {"a": {"x": 2}, "b": {"x": 3}}
+
+
+def test_published_packets_and_tasks(spark, tmp_path):
+    df = spark.createDataFrame([("t1", "k", b"v"), (None, "k", b"v"), ("t2", "k", b"w")], "topic string, key string, value binary")
+    surveys.publish(df, folder=str(tmp_path / "out"))
+    assert sorted(r.topic for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["t1", "t2"]
+    assert filters.task_of("2,-15") == (2, -15)
+    for bad in ("12,5", "a,5", "1", "1,x"):
+        with pytest.raises(filters.FilterError):
+            filters.task_of(bad)
+
+
 def test_repeated_field_names():
     schema = {"type": "record", "name": "r", "fields": [{"name": "a", "type": "long"}, {"name": "a", "type": "long"}]}
     raw = container({"a": 7}, schema=schema)

@@ -162,11 +162,11 @@ def _list(args: Any) -> list:
 
 
 def _items(x: Typed) -> Typed:
-    """The elements of an array, or what stands for one."""
-    return x if isinstance(x.kind, T.ArrayType) else T.ArrayType(T.NullType()) and Typed(F.array(), T.ArrayType(T.NullType()))
+    """An array, or an empty one in place of what is none."""
+    return x if isinstance(x.kind, T.ArrayType) else Typed(F.array(), T.ArrayType(T.NullType()))
 
 
-def _lambda(array: Typed, names: str, body: Callable[[Typed], Typed], make: Callable) -> tuple[Column, T.DataType]:
+def _lambda(array: Typed, body: Callable[[Typed], Typed], make: Callable) -> tuple[Column, T.DataType]:
     """Apply a higher-order function; the body's type is seen as it is compiled."""
     seen: list[T.DataType] = []
 
@@ -246,13 +246,13 @@ def _operator(op: str, args: Any, scope: Scope) -> Typed:
         name, array = args.get("as", "this"), sub(args["input"])
         if not isinstance(array.kind, T.ArrayType):
             return NULL
-        column, _ = _lambda(array, name, lambda x: Typed(truth(sub(args["cond"], **{name: x})), T.BooleanType()), F.filter)
+        column, _ = _lambda(array, lambda x: Typed(truth(sub(args["cond"], **{name: x})), T.BooleanType()), F.filter)
         return Typed(column, array.kind)
     if op == "$map":
         name, array = args.get("as", "this"), sub(args["input"])
         if not isinstance(array.kind, T.ArrayType):
             return NULL
-        column, kind = _lambda(array, name, lambda x: sub(args["in"], **{name: x}), F.transform)
+        column, kind = _lambda(array, lambda x: sub(args["in"], **{name: x}), F.transform)
         return Typed(column, T.ArrayType(kind))
     if op == "$anyElementTrue":
         array = sub(_list(args)[0])

@@ -24,7 +24,7 @@ def scope_of(df: DataFrame) -> Scope:
 def _holds(x: Typed, test) -> Column:
     """A test of a value, or of any element of an array; null counts as no."""
     if isinstance(x.kind, T.ArrayType):
-        return F.coalesce(F.exists(x.column, lambda e: F.coalesce(test(e), F.lit(False))), F.lit(False)) | F.lit(False)
+        return F.coalesce(F.exists(x.column, lambda e: F.coalesce(test(e), F.lit(False))), F.lit(False))
     return F.coalesce(test(x.column), F.lit(False))
 
 
@@ -208,7 +208,7 @@ def group(df: DataFrame, spec: dict) -> DataFrame:
             aggs.append((F.count("*") if op == "$count" else _SUMMARIES[op](compile_expression(arg, scope).column)).alias(name))
     key = compile_expression(spec["_id"], scope)
     if isinstance(key.kind, T.NullType):
-        return df.groupBy().agg(F.lit(None).cast("string").alias("_id"), *aggs).where(F.lit(True))
+        return df.groupBy().agg(F.lit(None).cast("string").alias("_id"), *aggs)
     keyed = df.groupBy(key.column.alias("_id"))
     return keyed.agg(*aggs) if aggs else df.select(key.column.alias("_id")).distinct()
 

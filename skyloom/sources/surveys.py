@@ -75,8 +75,7 @@ def by_keys(alerts: DataFrame, keys: DataFrame, key: str = "_id") -> DataFrame:
 
 def with_cutouts(alerts: DataFrame, cutouts: DataFrame, key: str = "_id") -> tuple[DataFrame, DataFrame]:
     """Alerts with their images, and alerts without any."""
-    names = [c for c in cutouts.columns if c != key]
-    return alerts.join(cutouts, key), alerts.join(cutouts.select(key, *names[:0]), key, "left_anti")
+    return alerts.join(cutouts, key), alerts.join(cutouts.select(key), key, "left_anti")
 
 
 def write_by_topic(packets: DataFrame, folder: str, topic: str = "topic") -> None:

@@ -26,8 +26,8 @@ BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
 #: Differing bits above which a pair is no candidate: similarity 0.75 gives 57 with a deviation of 9.
 MAX_BITS = 106
-#: The finer sketch of what is compared pair by pair: similarity 0.75 gives 453 with a deviation of 26.
-FINE_SAMPLES, FINE_BITS, FINE_MAX = 1024, 4096, 572
+#: The finer sketch of what is compared pair by pair: similarity 0.75 gives 906 with a deviation of 36.
+FINE_SAMPLES, FINE_BITS, FINE_MAX = 2048, 8192, 1070
 STAR_ROUNDS = 2
 #: Rows of a bucket that are compared with as many others at a time.
 BLOCK = 1024

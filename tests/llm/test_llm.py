@@ -251,7 +251,7 @@ def test_many_alike_copies_by_brute_force(spark):
 
 def test_fine_sketches():
     rng = np.random.default_rng(13)
-    for j, low, high in ((0.75, 0, neardup.FINE_MAX), (0.55, neardup.FINE_MAX, 4096)):
+    for j, low, high in ((0.75, 0, neardup.FINE_MAX), (0.6, neardup.FINE_MAX, neardup.FINE_BITS)):
         for _ in range(20):
             n = 300
             k = round(n * 2 * j / (1 + j))

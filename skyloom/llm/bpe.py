@@ -291,9 +291,9 @@ def frequent(docs: DataFrame, size: int) -> list[str]:
     """The most frequent words that occur twice at least and aren't too long: as many as fit in whole classes of equal
     frequency. The classes are counted first, so no more than ``size`` words reach the driver."""
     counted = stage(word_counts(docs).where((F.col("n") > 1) & (F.octet_length("word") <= LONG)), "words")
-    classes = counted.groupBy("n").count().orderBy(F.desc("n"))  # as many as there are frequencies up to the one sought
+    classes = counted.groupBy("n").count().orderBy(F.desc("n")).limit(size)  # a class has a word at least
     total, least = 0, None
-    for r in classes.toLocalIterator():
+    for r in classes.collect():
         total += r["count"]
         if total > size:
             break

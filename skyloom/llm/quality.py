@@ -23,6 +23,8 @@ from .common import held_out, keep_texts, map_texts, texts_of
 TRAIN_ROWS = 20_000
 BAGS, BINS, COARSE, ROUNDS, PAIR_ROUNDS, PAIRS, RATE = 4, 48, 8, 120, 60, 6, 0.15
 MIN_SCORE = 0.3
+#: Bytes that are compressed at a time, so that a long text's share is comparable with a short one's.
+PRESSED = 8192
 #: Frequent function words.
 COMMON = frozenset("the of and to in is that for it was on with as be at by this are or de la le les des et en un une est que pour dans el los las del y por con para der die das und ist von zu den mit auf ein eine nicht".split())
 FEATURES = (
@@ -56,7 +58,7 @@ def features(text: str) -> list[float]:
         b[[35, 36, 37, 38, 42, 60, 62]].sum() / n, b[33] / n, b[46] / n, b[124] / n, b[128:].sum() / size,
         len(number) / math.sqrt(n), counts.max() / n, common, 1 - len(p) / max(n - 1, 1), 1 - len(triples) / max(n - 2, 1) if n > 2 else 0.0,
         1 - len(set(lines)) / m, math.log1p(n / m), odd, float((ids[1:] == ids[:-1]).mean()) if n > 1 else 0.0,
-        len(zlib.compress(raw[:4096] + raw[-4096:] if size > 8192 else raw, 1)) / min(size, 8192), (lens <= 2).mean(), (lens >= 14).mean(), capital,
+        sum(len(zlib.compress(raw[at : at + PRESSED], 1)) for at in range(0, size, PRESSED)) / size, (lens <= 2).mean(), (lens >= 14).mean(), capital,
     ]
 
 

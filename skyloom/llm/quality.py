@@ -158,7 +158,8 @@ def fit(x: np.ndarray, y: np.ndarray, edges: list, coarse: list, pairs: list | N
 def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple[DataFrame, dict[int, int]]:
     """The texts of at most ``rows`` labelled documents that may be learned from, and their labels by id.
 
-    Labels are averaged by id, those above a half count as 1, and null ones as none; the least hashes are taken.
+    Labels are averaged by id, those above a half count as 1, and null ones as none; the least hashes are taken. Each
+    id gives one text, the smallest, so repeated rows stay within the bound too.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
@@ -167,7 +168,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple
     )
     known = {r.doc_id: r.y for r in chosen.collect()}  # bounded by rows
     ids = docs.sparkSession.createDataFrame([(i,) for i in known], "doc_id long")
-    return texts_of(docs).join(F.broadcast(ids), "doc_id"), known
+    return texts_of(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), known
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Model:

@@ -13,7 +13,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keep_texts, map_texts
@@ -52,9 +52,12 @@ def common_subsequence(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
-def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[int, np.ndarray]:
-    """(documents with words, documents with each word), over all of them; the vocabulary is a block's own."""
-    sent = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+def document_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> tuple[int, dict[bytes, int]]:
+    """(documents with words, documents with each word of the vocabulary), in one pass over all of them.
+
+    The vocabulary is the benchmark's, so what is sent and gathered doesn't grow with the documents.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def make():
         mine = sent.value
@@ -71,14 +74,8 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple
         return f
 
     counted = map_texts(docs, make, "word binary, n long", rows=10_000).groupBy("word").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(len(vocabulary))
-    total = 0
-    for r in counted:
-        if r.word is None:
-            total = r.n
-        else:
-            df[vocabulary[bytes(r.word)]] = r.n
-    return total, df
+    n = {None if r.word is None else bytes(r.word): r.n for r in counted}
+    return n.pop(None, 0), n
 
 
 def randomised_svd(rows: DataFrame, width: int, rank: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -181,27 +178,33 @@ class Index:
         return found
 
 
-def build_index(docs: DataFrame, ids: list[int], words: list[list[bytes]]) -> Index:
+def build_index(spark: SparkSession, ids: list[int], words: list[list[bytes]], total: int, frequencies: dict[bytes, int]) -> Index:
     vocabulary = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
-    total, df = document_frequencies(docs, vocabulary)
-    idf = np.log((total + 1) / (df + 1)) + 0.05
+    idf = np.log((total + 1) / (np.array([frequencies.get(w, 0) for w in vocabulary]) + 1)) + 0.05
     own = [np.array(sorted({vocabulary[w] for w in ws})) for ws in words]
     weights = np.maximum(idf - min(COMMON, np.log(total + 1) / 2), 0)
     for o in own:
         rarest = o[np.argsort(-idf[o], kind="stable")[:RAREST]]
         weights[rarest] = np.maximum(weights[rarest], 0.3)
     sparse = [(o[weights[o] > 0].tolist(), weights[o[weights[o] > 0]].tolist()) for o in own]
-    rows = docs.sparkSession.createDataFrame(sparse, "at array<int>, weight array<double>").repartition(max(1, min(8, len(words) // 64)))
+    rows = spark.createDataFrame(sparse, "at array<int>, weight array<double>").repartition(max(1, min(8, len(words) // 64)))
     _, vectors = randomised_svd(rows, len(vocabulary), LATENT)
     return Index(ids, words, vocabulary, weights, vectors)
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame) -> list:
-    """An index, broadcast, for each block of passages. Passages without words or id are left out."""
+    """An index, broadcast, for each block of passages. Passages without words or id are left out.
+
+    However many blocks there are, the documents are read once for the frequencies.
+    """
     whole = sorted((r.item_id, r.text) for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct().toLocalIterator())
     passages = [(i, ws) for i, t in whole if (ws := words_of(t))]
-    sc = docs.sparkSession.sparkContext
-    return [sc.broadcast(build_index(docs, *map(list, zip(*passages[at : at + BLOCK])))) for at in range(0, len(passages), BLOCK)]
+    if not passages:
+        return []
+    spark = docs.sparkSession
+    total, frequencies = document_frequencies(docs, frozenset(w for _, ws in passages for w in ws))
+    blocks = (map(list, zip(*passages[at : at + BLOCK])) for at in range(0, len(passages), BLOCK))
+    return [spark.sparkContext.broadcast(build_index(spark, *block, total, frequencies)) for block in blocks]
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

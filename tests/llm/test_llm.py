@@ -332,6 +332,17 @@ def test_leaks_and_paraphrases(spark):
     assert left == {d for d, x in want.items() if not x}
 
 
+def test_several_blocks_find_the_same(spark):
+    docs, bench = table(spark, "documents"), table(spark, "benchmark")
+    whole = sorted((r.doc_id, r["items"]) for r in decontaminate.find(docs, bench).collect())
+    before, decontaminate.BLOCK = decontaminate.BLOCK, 16
+    try:
+        assert len(decontaminate.indexes(docs, bench)) == 3
+        assert sorted((r.doc_id, r["items"]) for r in decontaminate.find(docs, bench).collect()) == whole
+    finally:
+        decontaminate.BLOCK = before
+
+
 def test_svd_equals_numpy(spark):
     rng = np.random.default_rng(11)
     m = rng.random((40, 30)) * (rng.random((40, 30)) < 0.3)

@@ -2,8 +2,10 @@
 
 Benchmark passages become TF-IDF vectors, with document frequencies counted over all documents. A randomised SVD,
 whose products Spark computes over the passages' partitions, gives a latent space. Windows of documents are projected
-into it and compared with the passages by cosine and by how much of a passage they hold. Candidates are confirmed by
-the longest common subsequence of words and by the passage's answer, its last words.
+into it and compared with the passages by cosine and by how much of a passage they hold. No window holds much of a
+passage longer than itself, so such a passage stands in the space as overlapping segments, and a hit on any of them
+makes it a candidate. Candidates are confirmed by the longest common subsequence of words of the whole passage and by
+its answer, its last words.
 """
 
 from __future__ import annotations
@@ -18,15 +20,18 @@ from pyspark.sql import functions as F
 
 from .common import keep_texts, map_texts
 
-#: Passages of a block, which has a latent space of its own; as many dimensions hold every passage whole. Bounds what
+#: Segments of a block, which has a latent space of its own; as many dimensions hold every segment whole. Bounds what
 #: is broadcast for a block.
 BLOCK = 256
 LATENT, OVERSAMPLED, POWERS = 256, 16, 2
 #: Taken from every inverse document frequency, or half the largest one if that is less: words in more than a thirtieth
-#: of the documents weigh nothing, but for the rarest words of each passage.
+#: of the documents weigh nothing, but for the rarest words of each segment.
 COMMON, RAREST = 3.4, 6
 WINDOW, STRIDE = 64, 16
-#: Of a passage's squared weight, the share that a candidate window must hold; the cosine that it must have.
+#: Words of a segment, and from one segment's start to the next; passages of at most WINDOW words are one segment. A
+#: segment lies whole in some window wherever it stands.
+SEGMENT, STEP = WINDOW - STRIDE, (WINDOW - STRIDE) // 2
+#: Of a segment's squared weight, the share that a candidate window must hold; the cosine that it must have.
 MIN_HELD, MIN_COSINE = 0.35, 0.3
 #: Longest common subsequence by the passage's length: enough alone, or enough with the answer.
 SURE, LIKELY, MIN_ANSWER = 0.75, 0.6, 0.6
@@ -39,6 +44,11 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode().translate(_APART).split()
 
 
+def segments(words: list[bytes]) -> list[list[bytes]]:
+    """The passage in overlapping parts, each short enough for a window."""
+    return [words] if len(words) <= WINDOW else [words[at : at + SEGMENT] for at in range(0, len(words) - STEP, STEP)]
+
+
 def common_subsequence(a: list, b: list) -> int:
     """Length of the longest common subsequence, a row of bits at a time."""
     where: dict = {}
@@ -116,23 +126,28 @@ def randomised_svd(rows: DataFrame, width: int, rank: int, seed: int = 3) -> tup
 
 
 class Index:
-    """A block of passages: vocabulary, weights, latent vectors, and words for the exact check."""
+    """A block of segments: vocabulary, weights, latent vectors, and the passages' words for the exact check.
+
+    ``words`` are the segments', ``wholes`` the words of the passage that each belongs to.
+    """
 
-    def __init__(self, ids: list[int], words: list[list[bytes]], vocabulary: dict[bytes, int], weights: np.ndarray, vectors: np.ndarray):
-        self.ids, self.words = ids, words
+    def __init__(self, ids: list[int], words: list[list[bytes]], wholes: list[list[bytes]], vocabulary: dict[bytes, int], weights: np.ndarray, vectors: np.ndarray):
+        self.ids, self.wholes = ids, wholes
         self.vocabulary = {w: i for w, i in vocabulary.items() if weights[i] > 0}
         self.mass = weights**2
         self.basis = (weights[:, None] * vectors).astype(np.float32)  # what a word adds to a window's latent vector
         self.latent = np.array([self.basis[sorted({vocabulary[w] for w in ws})].sum(0) for ws in words], np.float32)
         self.norm = (self.latent**2).sum(1)
-        # passages of like weight are compared together, with the windows that weigh enough for them
+        first: dict[int, int] = {}
+        self.passage = [first.setdefault(id(ws), i) for i, ws in enumerate(wholes)]  # one segment for all of a passage's
+        # segments of like weight are compared together, with the windows that weigh enough for them
         tier = np.floor(np.log2(np.maximum(self.norm, 1e-9)))
         self.tiers = [(MIN_HELD * float(self.norm[tier == t].min()) * 0.98, np.flatnonzero(tier == t)) for t in np.unique(tier)]
 
     def candidates(self, words: list[bytes]) -> list[tuple[int, int]]:
-        """(window start, passage) pairs that hold and resemble enough.
+        """(window start, segment) pairs that hold and resemble enough.
 
-        A window can't hold more of a passage than the weight of all its words, so light windows are not projected.
+        A window can't hold more of a segment than the weight of all its words, so light windows are not projected.
         """
         n = len(words)
         at = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int32, n)
@@ -166,10 +181,15 @@ class Index:
         """The passages that a text holds, with the largest share of their words in order."""
         words = words_of(text)
         found: dict[int, float] = {}
-        for start, p in self.candidates(words) if words else ():
-            own = self.words[p]
+        near = set()
+        for start, s in self.candidates(words) if words else ():
+            # neighbouring windows of a long passage have nearly the same region, which is compared once
+            grid = max(STRIDE, len(self.wholes[s]) // 8 // STRIDE * STRIDE)
+            near.add((start // grid * grid, grid, self.passage[s]))
+        for start, grid, p in sorted(near):
+            own = self.wholes[p]
             margin = len(own)
-            region = words[max(0, start - margin) : start + WINDOW + margin]
+            region = words[max(0, start - margin) : start + grid - STRIDE + WINDOW + margin]
             share = common_subsequence(own, region) / len(own)
             if share >= LIKELY:
                 answer = own[-max(3, round(len(own) * ANSWER_SHARE)) :]
@@ -178,7 +198,7 @@ class Index:
         return found
 
 
-def build_index(spark: SparkSession, ids: list[int], words: list[list[bytes]], total: int, frequencies: dict[bytes, int]) -> Index:
+def build_index(spark: SparkSession, ids: list[int], words: list[list[bytes]], wholes: list[list[bytes]], total: int, frequencies: dict[bytes, int]) -> Index:
     vocabulary = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
     idf = np.log((total + 1) / (np.array([frequencies.get(w, 0) for w in vocabulary]) + 1)) + 0.05
     own = [np.array(sorted({vocabulary[w] for w in ws})) for ws in words]
@@ -189,11 +209,11 @@ def build_index(spark: SparkSession, ids: list[int], words: list[list[bytes]], t
     sparse = [(o[weights[o] > 0].tolist(), weights[o[weights[o] > 0]].tolist()) for o in own]
     rows = spark.createDataFrame(sparse, "at array<int>, weight array<double>").repartition(max(1, min(8, len(words) // 64)))
     _, vectors = randomised_svd(rows, len(vocabulary), LATENT)
-    return Index(ids, words, vocabulary, weights, vectors)
+    return Index(ids, words, wholes, vocabulary, weights, vectors)
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame) -> list:
-    """An index, broadcast, for each block of passages. Passages without words or id are left out.
+    """An index, broadcast, for each block of segments. Passages without words or id are left out.
 
     However many blocks there are, the documents are read once for the frequencies.
     """
@@ -203,7 +223,8 @@ def indexes(docs: DataFrame, benchmark: DataFrame) -> list:
         return []
     spark = docs.sparkSession
     total, frequencies = document_frequencies(docs, frozenset(w for _, ws in passages for w in ws))
-    blocks = (map(list, zip(*passages[at : at + BLOCK])) for at in range(0, len(passages), BLOCK))
+    rows = [(i, part, ws) for i, ws in passages for part in segments(ws)]
+    blocks = (map(list, zip(*rows[at : at + BLOCK])) for at in range(0, len(rows), BLOCK))
     return [spark.sparkContext.broadcast(build_index(spark, *block, total, frequencies)) for block in blocks]
 
 
@@ -217,7 +238,11 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     blocks = indexes(docs, benchmark)
 
     def f(ids, texts):
-        found = [{k: v for b in blocks for k, v in b.value.leaks(t).items()} for t in texts]
+        found = [{} for _ in texts]
+        for b in blocks:
+            for x, t in zip(found, texts):
+                for k, v in b.value.leaks(t).items():
+                    x[k] = max(x.get(k, 0), v)
         return ids, [sorted(x) for x in found], [max(x.values(), default=0.0) for x in found]
 
     return map_texts(docs, lambda: f, "doc_id long, items array<long>, share double").select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "share")

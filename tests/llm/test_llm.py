@@ -332,6 +332,21 @@ def test_leaks_and_paraphrases(spark):
     assert left == {d for d, x in want.items() if not x}
 
 
+def test_long_passages_are_found(spark):
+    rng = random.Random(12)
+    texts = [r.text.split() for r in table(spark, "documents").orderBy("doc_id").collect()]
+    items = [(1000 + len(w) * 10 + k, w) for n in (65, 130, 250, 400) for k, w in enumerate([t[:n] for t in texts if len(t) >= n][:5])]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    filler = lambda n: [f"filler{rng.randrange(99999)}" for _ in range(n)]
+    docs = [(i, " ".join(filler(rng.randrange(90)) + w + filler(rng.randrange(90)))) for i, w in items]
+    edited = [[f"other{k}" if rng.random() < 0.15 else x for k, x in enumerate(w)] for _, w in items]
+    docs += [(-i, " ".join(filler(70) + w + filler(70))) for (i, _), w in zip(items, edited)]
+    docs.append((0, " ".join(items[-1][1][:100] + filler(300))))  # a quarter of a passage is none
+    got = {r.doc_id: r for r in decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert all(i in got[i]["items"] and got[i].share == 1 and i in got[-i]["items"] for i, _ in items)
+    assert items[-1][0] not in got[0]["items"]
+
+
 def test_several_blocks_find_the_same(spark):
     docs, bench = table(spark, "documents"), table(spark, "benchmark")
     whole = sorted((r.doc_id, r["items"]) for r in decontaminate.find(docs, bench).collect())

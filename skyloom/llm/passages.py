@@ -2,8 +2,9 @@
 
 Every sentence starts a span: it and the following ones, at least SENTENCES of them and at least MIN_WORDS words.
 So a span depends on nothing but what it holds, and a repeated passage gives equal spans wherever it stands. Spans
-are hashed and counted over all documents (a sentence of more than LONG words counts as several, cut after words
-that their own hash chooses or that repeat the one before, so that it doesn't matter what else stands before); the first occurrence is that in the smallest id, and there the foremost.
+are hashed and counted over all documents (a sentence of more than LONG words counts as several, cut after the word of
+least hash, the last one if several have it, of any CUT_ONE_IN in a row, so that it doesn't matter what else stands
+around); the first occurrence is that in the smallest id, and there the foremost.
 Sentences that any other occurrence covers are removed.
 """
 
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import stage, texts_of
 
 SENTENCES, MIN_WORDS = 2, 12
+#: Cuts of a long sentence are at most CUT_ONE_IN words apart, and those whose CUT_ONE_IN - 1 neighbours on both sides
+#: lie in a passage are the same wherever it stands: 48 words without punctuation always hold a span.
 LONG, CUT_ONE_IN = 20, 8
 _END = re.compile(r"[.!?]\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
@@ -32,13 +35,14 @@ def sentences(text: str) -> list[tuple[int, int]]:
     out, start = [], 0
     for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
         if end - start > 2 * LONG and len(text[start:end].split(None, LONG)) > LONG:
-            before = ""
-            for m in _WORD.finditer(text, start, end):
-                word = m[0].rstrip().lower()
-                if m.end() < end and (word == before or zlib.crc32(word.encode()) % CUT_ONE_IN == 0):
-                    out.append((start, m.end()))
-                    start = m.end()
-                before = word
+            words = list(_WORD.finditer(text, start, end))
+            last = len(words) - 1
+            key = [zlib.crc32(m[0].rstrip().lower().encode()) << 32 | last - i for i, m in enumerate(words)]  # of equals, the last is least
+            for k in sorted({min(key[i : i + CUT_ONE_IN]) & 0xFFFFFFFF for i in range(len(key) - CUT_ONE_IN + 1)}, reverse=True):
+                i = last - k
+                if words[i].end() < end:
+                    out.append((start, words[i].end()))
+                    start = words[i].end()
         if start < end:
             out.append((start, end))
             start = end

@@ -299,6 +299,20 @@ def test_passage_in_other_surroundings(spark):
     assert got[1].n_removed == got[3].n_removed == 0 and got[2].n_removed >= 5 and "q35" not in got[2].text and "Other things first." in got[2].text
 
 
+def test_passages_without_punctuation(spark):
+    rng = random.Random(8)
+    words = sorted({w for r in table(spark, "documents").limit(100).collect() for w in re.findall("[a-z]+", r.text)})
+    made = lambda n: rng.choices(words, k=n)
+    docs, whole = [], {}
+    for k in range(300):
+        whole[2 * k + 1] = made(51 + k % 10)
+        docs += [(2 * k + at, " ".join(made(40) + whole[2 * k + 1] + made(40))) for at in (0, 1)]
+    got = {r.doc_id: r for r in passages.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    left = [len(got[i].text.split()) - 80 for i in whole]
+    assert all(got[i - 1].n_removed == 0 and got[i].n_removed >= 2 for i in whole)
+    assert sum(left) < 0.3 * sum(map(len, whole.values()))
+
+
 def test_common_subsequence():
     rng = random.Random(9)
     for _ in range(300):

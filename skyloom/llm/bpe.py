@@ -31,8 +31,8 @@ from .common import map_texts, shared_path, stage, texts_of
 LEXICON_SIZE = 131_072
 #: Words with more symbols than this are merged one by one.
 LONG = 48
-#: Pieces that a worker remembers before it forgets all but those of the batch at hand.
-REMEMBERED = 250_000
+#: Pieces that a task remembers before it forgets all but those of the slice at hand.
+REMEMBERED = 120_000
 SLOTS, MULTIPLIER, NONE = 18, 0x9E3779B97F4A7C15, 1 << 40
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile("[\x1c-\x1f]")
@@ -48,6 +48,8 @@ class Vocabulary:
         self.ids = model["vocab"]
         self.tokens = {i: t for t, i in self.ids.items()} | {x["id"]: x["content"] for x in said["added_tokens"]}
         self.special = {x["content"]: x["id"] for x in said["added_tokens"]}
+        self.number = [str(i) for i in range(max(self.tokens) + 1)]
+        self.shown = {str(i): t for i, t in self.tokens.items()}
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         split = next(x for x in said["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.split = regex.compile(split["pattern"]["Regex"])
@@ -170,8 +172,9 @@ class Vocabulary:
         return out
 
 
-@lru_cache(4)
+@lru_cache(1)
 def vocabulary(text: str) -> Vocabulary:
+    """A worker's vocabulary lives on from task to task; what a task learns of words doesn't."""
     return Vocabulary(text)
 
 
@@ -272,7 +275,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             seen.update(pieces(t))
         return list(seen), list(seen.values())
 
-    return map_texts(docs, lambda: f, "word string, n long", rows=10_000).groupBy("word").agg(F.sum("n").alias("n"))
+    return map_texts(docs, lambda: f, "word string, n long", rows=10_000, size=32 << 20).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _ship(spark, block: bytes) -> str:
@@ -309,27 +312,26 @@ def build_lexicon(docs: DataFrame, vocab: str, size: int = LEXICON_SIZE) -> str:
 
 
 class Coder:
-    """Encodes words: known ones from memory, else by the automaton, else by merging."""
+    """Encodes words: known ones from memory, else by the automaton, else by merging. Its memory is a task's."""
 
     def __init__(self, vocab: str, lexicon: str):
         self.v, self.lexicon = vocabulary(vocab), Lexicon(SparkFiles.get(lexicon))
         self.ids: dict[str, str] = {}
-        self.number = [str(i) for i in range(max(self.v.tokens) + 1)]
-        self.token = {str(i): t for i, t in self.v.tokens.items()}
-        ends, ids = self.lexicon.ends.tolist(), self.lexicon.ids.tolist()
-        self.listed = [self.told(ids[a:b]) for a, b in zip(ends, ends[1:])]
 
     def told(self, ids: list[int]) -> str:
-        return self.number[ids[0]] if len(ids) == 1 else " ".join([self.number[i] for i in ids])
+        return self.v.number[ids[0]] if len(ids) == 1 else " ".join([self.v.number[i] for i in ids])
 
     def learn(self, new: list[str]) -> None:
-        places = self.lexicon.places([p.encode() for p in new]).tolist()
-        rest = []
-        for p, at in zip(new, places):
-            if at >= 0:
-                self.ids[p] = self.listed[at]
-            else:
-                rest.append(p)
+        places = self.lexicon.places([p.encode() for p in new])
+        listed = np.flatnonzero(places >= 0)
+        starts, ends = (self.lexicon.ends[places[listed] + k] for k in (0, 1))
+        lens = ends - starts
+        flat = self.lexicon.ids[np.arange(lens.sum()) - np.repeat(lens.cumsum() - lens, lens) + np.repeat(starts, lens)].tolist()
+        at = 0
+        for i, n in zip(listed.tolist(), lens.tolist()):
+            self.ids[new[i]] = self.told(flat[at : at + n])
+            at += n
+        rest = [new[i] for i in np.flatnonzero(places < 0).tolist()]
         self.ids.update(zip(rest, map(self.told, self.v.pieces(rest))))
 
     def encode(self, texts: list[str]) -> list[str]:
@@ -345,13 +347,7 @@ class Coder:
         return [" ".join(map(self.ids.__getitem__, ps)) for ps in split]
 
     def decode(self, ids: str) -> str:
-        return " ".join(map(self.token.__getitem__, ids.split(" "))) if ids else ""
-
-
-@lru_cache(2)
-def coder_of(vocab: str, lexicon: str) -> Coder:
-    """A worker's coder lives on from task to task."""
-    return Coder(vocab, lexicon)
+        return " ".join(map(self.v.shown.__getitem__, ids.split(" "))) if ids else ""
 
 
 def encode(docs: DataFrame, vocab_path: str, lexicon_size: int = LEXICON_SIZE, keep: bool = False) -> DataFrame:
@@ -367,7 +363,7 @@ def encode(docs: DataFrame, vocab_path: str, lexicon_size: int = LEXICON_SIZE, k
     sent = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def make():
-        coder = coder_of(sent.value, lexicon)
+        coder = Coder(sent.value, lexicon)
 
         def f(doc_ids, texts):
             n, a, b, ids, shown = [], [], [], [], []
@@ -383,7 +379,7 @@ def encode(docs: DataFrame, vocab_path: str, lexicon_size: int = LEXICON_SIZE, k
 
         return f
 
-    return map_texts(docs, make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string, decoded string" * keep, rows=1000)
+    return map_texts(docs, make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string, decoded string" * keep)
 
 
 def decode(rows: DataFrame, vocab_path: str) -> DataFrame:
@@ -393,7 +389,7 @@ def decode(rows: DataFrame, vocab_path: str) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(vocab)
 
     def make():
-        tokens = {str(i): t for i, t in vocabulary(sent.value).tokens.items()}
+        tokens = vocabulary(sent.value).shown
         return lambda doc_ids, ids: (doc_ids, [" ".join([tokens[i] for i in x.split()]) for x in ids])
 
     return map_texts(rows.select("doc_id", F.col("ids").alias("text")), make, "doc_id long, text string")

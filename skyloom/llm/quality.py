@@ -200,6 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
 
     first = fitted(None, 1)[0]
     bags = fitted(first["pairs"], BAGS)
+    sent.destroy()  # both fits have ended
     mean = lambda k: [np.mean(t, 0) for t in zip(*(b[k] for b in bags))]
     return Model(edges, coarse, float(np.mean([b["base"] for b in bags])), mean("tables"), first["pairs"], mean("pair_tables"))
 
@@ -221,6 +222,10 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, min_sco
 
 
 def accepted(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows whose texts score enough, with all their columns; nothing is joined."""
+    """The rows whose texts score enough, with all their columns; nothing is joined.
+
+    Null and empty texts are scored as empty ones, repeated rows alike; without labels of both kinds every text has the
+    labels' share as its score. An empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows=rows))
     return keep_texts(docs, lambda: lambda texts: sent.value.score(np.array([features(t) for t in texts], float).reshape(len(texts), len(FEATURES))) >= min_score)

@@ -133,9 +133,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
         for at, z, n in sorted(got, key=lambda r: (len(r[0]), r[1].tobytes())):
             state.z[at] += z / SHARDS
             state.n[at] += n / SHARDS
-        sent.unpersist()
+        sent.destroy()
     for df in (hashed, narrow):
         df.unpersist()
+    sent_place.destroy()
+    sent_labels.destroy()
     weights = np.zeros(size, np.float32)
     weights[often] = state.weights(slice(0, len(often)))
     return weights, state.bias()

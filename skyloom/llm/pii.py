@@ -9,13 +9,15 @@ to the source. Such a span is added unless it overlaps a plain one of its kind.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import change_texts, map_texts
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -86,6 +88,10 @@ UNSEEN = "­​‌‍⁠﻿"
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 
+#: Top-level labels that make a spaced or spelled address sure.
+TOP = "com|org|net|edu|gov|int|mil|info|biz|io|dev|app|ai|co|uk|us|ca|au|nz|ie|in|eu|de|at|ch|fr|be|nl|es|pt|it|pl|se|no|fi|dk|cz|ru|jp|cn|kr|br|mx|ar"
+
+
 def look(c: str) -> str:
     """What a character looks like: itself, an ASCII character, or nothing."""
     if c in LOOKALIKES:
@@ -101,43 +107,76 @@ def look(c: str) -> str:
     return c
 
 
+class _Looks(dict):
+    """look() by code point, one character for one, remembered; characters without width stay for the next step."""
+
+    def __missing__(self, code: int) -> str:
+        new = look(chr(code))
+        self[code] = new = new if len(new) == 1 else chr(code)
+        return new
+
+
+_LOOKS = _Looks()
+
+
 class Tape:
-    """A text with, for each of its characters, the span of the source that it stands for."""
+    """A text, and where its characters come from in the text before it.
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None):
-        self.text = text
-        self.starts = list(range(len(text))) if starts is None else starts
-        self.ends = list(range(1, len(text) + 1)) if ends is None else ends
+    Only places that change a text's length are kept: for each, its start and end here and there. All else has the
+    distance from the place before it, so a tape is no larger than what was rewritten.
+    """
+
+    def __init__(self, text: str, before: Tape | None = None, places: list[tuple[int, int, int, int]] = ()):
+        self.text, self.before, self.places = text, before, places
 
     def source(self, start: int, end: int) -> tuple[int, int]:
-        return self.starts[start], self.ends[end - 1]
+        """The span of the source text that a span of this one stands for."""
+        if self.before is None:
+            return start, end
+        return self.before.source(self._there(start)[0], self._there(end - 1)[1])
+
+    def _there(self, i: int) -> tuple[int, int]:
+        k = bisect_right(self.places, (i, math.inf)) - 1  # the last place that starts at i or before
+        if k < 0:
+            return i, i + 1
+        start, end, a, b = self.places[k]
+        return (a, b) if i < end else (b + i - end, b + i - end + 1)
 
     def rewritten(self, pattern: re.Pattern, to: Callable[[re.Match], str]) -> Tape:
         """Each match becomes ``to(match)``; every character of that stands for the whole match."""
-        text, starts, ends, done = [], [], [], 0
+        text, places, done, shift = [], [], 0, 0
         for m in pattern.finditer(self.text):
             new = to(m)
-            if new == m[0] or m.start() == m.end():
-                continue
             a, b = m.span()
+            if new == m[0] or a == b:
+                continue
             text += [self.text[done:a], new]
-            starts += self.starts[done:a] + [self.starts[a]] * len(new)
-            ends += self.ends[done:a] + [self.ends[b - 1]] * len(new)
+            if b - a > 1 or len(new) != 1:
+                places.append((a + shift, a + shift + len(new), a, b))
+            shift += len(new) - (b - a)
             done = b
-        return Tape("".join([*text, self.text[done:]]), starts + self.starts[done:], ends + self.ends[done:]) if text else self
+        return Tape("".join([*text, self.text[done:]]), self, places) if text else self
 
 
-_UNLIKE = re.compile("[ ­Ͱ-ԯ٠-٩۰-۹०-९ -⁠−　。﻿！-～\U0001d400-\U0001d7ff]")
+_UNSEEN = re.compile(f"[{UNSEEN}]")
 _SPELLED = "(?:" + "|".join(DIGITS) + ")"
 _SPELLED_RUN = re.compile(rf"(?<![A-Za-z])(?:{_SPELLED}|[0-9])(?:(?:[ ,-]{{1,2}}|[ ](?:dot|point)[ ])(?:{_SPELLED}|[0-9])){{2,}}(?![A-Za-z])", re.I)
-_SPELLED_ONE = re.compile(rf"(?<![A-Za-z]){_SPELLED}(?![A-Za-z])", re.I)
 _PLUS = re.compile(r"(?<![A-Za-z])plus[ ]+(?=[0-9])", re.I)
 _BRACKETED = re.compile(r"[ ]?[(\[{<][ ]?(at|dot|@|\.)[ ]?[)\]}>][ ]?", re.I)
-_PLAIN_ADDRESS = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?: dot |\.)[A-Za-z0-9_%+-]+)? at [A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+){0,3} dot [A-Za-z]{2,}(?![A-Za-z0-9-])", re.I)
+_LABEL, _NAME = "[A-Za-z0-9-]{1,63}", "[A-Za-z0-9_%+-]{1,64}"
+#: Addresses whose signs are spelled or stand apart. Each form holds something that plain prose lacks: a spelled dot, a
+#: name with a dot, digit or underscore before a known top-level label, or signs with a space on either side.
+_ADDRESSES = (
+    re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?: dot |\.){_NAME})? at {_LABEL}(?:(?: dot |\.){_LABEL}){{0,3}} dot [A-Za-z]{{2,24}}(?![A-Za-z0-9-])", re.I),
+    re.compile(rf"(?<![A-Za-z0-9._%+-])(?=[A-Za-z0-9_%+-]{{0,64}}[A-Za-z])(?:{_NAME}\.{_NAME}|{_NAME}[0-9_+]|{_NAME}[0-9_+]{_NAME}) at {_LABEL}(?:\.{_LABEL}){{0,3}}\.(?:{TOP})(?![A-Za-z0-9-])", re.I),
+    re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?: \. |\.){_NAME})? ?@ ?{_LABEL}(?:(?: \. |\.){_LABEL}){{0,3}}(?: \. |\.)(?:{TOP})(?![A-Za-z0-9-])", re.I),
+    re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9+-]{{1,64}}(?:[._][A-Za-z0-9+-]{{1,64}}){{0,4}}_at_{_LABEL}(?:_dot_{_LABEL}){{0,3}}_dot_[A-Za-z]{{2,24}}(?![A-Za-z0-9-])", re.I),
+)
 _DOTTED_NUMBERS = re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?(?:dot|point) ?[0-9]{1,3}){3}(?![0-9])", re.I)
-_SPACED_AT_DOT = re.compile(r" (at|dot) ", re.I)
+_SIGN = re.compile(r" (at|dot|@|\.) | ?(@) ?|_(at|dot)_", re.I)
 _SPACED_DOT = re.compile(r" ?(dot|point) ?", re.I)
 _HINT = re.compile(r"[(\[{<] ?(?:at|dot|@|\.) ?[)\]}>]", re.I)
+_SIGNS = {"at": "@", "@": "@", "dot": ".", ".": "."}
 
 
 def _inside(tape: Tape, region: re.Pattern, pattern: re.Pattern, to: Callable[[re.Match], str]) -> Tape:
@@ -145,7 +184,7 @@ def _inside(tape: Tape, region: re.Pattern, pattern: re.Pattern, to: Callable[[r
     spans = [m.span() for m in region.finditer(tape.text)]
     if not spans:
         return tape
-    at = {m.start(): m for a, b in spans for m in pattern.finditer(tape.text, a, b)}
+    at = {m.start() for a, b in spans for m in pattern.finditer(tape.text, a, b)}
     return tape.rewritten(pattern, lambda m: to(m) if m.start() in at else m[0])
 
 
@@ -158,28 +197,39 @@ def digits_of(m: re.Match) -> str:
 def undisguised(text: str) -> Tape:
     """The three transducers, one after the other; each runs only where its marks are seen."""
     tape = Tape(text)
-    if not text.isascii() and _UNLIKE.search(text):
-        tape = tape.rewritten(_UNLIKE, lambda m: look(m[0]))
+    if not text.isascii():
+        seen = text.translate(_LOOKS)
+        tape = tape if seen == text else Tape(seen, tape)
+        tape = tape.rewritten(_UNSEEN, lambda m: "")
     low = tape.text.lower()
     if sum(low.count(w) for w in DIGITS if w in low) >= 3:
         tape = tape.rewritten(_SPELLED_RUN, digits_of)
         tape = tape.rewritten(_PLUS, lambda m: "+")
-    if "dot" in low or "point" in low or _HINT.search(low):
-        sign = {"at": "@", "@": "@", "dot": ".", ".": "."}
-        tape = tape.rewritten(_BRACKETED, lambda m: sign[m[1].lower()])
+    spelled = "dot" in low or "point" in low
+    if spelled or _HINT.search(low):
+        tape = tape.rewritten(_BRACKETED, lambda m: _SIGNS[m[1].lower()])
         tape = _inside(tape, _DOTTED_NUMBERS, _SPACED_DOT, lambda m: ".")
-        tape = _inside(tape, _PLAIN_ADDRESS, _SPACED_AT_DOT, lambda m: sign[m[1].lower()])
+    for form, marked in zip(_ADDRESSES, (" at " in low and " dot " in low, " at " in low, "@ " in low or " @" in low or " . " in low and "@" in low, "_at_" in low)):
+        if marked:
+            tape = _inside(tape, form, _SIGN, lambda m: _SIGNS[(m[1] or m[2] or m[3]).lower()])
     return tape
 
 
 def disguised(text: str, base: list[Span]) -> list[Span]:
+    """What the rewritten text holds and the text itself doesn't show, without what overlaps a base span of its kind."""
     tape = undisguised(text)
     if tape.text == text:
         return []
+    starts: dict[str, list[int]] = {k: [] for k in KINDS}
+    ends: dict[str, list[int]] = {k: [] for k in KINDS}
+    for kind, a, b in base:  # those of a kind don't overlap and come in order
+        starts[kind].append(a)
+        ends[kind].append(b)
     out = []
     for kind, a, b in plain(tape.text):
         start, end = tape.source(a, b)
-        if text[start:end] != tape.text[a:b] and not any(k == kind and s < end and start < e for k, s, e in base):
+        before = bisect_left(starts[kind], end) - 1  # the last base span that begins before this one ends
+        if text[start:end] != tape.text[a:b] and not (before >= 0 and ends[kind][before] > start):
             out.append((kind, start, end))
     return out
 
@@ -194,20 +244,21 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added): one row for each row of docs.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, found): one row for each row of docs.
 
-    The counts and the digest are those of the plain spans; ``spans`` holds all. Null and empty texts have none.
+    The counts and the digest are those of the plain spans; ``spans`` holds all, and ``found`` says whether there are
+    any. Null and empty texts have none. Repeated rows give repeated results; ids may be null.
     """
 
     def f(ids, texts):
         found = [scan(t) for t in texts]
         return (
             ids, *([sum(k == kind for k, _, _ in b) for b, _ in found] for kind in KINDS),
-            [hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found], [joined(b + m) for b, m in found], [len(m) for _, m in found],
+            [hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found], [joined(b + m) for b, m in found], [len(m) for _, m in found], [bool(b or m) for b, m in found],
         )
 
     kinds = "".join(f"n_{k} long, " for k in KINDS)
-    return map_texts(docs, lambda: f, f"doc_id long, {kinds}base_sha256 string, spans string, n_added long")
+    return map_texts(docs, lambda: f, f"doc_id long, {kinds}base_sha256 string, spans string, n_added long, found boolean")
 
 
 def redacted(text: str) -> str:
@@ -223,13 +274,4 @@ def redacted(text: str) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The same rows and columns, with identifiers in ``text`` replaced; a null text becomes an empty one."""
-    names = docs.columns
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            i = names.index("text")
-            yield b.set_column(i, "text", pa.array([redacted(t or "") for t in b.column(i).to_pylist()], pa.string()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return change_texts(docs, redacted)

@@ -6,24 +6,29 @@ into it and compared with the passages by cosine and by how much of a passage th
 passage longer than itself, so such a passage stands in the space as overlapping segments, and a hit on any of them
 makes it a candidate. Candidates are confirmed by the longest common subsequence of words of the whole passage and by
 its answer, its last words.
+
+The benchmark is the query set: it passes through in groups of at most GROUP segments, each held against all documents,
+so what the driver holds and what is broadcast have a bound whatever the size of either table.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_texts, map_texts
+from .common import keep_texts, map_texts, stage
 
-#: Segments of a block, which has a latent space of its own; as many dimensions hold every segment whole. Bounds what
-#: is broadcast for a block.
-BLOCK = 256
-LATENT, OVERSAMPLED, POWERS = 256, 16, 2
+#: Segments of a block, which has a latent space of its own, and of the blocks that one scan of the documents serves.
+BLOCK, GROUP = 256, 2048
+#: Dimensions of a latent space: half of what would hold every segment of a full block by itself.
+LATENT, OVERSAMPLED, POWERS = 128, 16, 2
 #: Taken from every inverse document frequency, or half the largest one if that is less: words in more than a thirtieth
 #: of the documents weigh nothing, but for the rarest words of each segment.
 COMMON, RAREST = 3.4, 6
@@ -83,13 +88,15 @@ def document_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> tuple
 
         return f
 
-    counted = map_texts(docs, make, "word binary, n long", rows=10_000).groupBy("word").agg(F.sum("n").alias("n")).collect()
+    counted = map_texts(docs, make, "word binary, n long", rows=10_000, size=32 << 20).groupBy("word").agg(F.sum("n").alias("n")).collect()
+    sent.destroy()
     n = {None if r.word is None else bytes(r.word): r.n for r in counted}
     return n.pop(None, 0), n
 
 
-def randomised_svd(rows: DataFrame, width: int, rank: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(values, vectors as width x rank) of the matrix whose sparse rows are (at array<int>, weight array<double>).
+def randomised_svd(rows: DataFrame, widths: list[int], rank: int, seed: int = 3) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(values, vectors as width x rank) of several matrices, one a block, whose sparse rows are
+    (block int, at array<int>, weight array<double>). A job serves all blocks.
 
     The range of the rows is found by multiplying a random matrix by A'A a few times. Each task multiplies its own
     rows, and Spark adds what the tasks send; the driver holds matrices of width x rank, never the rows.
@@ -97,32 +104,39 @@ def randomised_svd(rows: DataFrame, width: int, rank: int, seed: int = 3) -> tup
     spark = rows.sparkSession
     k = rank + OVERSAMPLED
 
-    def product(m: np.ndarray) -> np.ndarray:
-        """A' A m"""
-        sent = spark.sparkContext.broadcast(m)
+    def product(ms: list[np.ndarray]) -> list[np.ndarray]:
+        """A' A m, by block"""
+        sent = spark.sparkContext.broadcast(ms)
 
         def run(batches):
-            out = np.zeros_like(sent.value)
+            out: dict[int, np.ndarray] = {}
             for b in batches:
-                for at, w in zip(b["at"], b["weight"]):
-                    out[at] += np.outer(w, w @ sent.value[at])
-            near = np.flatnonzero(out.any(1))
-            yield pd.DataFrame({"row": near, "sums": list(out[near])})
-
-        got = rows.mapInPandas(run, "row long, sums array<double>")
-        out = np.zeros_like(m)
-        for r in got.collect():
-            out[r.row] += np.array(r.sums)
-        return out
-
-    q = np.random.default_rng(seed).standard_normal((width, min(k, width)))
+                for block, at, w in zip(b["block"], b["at"], b["weight"]):
+                    m = sent.value[block]
+                    sums = out.setdefault(block, np.zeros_like(m))
+                    sums[at] += np.outer(w, w @ m[at])
+            for block, sums in out.items():
+                near = np.flatnonzero(sums.any(1))
+                yield pd.DataFrame({"block": block, "row": near, "sums": list(sums[near])})
+
+        summed = [np.zeros_like(m) for m in ms]
+        for r in rows.mapInPandas(run, "block int, row long, sums array<double>").collect():
+            summed[r.block][r.row] += np.array(r.sums)
+        sent.destroy()
+        return summed
+
+    rng = np.random.default_rng(seed)
+    qs = [rng.standard_normal((width, min(k, width))) for width in widths]
     for _ in range(POWERS):
-        q, _ = np.linalg.qr(product(q))
-    small = q.T @ product(q)  # (A q)' (A q)
-    values, turn = np.linalg.eigh((small + small.T) / 2)
-    best = np.argsort(-values)[: min(rank, len(values))]
-    best = best[values[best] > 1e-9 * max(values.max(), 1e-30)]
-    return np.sqrt(values[best]), q @ turn[:, best]
+        qs = [np.linalg.qr(p)[0] for p in product(qs)]
+    out = []
+    for q, p in zip(qs, product(qs)):
+        small = q.T @ p  # (A q)' (A q)
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        best = np.argsort(-values)[: min(rank, len(values))]
+        best = best[values[best] > 1e-9 * max(values.max(), 1e-30)]
+        out.append((np.sqrt(values[best]), q @ turn[:, best]))
+    return out
 
 
 class Index:
@@ -198,7 +212,8 @@ class Index:
         return found
 
 
-def build_index(spark: SparkSession, ids: list[int], words: list[list[bytes]], wholes: list[list[bytes]], total: int, frequencies: dict[bytes, int]) -> Index:
+def _weighed(words: list[list[bytes]], total: int, frequencies: dict[bytes, int]) -> tuple[dict[bytes, int], np.ndarray, list[tuple[list[int], list[float]]]]:
+    """(vocabulary, weights, sparse rows) of a block of segments."""
     vocabulary = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
     idf = np.log((total + 1) / (np.array([frequencies.get(w, 0) for w in vocabulary]) + 1)) + 0.05
     own = [np.array(sorted({vocabulary[w] for w in ws})) for ws in words]
@@ -206,26 +221,71 @@ def build_index(spark: SparkSession, ids: list[int], words: list[list[bytes]], w
     for o in own:
         rarest = o[np.argsort(-idf[o], kind="stable")[:RAREST]]
         weights[rarest] = np.maximum(weights[rarest], 0.3)
-    sparse = [(o[weights[o] > 0].tolist(), weights[o[weights[o] > 0]].tolist()) for o in own]
-    rows = spark.createDataFrame(sparse, "at array<int>, weight array<double>").repartition(max(1, min(8, len(words) // 64)))
-    _, vectors = randomised_svd(rows, len(vocabulary), LATENT)
-    return Index(ids, words, wholes, vocabulary, weights, vectors)
+    return vocabulary, weights, [(o[weights[o] > 0].tolist(), weights[o[weights[o] > 0]].tolist()) for o in own]
+
+
+def build_indexes(spark: SparkSession, blocks: list[list[tuple[int, list[bytes], list[bytes]]]], total: int, frequencies: dict[bytes, int]) -> list[Index]:
+    """An index for each block of (id, segment, passage)."""
+    parts = [tuple(map(list, zip(*rows))) for rows in blocks]
+    weighed = [_weighed(words, total, frequencies) for _, words, _ in parts]
+    sparse = [(k, *row) for k, (_, _, rows) in enumerate(weighed) for row in rows]
+    rows = spark.createDataFrame(sparse, "block int, at array<int>, weight array<double>").repartition(max(1, min(8, len(sparse) // 64)))
+    spaces = randomised_svd(rows, [len(v) for v, _, _ in weighed], LATENT)
+    return [Index(ids, words, wholes, vocabulary, weights, vectors) for (ids, words, wholes), (vocabulary, weights, _), (_, vectors) in zip(parts, weighed, spaces)]
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame) -> list:
-    """An index, broadcast, for each block of segments. Passages without words or id are left out.
+def groups(benchmark: DataFrame) -> Iterator[list[tuple[int, list[bytes], list[bytes]]]]:
+    """(id, segment, passage) rows, at most GROUP at a time but for a passage that has more by itself.
 
-    However many blocks there are, the documents are read once for the frequencies.
+    Passages without words or id are left out. The driver holds a group, not the benchmark.
     """
-    whole = sorted((r.item_id, r.text) for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct().toLocalIterator())
-    passages = [(i, ws) for i, t in whole if (ws := words_of(t))]
-    if not passages:
-        return []
-    spark = docs.sparkSession
-    total, frequencies = document_frequencies(docs, frozenset(w for _, ws in passages for w in ws))
-    rows = [(i, part, ws) for i, ws in passages for part in segments(ws)]
-    blocks = (map(list, zip(*rows[at : at + BLOCK])) for at in range(0, len(rows), BLOCK))
-    return [spark.sparkContext.broadcast(build_index(spark, *block, total, frequencies)) for block in blocks]
+    rows: list = []
+    known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    for r in known.orderBy("item_id", "text").toLocalIterator():
+        if words := words_of(r.text):
+            own = [(r.item_id, part, words) for part in segments(words)]
+            if rows and len(rows) + len(own) > GROUP:
+                yield rows
+                rows = []
+            rows += own
+    if rows:
+        yield rows
+
+
+def indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator:
+    """For each group of segments, its blocks' indexes, broadcast together. The caller destroys them when it is done."""
+    for rows in groups(benchmark):
+        total, frequencies = document_frequencies(docs, frozenset(w for _, ws, _ in rows for w in ws))
+        blocks = [rows[at : at + BLOCK] for at in range(0, len(rows), BLOCK)]
+        yield docs.sparkSession.sparkContext.broadcast(build_indexes(docs.sparkSession, blocks, total, frequencies))
+
+
+def _leaks(blocks: list[Index], text: str) -> dict[int, float]:
+    found: dict[int, float] = {}
+    for b in blocks:
+        for k, v in b.leaks(text).items():
+            found[k] = max(found.get(k, 0.0), v)
+    return found
+
+
+def _held(docs: DataFrame, sent) -> DataFrame:
+    """(doc_id, items, share) for each row of docs, by one group of segments."""
+
+    def f(ids, texts):
+        found = [_leaks(sent.value, t) for t in texts] if sent else [{} for _ in texts]
+        return ids, [sorted(x) for x in found], [max(x.values(), default=0.0) for x in found]
+
+    return map_texts(docs, lambda: f, "doc_id long, items array<long>, share double")
+
+
+def _held_by_row(docs: DataFrame, sent) -> DataFrame:
+    """(doc_id, own, items, share) of the texts that hold something; ``own`` is the text's hash."""
+
+    def f(ids, texts):
+        found = [(i, xxhash.xxh3_64_intdigest(t.encode()) - 2**63, x) for i, t in zip(ids, texts) if (x := _leaks(sent.value, t))]
+        return [i for i, _, _ in found], [o for _, o, _ in found], [sorted(x) for _, _, x in found], [max(x.values()) for _, _, x in found]
+
+    return map_texts(docs, lambda: f, "doc_id long, own long, items array<long>, share double")
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -235,20 +295,32 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     stands in the text in order (0 if none was found). Passages without words or id are never found; passages under
     one id are separate, and either counts. Null and empty texts hold none.
     """
-    blocks = indexes(docs, benchmark)
-
-    def f(ids, texts):
-        found = [{} for _ in texts]
-        for b in blocks:
-            for x, t in zip(found, texts):
-                for k, v in b.value.leaks(t).items():
-                    x[k] = max(x.get(k, 0), v)
-        return ids, [sorted(x) for x in found], [max(x.values(), default=0.0) for x in found]
-
-    return map_texts(docs, lambda: f, "doc_id long, items array<long>, share double").select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "share")
+    out = ("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "share")
+    every = indexes(docs, benchmark)
+    first, second = next(every, None), next(every, None)
+    if second is None:  # one scan serves all
+        return _held(docs, first).select(*out)
+    hits = None
+    for sent in (first, second, *every):
+        found = stage(_held_by_row(docs, sent), "hits")
+        sent.destroy()
+        hits = found if hits is None else hits.unionByName(found)
+    hits = hits.dropDuplicates(["doc_id", "own", "items"]).groupBy("doc_id", "own").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("share").alias("share"))
+    hits = hits.withColumnsRenamed({"doc_id": "hit_id", "own": "hit_own"})
+    texts = map_texts(docs, lambda: lambda ids, texts: (ids, [xxhash.xxh3_64_intdigest(t.encode()) - 2**63 for t in texts]), "doc_id long, own long")
+    joined = texts.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("own") == F.col("hit_own")), "left")
+    return joined.select("doc_id", F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("share", F.lit(0.0)).alias("share")).select(*out)
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows whose texts hold no passage, with all their columns; nothing is joined."""
-    blocks = indexes(docs, benchmark)
-    return keep_texts(docs, lambda: lambda texts: [not any(b.value.leaks(t) for b in blocks) for t in texts])
+    """The rows whose texts hold no passage, with all their columns; nothing is joined.
+
+    Null and empty texts stay as they are, repeated rows are judged alike, and an empty benchmark keeps every row.
+    """
+    kept, before = docs, None
+    for sent in indexes(docs, benchmark):
+        if before is not None:  # what an earlier group has left is written, so its indexes can go
+            kept = stage(kept, "cleaned")
+            before.destroy()
+        kept, before = keep_texts(kept, lambda s=sent: lambda texts: [not _leaks(s.value, t) for t in texts]), sent
+    return kept

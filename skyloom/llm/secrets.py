@@ -7,7 +7,7 @@ only where an identifier or endpoint and a secret stand within SCOPE characters
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage, texts_of
@@ -36,66 +36,63 @@ PARTS = {"assign": "secret", "access": "identifier", "hex": "secret", **WEAK}
 SCOPE = 300
 
 
-def _found(text: Column, kind: str) -> Column:
-    """array<struct<start, rank, stop, kind>> of a kind's matches, in code points, without shuffling or Python.
-
-    The pieces between the matches and the matches alternate, so their lengths add up to the offsets.
-    """
+def _pieces(text: Column, kind: str) -> Column:
+    """array<struct<rank, gap, hit, good>> of a kind's matches, in order: the code points before a match since the last
+    one, those in it, and whether it is long enough. Offsets are sums over these, taken later by a window."""
     pattern, group, least, holds = PATTERNS[kind]
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("hit"), part.alias("part"))
-    none = F.array().cast("array<struct<start:long,rank:int,stop:long,kind:string>>")
-    rank = list(PATTERNS).index(kind)
 
-    def step(done, row):
-        start = done["at"] + F.length(row["0"])
-        stop = start + F.length(row["1"])
-        good = row["1"].isNotNull() & (F.length(row["2"]) >= least)
+    def one(r: Column) -> Column:
+        good = F.length(r["part"]) >= least
         for h in holds:
-            good = good & row["1"].rlike(h)
-        new = F.array(F.struct(start.cast("long").alias("start"), F.lit(rank).alias("rank"), stop.cast("long").alias("stop"), F.lit(kind).alias("kind")))
-        return F.struct(F.coalesce(stop, done["at"]).cast("long").alias("at"), F.when(good, F.concat(done["out"], new)).otherwise(done["out"]).alias("out"))
+            good = good & r["hit"].rlike(h)
+        return F.struct(F.lit(list(PATTERNS).index(kind)).alias("rank"), F.length(r["gap"]).alias("gap"), F.coalesce(F.length(r["hit"]), F.lit(0)).alias("hit"), F.coalesce(good, F.lit(False)).alias("good"))
 
-    rows = F.transform(rows, lambda r: F.struct(r["gap"].alias("0"), r["hit"].alias("1"), r["part"].alias("2")))
-    folded = F.aggregate(rows, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step, lambda done: done["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(none)
+    return F.when(text.rlike(pattern), F.transform(rows, one)).otherwise(F.array().cast("array<struct<rank:int,gap:int,hit:int,good:boolean>>"))
 
 
 def _joined(spans: Column) -> Column:
-    return F.concat_ws(",", F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))))
+    return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))))
 
 
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked): a row for each row of docs.
 
     Counts and digest are those of the base findings; ``spans`` has the linked weak parts too, by start, then kind in
-    the order of PATTERNS. Null and empty texts have none. Equal rows get equal results; ids may be null.
+    the order of PATTERNS. Null and empty texts have none. Equal rows get equal results; ids may be null. Only findings
+    are shuffled, never texts, and the work on a text is in proportion to its length and its findings.
     """
     docs = texts_of(docs)
-    text = F.col("text")
-    base = F.concat(*(_found(text, k) for k in BASE))
-    weak = F.concat(*(_found(text, k) for k in WEAK))
-    seen = stage(docs.select("doc_id", F.xxhash64("text").alias("own"), base.alias("base"), weak.alias("weak")), "parts")
-    row = ["doc_id", "own"]
-
-    # the interval join: both sides by text and bucket, the other side also in the buckets next to its own
-    could = seen.where((F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)).distinct()
-    parts = could.select(*row, F.explode(F.concat("base", "weak")).alias("p")).select(*row, "p", F.create_map(*(F.lit(x) for kv in PARTS.items() for x in kv))[F.col("p.kind")].alias("part"))
-    bucket = F.floor(F.col("p.start") / SCOPE)
-    mine = parts.where(F.col("p.kind").isin(*WEAK)).withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    other = parts.select(F.col("doc_id").alias("other_id"), F.col("own").alias("other_own"), F.col("p").alias("q"), F.col("part").alias("other_part")).withColumn("other_bucket", F.floor(F.col("q.start") / SCOPE))
-    near = (F.abs(F.col("p.start") - F.col("q.start")) <= SCOPE) & ((F.col("part") == "secret") != (F.col("other_part") == "secret")) & ((F.col("q.stop") <= F.col("p.start")) | (F.col("q.start") >= F.col("p.stop")))
-    met = mine.join(other, F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("own") == F.col("other_own")) & (F.col("bucket") == F.col("other_bucket")) & near, "left_semi")
-    linked = met.groupBy(*row).agg(F.collect_set("p").alias("more"))  # bounded by the text's own parts
-    linked = linked.select(F.col("doc_id").alias("other_id"), F.col("own").alias("other_own"), "more")
-
-    whole = seen.join(linked, F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("own") == F.col("other_own")), "left")
-    # a weak part that a base finding covers says nothing new
-    more = F.coalesce(F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"]))), F.expr("filter(weak, w -> false)"))
-    of = lambda kind: F.filter("base", lambda b: b["kind"] == kind)
-    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE]
-    return whole.withColumn("new", more).select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "new")).alias("spans"), F.size("new").cast("long").alias("n_linked"))
+    # numbers that the written table holds, so they are the same whenever it is read
+    seen = stage(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat(*(_pieces(F.col("text"), k) for k in PATTERNS)).alias("pieces")), "pieces")
+    each = seen.where(F.size("pieces") > 0).select("row", F.posexplode("pieces").alias("pos", "p")).select("row", "pos", "p.*").repartition("row")
+    end = F.sum(F.col("gap") + F.col("hit")).over(Window.partitionBy("row", "rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    names = lambda of: F.element_at(F.array(*map(F.lit, of)), F.col("rank") + 1)
+    parts = each.withColumn("stop", end).where("good").select("row", "rank", (F.col("stop") - F.col("hit")).alias("start"), "stop", names(PATTERNS).alias("kind"), names([PARTS[k] for k in PATTERNS]).alias("part"), (F.col("rank") < len(BASE)).alias("is_base"))
+    # a weak part that a base finding covers says nothing new: one that began before reaches into it, or the next one begins in it
+    before = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
+    reach, coming = F.max(F.when(F.col("is_base"), F.col("stop"))).over(before), F.min(F.when(F.col("is_base"), F.col("start"))).over(after)
+    parts = stage(parts.withColumns({"reach": reach, "coming": coming}).withColumn("covered", F.coalesce(F.col("reach") > F.col("start"), F.lit(False)) | F.coalesce(F.col("coming") < F.col("stop"), F.lit(False))).drop("reach", "coming"), "parts")
+
+    # the interval join: both sides by text and bucket, the weak side also in the buckets next to its own
+    bucket = F.floor(F.col("start") / SCOPE)
+    mine = parts.where("NOT is_base AND NOT covered").withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    other = parts.select(F.col("row").alias("other_row"), F.col("start").alias("other_start"), F.col("stop").alias("other_stop"), F.col("part").alias("other_part"), bucket.alias("other_bucket"))
+    near = (F.abs(F.col("start") - F.col("other_start")) <= SCOPE) & ((F.col("part") == "secret") != (F.col("other_part") == "secret")) & ((F.col("other_stop") <= F.col("start")) | (F.col("other_start") >= F.col("stop")))
+    columns = ["row", "start", "rank", "stop", "kind", "is_base"]
+    linked = mine.join(other, (F.col("row") == F.col("other_row")) & (F.col("bucket") == F.col("other_bucket")) & near, "left_semi").select(*columns).distinct()
+
+    told = parts.where("is_base").select(*columns).unionByName(linked)
+    spans = F.array_sort(F.collect_list(F.struct("start", "rank", "stop", "kind", "is_base")))  # a text's own findings
+    counts = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in BASE]
+    found = told.groupBy("row").agg(spans.alias("all"), *counts, F.count_if(~F.col("is_base")).alias("n_linked"))
+    whole = seen.select("row", "doc_id").join(found, "row", "left").withColumn("all", F.coalesce("all", F.array().cast(found.schema["all"].dataType)))
+    numbers = {c: F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in (*(f"n_{k}" for k in BASE), "n_linked")}
+    base = _joined(F.filter("all", lambda x: x["is_base"]))
+    return whole.select("doc_id", *(numbers[f"n_{k}"] for k in BASE), F.sha2(base, 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"), numbers["n_linked"])
 
 
 def _sql_kind(kind: str) -> str:

@@ -141,11 +141,60 @@ def test_disguised_identifiers(spark):
     tape = pii.undisguised(cases[0])
     a = tape.text.index("jane.doe@mail.example.com")
     assert cases[0][slice(*tape.source(a, a + 25))] == "jane.doe (at) mail [dot] example (dot) com"
-    clean = ["We met at noon. One, two, three dots.", "At one point two of the three ate.", "les points (a) et (b)", "Seven of nine at the dot"]
+    for text, whole in (("hi bob @ example . com there", "bob @ example . com"), ("mail jane.doe at example.com now", "jane.doe at example.com"), ("x jane_at_example_dot_com", "jane_at_example_dot_com"), ("card ৪১১১ ১১১১ ১১১১ ১১১১ x", "৪১১১ ১১১১ ১১১১ ১১১১"), ("jdoe42 at mail.example.org", "jdoe42 at mail.example.org")):
+        assert [text[a:b] for _, a, b in pii.scan(text)[1]] == [whole]
+    clean = ["meet me at example.com for lunch", "published in 2024 at example.com", "see us @ noon. de ahora", "We met at noon. One, two, three dots.", "At one point two of the three ate.", "les points (a) et (b)", "Seven of nine at the dot"]
     assert not any(pii.scan(t)[0] + pii.scan(t)[1] for t in clean)
     assert pii.redacted("to a@b.co, 1.2.3.4") == "to <email>, <ip>"
 
 
+def test_tapes_by_brute_force():
+    """Against a tape that keeps a source span for every character."""
+    rng = random.Random(15)
+    steps = [(re.compile("x"), ""), (re.compile("ab"), "c"), (re.compile("c"), "de"), (re.compile("d+"), "f"), (re.compile("ef"), "ghi")]
+    for _ in range(3000):
+        text = "".join(rng.choice("abcdefx") for _ in range(rng.randrange(30)))
+        tape, chars = pii.Tape(text), [(c, i, i + 1) for i, c in enumerate(text)]
+        for pattern, new in rng.sample(steps, 3):
+            tape, flat, out, done = tape.rewritten(pattern, lambda m, new=new: new), "".join(c for c, _, _ in chars), [], 0
+            for m in pattern.finditer(flat):
+                out += chars[done : m.start()] + [(c, chars[m.start()][1], chars[m.end() - 1][2]) for c in new]
+                done = m.end()
+            chars = out + chars[done:]
+        assert tape.text == "".join(c for c, _, _ in chars)
+        for a in range(len(chars)):
+            b = rng.randrange(a, len(chars)) + 1
+            assert tape.source(a, b) == (chars[a][1], chars[b - 1][2])
+
+
+def test_many_findings_take_time_in_proportion(spark):
+    import time
+    import tracemalloc
+
+    text = " and ".join(f"user{i}@mail{i}.example.com or user{i} (at) mail{i} (dot) com" for i in range(8000))
+    began = time.perf_counter()
+    base, more = pii.scan(text)
+    assert len(base) == len(more) == 8000 and time.perf_counter() - began < 5
+    tracemalloc.start()
+    pii.scan("The quick brown fox says nothing. " * 300_000)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    found = secrets.find(spark.createDataFrame([(1, " ".join(f"password: hunter{i} x" for i in range(32_000)))], "doc_id long, text string"))
+    began = time.perf_counter()
+    assert found.first().n_assign == 32_000 and time.perf_counter() - began < 30
+
+
+def test_query_columns_of_personal_data_by_brute_force(spark):
+    """Counts, digest and spans of op2, from the contract's patterns."""
+    docs = table(spark, "documents")
+    for r in pii.find(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
+        base = sorted(naive_pii(r.text or ""), key=lambda x: (x[1], pii.KINDS.index(x[0])))
+        told = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in base) for k in pii.KINDS]
+        assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest() and set(told.split(",")) - {""} <= set(r.spans.split(","))
+        assert r.n_added == len(r.spans.split(",")) - len(base) - (r.spans == "") and r.found == (r.spans != "")
+
+
 def test_rule_figures_by_brute_force(spark):
     for (text,) in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' LIMIT 300").fetchall() + [("a b c a b c a b",), ("",), ("x",), ("a\na\n \n \na",)]:
         words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -348,8 +397,8 @@ def test_leaks_and_paraphrases(spark):
 
 def test_long_passages_are_found(spark):
     rng = random.Random(12)
-    texts = [r.text.split() for r in table(spark, "documents").orderBy("doc_id").collect()]
-    items = [(1000 + len(w) * 10 + k, w) for n in (65, 130, 250, 400) for k, w in enumerate([t[:n] for t in texts if len(t) >= n][:5])]
+    texts = [r.text.split() for r in table(spark, "documents", "/root/testdata/sf0.1").orderBy("doc_id").limit(3000).collect()]
+    items = [(1000 + len(w) * 10 + k, w) for n in (60, 65, 130, 200, 250, 400, 500, 2000) for k, w in enumerate([t[:n] for t in texts if len(t) >= n][:5])]
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
     filler = lambda n: [f"filler{rng.randrange(99999)}" for _ in range(n)]
     docs = [(i, " ".join(filler(rng.randrange(90)) + w + filler(rng.randrange(90)))) for i, w in items]
@@ -364,21 +413,29 @@ def test_long_passages_are_found(spark):
 def test_several_blocks_find_the_same(spark):
     docs, bench = table(spark, "documents"), table(spark, "benchmark")
     whole = sorted((r.doc_id, r["items"]) for r in decontaminate.find(docs, bench).collect())
-    before, decontaminate.BLOCK = decontaminate.BLOCK, 16
+    kept = sorted(r.doc_id for r in decontaminate.cleaned(docs, bench).collect())
+    again = docs.unionAll(docs.where("doc_id % 3 = 0"))  # rows of equal id and text
+    before = decontaminate.BLOCK, decontaminate.GROUP
+    decontaminate.BLOCK = 16
     try:
-        assert len(decontaminate.indexes(docs, bench)) == 3
+        assert [len(sent.value) for sent in decontaminate.indexes(docs, bench)] == [3]
         assert sorted((r.doc_id, r["items"]) for r in decontaminate.find(docs, bench).collect()) == whole
+        decontaminate.GROUP = 16
+        assert [len(sent.value) for sent in decontaminate.indexes(docs, bench)] == [1, 1, 1]
+        got = sorted((r.doc_id, r["items"]) for r in decontaminate.find(again, bench).collect())
+        assert got == sorted(whole + [x for x in whole if x[0] % 3 == 0])
+        assert sorted(r.doc_id for r in decontaminate.cleaned(docs, bench).collect()) == kept
     finally:
-        decontaminate.BLOCK = before
+        decontaminate.BLOCK, decontaminate.GROUP = before
 
 
 def test_svd_equals_numpy(spark):
     rng = np.random.default_rng(11)
-    m = rng.random((40, 30)) * (rng.random((40, 30)) < 0.3)
-    rows = spark.createDataFrame([(np.flatnonzero(r).tolist(), r[r != 0].tolist()) for r in m], "at array<int>, weight array<double>").repartition(4)
-    values, vectors = decontaminate.randomised_svd(rows, 30, 10)
-    assert np.allclose(values, np.linalg.svd(m, compute_uv=False)[:10], rtol=0.02)
-    assert np.allclose(vectors.T @ vectors, np.eye(10), atol=1e-8)
+    ms = [rng.random((40, n)) * (rng.random((40, n)) < 0.3) for n in (30, 20)]
+    rows = spark.createDataFrame([(k, np.flatnonzero(r).tolist(), r[r != 0].tolist()) for k, m in enumerate(ms) for r in m], "block int, at array<int>, weight array<double>").repartition(4)
+    for m, (values, vectors) in zip(ms, decontaminate.randomised_svd(rows, [30, 20], 10), strict=True):
+        assert np.allclose(values, np.linalg.svd(m, compute_uv=False)[:10], rtol=0.02)
+        assert np.allclose(vectors.T @ vectors, np.eye(10), atol=1e-8)
 
 
 TRICKY = [
@@ -413,8 +470,12 @@ def test_secrets_equal_sql(spark):
 
 def test_licences_equal_sql(spark):
     texts = ["x\nReleased under the MIT License.\ny", "Text. Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License,   version 2.0", "this work is licensed under the gnu general public license version 3", "", None, "license " * 30, "\n\n".join(t for ts in licenses.TEMPLATES.values() for t in ts)]
+    texts += ["This text ends here. Licensed under CC BY-NC 4.0.", "Released under the MIT License. See LICENSE file for details.", '/*\n * Licensed under the Apache License,\n * Version 2.0 (the "License"); you may not use\n *\n * this file except in compliance with the License.\n */']
+    texts += ["int x; // This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU Affero General Public License as published by\n// the Free Software Foundation, either version 3 of the License, or\n// (at your option) any later version."]
+    texts += [" ".join(x[1:] if i % 2 else x) for i, x in enumerate(t.split() for ts in licenses.TEMPLATES.values() for t in ts)]
     got = held(spark, texts, licenses.scan, licenses.oracle_sql())
     assert got[0][1] == "MIT" and got[2][1] == "Apache-2.0" and got[3][1] == "GPL-3.0" and len(got[7][1].split(",")) == len(licenses.TEMPLATES)
+    assert [got[i][1] for i in (8, 9, 10, 11)] == ["CC-BY-NC-4.0", "MIT", "Apache-2.0", "AGPL-3.0"]
 
 
 @pytest.mark.parametrize("operator, label, least", [(quality.classify, "quality", 0.98), (toxicity.classify, "toxic", 0.97)])

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyloom.functions import sky
+from skyloom.functions import photometry, sky
 from skyloom.operators import crossmatch
 from skyloom.plans import pipeline
 
@@ -74,11 +75,13 @@ class Store:
         df = self.find(name, query)
         asked = self.spark.createDataFrame([(k, float(ra), float(dec)) for k, (ra, dec) in points.items()], "name string, ra double, dec double")
         near = crossmatch.cone_search(df, asked, radius, unit)
+        if limit:  # before anything is gathered
+            w = Window.partitionBy("name").orderBy("distance_arcsec", F.xxhash64(*df.columns))
+            near = near.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit).drop("__n")
         kept = pipeline.project(df.limit(0), projection).columns if projection else df.columns
         rows = near.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("distance_arcsec", *kept))).alias("matches"))
         out = asked.select("name").join(rows, "name", "left")
-        out = out.withColumn("matches", F.coalesce("matches", F.array().cast(rows.schema["matches"].dataType)))
-        return out.withColumn("matches", F.slice("matches", 1, limit)) if limit else out
+        return out.withColumn("matches", F.coalesce("matches", F.array().cast(rows.schema["matches"].dataType)))
 
     def schema(self, name: str) -> str:
         return self.table(name).schema.json()
@@ -123,7 +126,7 @@ def alert_search(alerts: DataFrame, object_id: str | None = None, cone: tuple[fl
         out = out.where(F.col("objectId") == object_id)
     if cone is not None:
         ra, dec, radius = cone
-        out = out.where(F.col("candidate.dec").between(dec - radius / 3600, dec + radius / 3600) & (sky.separation_arcsec(F.col("candidate.ra"), F.col("candidate.dec"), F.lit(ra), F.lit(dec)) <= radius))
+        out = out.where(sky.near_box(F.col("candidate.ra"), F.col("candidate.dec"), ra, dec, radius / 3600) & (sky.separation_arcsec(F.col("candidate.ra"), F.col("candidate.dec"), F.lit(ra), F.lit(dec)) <= radius))
     if window is not None:
         out = out.where((F.col("candidate.jd") >= window[0]) & (F.col("candidate.jd") <= window[1]))
     for name, (low, high) in (ranges or {}).items():
@@ -165,17 +168,21 @@ def objects_near(objects: dict[str, DataFrame], ra: float, dec: float, radius: f
     found = None
     for survey, df in sorted(objects.items()):
         d = sky.separation_arcsec(F.col("ra"), F.col("dec"), F.lit(ra), F.lit(dec))
-        here = df.where(F.col("dec").between(dec - radius / 3600, dec + radius / 3600)).select("objectId", F.lit(survey).alias("survey"), "ra", "dec", d.alias("distance_arcsec")).where(F.col("distance_arcsec") <= radius)
+        here = df.where(sky.near_box(F.col("ra"), F.col("dec"), ra, dec, radius / 3600)).select("objectId", F.lit(survey).alias("survey"), "ra", "dec", d.alias("distance_arcsec")).where(F.col("distance_arcsec") <= radius)
         found = here if found is None else found.unionByName(here)
     return found.orderBy("distance_arcsec", "survey", "objectId").limit(limit)
 
 
-def rescaled(table: DataFrame, array: str) -> DataFrame:
-    """A stored table with signal-to-noise and magnitudes of an array recomputed from its fluxes; doing it twice changes
-    nothing."""
+def rescaled(table: DataFrame, array: str, zp: float = photometry.LSST_ZP_NJY) -> DataFrame:
+    """A stored table with signal-to-noise, limits and, above the least signal-to-noise, magnitudes of an array recomputed
+    from its fluxes; doing it twice changes nothing."""
+
     def one(p):
         snr = F.try_divide(F.abs(p["psfFlux"]), p["psfFluxErr"])
-        return p.withField("snr", snr.cast("float"))
+        m = photometry.flux_to_mag(F.abs(p["psfFlux"]), p["psfFluxErr"], zp)
+        good = F.coalesce(snr > photometry.SNT, F.lit(False))
+        new = {"snr": snr.cast("float"), "magpsf": F.when(good, m["mag"]), "sigmapsf": F.when(good, m["err"]), "diffmaglim": photometry.flux_err_to_limit(p["psfFluxErr"], zp)}
+        return reduce(lambda q, kv: q.withField(*kv), new.items(), p)
 
     return table.withColumn(array, F.transform(array, one))
 

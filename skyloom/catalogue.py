@@ -339,7 +339,7 @@ def night_counts(spark, sf):
 @query(f"WITH {D} SELECT band, count(*) FILTER (mag < 15.5) AS matched, count(*) AS total, count(*) > 0 AND count(*) FILTER (mag < 15.5) <= trunc(count(*) * 10 / 100) AS ok FROM d GROUP BY band")
 def selectivity_guard(spark, sf):
     g = views.detections(spark, sf).groupBy("band").agg(F.count(F.when(F.col("mag") < 15.5, 1)).alias("matched"), F.count("*").alias("total"))
-    return g.withColumn("ok", (F.col("total") > 0) & (F.col("matched") <= F.floor(F.col("total") * 10 / 100)))
+    return g.withColumn("ok", filters.is_selective(F.col("matched"), F.col("total"), 10))
 
 
 @query(f"WITH {D} SELECT candid, CASE WHEN programid = 1 THEN 'ztf.lsst-match.' ELSE 'ztf.no-lsst-match.' END || CASE WHEN mag < 15.5 THEN 'stellar' WHEN sgscore1 BETWEEN 0 AND 0.5 THEN 'hosted' ELSE 'hostless' END AS topic FROM d")
@@ -538,7 +538,7 @@ def tangent_offsets(spark, sf):
     return a.select(F.col("_id").alias("candid"), F.round(o["east"], 3).alias("east"), F.round(o["north"], 3).alias("north"))
 
 
-@query()
+@query(f"WITH {D} SELECT candid AS _id, CASE WHEN band <> 'y' THEN round((drb + sgscore1) / 2, 6) END AS score FROM d")
 def scorer_stub(spark, sf):
     """Scores from a stand-in model over every alert: those without all features have none."""
     from skyloom.operators import models
@@ -550,12 +550,15 @@ def scorer_stub(spark, sf):
 
     blank = images.blank()
     rows = views.alerts(spark, sf).select("_id", F.col("candidate.drb").alias("drb"), F.when(F.col("candidate.band") != "y", F.col("candidate.sgscore1")).alias("sgscore1"), *(F.lit(blank).alias(c) for c in ("cutoutScience", "cutoutTemplate", "cutoutDifference")))
+    rows = rows.repartition(spark.sparkContext.defaultParallelism)  # decoding and scoring take far longer than moving
     return models.scored(rows, {"mean": (Mean(), ("drb", "sgscore1"))}).select("_id", F.round("classifications.mean", 6).alias("score"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from skyloom import catalogue_surveys  # noqa: F401  it registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {k: SQL[k] for k in queries() if k in SQL}

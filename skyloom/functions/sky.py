@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,17 @@ def separation(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
     return F.degrees(F.atan2(across, along))
 
 
+def near_box(ra: Column, dec: Column, ra0: float, dec0: float, degrees: float) -> Column:
+    """Bounds in declination and right ascension that hold a cone; plain comparisons, which a scan can prune by."""
+    inside = dec.between(dec0 - degrees - 1e-9, dec0 + degrees + 1e-9)
+    if abs(dec0) + degrees >= 89.9 or degrees >= 80:
+        return inside
+    reach = math.degrees(math.asin(min(1.0, math.sin(math.radians(degrees)) / math.cos(math.radians(dec0))))) + 1e-6
+    low, high = (ra0 - reach) % 360, (ra0 + reach) % 360
+    own = F.pmod(ra, F.lit(360.0)) if reach < 180 else ra
+    return inside & ((own.between(low, high)) if low <= high else (own >= low) | (own <= high))
+
+
 def separation_arcsec(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
     return separation(ra1, dec1, ra2, dec2) * 3600.0
 

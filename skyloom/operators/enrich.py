@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +48,42 @@ def ztf_properties(alerts: DataFrame, objects: DataFrame) -> DataFrame:
         have = df.schema["candidate"].dataType.names
         return rules.ztf_flags(lambda n: F.col(f"candidate.{n}") if n in have else F.lit(None).cast("double"))
 
-    return properties(alerts, objects, {a: n for a, n in (("prv_candidates", None), ("fp_hists", LEAST_SNR)) if a in objects.columns}, flags)
+    return properties(alerts, objects, _arrays(objects), flags)
+
+
+def lsst_properties(alerts: DataFrame, objects: DataFrame, footprint: Column | None = None) -> DataFrame:
+    """Properties of LSST alerts: flags from the candidate's neighbours, and light-curve statistics of both arrays."""
+
+    def flags(df: DataFrame) -> dict[str, Column]:
+        have = df.schema["candidate"].dataType.names
+        neighbours = F.col("candidate.neighbours") if "neighbours" in have else F.lit(None).cast("array<struct<distance_arcsec:double,score:double,mag_white:double>>")
+        return rules.lsst_flags(neighbours, F.lit(True) if footprint is None else footprint, F.col("candidate.ssObjectId") if "ssObjectId" in have else F.lit(None).cast("long"))
+
+    return properties(alerts, objects, _arrays(objects), flags)
+
+
+def plain_properties(alerts: DataFrame, objects: DataFrame) -> DataFrame:
+    """Properties of surveys without rules of their own, DECam and WINTER: stationarity and statistics."""
+    return properties(alerts, objects, _arrays(objects))
+
+
+def _arrays(objects: DataFrame) -> dict[str, float | None]:
+    return {a: n for a, n in (("prv_candidates", None), ("fp_hists", LEAST_SNR)) if a in objects.columns}
+
+
+def multisurvey_photstats(alerts: DataFrame, objects: DataFrame, others: dict[str, DataFrame]) -> DataFrame:
+    """(_id, photstats): statistics over the points of an alert's object and of the objects that its aliases name.
+
+    ``alerts`` has ``aliases``, a struct of arrays of ids by survey, of which the first counts. A band's name gets its
+    survey's, so equal filters of two surveys stay apart.
+    """
+    parts = [alert_points(alerts, objects, _arrays(objects))]
+    for name, other in others.items():
+        named = alerts.withColumn("objectId", F.get(F.col(f"aliases.{name}"), F.lit(0))).where("objectId IS NOT NULL")
+        parts.append(alert_points(named, other, _arrays(other)).withColumn("band", F.concat(F.lit(name.lower()), F.col("band"))))
+    points = reduce(DataFrame.unionByName, parts)
+    stats = lightcurve.photstats(lightcurve.prepared(points, "_id"), "_id")
+    return stats.select("_id", F.struct(*(c for c in stats.columns if c != "_id")).alias("photstats"))
 
 
 def display_curve(points: DataFrame) -> DataFrame:

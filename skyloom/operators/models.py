@@ -20,6 +20,10 @@ CANDIDATE_FEATURES = (
 CURVE_FEATURES = ("age", "days_since_peak", "days_to_peak", "peakmag_so_far", "maxmag_so_far", "nnondet")
 
 
+#: Alerts that are decoded and scored at a time: their triplets take 12 MB in single precision.
+SLICE = 256
+
+
 class Model(Protocol):
     """Scores n rows of features (n, k) and triplets (n, SIZE, SIZE, 3); returns n scores."""
 
@@ -62,7 +66,7 @@ def scored(rows: DataFrame, models: dict[str, tuple[Model, tuple[str, ...]]], cu
     kind = "struct<" + ", ".join(f"{n}: double" for n in names) + ">"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in (whole.iloc[at : at + SLICE] for whole in frames for at in range(0, len(whole), SLICE)):
             values = frame[needed].to_numpy(float)
             usable, triplets = [], []
             for i in np.flatnonzero(np.isfinite(values).all(1)):
@@ -77,7 +81,7 @@ def scored(rows: DataFrame, models: dict[str, tuple[Model, tuple[str, ...]]], cu
                 columns = [np.asarray(m.predict(x[:, [needed.index(f) for f in fs]], t), float) for m, fs in models.values()]
                 for row, i in enumerate(usable):
                     out[i] = {n: float(c[row]) for n, c in zip(names, columns)}
-            yield pd.DataFrame({key: frame[key], "classifications": pd.Series(out, dtype=object)})
+            yield pd.DataFrame({key: frame[key].to_numpy(), "classifications": pd.Series(out, dtype=object)})
 
     picked = rows.select(key, *(F.col(f).cast("double").alias(f) for f in needed), *cutouts)
     return picked.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, classifications {kind}")

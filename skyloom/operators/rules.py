@@ -17,8 +17,13 @@ TOPICS = {
 }
 
 
+def _f(value: float) -> Column:
+    return F.lit(float(value)).cast("float")
+
+
 def _or(x: Column, value: float) -> Column:
-    return F.coalesce(x.cast("double"), F.lit(float(value)))
+    """Single precision, as the scores are stored: 0.49 isn't above 0.49."""
+    return F.coalesce(x.cast("float"), _f(value))
 
 
 def ztf_flags(c: Callable[[str], Column]) -> dict[str, Column]:
@@ -28,11 +33,12 @@ def ztf_flags(c: Callable[[str], Column]) -> dict[str, Column]:
     dist, score, r, z, i, g = (_or(c("distpsnr1"), inf), _or(c("sgscore1"), 0), *(_or(c(k), inf) for k in ("srmag1", "szmag1", "simag1", "sgmag1")))
     rock = (_or(c("ssdistnr"), inf) >= 0) & (_or(c("ssdistnr"), inf) < 12.0) & (_or(c("ssmagnr"), inf) >= 0)
     redder = lambda m: (m > 0) & (m < inf) & (r - m > 3.0)
-    star = (dist >= 0) & (((score > 0.76) & (dist <= 2.0)) | ((score > 0.2) & (dist <= 1.0) & (r > 0) & (redder(z) | redder(i))))
+    # fixed values: the thresholds of this function
+    star = (dist >= 0) & (((score > _f(0.76)) & (dist <= 2.0)) | ((score > _f(0.2)) & (dist <= 1.0) & (r > 0) & (redder(z) | redder(i))))
     bright = (_or(c("neargaiabright"), inf) >= 0) & (_or(c("neargaiabright"), inf) <= 20.0) & (_or(c("maggaiabright"), inf) > 0) & (_or(c("maggaiabright"), inf) <= 12.0)
     for k in (1, 2, 3):
         m = _or(c(f"srmag{k}"), inf)
-        bright = bright | ((_or(c(f"sgscore{k}"), 0) > 0.49) & (_or(c(f"distpsnr{k}"), inf) <= 20.0) & (m > 0) & (m <= 15.0))
+        bright = bright | ((_or(c(f"sgscore{k}"), 0) > _f(0.49)) & (_or(c(f"distpsnr{k}"), inf) <= 20.0) & (m > 0) & (m <= 15.0))
     bright = bright | ((score == 0.5) & (dist < 0.5) & ((g < 17.0) | (r < 17.0) | (i < 17.0)))
     return {"rock": rock, "star": star, "near_brightstar": bright}
 
@@ -73,11 +79,11 @@ def lsst_category(star: Column, bright: Column, neighbours: Column, in_footprint
 
 
 def ztf_public(programid: Column, rock: Column, drb: Column) -> Column:
-    return (programid == PUBLIC) & ~F.coalesce(rock, F.lit(False)) & (_or(drb, 0) >= LEAST_DRB)
+    return (programid == PUBLIC) & ~F.coalesce(rock, F.lit(False)) & (_or(drb, 0) >= _f(LEAST_DRB))
 
 
 def lsst_public(reliability: Column, pixel_flags: Column, rock: Column) -> Column:
-    return (_or(reliability, 0) >= LEAST_RELIABILITY) & ~F.coalesce(pixel_flags, F.lit(False)) & ~F.coalesce(rock, F.lit(False))
+    return (_or(reliability, 0) >= _f(LEAST_RELIABILITY)) & ~F.coalesce(pixel_flags, F.lit(False)) & ~F.coalesce(rock, F.lit(False))
 
 
 def public_points(points: Column) -> Column:

@@ -194,6 +194,49 @@ def selective(matched: int, total: int, percent: float) -> bool:
     return total > 0 and matched <= int(total * percent / 100)
 
 
+def is_selective(matched: Column, total: Column, percent: float) -> Column:
+    """The same for columns of counts."""
+    return (total > 0) & (matched <= F.floor(total * percent / 100))
+
+
+def dry_run(alerts: DataFrame, f: Filter, tables: Tables, start: float | None = None, end: float | None = None, objects: list[str] | None = None, candids: list[int] | None = None, sort: dict[str, int] | None = None, limit: int | None = None) -> DataFrame:
+    """What a filter would pass of a restricted set of alerts, sorted and limited if asked.
+
+    The restriction is checked first, and thins the alerts before the filter runs; its count is ``dry_run(...).count()``.
+    A sort goes right after the restriction where it names fields of the alert, as the filter may not keep them.
+    """
+    check_test_window(start, end, objects, candids)
+    if start is not None:
+        alerts = alerts.where((F.col("candidate.jd") >= start) & (F.col("candidate.jd") <= end))
+    if objects:
+        alerts = alerts.where(F.col("objectId").isin(objects))
+    if candids:
+        alerts = alerts.where(F.col("_id").isin(candids))
+    out = run_filter(alerts, f, tables)
+    if sort:
+        keys = alerts.select(F.col("_id").alias("__id"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(sort)))
+        order = [F.col(f"__k{i}").asc_nulls_first() if way > 0 else F.col(f"__k{i}").desc_nulls_last() for i, way in enumerate(sort.values())]
+        out = out.join(keys, F.col("_id") == F.col("__id")).orderBy(*order, "_id")
+        out = out.limit(limit) if limit else out
+        return out.drop("__id", *(f"__k{i}" for i in range(len(sort))))
+    return out.limit(limit) if limit else out
+
+
+def result_packets(results: DataFrame, alerts: DataFrame, objects: DataFrame, cutouts: DataFrame | None = None, survey: str = "ZTF", array: str = "prv_candidates", programs: list[int] | None = None) -> DataFrame:
+    """A packet for each alert that passed a filter: (_id, objectId, filters, candidate, photometry, cut-outs).
+
+    ``results`` is what ``run_filters`` gives. Photometry is the object's up to the alert, of permitted programmes, in
+    time order; cut-outs are null where none are stored.
+    """
+    passed = results.select("_id", "filters").join(alerts.select("_id", "objectId", "candidate"), "_id")
+    series_of = objects.select("objectId", F.col(array).alias("__points"))
+    out = passed.join(series_of, "objectId", "left")
+    past = F.filter("__points", lambda p: p["jd"] <= F.col("candidate.jd"))
+    points = F.array_sort(permitted(past, programs) if programs is not None else past)
+    out = out.withColumn("photometry", F.coalesce(points, F.array().cast(objects.schema[array].dataType))).drop("__points")
+    return out.join(cutouts.select("_id", F.struct(*(c for c in cutouts.columns if c != "_id")).alias("cutouts")), "_id", "left") if cutouts is not None else out
+
+
 def check_test_window(start: float | None, end: float | None, objects: list[str] | None = None, candids: list[int] | None = None) -> None:
     """Raise unless a dry run is restricted, to a week, a thousand objects or a hundred thousand alerts."""
     if start is None and not objects and not candids:

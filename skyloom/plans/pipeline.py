@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Mapping
 from functools import reduce
 from typing import Any
@@ -64,13 +65,31 @@ def _condition(scope: Scope, name: str, cond: Any) -> Column:
             parts.append(F.coalesce(F.exists(x.column, lambda e: _elem(inner, e, v)), F.lit(False)))
         elif op == "$geoWithin":
             (lon, lat), radius = v["$centerSphere"]
-            at = _position(scope, name)
-            parts.append(F.coalesce(sky.separation(at[0], at[1], F.lit(lon + 180.0), F.lit(lat)) <= F.degrees(F.lit(radius)), F.lit(False)))
+            parts.append(_cone(scope, name, lon, lat, radius))
+        elif op == "$nearSphere":
+            parts.append(_cone(scope, name, *v, cond.get("$maxDistance", math.pi)))
+        elif op == "$maxDistance":
+            continue
         else:
             raise ExpressionError(f"unknown condition {op}")
     return reduce(lambda a, b: a & b, parts)
 
 
+def _cone(scope: Scope, name: str, lon: float, lat: float, radians: float) -> Column:
+    ra, dec = _position(scope, name)
+    within = sky.separation(ra, dec, F.lit(lon + 180.0), F.lit(float(lat))) <= F.degrees(F.lit(float(radians)))
+    return F.coalesce(sky.near_box(ra, dec, lon + 180.0, lat, math.degrees(radians)) & within, F.lit(False))
+
+
+def nearest_first(df: DataFrame, query: dict) -> DataFrame:
+    """Rows by their distance from the position that a ``$nearSphere`` of the query names, if it has one."""
+    for name, v in query.items():
+        if isinstance(v, dict) and "$nearSphere" in v:
+            (lon, lat), (ra, dec) = v["$nearSphere"], _position(scope_of(df), name)
+            return df.orderBy(sky.separation(ra, dec, F.lit(lon + 180.0), F.lit(float(lat))))
+    return df
+
+
 def _elem(kind: T.DataType, e: Column, cond: dict) -> Column:
     scope = Scope(T.StructType([T.StructField("x", kind)]), {"e": Typed(e, kind)})
     tests = []
@@ -236,15 +255,34 @@ def lookup(df: DataFrame, spec: dict, tables: Tables) -> DataFrame:
     key, local = path_of(scope_of(foreign), spec["foreignField"]), path_of(scope_of(df), spec["localField"])
     rows = foreign.where(key.column.isNotNull()).groupBy(key.column.alias("__key")).agg(F.collect_list(F.struct(*(F.col(f"`{c}`") for c in foreign.columns))).alias("__rows"))
     if isinstance(local.kind, T.ArrayType):
-        keyed = df.withColumn("__id", F.monotonically_increasing_id())
-        each = keyed.select("__id", F.explode(local.column).alias("__key")).distinct().join(rows, "__key").groupBy("__id").agg(F.flatten(F.collect_list("__rows")).alias("__rows"))
-        joined = keyed.join(each, "__id", "left").drop("__id")
+        # what an array meets depends on its keys alone, so equal arrays are looked up once and no row needs a number
+        keyed = df.withColumn("__keys", F.array_sort(F.array_distinct(local.column)))
+        each = keyed.select("__keys").where("size(__keys) > 0").distinct().select("__keys", F.explode("__keys").alias("__key")).join(rows, "__key")
+        each = each.groupBy("__keys").agg(F.flatten(F.collect_list("__rows")).alias("__rows")).withColumnRenamed("__keys", "__met")
+        joined = keyed.join(each, F.col("__keys") == F.col("__met"), "left").drop("__keys", "__met")
     else:
         joined = df.withColumn("__local", local.column).join(rows, F.col("__local") == F.col("__key"), "left").drop("__local", "__key")
     empty = F.array().cast(rows.schema["__rows"].dataType)
     return joined.withColumn(spec["as"], F.coalesce("__rows", empty)).drop("__rows")
 
 
+def lookup_unwound(df: DataFrame, spec: dict, keep: bool, tables: Tables) -> DataFrame:
+    """A lookup whose array is taken apart at once: a plain join, where no key's rows are ever gathered."""
+    foreign = run(tables[spec["from"]], spec.get("pipeline", []), tables)
+    key, local = path_of(scope_of(foreign), spec["foreignField"]), path_of(scope_of(df), spec["localField"])
+    rows = foreign.select(key.column.alias("__key"), F.struct(*(F.col(f"`{c}`") for c in foreign.columns)).alias("__row"))
+    joined = df.withColumn("__local", local.column).join(rows, F.col("__local") == F.col("__key"), "left" if keep else "inner")
+    return joined.withColumn(spec["as"], F.col("__row")).drop("__local", "__key", "__row")
+
+
+def _joins(now: dict, after: dict, df: DataFrame) -> bool:
+    """Whether a stage and the next are a lookup by one value and the unwinding of what it found."""
+    if "$lookup" not in now or "$unwind" not in after or isinstance(path_of(scope_of(df), now["$lookup"]["localField"]).kind, T.ArrayType):
+        return False
+    how = after["$unwind"]
+    return (how if isinstance(how, str) else how["path"]) == "$" + now["$lookup"]["as"] and not (isinstance(how, dict) and how.get("includeArrayIndex"))
+
+
 def sort(df: DataFrame, spec: dict) -> DataFrame:
     """Nulls come first ascending and last descending."""
     scope = scope_of(df)
@@ -260,7 +298,7 @@ def stage_of(stage: dict) -> tuple[str, Any]:
 def apply(df: DataFrame, stage: dict, tables: Tables) -> DataFrame:
     op, v = stage_of(stage)
     if op == "$match":
-        return df.where(match(scope_of(df), v))
+        return nearest_first(df.where(match(scope_of(df), v)), v)
     if op == "$project":
         return project(df, v)
     if op in ("$addFields", "$set"):
@@ -303,4 +341,12 @@ def parse(stages: str | list) -> list[dict]:
 
 
 def run(df: DataFrame, stages: str | list, tables: Tables | None = None) -> DataFrame:
-    return reduce(lambda d, s: apply(d, s, tables or {}), parse(stages), df)
+    todo = parse(stages)
+    while todo:
+        if len(todo) > 1 and _joins(todo[0], todo[1], df):
+            how = todo[1]["$unwind"]
+            df = lookup_unwound(df, todo[0]["$lookup"], isinstance(how, dict) and how.get("preserveNullAndEmptyArrays", False), tables or {})
+            todo = todo[2:]
+        else:
+            df, todo = apply(df, todo[0], tables or {}), todo[1:]
+    return df

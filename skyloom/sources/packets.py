@@ -18,6 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+#: Items of a block, at most: items of type null take no bytes, so a block's bytes don't bound them.
+MOST_ITEMS = 1 << 20
+
+
 class PacketError(ValueError):
     """Bytes that are no packet of the expected kind."""
 
@@ -126,6 +130,8 @@ class Decoder:
                 if n < 0:
                     n = -n
                     r.long()
+                if n > MOST_ITEMS:
+                    raise PacketError(f"a block of {n} items")
                 for _ in range(n):
                     if kind == "array":
                         out.append(self.read(r, s["items"]))
@@ -204,27 +210,33 @@ def shaped(value: Any, kind: T.DataType) -> Any:
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         return float(value)
     if isinstance(kind, (T.IntegerType, T.LongType)):
-        return int(value)
+        bits = 31 if isinstance(kind, T.IntegerType) else 63
+        if not -(1 << bits) <= (number := int(value)) < 1 << bits:
+            raise PacketError(f"{number} is no {kind.simpleString()}")
+        return number
     if isinstance(kind, T.StringType):
         return str(value)
     return value
 
 
 def decode(packets: DataFrame, schema: T.StructType, how: Containers | Framed, column: str = "value") -> DataFrame:
-    """(packet, error) for each row: the packet as a struct of ``schema``, or why it could not be decoded."""
-    out = T.StructType([T.StructField("packet", schema), T.StructField("error", T.StringType())])
+    """(packet, error, raw) for each row: the packet as a struct of ``schema``, or why it could not be decoded, with its
+    bytes as they came. Whatever a packet holds, it makes a row and never fails the job."""
+    out = T.StructType([T.StructField("packet", schema), T.StructField("error", T.StringType()), T.StructField("raw", T.BinaryType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows, errors = [], []
+            rows, errors, kept = [], [], []
             for raw in frame[column]:
                 try:
                     rows.append(shaped(how(bytes(raw)), schema))
                     errors.append(None)
-                except (PacketError, KeyError, IndexError, UnicodeDecodeError, struct.error, zlib.error, TypeError, ValueError) as e:
+                    kept.append(None)
+                except Exception as e:  # noqa: BLE001  anything may be wrong with bytes from outside, and all of it is told
                     rows.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield pd.DataFrame({"packet": pd.Series(rows, dtype=object), "error": pd.Series(errors, dtype=object)})
+                    errors.append(f"{type(e).__name__}: {e}"[:1000])
+                    kept.append(raw)
+            yield pd.DataFrame({"packet": pd.Series(rows, dtype=object), "error": pd.Series(errors, dtype=object), "raw": pd.Series(kept, dtype=object)})
 
     return packets.select(column).mapInPandas(run, out)
 
@@ -234,7 +246,8 @@ def good(decoded: DataFrame) -> DataFrame:
 
 
 def quarantined(decoded: DataFrame) -> DataFrame:
-    return decoded.where("error IS NOT NULL").select("error")
+    """Why packets could not be decoded, and their bytes, from which they can be decoded again."""
+    return decoded.where("error IS NOT NULL").select("error", "raw")
 
 
 def schemas_from(files: dict[str, str]) -> dict[int, Any]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -26,6 +27,11 @@ def subscription_topics(survey: str, today: dt.date, days: int, programs: Iterab
     return list(dict.fromkeys(t for i in range(days, -1, -1) for t in topics(survey, today - dt.timedelta(days=i), programs)))
 
 
+def topic_pattern(survey: str, programs: Iterable[int] = (1,)) -> str:
+    """A pattern of the survey's topics of any night."""
+    return TOPICS[survey].replace("{date}", "[0-9]{8}").replace("{program}", "(" + "|".join(map(str, sorted(programs))) + ")")
+
+
 @dataclass(frozen=True)
 class Start:
     """Where reading begins: a pinned date is read whole and not followed further."""
@@ -41,15 +47,20 @@ class Start:
 def open_stream(spark: SparkSession, survey: str, start: Start, servers: str | None = None, folder: str | None = None, days: int = 1, programs: Iterable[int] = (1,), most: int = MAX_QUEUED) -> DataFrame:
     """A stream of (topic, value): from a broker if servers are given, else from a folder of packet files by topic.
 
-    A batch takes no more than ``most`` packets, so a slow stage holds reading back.
+    A batch takes no more than ``most`` packets, so a slow stage holds reading back. A stream that isn't pinned subscribes
+    to the survey's topics of every night from its first on, so it passes midnight without being started again.
     """
-    names = topics(survey, start.date, programs) if start.pinned else subscription_topics(survey, start.date, days, programs)
+    wanted = topic_pattern(survey, programs)
+    first = None if start.pinned else subscription_topics(survey, start.date, days, programs)
+    names = topics(survey, start.date, programs) if start.pinned else None
     if servers:
-        options = {"kafka.bootstrap.servers": servers, "subscribe": ",".join(names), "maxOffsetsPerTrigger": str(most), "failOnDataLoss": "false"} | start.options()
+        which = {"subscribe": ",".join(names)} if names else {"subscribePattern": wanted}
+        options = {"kafka.bootstrap.servers": servers, "maxOffsetsPerTrigger": str(most), "failOnDataLoss": "false"} | which | start.options()
         return spark.readStream.format("kafka").options(**options).load().select("topic", "value")
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", most).option("pathGlobFilter", "*.avro").option("recursiveFileLookup", "true").load(folder)
-    return files.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("topic"), F.col("content").alias("value")).where(F.col("topic").isin(names))
+    out = files.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("topic"), F.col("content").alias("value"))
+    return out.where(F.col("topic").isin(names)) if names else out.where(F.col("topic").rlike(f"^{wanted}$") & (F.regexp_extract("topic", "[0-9]{8}", 0) >= min(re.findall("[0-9]{8}", " ".join(first)), default="")))
 
 
 def replay(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:

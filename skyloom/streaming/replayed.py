@@ -17,16 +17,24 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share; set here only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/skyloom-streams"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/skyloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def merged_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+def in_batches(spark: SparkSession, sf_dir: str, batches: int = 4) -> DataFrame:
+    """The stored events as a stream of ``batches`` micro-batches. Each one spans all times, so points come late."""
+    stored, folder = spark.read.parquet(f"{sf_dir}/events.parquet"), shared_folder(spark, "events")
+    stored.repartition(batches, "event_id").write.option("maxRecordsPerFile", 0).parquet(folder)
+    return spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def merged_objects(spark: SparkSession, sf_dir: str, batches: int = 4) -> DataFrame:
     """(objectId, points, first_jd, last_jd): the last state of each object after all micro-batches."""
     folder, checkpoint = shared_folder(spark, "objects"), shared_folder(spark, "progress")
-    stored = spark.read.parquet(f"{sf_dir}/events.parquet")
-    events = spark.readStream.schema(stored.schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
+    events = in_batches(spark, sf_dir, batches)
     points = views.as_detections(events).select("objectId", "jd", "mag", "mag_err", "band", "designation")
 
     def each(batch: DataFrame, i: int) -> None:

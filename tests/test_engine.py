@@ -150,6 +150,7 @@ def slope(spark, xs, ys, sigma):
 
 
 def test_slope_goldens(spark):
+    # fixed values: test vectors that every implementation is to meet
     f = slope(spark, [1, 2, 3, 4, 5], [2, 4.1, 6, 8.1, 10.2], 0.1)
     assert abs(f.rate - 2.04) < 1e-2 and abs(f.rate_error - 0.031623) < 1e-5 and abs(f.red_chi2 - 0.400001) < 1e-4 and f.nb_data == 5 and f.dt == 4
     assert abs(slope(spark, [1, 2, 3, 4, 5], [2, 8, 1, 7, 3], 0.1).red_chi2 - 1290) < 0.1
@@ -506,3 +507,70 @@ def test_searches(spark):
     assert [api.sort_order(x) for x in ("asc", -1, "DESC")] == [1, -1, -1]
     assert {r.objectId: r["_id"] for r in api.representative(alerts(spark), "last").collect()} == {"a": 2, "b": 3}
     assert api.missing_catalogs({"cross_matches": {"NED": []}}, ["NED", "PS1"]) == ["PS1"]
+
+
+# ---- odd packets, nights, boxes, lookups ----
+
+
+def test_no_packet_fails_a_job(spark):
+    """Cut, altered and mistyped packets become rows with their bytes."""
+    rng, whole = random.Random(3), container(PACKET)
+    raws = [whole[: rng.randrange(len(whole))] for _ in range(60)]
+    for _ in range(200):
+        b = bytearray(whole)
+        for _ in range(rng.randrange(1, 6)):
+            b[rng.randrange(len(b))] = rng.randrange(256)
+        raws.append(bytes(b))
+    text = {"type": "record", "name": "alert", "fields": [{"name": "candidate", "type": "string"}]}
+    huge = {"type": "record", "name": "alert", "fields": [{"name": "candid", "type": "double"}]}
+    nulls = {"type": "record", "name": "alert", "fields": [{"name": "prv", "type": {"type": "array", "items": "null"}}]}
+    raws += [container({"candidate": "a text"}, schema=text), container({"candid": math.inf}, schema=huge), container({"prv": [None] * 3}, schema=nulls), None]
+    want = T.StructType.fromDDL("objectId string, candid long, candidate struct<jd:double,magpsf:float,extra:int>, prv array<struct<jd:double,magpsf:float>>")
+    rows = packets.decode(spark.createDataFrame([(r,) for r in raws], "value binary"), want, packets.Containers()).collect()
+    assert len(rows) == len(raws) and all((r.error is None) != (r.packet is None) for r in rows)
+    assert all(r.error and (r.raw is None) == (raw is None) for r, raw in zip(rows[-4:], raws[-4:]) if raw is None or b"a text" in raw)
+    bad = packets.quarantined(packets.decode(spark.createDataFrame([(raws[0],)], "value binary"), want, packets.Containers())).collect()
+    assert bytes(bad[0].raw) == raws[0]
+
+
+def test_streams_of_folders_pass_midnight(spark, tmp_path):
+    for night in ("20240615", "20240616", "20240617", "20240618"):
+        (tmp_path / "in" / f"ztf_{night}_programid1").mkdir(parents=True)
+        (tmp_path / "in" / f"ztf_{night}_programid1" / "a.avro").write_bytes(container(PACKET))
+    (tmp_path / "in" / "ztf_20240617_programid3").mkdir()
+    (tmp_path / "in" / "ztf_20240617_programid3" / "a.avro").write_bytes(b"x")
+
+    def seen(start, name):
+        stream = surveys.open_stream(spark, "ZTF", start, folder=str(tmp_path / "in"), days=1)
+        state.enrich_batches(stream, lambda b: b.select("topic"), lambda b, i: b.write.mode("append").parquet(str(tmp_path / name)), str(tmp_path / f"{name}-progress")).awaitTermination()
+        return sorted(r.topic[4:12] for r in spark.read.parquet(str(tmp_path / name)).collect())
+
+    assert seen(surveys.Start(dt.date(2024, 6, 17)), "followed") == ["20240616", "20240617", "20240618"]
+    assert seen(surveys.Start(dt.date(2024, 6, 16), pinned=True), "pinned") == ["20240616"]
+    assert surveys.replay(spark, str(tmp_path / "in"), 3).count() == 3 and surveys.replay(spark, str(tmp_path / "in")).count() == 5
+    routed = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "_id long, topic string")
+    surveys.write_by_topic(routed, str(tmp_path / "out"))
+    assert sorted(r.topic for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_boxes_hold_their_cones(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(r), float(d)) for r, d in zip(rng.uniform(0, 360, 4000), np.degrees(np.arcsin(rng.uniform(-1, 1, 4000))))]
+    df = spark.createDataFrame(rows, "ra double, dec double").persist()
+    for ra, dec, radius in ((0.5, 10.0, 5.0), (359.0, -70.0, 15.0), (180.0, 88.0, 4.0), (90.0, 0.0, 0.5), (10.0, 0.0, 100.0), (200.0, 60.0, 29.5)):
+        near = df.where(sky.separation(F.col("ra"), F.col("dec"), F.lit(ra), F.lit(dec)) <= radius)
+        assert near.count() == near.where(sky.near_box(F.col("ra"), F.col("dec"), ra, dec, radius)).count()
+
+
+def test_lookups_by_arrays_under_other_partitionings(spark):
+    rows = [(i, [i % 7, i % 5, i % 7] if i % 4 else None, f"x{i}") for i in range(60)]
+    foreign = spark.createDataFrame([(k, f"v{k}") for k in range(6)] + [(3, "again"), (None, "none")], "k long, v string")
+    stages = [{"$lookup": {"from": "f", "localField": "keys", "foreignField": "k", "as": "found"}}]
+    want = {i: sorted(f"v{k}" for k in {*(keys or ())} if k < 6) + ["again"] * (3 in (keys or ())) for i, keys, _ in rows}
+    for parts in (1, 3, 13):
+        df = spark.createDataFrame(rows, "_id long, keys array<long>, x string").repartition(parts)
+        got = {r["_id"]: (r.x, sorted(f.v for f in r.found)) for r in pipeline.run(df, stages, {"f": foreign.repartition(parts)}).collect()}
+        assert got == {i: (f"x{i}", sorted(want[i])) for i in want}
+    store = api.Store(spark, {"a": spark.createDataFrame([(i, 10 + i / 1e4, 0.0) for i in range(20)], "_id long, ra double, dec double")})
+    (r,) = store.cone_search("a", {"p": (10.0, 0.0)}, 5.0, limit=3).collect()
+    assert [m["_id"] for m in r.matches] == [0, 1, 2]

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, stage, texts_of
+from .common import map_texts, stage, texts_of, unstage
 
 WORDS, PERCENT = 5, 75
 #: 32 bands of 4: a pair of similarity 0.75 shares no band once in 200,000 times.
@@ -148,8 +148,10 @@ def components(edges: DataFrame) -> DataFrame:
         moved = labels.join(heard, "node").select("node", "comp", F.least("comp", "near").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("comp").alias("far"))
         after = stage(moved.join(jump, "to", "left").select("node", F.coalesce(F.least("to", "far"), "to").alias("comp"), (F.coalesce(F.least("to", "far"), "to") != F.col("comp")).alias("changed")), "labels")
+        unstage(labels)
         labels = after.select("node", "comp")
         if after.where("changed").isEmpty():
+            unstage(both)
             return labels
 
 

@@ -502,3 +502,60 @@ def test_pipeline_by_brute_force(spark):
     t = Tokenizer.from_file(vocabulary_path())
     want = {d: len(t.encode(pii.redacted(texts[d]), add_special_tokens=False).ids) for d in left}
     assert {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, SF).collect()} == want
+
+
+def test_quality_scores_by_one_process(spark):
+    """The query's scores against a fit and a scoring without Spark."""
+    import zlib
+
+    docs, labels = table(spark, "documents"), table(spark, "labels")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in texts}
+    known = sorted((r.doc_id, float(r.quality)) for r in labels.collect() if r.quality is not None and r.doc_id in texts and not held[r.doc_id])
+    assert len(known) < quality.TRAIN_ROWS
+    x, y = np.array([quality.features(texts[i]) for i, _ in known]), np.array([v for _, v in known])
+    edges, coarse = ([np.unique(np.quantile(x[:, f], np.linspace(0, 1, k + 1)[1:-1])) for f in range(x.shape[1])] for k in (quality.BINS, quality.COARSE))
+    pairs = quality.fit(x, y, edges, coarse, None)["pairs"]
+    bags = [quality.fit(*(v[np.arange(len(y)) % quality.BAGS != k] for v in (x, y)), edges, coarse, pairs) for k in range(quality.BAGS)]
+
+    def score(text):
+        v, z = quality.features(text), np.mean([b["base"] for b in bags])
+        at = [[int((np.asarray(e[f]) <= v[f]).sum()) for f in range(len(v))] for e in (edges, coarse)]
+        z += sum(np.mean([b["tables"][f][at[0][f]] for b in bags]) for f in range(len(v)))
+        z += sum(np.mean([b["pair_tables"][k][at[1][f], at[1][g]] for b in bags]) for k, (f, g) in enumerate(pairs))
+        return 1 / (1 + np.exp(-z))
+
+    for r in quality.classify(docs, labels).collect():
+        want = score(texts[r.doc_id])
+        assert abs(r.score - want) < 1e-9 and r.held_out == held[r.doc_id] and r.predicted == int(r.score >= 0.3)
+
+
+def test_rule_verdicts_by_one_process(spark):
+    """base_failed, posterior and kept against expectation-maximisation in plain loops over the votes of all texts."""
+    docs = table(spark, "documents")
+    figures = {r.doc_id: rules.figures(r.text or "") for r in docs.collect()}
+    said = {i: rules.votes(x) for i, x in figures.items()}
+    n = len(next(iter(said.values())))
+    prior = 0.8
+    chance = [[dict(zip("bg-", p)) for _ in range(n)] for p in ((0.6, 0.15, 0.25), (0.05, 0.6, 0.35))]
+
+    def good(votes):
+        odds = [p0 for p0 in (1 - prior, prior)]
+        for c in (0, 1):
+            for k, v in enumerate(votes):
+                if v != "-":
+                    odds[c] *= chance[c][k][v] / (chance[c][k]["b"] + chance[c][k]["g"])
+        return odds[1] / (odds[0] + odds[1])
+
+    for _ in range(60):
+        p = {i: good(v) for i, v in said.items()}
+        prior = (sum(p.values()) + 1) / (len(p) + 2)
+        for c in (0, 1):
+            for k in range(n):
+                sums = {v: 1 + sum(p[i] if c else 1 - p[i] for i, w in said.items() if w[k] == v) for v in "bg-"}
+                chance[c][k] = {v: s / sum(sums.values()) for v, s in sums.items()}
+    for r in rules.judge(docs).collect():
+        x, want = figures[r.doc_id], good(said[r.doc_id])
+        failed = x[0] < 50 or 100 * x[4] > 50 * x[0]
+        assert r.base_failed == failed and abs(r.posterior - want) < 1e-6
+        assert r.kept == (not failed and want >= 0.5) or abs(want - 0.5) < 1e-6

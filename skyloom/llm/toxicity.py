@@ -25,8 +25,8 @@ from .quality import labelled
 TRAIN_ROWS = 20_000
 BITS, SHARDS, ROUNDS = 20, 4, 6
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 4.0, 0.1
-#: Training rows that must have a feature, at least and for each thousand rows; the weight of a toxic row.
-LEAST_ROWS, LEAST_IN_THOUSAND, TOXIC_WEIGHT = 4, 1, 2.0
+#: Training rows that must have a feature, whatever their number; the weight of a toxic row.
+LEAST_ROWS, TOXIC_WEIGHT = 4, 2.0
 MIN_SCORE = 0.5
 _EDGES = re.compile(rb"[^0-9a-z\x80-\xff]+")
 
@@ -106,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     total = np.zeros(size, np.int64)
     for r in hashed.mapInPandas(counts, "n binary").collect():  # one table a shard
         total += np.frombuffer(zlib.decompress(r.n), np.int32)
-    often = np.flatnonzero(total >= max(LEAST_ROWS, len(ys) * LEAST_IN_THOUSAND // 1000))
+    often = np.flatnonzero(total >= LEAST_ROWS)
     place = np.full(size, -1, np.int32)
     place[often] = np.arange(len(often))
     sent_place, sent_labels = spark.sparkContext.broadcast(place), spark.sparkContext.broadcast(ys)

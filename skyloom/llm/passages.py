@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import stage, texts_of
 
-SENTENCES, MIN_WORDS = 2, 12
+#: A span has several sentences and enough words that clean texts don't share it by chance; a passage of 51 words still holds some.
+SENTENCES, MIN_WORDS = 2, 20
 #: Cuts of a long sentence are at most CUT_ONE_IN words apart, and those whose CUT_ONE_IN - 1 neighbours on both sides
 #: lie in a passage are the same wherever it stands: 48 words without punctuation always hold a span.
 LONG, CUT_ONE_IN = 20, 8

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +32,36 @@ _WORD = re.compile(r"\S+\s*")
 _PLACE = np.random.default_rng(20240301).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _cuts(text: str, start: int, end: int) -> list[int]:
+    """Ends of the words that are least in any CUT_ONE_IN in a row; behind one comes the first lesser word, or else the
+    least of the next CUT_ONE_IN."""
+    sizes = list(map(len, _WORD.findall(text, start, end)))
+    ends, last = list(accumulate(sizes, initial=end - sum(sizes))), len(sizes) - 1
+    hashes = map(zlib.crc32, map(str.encode, text[start:end].lower().split()))
+    key = [h << 32 | i for h, i in zip(hashes, range(last, -1, -1))]  # of equals, the last is least
+    out, k = [], min(key[:CUT_ONE_IN])
+    while True:
+        i = last - (k & 0xFFFFFFFF) + 1
+        if ends[i] < end:
+            out.append(ends[i])
+        after = key[i : i + CUT_ONE_IN]
+        least = min(after, default=k)
+        if least < k:
+            k = next(x for x in after if x < k)
+        elif len(after) == CUT_ONE_IN:
+            k = least
+        else:
+            return out
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     """Spans of sentences, with the white space after them: together they are the text."""
     out, start = [], 0
     for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
         if end - start > 2 * LONG and len(text[start:end].split(None, LONG)) > LONG:
-            words = list(_WORD.finditer(text, start, end))
-            last = len(words) - 1
-            key = [zlib.crc32(m[0].rstrip().lower().encode()) << 32 | last - i for i, m in enumerate(words)]  # of equals, the last is least
-            for k in sorted({min(key[i : i + CUT_ONE_IN]) & 0xFFFFFFFF for i in range(len(key) - CUT_ONE_IN + 1)}, reverse=True):
-                i = last - k
-                if words[i].end() < end:
-                    out.append((start, words[i].end()))
-                    start = words[i].end()
+            for at in _cuts(text, start, end):
+                out.append((start, at))
+                start = at
         if start < end:
             out.append((start, end))
             start = end

@@ -530,6 +530,59 @@ def test_quality_scores_by_one_process(spark):
         assert abs(r.score - want) < 1e-9 and r.held_out == held[r.doc_id] and r.predicted == int(r.score >= 0.3)
 
 
+def test_toxicity_scores_by_one_process(spark):
+    """The query's scores against FTRL-proximal in plain loops, shard by shard, with features made one at a time."""
+    import zlib
+
+    import xxhash
+
+    docs, labels = table(spark, "documents"), table(spark, "labels")
+    rows = docs.select("doc_id", "text", F.pmod(F.hash("doc_id"), F.lit(toxicity.SHARDS)).alias("shard")).collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows}
+    toxic = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    a, b, whole = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
+
+    def places(text):
+        h = [xxhash.xxh3_64_intdigest(w) for w in re.split(rb"[^0-9a-z\x80-\xff]+", (text or "").lower().encode()) if w]
+        made = h + [x * a + y for x, y in zip(h, h[1:])] + [x * b + y for x, y in zip(h, h[2:])]
+        return {(m * a & whole) >> (64 - toxicity.BITS) for m in made}
+
+    at = {r.doc_id: places(r.text) for r in rows}
+    known = sorted(r.doc_id for r in rows if r.doc_id in toxic and not held[r.doc_id])
+    assert len(known) < toxicity.TRAIN_ROWS and len({toxic[i] for i in known}) == 2
+    counts = Counter(x for i in known for x in at[i])
+    shard = {r.doc_id: r.shard for r in rows}
+    shards = [[i for i in known if shard[i] == k] for k in range(toxicity.SHARDS)]
+
+    def weight(z, n):
+        return 0.0 if abs(z) <= toxicity.L1 else ((toxicity.L1 if z > 0 else -toxicity.L1) - z) / ((toxicity.BETA + n**0.5) / toxicity.ALPHA + toxicity.L2)
+
+    def margin(z, n, found):
+        return sum(weight(z[x], n[x]) for x in found if x in z) - z[None] / ((toxicity.BETA + n[None] ** 0.5) / toxicity.ALPHA)
+
+    z = {x: 0.0 for x in [None, *(x for x, c in counts.items() if c >= toxicity.LEAST_ROWS)]}
+    n = dict(z)
+    for _ in range(toxicity.ROUNDS):
+        ends = []
+        for ids in shards:
+            own_z, own_n = dict(z), dict(n)
+            for k in np.random.default_rng(1).permutation(len(ids)):
+                y, found = toxic[ids[k]], [x for x in at[ids[k]] if x in z]
+                g = (1 / (1 + np.exp(-margin(own_z, own_n, found))) - y) * (toxicity.TOXIC_WEIGHT if y else 1.0)
+                old = {x: weight(own_z[x], own_n[x]) for x in found}
+                old[None] = -own_z[None] / ((toxicity.BETA + own_n[None] ** 0.5) / toxicity.ALPHA)
+                for x, w in old.items():
+                    more = own_n[x] + g * g
+                    own_z[x] += g - (more**0.5 - own_n[x] ** 0.5) / toxicity.ALPHA * w
+                    own_n[x] = more
+            ends.append((own_z, own_n))
+        z, n = ({x: v[x] + sum(e[k][x] - v[x] for e in ends) / toxicity.SHARDS for x in v} for k, v in enumerate((z, n)))
+
+    for r in toxicity.classify(docs, labels).collect():
+        want = 1 / (1 + np.exp(-margin(z, n, at[r.doc_id])))
+        assert abs(r.score - want) < 1e-4 and r.held_out == held[r.doc_id] and r.predicted == int(r.score >= 0.5)
+
+
 def test_rule_verdicts_by_one_process(spark):
     """base_failed, posterior and kept against expectation-maximisation in plain loops over the votes of all texts."""
     docs = table(spark, "documents")

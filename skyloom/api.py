@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import threading
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions import photometry, sky
@@ -88,7 +90,9 @@ class Store:
 
     def stats(self, name: str) -> dict[str, Any]:
         df = self.table(name)
-        return {"count": df.select().count(), "columns": len(df.columns), "files": len(df.inputFiles())}
+        files = df.inputFiles()
+        sizes = self.spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0] if files else 0  # listed, not read
+        return {"count": df.select().count(), "columns": len(df.columns), "files": len(files), "bytes": sizes}
 
 
 def sort_order(x: Any) -> int:
@@ -111,6 +115,56 @@ def survey_of(object_id: str) -> tuple[str, str]:
     raise QueryError(f"no survey has ids like {object_id}")
 
 
+def surveys_of(ids: Column) -> Column:
+    """struct<survey, id> of a column of ids, as ``survey_of`` tells them; both are null where no survey has such ids."""
+    t = F.trim(ids)
+    ztf = (t != "") & (F.lit("ZTF").startswith(F.upper(t)) | t.rlike("(?i)^ZTF([0-9]{2}[a-z]{0,7})?$"))
+    sso, number = t.rlike("(?i)^sso[0-9]*$"), t.rlike("^[0-9]+$")
+    spelled = F.when(ztf, F.concat(F.upper(F.substring(t, 1, 3)), F.lower(F.substr(t, F.lit(4))))).when(sso, F.concat(F.lit("sso"), F.substr(t, F.lit(4)))).when(number, t)
+    return F.struct(F.when(ztf, "ZTF").when(sso | number, "LSST").alias("survey"), spelled.alias("id"))
+
+
+def object_page(alerts: DataFrame, objects: DataFrame, others: dict[str, DataFrame], object_id: str, survey: str = "ZTF") -> DataFrame:
+    """One object with its alerts' ids in order of time and its nearest counterparts, looked up at the time of reading.
+
+    ``counterparts`` lists (survey, objectId, distance_arcsec), nearest first. An id that isn't stored gives no row.
+    """
+    one = objects.where(F.col("objectId") == object_id)
+    seen = alerts.where(F.col("objectId") == object_id).groupBy("objectId").agg(F.array_sort(F.collect_list(F.struct(F.col("candidate.jd").alias("jd"), "_id"))).alias("alerts"))
+    out = one.join(seen, "objectId", "left")
+    met = None
+    for name, other in others.items():
+        near = crossmatch.nearest(one, other.withColumnRenamed("objectId", "match_id"), max(crossmatch.UNCERTAINTY[survey], crossmatch.UNCERTAINTY[name]), covers=crossmatch.COVERAGE[name])
+        near = near.select("objectId", F.struct("distance_arcsec", F.lit(name).alias("survey"), F.col("match_id").alias("objectId")).alias("met"))
+        met = near if met is None else met.unionByName(near)
+    if met is not None:
+        out = out.join(met.groupBy("objectId").agg(F.array_sort(F.collect_list("met")).alias("counterparts")), "objectId", "left")
+    return out
+
+
+def rows_within(df: DataFrame, seconds: float) -> list:
+    """The rows of a bounded result, or an error if they take longer: the jobs that are still running are cancelled."""
+    context = df.sparkSession.sparkContext
+    tag, late = f"limit-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    context.addJobTag(tag)
+    timer.start()
+    try:
+        return df.collect()
+    except Exception as e:
+        if late.is_set():
+            raise QueryError(f"took more than {seconds} seconds") from e
+        raise
+    finally:
+        timer.cancel()
+        context.removeJobTag(tag)
+
+
 def alert_search(alerts: DataFrame, object_id: str | None = None, cone: tuple[float, float, float] | None = None, window: tuple[float, float] | None = None, ranges: dict[str, tuple[float | None, float | None]] | None = None, flags: dict[str, bool] | None = None, isdiffpos: bool | None = None, skip: int = 0, limit: int = 100) -> DataFrame:
     """Alerts of one object, in one cone (ra, dec, arcseconds) or in one window of a day at most, in order of id."""
     if object_id is None and cone is None and window is None:

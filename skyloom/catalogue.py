@@ -555,7 +555,7 @@ def scorer_stub(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from skyloom import catalogue_surveys  # noqa: F401  it registers its own
+    from skyloom import catalogue_sources, catalogue_surveys  # noqa: F401  they register their own
 
     return dict(QUERIES)
 

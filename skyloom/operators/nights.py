@@ -58,6 +58,11 @@ def subscription(today: dt.date, days: int) -> list[dt.date]:
     return [today - dt.timedelta(days=i) for i in range(days, -1, -1)]
 
 
+def cache_seconds_of(age_days: Column) -> Column:
+    """The same for a column of ages."""
+    return F.when(age_days < 3, cache_seconds(0)).when(age_days <= 7, cache_seconds(7)).otherwise(cache_seconds(8))
+
+
 def cache_seconds(age_days: int) -> int:
     """How long a night's count stays good."""
     return 1800 if age_days < 3 else 86400 if age_days <= 7 else 31536000

@@ -259,3 +259,10 @@ def task_of(text: str) -> tuple[int, int]:
     if not (comma and len(program) == 1 and program.isdigit() and candid.lstrip("-").isdigit()):
         raise FilterError(f"no task: {text}")
     return int(program), int(candid)
+
+
+def tasks_of(text: Column) -> Column:
+    """struct<program, candid> of a column of queued tasks; both are null where a text is no task."""
+    part = lambda i: F.nullif(F.regexp_extract(text, r"^([0-9]),(-?[0-9]+)$", i), F.lit(""))
+    candid = part(2).try_cast("long")
+    return F.struct(F.when(candid.isNotNull(), part(1).cast("int")).alias("program"), candid.alias("candid"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -61,16 +62,27 @@ def pixels(data: pd.Series) -> pd.Series:
 
     def one(b):
         try:
-            return normalised(image(bytes(b))).ravel().tolist() if b is not None else None
+            return normalised(image(bytes(b))).ravel() if b is not None else None
         except (ValueError, KeyError, OSError, EOFError, UnicodeDecodeError):
             return None
 
     return data.map(one)
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; within a lambda it would be computed again for each pixel."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def cleaned(values: Column) -> Column:
+    """Pixels with the middle one of the usable pixels in place of those that are no number or beyond 1e20."""
+    usable = lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) <= 1e20), F.lit(False))
+    middle = lambda kept: F.get(kept, F.floor(F.size(kept) / 2).cast("int"))
+    return _with(_with(F.array_sort(F.filter(values, usable)), middle), lambda m: F.transform(values, lambda v: F.when(usable(v), v).otherwise(m)))
+
+
 def stretched(values: Column, how: str = "asinh") -> Column:
     """Pixels between 0 and 1, stretched for display."""
-    low, high = F.array_min(values), F.array_max(values)
-    scaled = F.transform(values, lambda v: F.coalesce(F.try_divide(v - low, high - low), F.lit(0.0)))
     shape = {"linear": lambda v: v, "sqrt": F.sqrt, "log": lambda v: F.log10(1 + 9 * v), "asinh": lambda v: F.asinh(10 * v) / F.asinh(F.lit(10.0))}[how]
-    return F.transform(scaled, shape)
+    ends = F.struct(F.array_min(values).alias("low"), F.array_max(values).alias("high"))
+    return _with(ends, lambda e: F.transform(values, lambda v: shape(F.coalesce(F.try_divide(v - e["low"], e["high"] - e["low"]), F.lit(0.0)))))

@@ -89,6 +89,27 @@ def with_cutouts(alerts: DataFrame, cutouts: DataFrame, key: str = "_id") -> tup
     return alerts.join(cutouts, key), alerts.join(cutouts.select(key), key, "left_anti")
 
 
+def put_cutouts(rows: DataFrame, folder: str, batch: int, key: str = "_id") -> None:
+    """Images of a batch, one row for each key, in a folder of the batch: one that is written again replaces itself."""
+    rows.dropDuplicates([key]).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/batch={batch}")
+
+
+def get_cutouts(spark: SparkSession, folder: str, keys: DataFrame | None = None, key: str = "_id", latest: bool = False) -> DataFrame:
+    """Stored images, of ``keys`` if they are given. Of a key that was put more than once the first counts, or with
+    ``latest`` the last; which one it is takes a scan of keys alone, without the images."""
+    stored = spark.read.parquet(folder)
+    known = stored.select(key, "batch")
+    wanted = known.join(keys.select(key), key, "left_semi") if keys is not None else known
+    which = wanted.groupBy(key).agg((F.max if latest else F.min)("batch").alias("batch"))
+    return stored.join(which, [key, "batch"]).drop("batch")
+
+
+def packed(*images: Column) -> Column:
+    """Images in one binary value, each behind its length as four big-endian bytes; a missing one has length 0."""
+    some = [F.coalesce(i, F.lit(b"")) for i in images]
+    return F.concat(*(part for i in some for part in (F.unhex(F.lpad(F.hex(F.length(i)), 8, "0")), i)))
+
+
 def write_by_topic(packets: DataFrame, folder: str, topic: str = "topic") -> None:
     """Packets by routed topic, a folder each."""
     packets.where(F.col(topic).isNotNull()).repartition(topic, F.pmod(F.hash("_id"), F.lit(16))).write.mode("append").partitionBy(topic).parquet(folder)

@@ -574,3 +574,42 @@ def test_lookups_by_arrays_under_other_partitionings(spark):
     store = api.Store(spark, {"a": spark.createDataFrame([(i, 10 + i / 1e4, 0.0) for i in range(20)], "_id long, ra double, dec double")})
     (r,) = store.cone_search("a", {"p": (10.0, 0.0)}, 5.0, limit=3).collect()
     assert [m["_id"] for m in r.matches] == [0, 1, 2]
+
+
+def test_rows_within_a_time(spark):
+    assert [r.id for r in api.rows_within(spark.range(3), 60)] == [0, 1, 2]
+    with pytest.raises(api.QueryError, match="more than"):
+        api.rows_within(spark.range(10**12).where("pmod(xxhash64(id), 1000003) = 5").groupBy().sum(), 1.0)
+    assert spark.range(5).count() == 5  # the session goes on
+
+
+def test_storage_figures(spark, tmp_path):
+    spark.range(100).withColumn("x", F.lit("a")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    got = api.Store(spark, {"t": spark.read.parquet(str(tmp_path / "t"))}).stats("t")
+    (file,) = (tmp_path / "t").glob("*.parquet")
+    assert got == {"count": 100, "columns": 2, "files": 1, "bytes": file.stat().st_size}
+    assert api.Store(spark, {"t": spark.range(3)}).stats("t")["bytes"] == 0
+
+
+def test_columns_of_ids_and_tasks_equal_the_functions(spark):
+    texts = ["ZTF18abc", "z", " zt ", "ZTF1", "SSO", "sso12", "ssox", "123", "", "ZTF18ABCDEFGH", "2,-15", "2,--1", "12,5", "1,99999999999999999999", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", api.surveys_of(F.col("t")).alias("s"), filters.tasks_of(F.col("t")).alias("k")).collect()
+
+    def tried(f, t, error):
+        try:
+            return f(t)
+        except error:
+            return (None, None)
+
+    for r in rows:
+        assert (r.s.survey, r.s.id) == ((None, None) if r.t is None else tried(api.survey_of, r.t, api.QueryError)), r.t
+        want = (None, None) if r.t is None else tried(filters.task_of, r.t, ValueError)
+        assert (r.k.program, r.k.candid) == (want if want[1] is None or abs(want[1]) < 2**63 else (None, None)), r.t
+
+
+def test_mended_and_stretched_pixels(spark):
+    df = spark.createDataFrame([([1.0, float("nan"), 3.0, 1e30, 2.0],), ([float("nan")],), ([],), (None,)], "v array<double>")
+    got = [r[0] for r in df.select(images.cleaned(F.col("v"))).collect()]
+    assert got == [[1.0, 2.0, 3.0, 2.0, 2.0], [None], [], None]
+    flat = spark.createDataFrame([([2.0, 2.0],), ([0.0, 5.0, 10.0],)], "v array<double>").select(*(images.stretched(F.col("v"), h) for h in ("linear", "sqrt", "log", "asinh"))).collect()
+    assert all(x == [0.0, 0.0] for x in flat[0]) and list(flat[1][0]) == [0.0, 0.5, 1.0] and all(x[0] == 0.0 and abs(x[2] - 1) < 1e-12 for x in flat[1])

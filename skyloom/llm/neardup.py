@@ -178,7 +178,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _close_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+def _close_pairs(members: DataFrame, texts: DataFrame, most: int = FINE_MAX) -> DataFrame:
     """(a, b): pairs of one bucket but different components whose fine sketches are close, each from its first bucket.
 
     Large buckets are dealt to blocks, and each pair of blocks is a group of bounded size. Sketches of a group are
@@ -214,7 +214,7 @@ def _close_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
             y = y[ids[y] > ids[x]] if i == j else y
             if not len(y):
                 continue
-            y = y[np.bitwise_count(fine[y] ^ fine[x]).sum(1) <= FINE_MAX]
+            y = y[np.bitwise_count(fine[y] ^ fine[x]).sum(1) <= most]
             first = np.argmax(keys[y] == keys[x], 1)  # the first band that they share
             y = y[keys[x][first] == key]
             lo, hi = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
@@ -242,8 +242,9 @@ def _close_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _links(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
+def _links(docs: DataFrame, reps: DataFrame, cut: bool = True) -> DataFrame | None:
     """(node, comp) of the representatives that have links, or None if there are none."""
+    most, fine_most = (MAX_BITS, FINE_MAX) if cut else (SKETCH_BITS, FINE_BITS)
     in_bands = reps.select("doc_id", "n", F.explode("bands").alias("key"))
     shared = in_bands.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
     members = stage(in_bands.join(shared, "key").withColumn("comp", F.col("doc_id")), "members")
@@ -261,9 +262,9 @@ def _links(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
             pairs = stage(pairs if seen is None else pairs.join(seen, ["low", "high"], "left_anti"), "pairs")
             seen = pairs.select("low", "high") if seen is None else seen.unionByName(pairs.select("low", "high"))
             close = pairs.join(odd.withColumnRenamed("doc_id", "a"), "a").join(odd.select(F.col("doc_id").alias("b"), F.col("odd").alias("odd_b")), "b")
-            near = close.where(differing(F.col("odd"), F.col("odd_b")) <= MAX_BITS).select("a", "b")
+            near = close.where(differing(F.col("odd"), F.col("odd_b")) <= most).select("a", "b")
         else:
-            near = _close_pairs(members, texts).join(seen.toDF("a", "b"), ["a", "b"], "left_anti")
+            near = _close_pairs(members, texts, fine_most).join(seen.toDF("a", "b"), ["a", "b"], "left_anti")
         near = stage(near.distinct(), "candidates")
         if not near.isEmpty():
             found = stage(_verified(near, texts), "links")
@@ -279,20 +280,23 @@ def _links(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
     return comps
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, cut: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): a row for each row of docs.
 
     ``component_id`` is the smallest id reachable over links, the row's own included; ``kept`` is true for it.
     Texts without words, null texts among them, have no shingles and are linked with nothing. Repeated rows are one
     node; if texts differ under one id, the smallest text decides on links. Rows without an id are linked with
     nothing and kept.
+
+    Without ``cut`` sketches leave no candidate out: every pair that a bucket still holds apart is checked on its full
+    sets. That is far more work, and the way to measure on given texts whether the sketches lose a link.
     """
     docs = texts_of(docs)
     known = stage(sketches(docs), "sketches")
     usable = known.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     firsts = stage(usable.groupBy("class").agg(F.min("doc_id").alias("first")), "classes")
     reps = usable.join(firsts.withColumnRenamed("first", "doc_id"), ["doc_id", "class"]).dropDuplicates(["doc_id", "class"])
-    comps = _links(docs, stage(reps.select("doc_id", "n", "bands", "odd"), "representatives"))
+    comps = _links(docs, stage(reps.select("doc_id", "n", "bands", "odd"), "representatives"), cut)
     placed = firsts.select("class", F.col("first").alias("comp")) if comps is None else firsts.join(comps, F.col("first") == F.col("node"), "left").select("class", F.coalesce("comp", "first").alias("comp"))
     out = known.select("doc_id", "n", "class").join(placed, "class", "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))

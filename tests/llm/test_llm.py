@@ -298,6 +298,24 @@ def test_many_alike_copies_by_brute_force(spark):
         assert got == components_by_brute_force(texts)
 
 
+def test_classes_without_sketches(spark, monkeypatch):
+    """Without the cut every candidate is checked, whatever the sketches say; with it the classes are the same."""
+    rng = random.Random(15)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(50):
+        w = list(base)
+        for k in rng.sample(range(len(w)), rng.randrange(2, 7)):
+            w[k] = f"v{rng.randrange(9000)}"
+        texts.append((i, " ".join(w)))
+    docs, want = spark.createDataFrame(texts, "doc_id long, text string"), components_by_brute_force(texts)
+    told = lambda **how: {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.classes(docs, **how).collect()}
+    assert told() == want
+    monkeypatch.setattr(neardup, "MAX_BITS", -1)  # sketches that lose every link
+    monkeypatch.setattr(neardup, "FINE_MAX", -1)
+    assert told(cut=False) == want
+
+
 def test_fine_sketches():
     rng = np.random.default_rng(13)
     for j, low, high in ((0.75, 0, neardup.FINE_MAX), (0.6, neardup.FINE_MAX, neardup.FINE_BITS)):

@@ -138,3 +138,21 @@ def find_options(spark, sf):
 def cache_lifetimes(spark, sf):
     age = F.col("l_linenumber")
     return views.load(spark, sf, "lineitem").groupBy(age).agg(F.count("*").alias("n")).select("l_linenumber", nights.cache_seconds_of(age).alias("seconds"), nights.cache_seconds_of(3 * age).alias("thrice"), "n")
+
+
+@query("WITH e AS (SELECT event_id, 'ztf_' || strftime(ts, '%Y%m%d') || '_programid' || (event_id % 3 + 1) AS topic FROM events), n AS (SELECT topic, count(*) AS due, count(*) FILTER (substr(topic, 12, 1) IN ('0', '2', '4', '6', '8') OR topic LIKE '%1') AS had FROM e GROUP BY 1) SELECT event_id, topic FROM e JOIN n USING (topic) WHERE due <> had")
+def archive_replay(spark, sf):
+    """Packets of an archive by night and programme; topics that hold all of theirs are passed over."""
+    topic = F.concat(F.lit("ztf_"), F.date_format("ts", "yyyyMMdd"), F.lit("_programid"), (F.col("event_id") % 3 + 1).cast("string"))
+    archive = views.load(spark, sf, "events").select("event_id", topic.alias("topic"))
+    done = (F.substring("topic", 12, 1).cast("int") % 2 == 0) | F.col("topic").endswith("1")
+    sent = archive.where(done).groupBy("topic").agg(F.count("*").alias("messages"))
+    broken_off = archive.where(~done).groupBy("topic").agg((F.count("*") - 1).alias("messages"))
+    return surveys.unsent(archive, sent.unionByName(broken_off)).select("event_id", "topic")
+
+
+@query("SELECT DISTINCT strftime(CAST(ts AS DATE) - CAST(i AS INT), '%Y-%m-%d') AS night, 'ztf_' || strftime(CAST(ts AS DATE) - CAST(i AS INT), '%Y%m%d') || '_programid' || p AS topic FROM events, range(3) r(i), range(1, 3) q(p)")
+def subscribed_topics(spark, sf):
+    """Topics that a reader of each day follows: that day's and the two before it, of two programmes, each once."""
+    days = views.load(spark, sf, "events").select(F.to_date("ts").alias("day")).distinct()
+    return surveys.topics_of(days, "day", "ZTF", 2, (1, 2)).select(F.date_format("night", "yyyy-MM-dd").alias("night"), "topic").distinct()

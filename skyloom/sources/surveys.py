@@ -27,6 +27,14 @@ def subscription_topics(survey: str, today: dt.date, days: int, programs: Iterab
     return list(dict.fromkeys(t for i in range(days, -1, -1) for t in topics(survey, today - dt.timedelta(days=i), programs)))
 
 
+def topics_of(days: DataFrame, day: str, survey: str, before: int = 0, programs: Iterable[int] = (1,)) -> DataFrame:
+    """The rows of ``days`` with (night, topic): the topics of each day and the ``before`` days ahead of it."""
+    nights = days.withColumn("night", F.explode(F.sequence(F.date_sub(day, before), F.col(day))))
+    parts = [TOPICS[survey].replace("{program}", str(p)).partition("{date}") for p in sorted(programs)]
+    names = F.array_distinct(F.array(*(F.concat(F.lit(a), F.date_format("night", "yyyyMMdd") if date else F.lit(""), F.lit(b)) for a, date, b in parts)))
+    return nights.withColumn("topic", F.explode(names))
+
+
 def topic_pattern(survey: str, programs: Iterable[int] = (1,)) -> str:
     """A pattern of the survey's topics of any night."""
     return TOPICS[survey].replace("{date}", "[0-9]{8}").replace("{program}", "(" + "|".join(map(str, sorted(programs))) + ")")
@@ -69,6 +77,16 @@ def replay(spark: SparkSession, folder: str, limit: int | None = None) -> DataFr
     return files.orderBy("path").limit(limit) if limit else files
 
 
+def unsent(archive: DataFrame, sent: DataFrame) -> DataFrame:
+    """Packets (path, topic, value) of topics that don't hold as many messages yet as the archive has for them.
+
+    ``sent`` is (topic, messages). Of topics whose counts agree nothing is sent again; the rest are sent whole, as
+    packets that come twice are stored once.
+    """
+    due = archive.groupBy("topic").agg(F.count("*").alias("__due")).join(sent.select("topic", "messages"), "topic", "left").where(F.coalesce("messages", F.lit(0)) != F.col("__due"))
+    return archive.join(due.select("topic"), "topic", "left_semi")
+
+
 def insert_new(table: DataFrame, rows: DataFrame, key: str = "_id") -> DataFrame:
     """The rows to append: those whose key is not stored, one for each key."""
     return rows.dropDuplicates([key]).join(table.select(key), key, "left_anti")

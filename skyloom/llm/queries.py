@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licenses, neardup, passages, pii, quality, rules, secrets, toxicity
+from . import bpe, codes, conversations, decontaminate, licenses, neardup, passages, pii, quality, rules, secrets, simhash, toxicity
 from .common import load
 
 VOCABULARY = "word_bpe_49k.json"
@@ -67,10 +67,25 @@ def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op11_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and component of each document; null and empty texts have fingerprint zero."""
+    return simhash.classes(load(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and a digest of it for each conversation; nulls count as one space."""
+    return conversations.report(load(spark, sf_dir, "conversations"))
+
+
+def op13_filtering_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code and error of each sound vector; others are dropped."""
+    return codes.report(load(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda kf: int(kf[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash_odd_sketch": neardup.oracle_sql(), "op6_multipart_secrets": secrets.oracle_sql(), "op7_license_dice": licenses.oracle_sql()}
+    return {"op5_minhash_odd_sketch": neardup.oracle_sql(), "op6_multipart_secrets": secrets.oracle_sql(), "op7_license_dice": licenses.oracle_sql(), "op12_conversation_repair": conversations.oracle_sql(), "op13_filtering_lloyd": codes.oracle_sql()}

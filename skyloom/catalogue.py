@@ -411,15 +411,6 @@ def state_merge_stream(spark, sf):
 # ---- enrichment, packets, bookkeeping ----
 
 
-@query(f"WITH {D}, p AS (SELECT a.candid AS _id, a.ssdistnr < 12 AS rock, b.mag, b.jd FROM d a JOIN d b ON a.objectId = b.objectId AND b.jd <= a.jd WHERE a.programid = 1) SELECT _id, bool_or(rock) AS rock, max(jd) - min(jd) > 0.01 AS stationary, round(min(mag), 4) AS peak_mag, round(max(mag), 4) AS faintest_mag FROM p GROUP BY 1")
-def enrich_properties(spark, sf):
-    """Flags and light-curve statistics of every public alert, from the points up to it."""
-    from skyloom.operators import enrich
-
-    out = enrich.ztf_properties(views.alerts(spark, sf).where("candidate.programid = 1"), views.objects(spark, sf))
-    return out.select("_id", F.col("properties.rock").alias("rock"), F.col("properties.stationary").alias("stationary"), *(F.round(F.col(f"properties.photstats.{c}").cast("double"), 4).alias(c) for c in ("peak_mag", "faintest_mag")))
-
-
 @query(f"WITH {D}, o AS (SELECT 'U' || ((CAST(substr(objectId, 2) AS BIGINT) + 1) % 150) AS alias, jd, programid FROM d WHERE programid = 1) SELECT a.candid AS _id, count(o.jd) AS points FROM d a LEFT JOIN o ON o.alias = a.objectId AND o.jd <= a.jd AND a.jd - o.jd < 365 GROUP BY 1")
 def counterpart_alias(spark, sf):
     """The history of another survey's object, named by an alert's first alias; only its public points are seen."""

@@ -272,15 +272,33 @@ def result_packets(spark, sf):
     return out.select("_id", "objectId", _long("passed", F.size("filters")), _long("points", F.size("photometry")), F.col("cutouts").isNotNull().alias("pictured"))
 
 
-_PAST = "p AS (SELECT a.candid AS _id, b.mag, b.jd FROM d a JOIN d b ON a.objectId = b.objectId AND b.jd <= a.jd WHERE a.programid = 2)"
-_STATS = "max(jd) - min(jd) > 0.01 AS stationary, round(min(mag), 4) AS peak_mag, round(max(mag), 4) AS faintest_mag"
+def _told(out, *more, stats="properties.photstats", stationary=True):
+    """Figures over all bands, and how many bands rise and fall, and how fast in sum."""
+    bands = F.map_values(f"{stats}.bands")
+    rate = lambda part: F.round(F.aggregate(bands, F.lit(0.0), lambda s, v: s + F.coalesce(v[part]["rate"].cast("double"), F.lit(0.0))), 3)
+    count = lambda part: _long(f"n_{part}", F.size(F.filter(bands, lambda v: v[part].isNotNull())))
+    return out.select("_id", *more, *([F.col("properties.stationary").alias("stationary")] if stationary else []), *(F.round(F.col(f"{stats}.{c}").cast("double"), 4).alias(c) for c in ("peak_mag", "faintest_mag")), count("rising"), rate("rising").alias("rising"), count("fading"), rate("fading").alias("fading"))
 
 
-def _told(out, *more):
-    return out.select("_id", *more, F.col("properties.stationary").alias("stationary"), *(F.round(F.col(f"properties.photstats.{c}").cast("double"), 4).alias(c) for c in ("peak_mag", "faintest_mag")))
+def _as_of(who: str, points: str = "SELECT a._id, b.band, b.jd, b.mag FROM a JOIN d b ON a.objectId = b.objectId AND b.jd <= a.jd") -> str:
+    """u: what ``_told`` says of the alerts a, from all points up to each one."""
+    part = lambda name, side: f"""CASE WHEN max(t) FILTER ({side}) - min(t) FILTER ({side}) > 0.01 AND min(m) FILTER ({side}) + CAST(0.05 AS FLOAT) < max(m) FILTER ({side}) - CAST(0.05 AS FLOAT)
+    THEN CAST(CAST(regr_slope(CAST(m AS DOUBLE), t) FILTER ({side}) AS FLOAT) AS DOUBLE) END AS {name}"""
+    return f"""a AS MATERIALIZED (SELECT * FROM (SELECT *, candid AS _id FROM d) WHERE {who}), p AS ({points}),
+f AS (SELECT _id, band, jd - 2460300 AS t, CAST(mag AS FLOAT) AS m, row_number() OVER (PARTITION BY _id, band ORDER BY jd, mag) AS place FROM p QUALIFY row_number() OVER (PARTITION BY _id, band, jd ORDER BY mag) = 1),
+k AS (SELECT *, (min(struct_pack(m := m, p := place)) OVER (PARTITION BY _id, band)).p AS pk FROM f),
+g AS (SELECT _id, band, min(t) AS t0, max(t) AS t1, min(m) AS lo, max(m) AS hi, {part("rising", "place <= pk")}, {part("fading", "place >= pk")} FROM k GROUP BY 1, 2),
+u AS (SELECT _id, max(t1) - min(t0) > 0.01 AS stationary, round(CAST(min(lo) AS DOUBLE), 4) AS peak_mag, round(CAST(max(hi) AS DOUBLE), 4) AS faintest_mag, count(rising) AS n_rising, round(coalesce(sum(rising), 0), 3) AS rising, count(fading) AS n_fading, round(coalesce(sum(fading), 0), 3) AS fading, count(*) AS bands FROM g GROUP BY 1)"""
 
 
-@query(f"WITH {D}, {_PAST} SELECT _id, _id % 5 = 0 AS rock, _id % 3 = 0 AS star, {_STATS} FROM p GROUP BY 1")
+@query(f"WITH {D}, {_as_of('programid = 1')} SELECT u.* EXCLUDE (bands), ssdistnr < 12 AS rock FROM u JOIN a USING (_id)")
+def enrich_properties(spark, sf):
+    """Flags and light-curve statistics of every public alert, from the points up to it."""
+    out = enrich.ztf_properties(views.alerts(spark, sf).where("candidate.programid = 1"), views.objects(spark, sf))
+    return _told(out, F.col("properties.rock").alias("rock"))
+
+
+@query(f"WITH {D}, {_as_of('programid = 2')} SELECT _id, _id % 5 = 0 AS rock, _id % 3 = 0 AS star, u.* EXCLUDE (_id, bands) FROM u")
 def lsst_enriched(spark, sf):
     near = F.array(F.struct(F.when(F.col("_id") % 3 == 0, 0.5).otherwise(5.0).alias("distance_arcsec"), F.lit(0.9).alias("score"), F.lit(18.0).alias("mag_white")))
     a = views.alerts(spark, sf).where("candidate.programid = 2")
@@ -288,19 +306,31 @@ def lsst_enriched(spark, sf):
     return _told(enrich.lsst_properties(a, views.objects(spark, sf)), F.col("properties.rock").alias("rock"), F.col("properties.star").alias("star"))
 
 
-@query(f"WITH {D}, {_PAST} SELECT _id, {_STATS} FROM p GROUP BY 1")
+@query(f"WITH {D}, {_as_of('programid = 2')} SELECT u.* EXCLUDE (bands) FROM u")
 def decam_winter_enriched(spark, sf):
     return _told(enrich.plain_properties(views.alerts(spark, sf).where("candidate.programid = 2"), views.objects(spark, sf)))
 
 
-@query(f"WITH {D}, a AS (SELECT candid, objectId, 'U' || ((CAST(substr(objectId, 2) AS BIGINT) + 1) % 150) AS alias, jd FROM d WHERE programid = 2), p AS (SELECT a.candid AS _id, b.mag, b.jd, b.band FROM a JOIN d b ON a.objectId = b.objectId AND b.jd <= a.jd UNION ALL SELECT a.candid, b.mag, b.jd, 'lsst' || b.band FROM a JOIN d b ON a.alias = b.objectId AND b.jd <= a.jd) SELECT _id, round(min(mag), 4) AS peak_mag, round(max(mag), 4) AS faintest_mag, count(DISTINCT band) AS bands FROM p GROUP BY 1")
+@query(f"WITH {D}, {_as_of('programid = 2', """SELECT a._id, b.band, b.jd, b.mag FROM a JOIN d b ON a.objectId = b.objectId AND b.jd <= a.jd UNION ALL
+  SELECT a._id, 'lsst' || b.band, b.jd, b.mag FROM a JOIN d b ON 'U' || ((CAST(substr(a.objectId, 2) AS BIGINT) + 1) % 150) = b.objectId AND b.jd <= a.jd""")} SELECT u.* EXCLUDE (stationary) FROM u")
 def multisurvey_photstats(spark, sf):
     """Statistics over an object's points and those of its counterpart, whose bands stay apart."""
     alias = F.concat(F.lit("U"), ((F.substring("objectId", 2, 20).cast("long") + 1) % 150).cast("string"))
     a = views.alerts(spark, sf).where("candidate.programid = 2").withColumn("aliases", F.struct(F.array(alias).alias("LSST")))
     o = views.objects(spark, sf)
     out = enrich.multisurvey_photstats(a, o, {"LSST": o})
-    return out.select("_id", *(F.round(F.col(f"photstats.{c}").cast("double"), 4).alias(c) for c in ("peak_mag", "faintest_mag")), _long("bands", F.size("photstats.bands")))
+    return _told(out, _long("bands", F.size("photstats.bands")), stats="photstats", stationary=False)
+
+
+@query(f"""WITH {D}, a AS (SELECT candid, objectId, jd FROM d WHERE programid = 1), g AS (SELECT a.candid AS _id, b.candid AS c, b.jd, CAST(b.mag AS FLOAT) AS m, a.jd AS now FROM a JOIN d b ON a.objectId = b.objectId AND b.jd <= a.jd AND b.band = 'g' AND b.candid % 7 <> 0)
+SELECT _id, round(max(jd) - min(jd), 4) AS age, round(any_value(now) - arg_min(jd, struct_pack(m := m, j := jd)), 4) AS since, round(CAST(min(m) AS DOUBLE), 4) AS peak, count(*) > 0 AS seen FROM g GROUP BY 1""")
+def features_as_of(spark, sf):
+    """Light-curve features of a model at each alert; forced points whose status isn't "0" don't count."""
+    o = views.detections(spark, sf).groupBy("objectId").agg(F.array_sort(F.collect_list(F.struct("jd", F.col("mag").alias("magpsf"), F.col("mag_err").alias("sigmapsf"), "band", F.lit(99.0).alias("snr"), F.when(F.col("candid") % 7 == 0, F.when(F.col("candid") % 2 == 0, "61")).otherwise("0").alias("procstatus"), F.lit(23.9).alias("magzpsci")))).alias("fp_hists"))
+    a = views.alerts(spark, sf).where("candidate.programid = 1")
+    s = enrich.alert_bands(a, o, {"fp_hists": enrich.LEAST_SNR}).where("band = 'g'").join(a, "_id")
+    f = models.curve_features(F.col("candidate.jd"), F.col, F.lit(0))
+    return s.select("_id", F.round(F.col("last_jd") - F.col("first_jd"), 4).alias("age"), F.round(f["days_since_peak"], 4).alias("since"), F.round(f["peakmag_so_far"].cast("double"), 4).alias("peak"), F.lit(True).alias("seen"))
 
 
 # ---- streams ----

@@ -20,23 +20,44 @@ def forced_points(points: Column, zp: float = 23.9) -> Column:
     return F.transform(usable, lambda p: F.struct(p["jd"].alias("jd"), (p["forcediffimflux"] * scale(p)).cast("float").alias("psfFlux"), (p["forcediffimfluxunc"] * scale(p)).cast("float").alias("psfFluxErr"), (p["forcediffimflux"] / p["forcediffimfluxunc"]).cast("float").alias("snr")))
 
 
-def alert_points(alerts: DataFrame, objects: DataFrame, arrays: dict[str, float | None]) -> DataFrame:
-    """(_id, jd, mag, mag_err, band) of the points up to each alert; each array has the signal-to-noise that it needs."""
-    both = alerts.select("_id", "objectId", F.col("candidate.jd").alias("__at")).join(objects.select("objectId", *arrays), "objectId")
+def usable(p: Column, fields: list[str]) -> Column:
+    """Whether a stored forced point may be used: status "0", and a zero point and an error that are no sentinels. Points
+    of surveys that have no such fields may."""
+    if "procstatus" not in fields:
+        return F.lit(True)
+    sound = p["procstatus"] == "0"
+    if "magzpsci" in fields:
+        sound = sound & p["magzpsci"].isNotNull()
+    for name in ("forcediffimfluxunc", "psfFluxErr"):
+        if name in fields:
+            sound = sound & (p[name] != -99999.0) & ~F.isnan(p[name].cast("double"))
+    return F.coalesce(sound, F.lit(False))
+
+
+def object_points(objects: DataFrame, arrays: dict[str, float | None], key: str = "objectId") -> DataFrame:
+    """(key, jd, mag, mag_err, band): the points of the objects' arrays as rows, each one once; an array may ask for a
+    signal-to-noise."""
     parts = []
     for a, least in arrays.items():
-        past = series.up_to(F.col(a), F.col("__at"), least)
-        parts.append(F.coalesce(F.transform(past, lambda p: F.struct(p["jd"].alias("jd"), p["magpsf"].cast("float").alias("mag"), p["sigmapsf"].cast("float").alias("mag_err"), p["band"].alias("band"))), F.array().cast("array<struct<jd:double,mag:float,mag_err:float,band:string>>")))
-    return both.select("_id", F.explode(F.concat(*parts)).alias("p")).select("_id", "p.*").where("mag IS NOT NULL AND mag_err IS NOT NULL")
+        fields = objects.schema[a].dataType.elementType.names
+        sound = F.filter(F.col(a), lambda p: usable(p, fields) & ((F.abs(p["snr"]) >= least) if least is not None else F.lit(True)))  # noqa: B023
+        parts.append(F.coalesce(F.transform(sound, lambda p: F.struct(p["jd"].alias("jd"), p["magpsf"].cast("float").alias("mag"), p["sigmapsf"].cast("float").alias("mag_err"), p["band"].alias("band"))), F.array().cast("array<struct<jd:double,mag:float,mag_err:float,band:string>>")))
+    return objects.select(key, F.explode(F.concat(*parts)).alias("p")).select(key, "p.*").where("mag IS NOT NULL AND mag_err IS NOT NULL")
+
+
+def alert_bands(alerts: DataFrame, objects: DataFrame, arrays: dict[str, float | None]) -> DataFrame:
+    """(_id, band, figures): what each band's points of the alert's object say as of the alert."""
+    asked = alerts.select("_id", "objectId", F.col("candidate.jd").alias("at"))
+    return lightcurve.as_of(object_points(objects.join(asked.select("objectId").distinct(), "objectId", "left_semi"), arrays), asked)
 
 
 def properties(alerts: DataFrame, objects: DataFrame, arrays: dict[str, float | None], flags: Callable[[DataFrame], dict[str, Column]] | None = None) -> DataFrame:
     """(_id, properties): flags of the candidate, whether the light curve is stationary, and its statistics.
 
-    Points are sorted before they are analysed, also where they come from several surveys. An alert without usable
-    points isn't stationary and has no statistics.
+    An object's points are put in order once, whatever the number of its alerts. An alert without usable points isn't
+    stationary and has no statistics.
     """
-    stats = lightcurve.photstats(lightcurve.prepared(alert_points(alerts, objects, arrays), "_id"), "_id")
+    stats = lightcurve.over_bands(alert_bands(alerts, objects, arrays), "_id")
     names = [c for c in stats.columns if c != "_id"]
     joined = alerts.join(stats.select("_id", F.struct(*names).alias("__stats")), "_id", "left")
     made = flags(joined) if flags else {}
@@ -75,14 +96,13 @@ def multisurvey_photstats(alerts: DataFrame, objects: DataFrame, others: dict[st
     """(_id, photstats): statistics over the points of an alert's object and of the objects that its aliases name.
 
     ``alerts`` has ``aliases``, a struct of arrays of ids by survey, of which the first counts. A band's name gets its
-    survey's, so equal filters of two surveys stay apart.
+    survey's, so equal filters of two surveys stay apart. As figures are of bands, each survey's come from its own pass.
     """
-    parts = [alert_points(alerts, objects, _arrays(objects))]
+    parts = [alert_bands(alerts, objects, _arrays(objects))]
     for name, other in others.items():
         named = alerts.withColumn("objectId", F.get(F.col(f"aliases.{name}"), F.lit(0))).where("objectId IS NOT NULL")
-        parts.append(alert_points(named, other, _arrays(other)).withColumn("band", F.concat(F.lit(name.lower()), F.col("band"))))
-    points = reduce(DataFrame.unionByName, parts)
-    stats = lightcurve.photstats(lightcurve.prepared(points, "_id"), "_id")
+        parts.append(alert_bands(named, other, _arrays(other)).withColumn("band", F.concat(F.lit(name.lower()), F.col("band"))))
+    stats = lightcurve.over_bands(reduce(DataFrame.unionByName, parts), "_id")
     return stats.select("_id", F.struct(*(c for c in stats.columns if c != "_id")).alias("photstats"))
 
 

@@ -25,12 +25,17 @@ def prepared(points: DataFrame, key: str = "objectId", tie: str | None = None) -
 
 
 def slope(x: Column, y: Column, err: Column) -> dict[str, Column]:
-    """Sums from which ``fit`` makes a weighted least-squares line; x should be centred near the points."""
+    """Sums from which ``fit`` makes a weighted least-squares line; x and y should be centred on one of the points."""
+    return moments(x, y, err) | {"dt": F.max(x) - F.min(x)}
+
+
+def moments(x: Column, y: Column, err: Column) -> dict[str, Column]:
+    """The sums alone; each is one aggregate, so it may also run over a growing frame. Rows without errors add nothing."""
     w = F.try_divide(F.lit(1.0), err.cast("double") * err.cast("double"))
     y = y.cast("double")
     return {
-        "n": F.count("*"), "sw": F.sum(w), "swx": F.sum(w * x), "swy": F.sum(w * y), "swxx": F.sum(w * x * x), "swxy": F.sum(w * x * y), "swyy": F.sum(w * y * y),
-        "dt": F.max(x) - F.min(x), "bad": F.max((~F.coalesce((err > 0) & (err < float("inf")) & (w.cast("float") < float("inf")), err.isNull())).cast("int")),
+        "n": F.count(x), "sw": F.sum(w), "swx": F.sum(w * x), "swy": F.sum(w * y), "swxx": F.sum(w * x * x), "swxy": F.sum(w * x * y), "swyy": F.sum(w * y * y),
+        "bad": F.max((~F.coalesce((err > 0) & (err < float("inf")) & (w.cast("float") < float("inf")), err.isNull())).cast("int")),
     }
 
 
@@ -54,13 +59,12 @@ def band_stats(points: DataFrame, key: str = "objectId") -> DataFrame:
     brightest and faintest points differ by more than their errors.
     """
     w = Window.partitionBy(key, "band")
-    rows = points.withColumns({"__peak": F.min(F.struct("mag", "place", "jd", "mag_err")).over(w), "__first": F.min("jd").over(w)})
-    x = F.col("jd") - F.col("__first")
+    rows = points.withColumn("__peak", F.min(F.struct("mag", "place", "jd", "mag_err")).over(w))
+    x, y = F.col("jd") - F.col("__peak.jd"), F.col("mag").cast("double") - F.col("__peak.mag")
 
     def part(name: str, inside: Column) -> list[Column]:
         own = lambda c: F.when(inside, c)
-        sums = slope(own(x), own(F.col("mag")), own(F.col("mag_err")))
-        sums["n"] = F.count(own(F.lit(1)))
+        sums = slope(own(x), own(y), own(F.col("mag_err")))
         low, high = F.min(own(F.struct("mag", "place", "mag_err"))), F.max(own(F.struct(F.col("mag"), (-F.col("place")).alias("p"), F.col("mag_err"))))
         return [F.struct(*(c.alias(k) for k, c in sums.items()), (low["mag"] + low["mag_err"] < high["mag"] - high["mag_err"]).alias("apart")).alias(name)]
 
@@ -76,10 +80,56 @@ def band_stats(points: DataFrame, key: str = "objectId") -> DataFrame:
     )
 
 
+def as_of(points: DataFrame, asked: DataFrame, key: str = "objectId", id: str = "_id") -> DataFrame:
+    """(id, band, and the figures of ``band_stats``): a band's figures as of each asked time, from its points up to then.
+
+    ``points`` has (key, jd, mag, mag_err, band), ``asked`` (id, key, at). Both are put in order once, by object and band,
+    and every figure follows from the row before: sums over the frame that grows, the brightest point so far, and sums
+    that start anew with each new brightest point. So no point is copied to the times that ask, however many do; an asked
+    time costs one row a band. What rises up to a brightest point is known when it comes and is carried on with it.
+    Points as ``prepared`` would make them count: of equal times the brightest. Bands without a point by then have no row.
+    """
+    good = points.where(finite(F.col("jd")) & finite(F.col("mag").cast("double")) & finite(F.col("mag_err").cast("double")))
+    seen = good.select(key, "band", F.col("jd").alias("t"), F.lit(0).alias("late"), "mag", "mag_err", F.lit(None).cast(asked.schema[id].dataType).alias(id))
+    want = asked.where(F.col("at").isNotNull()).join(good.select(key, "band").distinct(), key)
+    want = want.select(key, "band", F.col("at").alias("t"), F.lit(1).alias("late"), *(F.lit(None).cast(good.schema[c].dataType).alias(c) for c in ("mag", "mag_err")), id)
+    order = ["t", "late", "mag"]
+    w = Window.partitionBy(key, "band").orderBy(*order)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    point = F.col("late") == 0
+    of_point = lambda c: F.when(point, c)
+    again = point & (F.lag("t").over(w) == F.col("t")) & (F.lag("late").over(w) == 0)
+    rows = seen.unionByName(want).withColumn("__again", F.coalesce(again, F.lit(False))).where("NOT __again")
+    rows = rows.withColumns({"place": F.count("mag").over(run), "__t0": F.first(of_point(F.col("t")), True).over(run), "__m0": F.first("mag", True).over(run)})
+    least, most = of_point(F.struct("mag", "place", "t", "mag_err")), of_point(F.struct(F.col("mag"), (-F.col("place")).alias("p"), F.col("t"), F.col("mag_err")))
+    sums = moments(of_point(F.col("t") - F.col("__t0")), F.col("mag").cast("double") - F.col("__m0"), F.col("mag_err"))
+    rows = rows.withColumns({"__faint": F.max(most).over(run), "__last": F.max(of_point(F.col("t"))).over(run), **{f"__{k}": c.over(run) for k, c in sums.items()}})
+
+    def gated(prefix: str, dt: Column, bright: Column, faint: Column) -> Column:
+        apart = bright["mag"] + bright["mag_err"] < faint["mag"] - faint["mag_err"]
+        return F.when((dt > LEAST_SPAN) & apart, fit(F.struct(*(F.col(f"{prefix}{k}").alias(k) for k in sums), dt.alias("dt"))))
+
+    risen = gated("__", F.col("t") - F.col("__t0"), least, F.col("__faint"))
+    rows = rows.withColumn("__peak", F.min(of_point(F.struct("mag", "place", "t", "mag_err", risen.alias("rising")))).over(run)).drop(*(f"__{k}" for k in sums))
+    rows = rows.withColumn("__part", F.col("__peak.place"))
+    since = Window.partitionBy(key, "band", "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    peak = F.col("__peak")
+    sums = moments(of_point(F.col("t") - peak["t"]), F.col("mag").cast("double") - peak["mag"], F.col("mag_err"))
+    rows = rows.withColumns({"__low": F.max(most).over(since), **{f"__s{k}": c.over(since) for k, c in sums.items()}}).where((F.col("late") == 1) & (F.col("place") > 0))
+    return rows.select(
+        id, "band", peak["t"].alias("peak_jd"), peak["mag"].alias("peak_mag"), peak["mag_err"].alias("peak_mag_err"), F.col("__faint.t").alias("faintest_jd"), F.col("__faint.mag").alias("faintest_mag"), F.col("__faint.mag_err").alias("faintest_mag_err"),
+        (F.col("__last") - F.col("__t0")).cast("float").alias("dt"), F.col("__t0").alias("first_jd"), F.col("__last").alias("last_jd"), peak["rising"].alias("rising"), gated("__s", F.col("__last") - peak["t"], peak, F.col("__low")).alias("fading"),
+    )
+
+
 def photstats(points: DataFrame, key: str = "objectId") -> DataFrame:
     """A row for each object: figures over all bands (ties: the first band by name), ``stationary`` if the light curve
     spans LEAST_SPAN days, and the bands' figures as a map."""
-    bands = band_stats(points, key)
+    return over_bands(band_stats(points, key), key)
+
+
+def over_bands(bands: DataFrame, key: str) -> DataFrame:
+    """``photstats`` from the figures of each band."""
     stats = F.struct(*(F.col(c) for c in ("peak_jd", "peak_mag", "peak_mag_err", "dt", "rising", "fading")))
     g = bands.groupBy(key).agg(
         F.min(F.struct("peak_mag", "band", "peak_jd", "peak_mag_err")).alias("peak"), F.max(F.struct(F.col("faintest_mag"), F.col("band"), F.col("faintest_jd"), F.col("faintest_mag_err"))).alias("faintest"),

@@ -231,7 +231,7 @@ def result_packets(results: DataFrame, alerts: DataFrame, objects: DataFrame, cu
     passed = results.select("_id", "filters").join(alerts.select("_id", "objectId", "candidate"), "_id")
     series_of = objects.select("objectId", F.col(array).alias("__points"))
     out = passed.join(series_of, "objectId", "left")
-    past = F.filter("__points", lambda p: p["jd"] <= F.col("candidate.jd"))
+    past = series.up_to(F.col("__points"), F.col("candidate.jd"))
     points = F.array_sort(permitted(past, programs) if programs is not None else past)
     out = out.withColumn("photometry", F.coalesce(points, F.array().cast(objects.schema[array].dataType))).drop("__points")
     return out.join(cutouts.select("_id", F.struct(*(c for c in cutouts.columns if c != "_id")).alias("cutouts")), "_id", "left") if cutouts is not None else out

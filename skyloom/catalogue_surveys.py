@@ -343,18 +343,46 @@ def _at(key: str):
 @query(f"WITH {D}, {_sky('u', '(SELECT DISTINCT user_id FROM events)', 'user_id')}, {_sky('b', 'supplier', 's_suppkey', 0.001)}, m AS (SELECT 'U' || u.id AS objectId, count(b.id) AS n FROM u LEFT JOIN b ON {_apart('u', 'b')} <= 6 GROUP BY 1) SELECT candid AS _id, objectId, n AS matched FROM d JOIN m USING (objectId) WHERE mag < 16 AND programid = 1")
 def three_stages(spark, sf):
     """A stream in several batches: stored, matched on first sight, enriched, filtered."""
-    d = views.as_detections(replayed.in_batches(spark, sf, 3)).withColumn("k", F.substring("objectId", 2, 20).cast("long"))
-    ra, dec = _at(F.col("k"))
-    c = F.struct("jd", F.col("mag").alias("magpsf"), F.col("mag_err").alias("sigmapsf"), "band", "programid", ra.alias("ra"), dec.alias("dec"))
-    alerts = d.select(F.col("candid").alias("_id"), "objectId", c.alias("candidate"))
+    alerts = _placed_alerts(replayed.in_batches(spark, sf, 3))
     supplier = views.sky_positions(spark, sf, "supplier", "s_suppkey", 0.001)
-    f = filters.Filter("f", "ZTF", {"v": json.dumps([{"$match": {"candidate.magpsf": {"$lt": 16}}}, {"$project": {"objectId": 1, "annotations.matched": {"$size": "$cross_matches.S"}}}])}, "v", {"ZTF": [1]})
-    folder = replayed.shared_folder(spark, "stages")
-    other = supplier.withColumn("objectId", F.col("objectId").cast("string"))
-    s = stages.Stages(folder, {"S": supplier.withColumnRenamed("objectId", "other")}, [crossmatch.Catalog("S", 6 * 3600.0, ("other",))], {"LSST": other}, lambda: [f])
+    s = _stages(spark, supplier, {"$size": "$cross_matches.S"}, lambda: {"LSST": supplier.withColumn("objectId", F.col("objectId").cast("string"))})
     stages.run(alerts, s, replayed.shared_folder(spark, "progress")).awaitTermination()
+    return _noted(spark, s, "matched")
+
+
+def _placed_alerts(events):
+    d = views.as_detections(events).withColumn("k", F.substring("objectId", 2, 20).cast("long"))
+    ra, dec = _at(F.col("k"))
+    c = F.struct("jd", F.col("mag").alias("magpsf"), F.col("mag_err").alias("sigmapsf"), "band", "programid", ra.alias("ra"), dec.alias("dec"))
+    return d.select(F.col("candid").alias("_id"), "objectId", c.alias("candidate"))
+
+
+def _stages(spark, supplier, note, others):
+    f = filters.Filter("f", "ZTF", {"v": json.dumps([{"$match": {"candidate.magpsf": {"$lt": 16}}}, {"$project": {"objectId": 1, "annotations.note": note}}])}, "v", {"ZTF": [1]})
+    return stages.Stages(replayed.shared_folder(spark, "stages"), {"S": supplier.withColumnRenamed("objectId", "other")}, [crossmatch.Catalog("S", 6 * 3600.0, ("other",))], others, lambda: [f])
+
+
+def _noted(spark, s, name):
     out = s.table(spark, "results", "_id bigint, objectId string, filters array<struct<filter_id:string,annotations:string>>")
-    return out.select("_id", "objectId", F.get_json_object(F.col("filters")[0]["annotations"], "$.matched").cast("long").alias("matched"))
+    return out.select("_id", "objectId", F.get_json_object(F.col("filters")[0]["annotations"], "$.note").cast("long").alias(name))
+
+
+@query(f"WITH {D}, m AS (SELECT d.candid AS _id, d.objectId, CASE WHEN candid % 2 = 1 AND degrees(asin(2 * ((s_suppkey * 0.6180339887498949::DOUBLE) % 1) - 1)) <= 33.5 THEN 1 ELSE 0 END AS named FROM d LEFT JOIN supplier ON d.objectId = 'U' || s_suppkey WHERE mag < 16 AND programid = 1) SELECT _id, objectId, CAST(named AS BIGINT) AS named FROM m")
+def late_counterparts(spark, sf):
+    """A counterpart that appears between two batches, where the other survey looks at all, is named by the alerts that
+    come after; alerts that come again count once."""
+    supplier = views.sky_positions(spark, sf, "supplier", "s_suppkey", 0.0002)
+    other = supplier.withColumn("objectId", F.col("objectId").cast("string"))
+    folder, checkpoint = replayed.shared_folder(spark, "arriving"), replayed.shared_folder(spark, "progress")
+    events = views.load(spark, sf, "events")
+    there = [other.where("false")]
+    s = _stages(spark, supplier, {"$size": "$aliases.LSST"}, lambda: {"LSST": there[0]})
+    for part in (events.where("event_id % 2 = 0"), events):
+        part.coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        stages.run(_placed_alerts(stream), s, checkpoint).awaitTermination()
+        there[0] = other
+    return _noted(spark, s, "named")
 
 
 @query("SELECT strftime(date_trunc('day', ts - INTERVAL 19 HOUR) + INTERVAL 19 HOUR, '%Y-%m-%d %H') AS noon, count(*) AS n FROM events GROUP BY 1")

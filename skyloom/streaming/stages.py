@@ -1,16 +1,22 @@
 """Alerts through three stages in one stream: stored and matched, enriched, filtered.
 
-A micro-batch writes its rows into folders of its own number, so a batch that is run again after a failure replaces what
-it had written: the effect is that of running once. What is stored is read anew in each batch.
+What a batch needs of the past is in keyed state: the alerts that an object had, which are its history, and the matches
+of its first sight. So a micro-batch reads its own rows, the static catalogues and the other surveys' tables, and none of
+what earlier batches have written; its work doesn't grow with their number. It writes into folders of its own number, so
+a batch that is run again after a failure replaces what it had written: the effect is that of running once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+import json
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skyloom.operators import crossmatch, enrich
 from skyloom.plans import filters
@@ -18,60 +24,131 @@ from skyloom.plans import filters
 from .state import run_batches
 
 POINT = "struct<jd:double,candid:bigint,magpsf:double,sigmapsf:double,band:string,programid:int,snr:double>"
+#: What the state keeps of each alert.
+KEPT = {"ids": "bigint", "jd": "double", "magpsf": "double", "sigmapsf": "double", "band": "string", "programid": "double"}
+#: The state of an object is one text, which is cheaper to pass to and fro than arrays: what is kept, column by column,
+#: and the matches of its first sight by catalogue.
+STATE = "kept string"
+OUT = "objectId string, alert string, is_new boolean, kept string"
+
+
+def history_of(days: float | None) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """The state's update: rows are alerts, or matches of an alert's position. It tells each alert that is new, and the
+    object with its whole history if there is one."""
+    names = list(KEPT)
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        old = json.loads(state.get[0]) if state.exists else None
+        points = dict(zip(old["ids"], zip(*(old[k] for k in names)))) if old else {}
+        new: dict[int, tuple] = {}
+        texts: dict[int, str] = {}
+        found = []
+        for f in frames:
+            for *point, alert, catalog in zip(*(f[k].tolist() for k in (*names, "alert", "catalog"))):
+                if catalog is not None:
+                    found.append((point[0], catalog, alert))
+                elif point[0] not in points and point[0] not in new:
+                    new[point[0]], texts[point[0]] = tuple(None if x != x else x for x in point), alert  # NaN stands for null in a frame
+        if not new:
+            return
+        first = min(new)
+        matches: dict[str, list] = old["matches"] if old else {}
+        if not old:
+            for i, catalog, match in found:
+                if i == first:
+                    matches.setdefault(catalog, []).append(json.loads(match))
+        points |= new
+        if days is not None:
+            last = max((p[1] for p in points.values() if p[1] is not None), default=None)
+            points = {i: p for i, p in points.items() if p[1] is None or p[1] > last - days}
+        kept = json.dumps({k: [p[i] for p in points.values()] for i, k in enumerate(names)} | {"matches": matches})
+        state.update((kept,))
+        yield pd.DataFrame({"objectId": [key[0]] * (len(new) + 1), "alert": [*texts.values(), None], "is_new": [None] * len(new) + [not old], "kept": [None] * len(new) + [kept]})
+
+    return update
 
 
 @dataclass(frozen=True)
 class Stages:
     """Where the stages keep their tables, and what they work with.
 
-    ``catalogs`` are static tables that an object is matched with on first sight only; ``others`` are tables of other
-    surveys' objects (objectId, ra, dec), in which every alert's nearest counterpart is looked up anew.
+    ``catalogs`` are static tables that an object is matched with on first sight only; ``others`` gives the tables of
+    other surveys' objects (objectId, ra, dec) as they are now, in which every alert's nearest counterpart is looked up
+    anew. With ``days``, points older than that before an object's newest one are forgotten; an alert that old would be
+    new again.
     """
 
     folder: str
     catalogs: dict[str, DataFrame]
     configs: list[crossmatch.Catalog]
-    others: dict[str, DataFrame]
+    others: Callable[[], dict[str, DataFrame]]
     load: Callable[[], list[filters.Filter]]
     survey: str = "ZTF"
+    days: float | None = None
 
-    def table(self, spark: SparkSession, name: str, schema: str, before: int | None = None) -> DataFrame:
-        """What the batches, or those before one, have written."""
+    def table(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
+        """What the batches have written."""
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             return spark.createDataFrame([], schema)
-        rows = spark.read.schema(f"{schema}, batch int").parquet(f"{self.folder}/{name}")
-        return (rows.where(F.col("batch") < before) if before is not None else rows).drop("batch")
+        return spark.read.schema(f"{schema}, batch int").parquet(f"{self.folder}/{name}").drop("batch")
 
     def write(self, df: DataFrame, name: str, batch: int) -> DataFrame:
         path = f"{self.folder}/{name}/batch={batch}"
         df.write.mode("overwrite").parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    def __call__(self, batch: DataFrame, i: int) -> None:
-        spark = batch.sparkSession
-        kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in batch.schema.fields)
-        # store: alerts that are new, and objects on first sight with their matches
-        stored = self.table(spark, "alerts", kind, i)
-        new = self.write(batch.dropDuplicates(["_id"]).join(stored.select("_id"), "_id", "left_anti"), "alerts", i)
-        seen = self.table(spark, "objects", "objectId string", i)
-        at = new.groupBy("objectId").agg(F.min_by(F.struct("candidate.ra", "candidate.dec"), "_id").alias("at")).select("objectId", "at.*")
-        first = self.write(crossmatch.crossmatch(at.join(seen.select("objectId"), "objectId", "left_anti"), self.catalogs, self.configs), "objects", i)
-        matches = self.table(spark, "objects", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in first.schema.fields))
-        # enrich: history of the objects in the batch, aliases at every alert
-        touched = new.select("objectId").distinct()
-        whole = stored.unionByName(new).join(touched, "objectId", "left_semi")
-        c = {k: F.col(f"candidate.{k}") for k in ("jd", "magpsf", "sigmapsf", "band", "programid")}
-        point = F.struct(c["jd"], F.col("_id").alias("candid"), c["magpsf"], c["sigmapsf"], c["band"], c["programid"], (1.0857362 / c["sigmapsf"]).alias("snr")).cast(POINT)
-        objects = whole.groupBy("objectId").agg(F.array_sort(F.collect_list(point)).alias("prv_candidates"))
-        objects = crossmatch.aliases(objects.join(at, "objectId"), self.survey, self.others).join(matches.select("objectId", "cross_matches"), "objectId", "left")
-        properties = enrich.ztf_properties(new, objects) if self.survey == "ZTF" else enrich.plain_properties(new, objects)
-        enriched = self.write(new.join(properties, "_id"), "enriched", i)
-        # filter
-        found = filters.run_filters(enriched, self.load(), {f"{self.survey}_objects": objects})
-        self.write(found, "results", i)
+    def keyed(self, alerts: DataFrame) -> DataFrame:
+        """The stream of new alerts and of the objects that they touch, from the stream of alerts."""
+        c = {k: F.col(f"candidate.{k}").cast(t) for k, t in KEPT.items() if k != "ids"}
+        own = alerts.select("objectId", F.col("_id").cast("bigint").alias("ids"), *(x.alias(k) for k, x in c.items()), F.to_json(F.struct(*alerts.columns)).alias("alert"), F.lit(None).cast("string").alias("catalog"))
+        at = alerts.select(F.struct("objectId", "_id").alias("__key"), F.col("candidate.ra").alias("__ra0"), F.col("candidate.dec").alias("__dec0"))
+        for how in self.configs:
+            near = crossmatch.matches(at, self.catalogs[how.name], replace(how, max_results=None), "__key", ("__ra0", "__dec0"))
+            own = own.unionByName(near.select("__key.objectId", F.col("__key._id").cast("bigint").alias("ids"), *(F.lit(None).cast(KEPT[k]).alias(k) for k in c), F.to_json("match").alias("alert"), F.lit(how.name).alias("catalog")))
+        return own.groupBy("objectId").applyInPandasWithState(history_of(self.days), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+    def _objects(self, rows: DataFrame) -> DataFrame:
+        """Objects with their history by time and their matches, from what the state tells."""
+        names = list(KEPT)
+        point = lambda x: F.struct(x["jd"], x["ids"].alias("candid"), *(x[k] for k in names[2:]), (1.0857362 / x["sigmapsf"]).alias("snr")).cast(POINT)
+        kinds = {how.name: crossmatch.matches(rows.sparkSession.createDataFrame([], "objectId string, ra double, dec double"), self.catalogs[how.name], how).schema["match"].dataType for how in self.configs}
+        matches = T.StructType([T.StructField(n, T.ArrayType(k)) for n, k in kinds.items()])
+        parsed = F.from_json("kept", T.StructType([*T._parse_datatype_string(", ".join(f"{k} array<{t}>" for k, t in KEPT.items())).fields, T.StructField("matches", matches)]))
+
+        def nearest(how: crossmatch.Catalog):
+            found = F.array_sort(F.coalesce(F.col("__m")[how.name], F.array().cast(T.ArrayType(kinds[how.name]))))
+            return (F.slice(found, 1, how.max_results) if how.max_results else found).alias(how.name)
+
+        told = rows.select("objectId", "is_new", parsed.alias("k")).select("objectId", "is_new", "k.*")
+        out = told.select("objectId", "is_new", F.array_sort(F.transform(F.arrays_zip(*names), point)).alias("prv_candidates"), F.col("matches").alias("__m"))
+        return out.withColumn("cross_matches", F.struct(*map(nearest, self.configs))).drop("__m") if kinds else out.drop("__m")
+
+    def each(self, kind: T.StructType) -> Callable[[DataFrame, int], None]:
+        """What is done with a batch of the keyed stream, for alerts of a schema."""
+
+        def run(batch: DataFrame, i: int) -> None:
+            batch = batch.persist()
+            try:
+                told = batch.where("alert IS NOT NULL").select(F.from_json("alert", kind).alias("a")).select("a.*")
+                new = self.write(told, "alerts", i)
+                objects = self._objects(batch.where("alert IS NULL"))
+                self.write(objects.where("is_new").drop("is_new", "prv_candidates"), "objects", i)
+                at = new.groupBy("objectId").agg(F.min_by(F.struct("candidate.ra", "candidate.dec"), "_id").alias("at")).select("objectId", "at.*")
+                objects = crossmatch.aliases(objects.drop("is_new").join(at, "objectId"), self.survey, self.others())
+                properties = enrich.ztf_properties(new, objects) if self.survey == "ZTF" else enrich.plain_properties(new, objects)
+                enriched = self.write(new.join(properties, "_id"), "enriched", i)
+                self.write(filters.run_filters(enriched, self.load(), {f"{self.survey}_objects": objects}), "results", i)
+            finally:
+                batch.unpersist()
+
+        return run
 
 
 def run(alerts: DataFrame, stages: Stages, checkpoint: str, once: bool = True):
-    """Start the three stages over a stream of alerts (_id, objectId, candidate with ra and dec)."""
-    return run_batches(alerts, stages, checkpoint, once)
+    """Start the three stages over a stream of alerts (_id, objectId, candidate with ra and dec).
+
+    States are kept on the executors' disks, with their changes in the checkpoint.
+    """
+    alerts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return run_batches(stages.keyed(alerts), stages.each(alerts.schema), checkpoint, once)

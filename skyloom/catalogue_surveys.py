@@ -262,6 +262,28 @@ def dry_run(spark, sf):
     return out.select("_id", F.col("annotations.n").alias("n"))
 
 
+def _standing(n: int) -> list[filters.Filter]:
+    """Filters of rising brightness; every other one looks at the history that its programmes allow."""
+    out = []
+    for k in range(n):
+        stages = [{"$match": {"candidate.magpsf": {"$lt": 15 + k / 5}, "candidate.drb": {"$gte": k % 5 / 10}}}]
+        if k % 2:
+            stages += [{"$addFields": {"n": {"$size": "$prv_candidates"}}}, {"$match": {"n": {"$gte": 3 + k}}}]
+        stages.append({"$project": {"objectId": 1, "annotations.n": "$n" if k % 2 else {"$abs": 0}}})
+        out.append(filters.Filter(f"f{k:03d}", "ZTF", {"v": json.dumps(stages)}, "v", {"ZTF": [1, 2] if k % 4 < 2 else [1]}))
+    return out
+
+
+@query(f"""WITH {D}, h AS (SELECT a.candid, count(*) FILTER (b.programid = 1) AS n1, count(*) FILTER (b.programid IN (1, 2)) AS n2 FROM d a JOIN d b ON a.objectId = b.objectId AND b.jd <= a.jd AND a.jd - b.jd < 365 GROUP BY 1),
+w AS (SELECT d.candid, objectId, k, CASE WHEN k % 4 < 2 THEN n2 ELSE n1 END AS n FROM d JOIN h USING (candid), range(25) AS t(k) WHERE mag < 15 + k / 5::DOUBLE AND drb >= (k % 5) / 10::DOUBLE AND (programid = 1 OR programid = 2 AND k % 4 < 2))
+SELECT candid AS _id, objectId, count(*) AS passed, CAST(sum(k) AS BIGINT) AS which, CAST(sum(CASE WHEN k % 2 = 1 THEN n ELSE 0 END) AS BIGINT) AS points FROM w WHERE k % 2 = 0 OR n >= 3 + k GROUP BY 1, 2""")
+def many_filters(spark, sf):
+    """25 standing filters in one scan of the alerts and one join with the objects."""
+    out = filters.run_filters(views.alerts(spark, sf), _standing(25), {"ZTF_objects": views.objects(spark, sf)})
+    total = lambda each: F.aggregate("filters", F.lit(0).cast("long"), lambda s, x: s + each(x))
+    return out.select("_id", "objectId", _long("passed", F.size("filters")), total(lambda x: F.substring(x["filter_id"], 2, 3).cast("long")).alias("which"), total(lambda x: F.coalesce(F.get_json_object(x["annotations"], "$.n").cast("double").cast("long"), F.lit(0))).alias("points"))
+
+
 @query(f"WITH {D}, a AS (SELECT * FROM d WHERE programid = 1 AND mag < 16) SELECT a.candid AS _id, a.objectId, 1::BIGINT AS passed, count(b.jd) FILTER (b.programid = 1) AS points, a.candid % 2 = 0 AS pictured FROM a LEFT JOIN d b ON a.objectId = b.objectId AND b.jd <= a.jd GROUP BY 1, 2")
 def result_packets(spark, sf):
     a = views.alerts(spark, sf)

@@ -38,13 +38,18 @@ NULL = Typed(None, T.NullType())
 
 @dataclass(frozen=True)
 class Scope:
-    """What paths and variables mean: the row's schema, and the variables bound so far."""
+    """What paths and variables mean: the document's schema, the variables bound so far, and where the document's fields
+    are: the row's own columns unless ``at`` names others."""
 
     schema: T.StructType
     variables: dict[str, Typed] = field(default_factory=dict)
+    at: dict[str, Column] | None = None
 
     def bind(self, **more: Typed) -> Scope:
-        return Scope(self.schema, self.variables | more)
+        return Scope(self.schema, self.variables | more, self.at)
+
+    def column(self, name: str) -> Column:
+        return F.col(f"`{name}`") if self.at is None else self.at[name]
 
 
 def resolve(start: Typed, path: list[str]) -> Typed:
@@ -75,7 +80,7 @@ def path_of(scope: Scope, path: str) -> Typed:
     head, *rest = path.split(".")
     if head not in scope.schema.names:
         return NULL
-    return resolve(Typed(F.col(f"`{head}`"), scope.schema[head].dataType), rest)
+    return resolve(Typed(scope.column(head), scope.schema[head].dataType), rest)
 
 
 def compare(op: str, a: Column, b: Column) -> Column:
@@ -129,7 +134,7 @@ def compile_expression(e: Any, scope: Scope) -> Typed:
     if isinstance(e, str) and e.startswith("$$"):
         name, *rest = e[2:].split(".")
         if name in ("ROOT", "CURRENT"):
-            whole = Typed(F.struct(*(F.col(f"`{c}`") for c in scope.schema.names)), scope.schema)
+            whole = Typed(F.struct(*(scope.column(c).alias(c) for c in scope.schema.names)), scope.schema)
             return resolve(whole, rest)
         if name not in scope.variables:
             raise ExpressionError(f"unknown variable $${name}")

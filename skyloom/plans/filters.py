@@ -14,10 +14,13 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from skyloom.functions.expressions import Scope
 from skyloom.operators import series
 from skyloom.operators.rules import PUBLIC, permitted
 
+from . import pipeline
 from .pipeline import Tables, apply, parse, stage_of
 
 #: What each survey's filters see of an alert, the arrays of its objects, days of history, and the other surveys.
@@ -177,16 +180,141 @@ def run_filter(alerts: DataFrame, f: Filter, tables: Tables) -> DataFrame:
     return with_watchlist(df, tables[f.watchlist], f.survey, list(f.watch_fields)) if f.watchlist else df
 
 
+#: What a stage of the shared plan may be: it looks at one document and leaves one or none.
+ROWWISE = ("$match", "$project", "$addFields", "$set", "$unset")
+#: Filters whose flags stand in one number.
+WORD = 60
+PASSED = "array<struct<filter_id:string,annotations:string>>"
+
+
+def _note(doc: Scope) -> Column:
+    return F.coalesce(F.to_json(doc.column("annotations")) if "annotations" in doc.schema.names else F.lit("{}"), F.lit("{}"))
+
+
+def _seen_of(f: Filter, other: str) -> tuple[int, ...]:
+    """Programmes of another survey that a filter may see: the public one unless it says otherwise."""
+    return tuple(f.permissions[other]) if f.permissions.get(other) is not None else (PUBLIC,)
+
+
+def _shared(alerts: DataFrame, filters: list[Filter], tables: Tables) -> DataFrame:
+    """(_id, objectId, filters) of filters of one survey, in one scan of the alerts and one join with each table.
+
+    Every filter has a bit, and a document: the alert's own columns until a stage changes it, then a struct. A step of all
+    filters is one projection. (With a column for each flag the optimizer's constraints would double with every filter.) First come the stages before any history is needed; rows that no filter wants
+    any more go, the others get their history and counterparts once, trimmed once for each set of permissions, and the
+    rest of the stages follows.
+    """
+    spec = SURVEYS[filters[0].survey]
+    survey, arrays = filters[0].survey, [a for a in spec["arrays"] if a in tables[f"{filters[0].survey}_objects"].columns] if f"{filters[0].survey}_objects" in tables else []
+    df = alerts.select("_id", *(c for c in spec["fields"] if c in alerts.columns))
+    base = Scope(df.schema)
+    stages = [f.stages() for f in filters]
+    for s in stages:
+        validate(s)
+    programs = [tuple(sorted(f.permissions.get(f.survey) or ())) if spec["programs"] else None for f in filters]
+    history = [first_use(s, *spec["arrays"], "cross_matches", "aliases", *spec["others"]) for s in stages]
+    other = [{n: first_use(s, n) for n in spec["others"] if f"{n}_objects" in tables} for s in stages]
+    docs = [base] * len(filters)
+    words = range(0, len(filters), WORD)
+    bit = lambda i: F.lit(1 << i % WORD).cast("long")
+
+    def where(tests: dict[int, Column], first: int) -> Column:
+        """The bits of a word's filters whose tests hold, or that have none."""
+        free = sum(1 << i - first for i in range(first, min(first + WORD, len(filters))) if i not in tests)
+        return reduce(lambda a, b: a.bitwiseOR(b), (F.when(c, bit(i)).otherwise(F.lit(0).cast("long")) for i, c in tests.items() if first <= i < first + WORD), F.lit(free).cast("long"))
+
+    allowed = {i: F.col("candidate.programid").isin(*p) if p else F.lit(False) for i, p in enumerate(programs) if p is not None}
+    df = df.withColumns({f"__b{w}": where(allowed, w) for w in words})
+
+    def step(df: DataFrame, todo: dict[int, dict]) -> DataFrame:
+        new, tests, changed = {}, {}, []
+        for i, s in todo.items():
+            op, v = stage_of(s)
+            if op == "$match":
+                tests[i] = pipeline.match(docs[i], v)
+                continue
+            fields = {c: docs[i].column(c) for c in docs[i].schema.names} | pipeline.added(docs[i], v) if op in ("$addFields", "$set") else pipeline.projected(docs[i], v) if op == "$project" else pipeline.without(docs[i], v)
+            new[f"__d{i}"] = F.struct(*(c.alias(k) for k, c in fields.items()))
+            changed.append(i)
+        df = df.withColumns(new | ({f"__b{w}": F.col(f"__b{w}").bitwiseAND(where(tests, w)) for w in words} if tests else {}))
+        for i in changed:
+            kind = df.schema[f"__d{i}"].dataType
+            docs[i] = Scope(kind, {}, {n: F.col(f"__d{i}")[n] for n in kind.names})
+        return df
+
+    def given(i: int, more: dict[str, tuple[Column, T.DataType]]) -> None:
+        at = {c: docs[i].column(c) for c in docs[i].schema.names} | {n: c for n, (c, _) in more.items()}
+        kinds = {f.name: f.dataType for f in docs[i].schema.fields} | {n: kind for n, (_, kind) in more.items()}
+        docs[i] = Scope(T.StructType([T.StructField(n, kinds[n]) for n in at]), {}, at)
+
+    early = [len(s) if h is None else h for s, h in zip(stages, history)]
+    for k in range(max(early)):
+        df = step(df, {i: s[k] for i, s in enumerate(stages) if k < early[i]})
+    df = df.where(reduce(lambda a, b: a | b, (F.col(f"__b{w}") != 0 for w in words)))
+    wanting = [i for i, h in enumerate(history) if h is not None]
+    if wanting:
+        objects = tables[f"{survey}_objects"]
+        more = [c for c in ("cross_matches", "aliases") if c in objects.columns]
+        df = df.join(objects.select(F.col("objectId").alias("__object"), *(F.col(c).alias(f"__{c}") for c in (*arrays, *more))), F.col("objectId") == F.col("__object"), "left").drop("__object")
+
+        def trimmed(a: str, p: tuple | None) -> Column:
+            points = series.trailing(F.col(f"__{a}"), F.col("candidate.jd"), spec["days"])
+            return F.coalesce(permitted(points, list(p)) if p is not None else points, F.array().cast(objects.schema[a].dataType))
+
+        sets = list(dict.fromkeys(programs[i] for i in wanting))
+        df = df.withColumns({f"__h{j}": F.struct(*(trimmed(a, p).alias(a) for a in arrays)) for j, p in enumerate(sets)}).drop(*(f"__{a}" for a in arrays)) if arrays else df
+        named = [n for n in spec["others"] if any(n in other[i] and other[i][n] is not None for i in wanting)]
+        for n in named:
+            mine = tables[f"{n}_objects"]
+            kept = [a for a in SURVEYS[n]["arrays"] if a in mine.columns]
+            source = "__aliases" if "aliases" not in df.columns and "aliases" in more else "aliases"
+            df = df.withColumn("__alias", F.get(F.col(f"{source}.{n}"), F.lit(0))).join(mine.select(F.col("objectId").alias("__other"), F.struct("objectId", *kept).alias(f"__{n}")), F.col("__alias") == F.col("__other"), "left").drop("__alias", "__other")
+            for p in dict.fromkeys(_seen_of(filters[i], n) for i in wanting):
+                whole = F.col(f"__{n}")
+                for a in kept:
+                    points = series.trailing(F.col(f"__{n}.{a}"), F.col("candidate.jd"), spec["days"])
+                    whole = whole.withField(a, permitted(points, list(p)) if SURVEYS[n]["programs"] else points)
+                df = df.withColumn(f"__{n}:{','.join(map(str, p))}", F.when(F.col(f"__{n}").isNotNull(), whole))
+        for i in wanting:
+            given(i, {a: (F.col(f"__h{sets.index(programs[i])}.{a}"), objects.schema[a].dataType) for a in arrays} | {c: (F.col(f"__{c}"), objects.schema[c].dataType) for c in more if c not in docs[i].schema.names})
+        for k in range(min(early[i] for i in wanting), max(len(stages[i]) for i in wanting)):
+            for i in wanting:
+                for n, at in other[i].items():
+                    if at == k and n in named:
+                        column = f"__{n}:{','.join(map(str, _seen_of(filters[i], n)))}"
+                        given(i, {n: (F.col(f"`{column}`"), df.schema[column].dataType)})
+            df = step(df, {i: stages[i][k] for i in wanting if early[i] <= k < len(stages[i])})
+    told = F.array(*(F.when(F.col(f"__b{i // WORD * WORD}").bitwiseAND(bit(i)) != 0, F.struct(F.lit(f.id).alias("filter_id"), _note(docs[i]).alias("annotations"))) for i, f in enumerate(filters)))
+    out = df.select("_id", "objectId", F.array_sort(F.filter(told, lambda x: x.isNotNull())).alias("filters"))
+    return out.where(F.size("filters") > 0)
+
+
+def _alone(f: Filter) -> bool:
+    """Whether a filter has a plan of its own: it compares alerts with each other, or with a watchlist."""
+    stages = f.stages()
+    return bool(f.watchlist) or first_use(stages, "sso_history") is not None or any(stage_of(s)[0] not in ROWWISE for s in stages)
+
+
 def run_filters(alerts: DataFrame, filters: list[Filter], tables: Tables) -> DataFrame:
-    """(_id, objectId, filters): which filters each alert passes, with their annotations as JSON, by filter id."""
+    """(_id, objectId, filters): which filters each alert passes, with their annotations as JSON, by filter id.
+
+    Filters of a survey share one plan, so the alerts are read once and objects joined once, however many there are.
+    Those that need other alerts or a watchlist are run one by one.
+    """
     parts = []
+    for survey in dict.fromkeys(f.survey for f in filters):
+        some = [f for f in filters if f.survey == survey and not _alone(f)]
+        if some:
+            parts.append(_shared(alerts, some, tables))
     for f in filters:
-        got = run_filter(alerts, f, tables)
-        notes = F.to_json("annotations") if "annotations" in got.columns else F.lit("{}")
-        parts.append(got.select("_id", "objectId", F.struct(F.lit(f.id).alias("filter_id"), F.coalesce(notes, F.lit("{}")).alias("annotations")).alias("passed")))
+        if _alone(f):
+            got = run_filter(alerts, f, tables)
+            parts.append(got.select("_id", "objectId", F.array(F.struct(F.lit(f.id).alias("filter_id"), _note(Scope(got.schema)).alias("annotations"))).alias("filters")))
     if not parts:
-        return alerts.select("_id", "objectId").where(F.lit(False)).withColumn("filters", F.array().cast("array<struct<filter_id:string,annotations:string>>"))
-    return reduce(DataFrame.unionByName, parts).groupBy("_id").agg(F.first("objectId").alias("objectId"), F.array_sort(F.collect_list("passed")).alias("filters"))
+        return alerts.select("_id", "objectId").where(F.lit(False)).withColumn("filters", F.array().cast(PASSED))
+    if len(parts) == 1:
+        return parts[0]
+    return reduce(DataFrame.unionByName, parts).groupBy("_id").agg(F.first("objectId").alias("objectId"), F.array_sort(F.flatten(F.collect_list("filters"))).alias("filters"))
 
 
 def selective(matched: int, total: int, percent: float) -> bool:

@@ -164,53 +164,69 @@ def _shown(x: Typed, spec: Any, scope: Scope) -> Typed | None:
     return compile_expression(spec, scope)
 
 
-def project(df: DataFrame, spec: dict) -> DataFrame:
-    scope, tree = scope_of(df), _tree(spec)
+def projected(scope: Scope, spec: dict) -> dict[str, Column]:
+    """The fields that a projection leaves of a document."""
+    tree = _tree(spec)
     flat = [v for k, v in spec.items() if k != "_id"]
     if flat and all(v in (0, False) and not isinstance(v, dict) for v in flat) or not flat and spec.get("_id") in (0, False):
-        return unset(df, [k for k, v in spec.items() if v in (0, False)])
-    if "_id" not in tree and "_id" in df.columns:
+        return without(scope, [k for k, v in spec.items() if v in (0, False)])
+    if "_id" not in tree and "_id" in scope.schema.names:
         tree = {"_id": 1} | tree
-    out = []
+    out = {}
     for k, v in tree.items():
         if v in (0, False) and not isinstance(v, dict):
             continue
         made = _shown(path_of(scope, k), v, scope)
         if made is not None:
-            out.append((F.lit(None).cast("string") if isinstance(made.kind, T.NullType) else made.column).alias(k))
-    return df.select(*out)
+            out[k] = F.lit(None).cast("string") if isinstance(made.kind, T.NullType) else made.column
+    return out
 
 
-def add_fields(df: DataFrame, spec: dict) -> DataFrame:
-    """New values, all computed from the row as it was."""
-    scope, columns = scope_of(df), {}
+def added(scope: Scope, spec: dict) -> dict[str, Column]:
+    """New values, all computed from the document as it was."""
+    columns: dict[str, Column] = {}
     for k, e in spec.items():
         head, _, rest = k.partition(".")
         value = compile_expression(e, scope)
         column = F.lit(None).cast("string") if isinstance(value.kind, T.NullType) else value.column
         if rest:
-            here = columns.get(head) or (F.col(f"`{head}`") if head in df.columns and isinstance(df.schema[head].dataType, T.StructType) else None)
+            old = head in scope.schema.names
+            here = columns.get(head) if head in columns else (scope.column(head) if old and isinstance(scope.schema[head].dataType, T.StructType) else None)
             if here is None:
                 for part in reversed(rest.split(".")):
                     column = F.struct(column.alias(part))
             else:
-                column = F.coalesce(here, F.from_json(F.lit("{}"), df.schema[head].dataType.simpleString()) if head in df.columns else here).withField(rest, column)
+                column = (F.coalesce(here, F.from_json(F.lit("{}"), scope.schema[head].dataType.simpleString())) if old else here).withField(rest, column)
         columns[head] = column
-    return df.withColumns(columns)
+    return columns
 
 
-def unset(df: DataFrame, names: str | list[str]) -> DataFrame:
+def without(scope: Scope, names: str | list[str]) -> dict[str, Column]:
+    """The document's fields without those named."""
+    out = {c: scope.column(c) for c in scope.schema.names}
     for name in [names] if isinstance(names, str) else names:
         head, _, rest = name.partition(".")
         if not rest:
-            df = df.drop(name)
-        elif path_of(scope_of(df), name) is not NULL:
-            kind = df.schema[head].dataType
+            out.pop(name, None)
+        elif head in out and path_of(scope, name) is not NULL:
+            kind = scope.schema[head].dataType
             if isinstance(kind, T.StructType):
-                df = df.withColumn(head, F.col(head).dropFields(rest))
+                out[head] = out[head].dropFields(rest)
             elif isinstance(kind, T.ArrayType):
-                df = df.withColumn(head, F.transform(F.col(head), lambda e: e.dropFields(rest)))
-    return df
+                out[head] = F.transform(out[head], lambda e: e.dropFields(rest))  # noqa: B023
+    return out
+
+
+def project(df: DataFrame, spec: dict) -> DataFrame:
+    return df.select(*(c.alias(k) for k, c in projected(scope_of(df), spec).items()))
+
+
+def add_fields(df: DataFrame, spec: dict) -> DataFrame:
+    return df.withColumns(added(scope_of(df), spec))
+
+
+def unset(df: DataFrame, names: str | list[str]) -> DataFrame:
+    return df.select(*(c.alias(k) for k, c in without(scope_of(df), names).items()))
 
 
 _SUMMARIES = {

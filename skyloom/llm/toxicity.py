@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,10 @@ from .quality import labelled
 TRAIN_ROWS = 20_000
 BITS, SHARDS, ROUNDS = 20, 4, 6
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 4.0, 0.1
-#: Training rows that must have a feature, at least and for each thousand rows; the weight of a toxic row.
-LEAST_ROWS, LEAST_IN_THOUSAND, TOXIC_WEIGHT = 4, 1, 2.0
+#: Training rows that must have a feature, however many rows there are; the weight of a toxic row.
+LEAST_ROWS, TOXIC_WEIGHT = 4, 2.0
+#: Places of the state whose changes the shards send as one row.
+BLOCK = 1 << 14
 MIN_SCORE = 0.5
 _EDGES = re.compile(rb"[^0-9a-z\x80-\xff]+")
 
@@ -83,7 +86,8 @@ class State:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, seed: int = 1) -> tuple[np.ndarray, float]:
     """(weights, bias). The bounded sample is dealt to shards once and kept there; a round has each shard learn from
-    the mean state and sends back what changed, over the features that enough rows have."""
+    the mean state; what changed, over the features that enough rows have, is added up on the executors, block by block
+    of the state, so the driver gets the state once a round and not once a shard."""
     spark, size = docs.sparkSession, 1 << BITS
     sample, ys = labelled(docs, labels, label, rows)
     if len(set(ys.values())) < 2:
@@ -106,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     total = np.zeros(size, np.int64)
     for r in hashed.mapInPandas(counts, "n binary").collect():  # one table a shard
         total += np.frombuffer(zlib.decompress(r.n), np.int32)
-    often = np.flatnonzero(total >= max(LEAST_ROWS, len(ys) * LEAST_IN_THOUSAND // 1000))
+    often = np.flatnonzero(total >= LEAST_ROWS)
     place = np.full(size, -1, np.int32)
     place[often] = np.arange(len(often))
     sent_place, sent_labels = spark.sparkContext.broadcast(place), spark.sparkContext.broadcast(ys)
@@ -126,13 +130,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
             whole = sorted((r for frame in frames for r in zip(frame["doc_id"], frame["places"], frame["y"])), key=lambda r: r[:2])
             for i in np.random.default_rng(seed).permutation(len(whole)):
                 own.learn(np.frombuffer(whole[i][1], np.int32), whole[i][2])
-            at = np.flatnonzero(own.n != sent.value[1]).astype(np.int32)
-            yield pd.DataFrame({"at": [at.tobytes()], "z": [(own.z - sent.value[0])[at].astype(np.float32).tobytes()], "n": [(own.n - sent.value[1])[at].astype(np.float32).tobytes()]})
-
-        got = [tuple(np.frombuffer(x, k) for x, k in zip((r.at, r.z, r.n), (np.int32, np.float32, np.float32))) for r in narrow.mapInPandas(shard, "at binary, z binary, n binary").collect()]
-        for at, z, n in sorted(got, key=lambda r: (len(r[0]), r[1].tobytes())):
-            state.z[at] += z / SHARDS
-            state.n[at] += n / SHARDS
+            moved, own_shard = (own.z - sent.value[0], own.n - sent.value[1]), TaskContext.get().partitionId()
+            for at in range(0, len(own.n), BLOCK):
+                if moved[1][at : at + BLOCK].any():
+                    yield pd.DataFrame({"block": [at], "shard": [own_shard], **{k: [m[at : at + BLOCK].astype(np.float32).tobytes()] for k, m in zip("zn", moved)}})
+
+        def added(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("shard")  # sums of floats depend on the order
+            return pd.DataFrame({"block": [key[0]], **{k: [sum(np.frombuffer(x, np.float32).astype(float) for x in frame[k]).astype(np.float32).tobytes()] for k in "zn"}})
+
+        sums = narrow.mapInPandas(shard, "block long, shard int, z binary, n binary").groupBy("block").applyInPandas(added, "block long, z binary, n binary")
+        for r in sums.collect():  # the state itself, at most 2 ** BITS places
+            z, n = (np.frombuffer(x, np.float32) for x in (r.z, r.n))
+            state.z[r.block : r.block + len(z)] += z / SHARDS
+            state.n[r.block : r.block + len(n)] += n / SHARDS
         sent.destroy()
     for df in (hashed, narrow):
         df.unpersist()

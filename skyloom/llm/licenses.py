@@ -14,7 +14,7 @@ import re
 from fractions import Fraction
 from math import ceil, floor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage, texts_of
@@ -86,30 +86,24 @@ def bounds(n: int) -> tuple[int, int]:
     return ceil(n * t / (2 - t)), floor(n * (2 - t) / t)
 
 
-def frames(text: str) -> tuple[int, ...]:
-    """Bigrams of the windows that a template is compared with: as many as it has, and a fifth more."""
-    n = len(words_of(text)) - 1
-    return tuple(sorted({n, n + n // 5}))
-
-
 def _rows() -> list[tuple]:
-    """(gram, template, licence, n_t, low, high, frame) for each bigram and window length of each template."""
-    texts = [t for ts in TEMPLATES.values() for t in ts]
-    return [(b, i, name, len(own), *bounds(len(own)), size) for i, name, own in _templates() for size in frames(texts[i]) for b in sorted(own)]
+    """(gram, template, licence, n_t, low, high) for each bigram of each template."""
+    return [(b, i, name, len(own), *bounds(len(own))) for i, name, own in _templates() for b in sorted(own)]
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, licences, n_matches, best): a row for each row of docs.
 
     ``licences`` are the names found, in order, comma-joined; ``n_matches`` counts the templates found; ``best`` is the
-    largest coefficient, to six places. A template stands for its best window, the first of equal ones, and gives way
-    to another whose best window overlaps that one and is better, so a notice isn't told as its near relations too. A
+    largest coefficient, to six places. A template is compared with every window that begins and ends with one of its
+    bigrams and has a size within its bounds; it stands for its best window, the first of equal ones, and gives way to
+    another whose best window overlaps that one and is better, so a notice isn't told as its near relations too. A
     window's size is the number of its bigrams, repeated ones included. Null and empty texts, and texts without notices,
     have '', 0 and 0. Repeated rows give repeated results; ids may be null.
     """
     docs = texts_of(docs)
     rows = _rows()
-    grams = F.broadcast(docs.sparkSession.createDataFrame(rows, "gram string, template int, licence string, n_t int, low int, high int, frame int"))  # as many as TEMPLATES holds
+    grams = F.broadcast(docs.sparkSession.createDataFrame(rows, "gram string, template int, licence string, n_t int, low int, high int"))  # as many as TEMPLATES holds
     known = sorted({r[0] for r in rows})
     low = F.lower("text")
     words = F.split(F.trim(F.regexp_replace(low, "[^a-z0-9]+", " ")), " ")
@@ -122,17 +116,29 @@ def scan(docs: DataFrame) -> DataFrame:
     w = F.when(low.rlike("(" + "|".join(anchors()) + ")"), words)
     seen = stage(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", w.alias("w")).select("row", "doc_id", F.coalesce(hits, none).alias("hits")), "bigrams")
     held = seen.where(F.size("hits") >= min(r[4] for r in rows)).select("row", F.explode("hits").alias("hit")).select("row", "hit.*").join(grams, "gram")
-    of = held.groupBy("row", "template", "licence", "n_t", "low", "high", "frame").agg(F.array_sort(F.collect_list(F.struct("pos", "gram"))).alias("hits"), F.count_distinct("gram").alias("distinct"))
+    # where the same bigram stood before, in the partitioning that the groups need anyway
+    w = Window.partitionBy("row", "template").orderBy("gram", "pos")
+    held = held.withColumn("prev", F.when(F.lag("gram").over(w) == F.col("gram"), F.lag("pos").over(w)))
+    of = held.groupBy("row", "template").agg(*(F.first(c).alias(c) for c in ("licence", "n_t", "low", "high")), F.array_sort(F.collect_list(F.struct("pos", "prev"))).alias("hits"), F.count_if(F.col("prev").isNull()).alias("distinct"))
     of = of.where(F.col("distinct") >= F.col("low")).drop("distinct")
+    kind = "struct<dice:double,before:int,n_b:int>"
+
+    def longer(first):  # one hit more: a bigram that is new since the first hit counts, and a window may end here
+        def step(seen, x):
+            both = seen["both"] + F.when(x["prev"] >= first, 0).otherwise(1)
+            n_b = x["pos"] - first + 1
+            now = F.struct((2 * both / (n_b + F.col("n_t"))).alias("dice"), (-first).alias("before"), n_b.alias("n_b")).cast(kind)
+            return F.struct(both.alias("both"), F.when(n_b >= F.col("low"), F.greatest(seen["best"], now)).otherwise(seen["best"]).alias("best"))
+
+        return step
 
-    def window(i):  # the hits are ordered by place, so no more than frame + 1 of them can be near
+    def window(i):  # the hits are ordered by place, so no more than ``high`` of them are near enough
         first = F.get("hits", i)["pos"]
-        near = F.filter(F.slice("hits", i + 1, F.col("frame")), lambda x: x["pos"] < first + F.col("frame"))
-        return F.struct(first.alias("pos"), F.size(F.array_distinct(F.transform(near, lambda x: x["gram"]))).alias("both"), (F.element_at(near, -1)["pos"] - first + 1).alias("n_b"))
+        near = F.filter(F.slice("hits", i + 1, F.col("high")), lambda x: x["pos"] < first + F.col("high"))
+        none = F.struct(F.lit(0).alias("both"), F.lit(None).cast(kind).alias("best"))
+        return F.when(F.size(near) >= F.col("low"), F.aggregate(near, none, longer(first))["best"])
 
-    windows = F.filter(F.transform(F.sequence(F.lit(0), F.size("hits") - 1), window), lambda x: x["n_b"].between(F.col("low"), F.col("high")))
-    scored = F.transform(windows, lambda x: F.struct((2 * x["both"] / (x["n_b"] + F.col("n_t"))).alias("dice"), (-x["pos"]).alias("before"), x["n_b"].alias("n_b")))
-    best = of.select("row", "template", "licence", F.array_max(scored).alias("m")).groupBy("row", "template", "licence").agg(F.max("m").alias("m"))  # of both lengths
+    best = of.select("row", "template", "licence", F.array_max(F.transform(F.sequence(F.lit(0), F.size("hits") - 1), window)).alias("m"))
     dice = best.where(F.col("m.dice") >= THRESHOLD).select("row", "licence", "m.dice", (-F.col("m.before")).alias("pos"), (F.col("m.n_b") - F.col("m.before") - 1).alias("stop"))
     dice = stage(dice, "notices")  # no more than a row for each text and template
     other = dice.toDF("other_row", "other", "other_dice", "other_pos", "other_stop")
@@ -144,15 +150,15 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def oracle_sql() -> str:
     """The same windows by a join of each text's hits with one another, without anchors."""
-    rows = ", ".join(f"('{b}', {i}, '{name}', {n_t}, {low}, {high}, {size})" for b, i, name, n_t, low, high, size in _rows())
+    rows = ", ".join(f"('{b}', {i}, '{name}', {n_t}, {low}, {high})" for b, i, name, n_t, low, high in _rows())
     return rf"""
-WITH t(gram, template, licence, n_t, low, high, frame) AS (VALUES {rows}),
+WITH t(gram, template, licence, n_t, low, high) AS (VALUES {rows}),
 d AS (SELECT doc_id, coalesce(text, '') AS x, row_number() OVER () AS own FROM documents),
 w AS (SELECT own, string_split(trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM d),
 g AS (SELECT own, unnest(range(1, len(w))) AS pos, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS gram FROM w WHERE len(w) > 1),
-h AS (SELECT * FROM g JOIN t USING (gram)),
-s AS (SELECT a.own, a.template, a.licence, a.n_t, a.pos, a.frame, count(DISTINCT b.gram) AS n_both, max(b.pos) - a.pos + 1 AS n_b, any_value(a.low) AS low, any_value(a.high) AS high
-  FROM h AS a JOIN h AS b ON a.own = b.own AND a.template = b.template AND a.frame = b.frame AND b.pos >= a.pos AND b.pos < a.pos + a.frame GROUP BY a.own, a.template, a.licence, a.n_t, a.pos, a.frame),
+h AS MATERIALIZED (SELECT *, lag(pos) OVER (PARTITION BY own, template, gram ORDER BY pos) AS prev FROM g JOIN t USING (gram)),
+s AS (SELECT a.own, a.template, a.licence, a.n_t, a.low, a.high, a.pos, b.pos - a.pos + 1 AS n_b, count(*) FILTER (b.prev IS NULL OR b.prev < a.pos) OVER (PARTITION BY a.own, a.template, a.pos ORDER BY b.pos) AS n_both
+  FROM h AS a JOIN h AS b ON a.own = b.own AND a.template = b.template AND b.pos >= a.pos AND b.pos < a.pos + a.high),
 x AS (SELECT own, template, licence, pos, pos + n_b - 1 AS stop, n_b, 2.0 * n_both / (n_b + n_t) AS dice FROM s WHERE n_b BETWEEN low AND high),
 m AS (SELECT * FROM x WHERE dice >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY own, template ORDER BY dice DESC, pos, n_b DESC) = 1),
 o AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m AS b WHERE b.own = m.own AND b.dice > m.dice AND b.pos <= m.stop AND m.pos <= b.stop)),

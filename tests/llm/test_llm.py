@@ -496,6 +496,45 @@ def test_licences_equal_sql(spark):
     assert [got[i][1] for i in (8, 9, 10, 11)] == ["CC-BY-NC-4.0", "MIT", "Apache-2.0", "AGPL-3.0"]
 
 
+def every_window(text):
+    """The best coefficient of each template over all windows, by brute force."""
+    w = licenses.words_of(text)
+    grams = [f"{a} {b}" for a, b in zip(w, w[1:])]
+    out = {}
+    for i, name, own in licenses._templates():
+        low, high = licenses.bounds(len(own))
+        best = (0, 0, 0)
+        for a in range(len(grams)):
+            if grams[a] in own:
+                seen = set()
+                for b in range(a, min(a + high, len(grams))):
+                    if grams[b] in own:
+                        seen.add(grams[b])
+                        if b - a + 1 >= low:
+                            best = max(best, (2 * len(seen) / (b - a + 1 + len(own)), -a, b - a + 1))
+        if best[0] >= licenses.THRESHOLD:
+            out[i] = (name, *best)
+    return {name: d for i, (name, d, a, n) in out.items() if not any(e > d and -c <= -a + n - 1 and -a <= -c + m - 1 for _, e, c, m in out.values())}
+
+
+def test_licences_with_words_put_in(spark):
+    rng, texts = random.Random(7), []
+    for notice in (t for ts in licenses.TEMPLATES.values() for t in ts):
+        for share in (0.0, 0.1, 0.2, 0.3, 0.4, 0.45):
+            for together in (True, False):
+                w = notice.split()
+                extra = ["zeta"] * int(len(w) * share)
+                at = rng.randrange(1, len(w)) if together else None
+                for x in extra:
+                    w.insert(at or rng.randrange(1, len(w)), x)
+                texts.append("before it " + " ".join(w) + " after it")
+    got = held(spark, texts, licenses.scan, licenses.oracle_sql())
+    want = [every_window(t) for t in texts]
+    assert [got[i][1] for i in range(len(texts))] == [",".join(sorted(w)) for w in want]
+    long = [i for i, t in enumerate(texts) if want[i] and t.count("zeta") > 0.25 * len(t.split())]
+    assert len(long) > 10  # more than a fifth put in, and still a match
+
+
 @pytest.mark.parametrize("operator, label, least", [(quality.classify, "quality", 0.98), (toxicity.classify, "toxic", 0.97)])
 def test_held_out_accuracy(spark, operator, label, least):
     sf = "/root/testdata/sf0.1"

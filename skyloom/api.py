@@ -229,13 +229,21 @@ def objects_near(objects: dict[str, DataFrame], ra: float, dec: float, radius: f
 
 def rescaled(table: DataFrame, array: str, zp: float = photometry.LSST_ZP_NJY) -> DataFrame:
     """A stored table with signal-to-noise, limits and, above the least signal-to-noise, magnitudes of an array recomputed
-    from its fluxes; doing it twice changes nothing."""
+    from its fluxes; where points have aperture fluxes, or chi squared and its number of points, signal-to-noise and
+    magnitude of the aperture and the reduced chi squared too. Doing it twice changes nothing."""
+    fields = table.schema[array].dataType.elementType.names
 
     def one(p):
         snr = F.try_divide(F.abs(p["psfFlux"]), p["psfFluxErr"])
         m = photometry.flux_to_mag(F.abs(p["psfFlux"]), p["psfFluxErr"], zp)
         good = F.coalesce(snr > photometry.SNT, F.lit(False))
         new = {"snr": snr.cast("float"), "magpsf": F.when(good, m["mag"]), "sigmapsf": F.when(good, m["err"]), "diffmaglim": photometry.flux_err_to_limit(p["psfFluxErr"], zp)}
+        if {"apFlux", "apFluxErr"} <= set(fields):
+            ap, ap_snr = photometry.flux_to_mag(F.abs(p["apFlux"]), p["apFluxErr"], zp), F.try_divide(F.abs(p["apFlux"]), p["apFluxErr"])
+            seen = F.coalesce(ap_snr > photometry.SNT, F.lit(False))
+            new |= {"snr_ap": ap_snr.cast("float"), "magap": F.when(seen, ap["mag"]), "sigmagap": F.when(seen, ap["err"])}
+        if {"psfChi2", "psfNdata"} <= set(fields):
+            new["chipsf"] = F.try_divide(p["psfChi2"].cast("double"), p["psfNdata"].cast("double")).cast("float")
         return reduce(lambda q, kv: q.withField(*kv), new.items(), p)
 
     return table.withColumn(array, F.transform(array, one))

@@ -120,6 +120,25 @@ def ztf_fluxes(spark, sf):
     return d.select("candid", n["band"].alias("band"), n["isdiffpos"].alias("positive"), F.signum(flux).alias("way"), F.round(F.log10(F.abs(flux)), 4).alias("lg"), F.round(n["snr_ap"].cast("double"), 2).alias("snr"))
 
 
+@query(f"WITH {D} SELECT objectId, count(*) AS n, round(sum({_MAG.format(f='mag * 10', zp=31.4)}), 1) AS ap, round(sum(CAST(CAST(mag / (candid % 5 + 1) AS FLOAT) AS DOUBLE)), 2) AS chi, count(*) FILTER (candid % 4 <> 0) AS seen FROM d GROUP BY 1")
+def rescaled_apertures(spark, sf):
+    """Aperture magnitudes and reduced chi squared recomputed; where noise is large there is no magnitude of the point."""
+    p = F.struct("jd", (F.col("mag") * 100).alias("psfFlux"), F.when(F.col("candid") % 4 == 0, F.col("mag") * 50).otherwise(F.lit(2.0)).alias("psfFluxErr"), (-F.col("mag") * 10).alias("apFlux"), F.lit(1.0).alias("apFluxErr"), F.col("mag").alias("psfChi2"), (F.col("candid") % 5 + 1).alias("psfNdata"))
+    d = views.detections(spark, sf).groupBy("objectId").agg(F.collect_list(p).alias("points"))
+    twice = api.rescaled(api.rescaled(d, "points"), "points").select("objectId", F.explode("points").alias("p"))
+    return twice.groupBy("objectId").agg(F.count("*").alias("n"), F.round(F.sum(F.col("p.magap").cast("double")), 1).alias("ap"), F.round(F.sum(F.col("p.chipsf").cast("double")), 2).alias("chi"), F.count("p.magpsf").alias("seen"))
+
+
+@query(f"SELECT l_orderkey, count(*) FILTER (l_linenumber <> 7) AS points, count(*) FILTER (l_linenumber <> 7 AND l_linenumber <> 6 AND l_extendedprice > 3 * 400 * l_quantity) AS seen, coalesce(round(sum(CASE WHEN l_linenumber < 6 AND l_extendedprice > 3 * 400 * l_quantity THEN {_MAG.format(f='l_extendedprice', zp=31.4)} END), 2), 0) AS mags, coalesce(round(sum(CASE WHEN l_linenumber <> 7 THEN {_MAG.format(f='5 * 400 * l_quantity', zp=31.4)} END), 2), 0) AS limits, count(*) FILTER (l_linenumber < 6 AND l_extendedprice > 3 * 400 * l_quantity AND l_discount <= 0.05) AS positive FROM lineitem GROUP BY 1")
+def lsst_forced_points(spark, sf):
+    """Forced points of one survey: magnitudes above the least signal-to-noise, limits for all that have an error."""
+    sign = F.when(F.col("l_discount") <= 0.05, 1.0).otherwise(-1.0)
+    p = F.struct((59000.0 + F.col("l_linenumber")).alias("midpointMjdTai"), F.lit("r").alias("band"), F.when(F.col("l_linenumber") != 6, sign * F.col("l_extendedprice")).alias("psfFlux"), F.when(F.col("l_linenumber") != 7, 400.0 * F.col("l_quantity")).alias("psfFluxErr"))
+    o = views.load(spark, sf, "lineitem").groupBy("l_orderkey").agg(photometry.lsst_forced(F.collect_list(p)).alias("p"))
+    total = lambda name: F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + F.coalesce(x[name].cast("double"), F.lit(0.0))), 2)
+    return o.select("l_orderkey", _long("points", F.size("p")), _long("seen", F.size(F.filter("p", lambda x: x["magpsf"].isNotNull()))), total("magpsf").alias("mags"), total("diffmaglim").alias("limits"), _long("positive", F.size(F.filter("p", lambda x: F.coalesce(x["isdiffpos"], F.lit(False))))))
+
+
 @query(f"SELECT l_orderkey, l_linenumber, round({_MAG.format(f='l_extendedprice', zp=31.4)}, 3) AS mag, round({_MAG.format(f='5 * l_quantity', zp=31.4)}, 3) AS lim, l_discount <= 0.05 AS positive, round(CAST(CAST(l_extendedprice / l_quantity AS FLOAT) AS DOUBLE), 1) AS snr, round(53736 + l_linenumber + 2400000.5 - CASE WHEN 53736 + l_linenumber >= 53736 + 33 / 86400.0 THEN 33 ELSE 32 END / 86400.0::DOUBLE, 6) AS jd, 1::INT AS ndet FROM lineitem")
 def lsst_sources(spark, sf):
     sign = F.when(F.col("l_discount") <= 0.05, 1.0).otherwise(-1.0)
@@ -201,7 +220,7 @@ def curve_features(spark, sf):
     return stats.select("objectId", F.round(f["age"], 4).alias("age"), F.round(f["days_since_peak"], 4).alias("since"), F.round(f["days_to_peak"], 4).alias("until"), F.round(f["peakmag_so_far"].cast("double"), 4).alias("peak"), F.round(f["maxmag_so_far"].cast("double"), 4).alias("faint"))
 
 
-@query(f"WITH {D} SELECT objectId, count(*) AS n, round(sum({_MAG.format(f="mag * 100", zp=31.4)}), 1) AS mags, round(sum(mag * 100 / 2), 0) AS snr FROM d GROUP BY 1")
+@query(f"WITH {D} SELECT objectId, count(*) AS n, round(sum({_MAG.format(f="mag * 100", zp=31.4)}), 1) AS mags, round(sum(CAST(CAST(mag * 100 / 2 AS FLOAT) AS DOUBLE)), 0) AS snr FROM d GROUP BY 1")
 def rescaled_points(spark, sf):
     d = views.detections(spark, sf).groupBy("objectId").agg(F.collect_list(F.struct("jd", (F.col("mag") * 100).alias("psfFlux"), F.lit(2.0).alias("psfFluxErr"))).alias("points"))
     once = api.rescaled(d, "points")

@@ -131,6 +131,22 @@ def lsst_source(s: Column) -> Column:
     )
 
 
+def lsst_forced(points: Column) -> Column:
+    """LSST forced photometry: UTC date, limit, and above signal-to-noise 3 the magnitude of the absolute flux and its
+    direction; without a flux there is only the limit, and points without an error are left out."""
+
+    def one(p: Column) -> Column:
+        snr = F.try_divide(F.abs(p["psfFlux"].cast("double")), p["psfFluxErr"].cast("double")).cast("float")
+        m = flux_to_mag(F.abs(p["psfFlux"]), p["psfFluxErr"], LSST_ZP_NJY)
+        seen = F.coalesce(snr > SNT, F.lit(False))
+        return F.struct(
+            tai_mjd_to_jd(p["midpointMjdTai"]).alias("jd"), p["band"].alias("band"), F.when(seen, m["mag"]).alias("magpsf"), F.when(seen, m["err"]).alias("sigmapsf"), flux_err_to_limit(p["psfFluxErr"], LSST_ZP_NJY).alias("diffmaglim"),
+            F.when(seen, p["psfFlux"] > 0).alias("isdiffpos"), F.when(seen, snr).alias("snr"), p["psfFlux"].alias("psfFlux"), p["psfFluxErr"].alias("psfFluxErr"),
+        )
+
+    return F.transform(F.filter(points, lambda p: p["psfFluxErr"].isNotNull()), one)
+
+
 def lsst_object_id(dia: Column, sso: Column) -> Column:
     """The id as text, or "sso" and the solar-system id; zero counts as missing."""
     return F.coalesce(F.when(dia != 0, dia.cast("string")), F.concat(F.lit("sso"), F.when(sso != 0, sso).cast("string")))

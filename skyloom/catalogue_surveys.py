@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from skyloom import api, views
 from skyloom.catalogue import _STORED, D, _apart, _run, _sky, query
 from skyloom.functions import photometry, sky
-from skyloom.operators import crossmatch, enrich, lightcurve, models, rules, series
+from skyloom.operators import coverage, crossmatch, enrich, lightcurve, models, rules, series
 from skyloom.plans import filters
 from skyloom.sources import surveys
 from skyloom.streaming import replayed, stages, state
@@ -76,6 +76,43 @@ def geo_coordinates(spark, sf):
     return _placed(spark, sf).select(F.col("objectId").alias("id"), F.round(pair[0], 6).alias("lon"), F.round(pair[1], 6).alias("lat"))
 
 
+#: Positions with the poles and right ascension 0 among them, and the nested numbers of their cells at depth 11.
+_CELLS = f"""{_sky('a0', 'customer', 'c_custkey')}, a AS (SELECT id, CASE id % 50 WHEN 0 THEN 0.0 WHEN 1 THEN 360.0 ELSE ra END::DOUBLE AS ra, CASE id % 50 WHEN 2 THEN 90.0 WHEN 3 THEN -90.0 ELSE dec END::DOUBLE AS dec FROM a0),
+e AS (SELECT id, sin(radians(dec)) AS z, (ra % 360) / 90 AS t, dec, CAST(least(floor((ra % 360) / 90), 3) AS BIGINT) AS k FROM a),
+f AS (SELECT *, CAST(floor(2048 * (0.5 + t - 0.75 * z)) AS BIGINT) AS p, CAST(floor(2048 * (0.5 + t + 0.75 * z)) AS BIGINT) AS m, 2048 * sqrt(6::DOUBLE) * sin(radians(90 - abs(dec)) / 2) AS s FROM e),
+g AS (SELECT id, CASE WHEN abs(z) <= 2 / 3::DOUBLE THEN CASE WHEN p // 2048 = m // 2048 THEN p // 2048 % 4 + 4 WHEN p // 2048 < m // 2048 THEN p // 2048 % 4 ELSE m // 2048 % 4 + 8 END WHEN z > 0 THEN k ELSE k + 8 END AS face,
+  CASE WHEN abs(z) <= 2 / 3::DOUBLE THEN m % 2048 WHEN z > 0 THEN 2047 - least(2047, CAST(floor((1 - t + k) * s) AS BIGINT)) ELSE least(2047, CAST(floor((t - k) * s) AS BIGINT)) END AS x,
+  CASE WHEN abs(z) <= 2 / 3::DOUBLE THEN 2047 - p % 2048 WHEN z > 0 THEN 2047 - least(2047, CAST(floor((t - k) * s) AS BIGINT)) ELSE least(2047, CAST(floor((1 - t + k) * s) AS BIGINT)) END AS y FROM f),
+h AS (SELECT id, face * 4194304 + list_sum([(((x >> i) & 1) << (2 * i)) + (((y >> i) & 1) << (2 * i + 1)) for i in range(11)])::BIGINT AS cell FROM g),
+c AS (SELECT CAST(1 + s_suppkey % 6 AS INT) AS depth, s_suppkey * 7919 % (12 * CAST(pow(4, 1 + s_suppkey % 6) AS BIGINT)) AS cell FROM supplier WHERE s_suppkey % 3 <> 0),
+v AS (SELECT id, h.cell, coalesce(bool_or(h.cell // CAST(pow(4, 11 - depth) AS BIGINT) = c.cell), false) AS covered FROM h LEFT JOIN c ON h.cell // CAST(pow(4, 11 - depth) AS BIGINT) = c.cell GROUP BY 1, 2)"""
+
+
+def _covered(spark, sf):
+    k = F.col("objectId") % 50
+    a = views.sky_positions(spark, sf, "customer", "c_custkey").withColumns({"ra": F.when(k == 0, 0.0).when(k == 1, 360.0).otherwise(F.col("ra")), "dec": F.when(k == 2, 90.0).when(k == 3, -90.0).otherwise(F.col("dec"))})
+    depth = 1 + F.col("s_suppkey") % 6
+    cells = views.load(spark, sf, "supplier").where("s_suppkey % 3 <> 0").select(depth.cast("int").alias("depth"), (F.col("s_suppkey") * 7919 % (12 * F.pow(F.lit(4.0), depth).cast("long"))).alias("cell"))
+    return coverage.covered(a, coverage.ranges(cells, 11), 11)
+
+
+@query(f"WITH {_CELLS} SELECT id, cell, covered FROM v")
+def sky_coverage(spark, sf):
+    """Cells at depth 11, and whether a map of cells of several depths holds them."""
+    return _covered(spark, sf).select(F.col("objectId").alias("id"), coverage.pixel(F.col("ra"), F.col("dec"), 11).alias("cell"), "covered")
+
+
+@query(f"WITH {_CELLS} SELECT id, CASE WHEN id % 4 = 1 THEN true WHEN covered OR id % 4 = 2 THEN false END AS star, 'lsst.no-ztf-match.' || CASE WHEN id % 4 = 1 THEN 'stellar' WHEN id % 4 = 2 THEN 'hosted' WHEN covered THEN 'hostless' ELSE 'unknown' END AS topic FROM v")
+def lsst_in_coverage(spark, sf):
+    """Flags and topics of sources with and without neighbours, inside and outside the map."""
+    k = F.col("objectId") % 4
+    kind = "array<struct<distance_arcsec:double,score:double,mag_white:double>>"
+    near = F.when(k == 1, F.array(F.struct(F.lit(0.5).alias("distance_arcsec"), F.lit(0.9).alias("score"), F.lit(18.0).alias("mag_white")))).when(k == 2, F.array(F.struct(F.lit(0.5).alias("distance_arcsec"), F.lit(0.1).alias("score"), F.lit(18.0).alias("mag_white")))).otherwise(F.array()).cast(kind)
+    flags = rules.lsst_flags(near, F.col("covered"), F.lit(None).cast("long"))
+    topic = rules.lsst_category(flags["star"], flags["near_brightstar"], near, F.col("covered"), F.lit(False))
+    return _covered(spark, sf).select(F.col("objectId").alias("id"), flags["star"].alias("star"), topic.alias("topic"))
+
+
 _UNIT = "u AS (SELECT g, avg(cos(radians(dec)) * cos(radians(ra))) AS x, avg(cos(radians(dec)) * sin(radians(ra))) AS y, avg(sin(radians(dec))) AS z FROM (SELECT *, id % 20 AS g FROM a) GROUP BY g)"
 
 

@@ -38,6 +38,28 @@ _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile("[\x1c-\x1f]")
 
 
+#: Letters, numbers and lower-case forms that Unicode has gained since the version of ``unicodedata``, as
+#: far as the tokenizers library knows them. Code points that neither knows are neither letters nor numbers.
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
+    (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
+
+class Stands(dict):
+    """Each code point as itself, but one that ``unicodedata`` doesn't know as a letter, number or sign that it does."""
+
+    def __missing__(self, c: int) -> int:
+        known = unicodedata.category(chr(c)) != "Cn"
+        self[c] = c if known else 0xAA if any(a <= c <= b for a, b in NEW_LETTERS) else 0xB2 if any(a <= c <= b for a, b in NEW_NUMBERS) else 0xA7
+        return self[c]
+
+
+STANDS = Stands()
+
+
 class Vocabulary:
     """What a vocabulary file says: merges by rank, special tokens, and the split of white-space free pieces."""
 
@@ -80,7 +102,12 @@ class Vocabulary:
                 return [piece.lower()]
             return self.split.findall(piece.lower())
         piece = unicodedata.normalize("NFC", piece)
-        return self.split.findall("".join(c.lower() for c in piece) if "Σ" in piece else piece.lower())
+        piece = "".join(c.lower() for c in piece) if "Σ" in piece else piece.lower()
+        shape = piece.translate(STANDS)
+        if shape == piece:
+            return self.split.findall(piece)
+        piece = piece.translate(NEW_LOWER)
+        return [piece[m.start() : m.end()] for m in self.split.finditer(piece.translate(STANDS))]
 
     def pieces(self, pieces: list[str]) -> list[list[int]]:
         """The ids of pieces without white space; each distinct word is merged once."""

@@ -103,6 +103,18 @@ def test_bpe_equals_the_library(spark):
     assert all(back[i] == r.decoded for i, r in got.items())
 
 
+def test_bpe_equals_the_library_on_every_code_point(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary_path())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"x{chr(c)}1 !{chr(c)}! {chr(c)}" for c in points[i : i + 500]) for i in range(0, len(points), 500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    want = [hashlib.sha256(" ".join(map(str, e.ids)).encode()).hexdigest() for e in t.encode_batch(texts, add_special_tokens=False)]
+    got = {r.doc_id: r.ids_sha256 for r in bpe.encode(docs, vocabulary_path()).collect()}
+    assert [hex(points[500 * i]) for i, w in enumerate(want) if got[i] != w] == []
+
+
 def test_lexicon_is_minimal_and_exact(tmp_path):
     words = {w.encode(): [i] for i, w in enumerate(["tap", "taps", "top", "tops", "stop", "stops", "é"])}
     (tmp_path / "x").write_bytes(bpe.compile_lexicon(words))

@@ -142,8 +142,13 @@ def object_page(alerts: DataFrame, objects: DataFrame, others: dict[str, DataFra
     return out
 
 
-def rows_within(df: DataFrame, seconds: float) -> list:
-    """The rows of a bounded result, or an error if they take longer: the jobs that are still running are cancelled."""
+#: Rows that an answer may bring to the driver; larger results belong in a table.
+MOST_ROWS = 100_000
+
+
+def rows_within(df: DataFrame, seconds: float, most: int = MOST_ROWS) -> list:
+    """The rows of a result, or an error if they take longer, when the jobs that still run are cancelled, or if there are
+    more of them than ``most``."""
     context = df.sparkSession.sparkContext
     tag, late = f"limit-{uuid.uuid4().hex}", threading.Event()
 
@@ -155,7 +160,7 @@ def rows_within(df: DataFrame, seconds: float) -> list:
     context.addJobTag(tag)
     timer.start()
     try:
-        return df.collect()
+        rows = df.limit(most + 1).collect()
     except Exception as e:
         if late.is_set():
             raise QueryError(f"took more than {seconds} seconds") from e
@@ -163,6 +168,9 @@ def rows_within(df: DataFrame, seconds: float) -> list:
     finally:
         timer.cancel()
         context.removeJobTag(tag)
+    if len(rows) > most:
+        raise QueryError(f"more than {most} rows; write them to a table")
+    return rows
 
 
 def alert_search(alerts: DataFrame, object_id: str | None = None, cone: tuple[float, float, float] | None = None, window: tuple[float, float] | None = None, ranges: dict[str, tuple[float | None, float | None]] | None = None, flags: dict[str, bool] | None = None, isdiffpos: bool | None = None, skip: int = 0, limit: int = 100) -> DataFrame:

@@ -292,14 +292,10 @@ def objects_around(spark, sf):
     return out.select("survey", F.col("objectId").alias("id"), F.round("distance_arcsec", 2).alias("dist"))
 
 
-@query("SELECT 'ZTF' AS survey, 'ZTF18' || lpad(CAST(c_custkey AS VARCHAR), 7, 'a') AS id FROM customer WHERE starts_with('ZTF18' || lpad(CAST(c_custkey AS VARCHAR), 7, 'a'), 'ZTF18aaaa1') ORDER BY id LIMIT 10")
+@query("SELECT 'ZTF' AS survey, 'ZTF18' || lpad(CAST(c_custkey AS VARCHAR), 7, 'a') AS id FROM customer WHERE starts_with('ZTF18' || lpad(CAST(c_custkey AS VARCHAR), 7, 'a'), 'ZTF18aaaaa') ORDER BY id LIMIT 10")
 def objects_by_prefix(spark, sf):
     o = views.load(spark, sf, "customer").select(F.concat(F.lit("ZTF18"), F.lpad(F.col("c_custkey").cast("string"), 7, "a")).alias("objectId"))
-    return _prefixed(o).select("survey", F.col("objectId").alias("id"))
-
-
-def _prefixed(o):
-    return o.where(F.col("objectId").startswith("ZTF18aaaa1")).select("objectId", F.lit(api.survey_of("ztf18aaaa")[0]).alias("survey")).orderBy("objectId").limit(10)
+    return api.object_search(spark, {"ZTF": o}, "ztf18AAAAA").select("survey", F.col("objectId").alias("id"))
 
 
 @query("SELECT CASE WHEN o_totalprice > 100000 THEN 'ok' WHEN o_orderstatus = 'F' THEN 'late' ELSE 'failed' END AS outcome, count(*) AS n FROM orders GROUP BY 1")

@@ -331,7 +331,8 @@ def dry_run(alerts: DataFrame, f: Filter, tables: Tables, start: float | None =
     """What a filter would pass of a restricted set of alerts, sorted and limited if asked.
 
     The restriction is checked first, and thins the alerts before the filter runs; its count is ``dry_run(...).count()``.
-    A sort goes right after the restriction where it names fields of the alert, as the filter may not keep them.
+    A sort may name fields of the filter's result, annotations too, or else of the alert: these are looked up again for
+    what has passed, as the filter may not keep them.
     """
     check_test_window(start, end, objects, candids)
     if start is not None:
@@ -342,11 +343,13 @@ def dry_run(alerts: DataFrame, f: Filter, tables: Tables, start: float | None =
         alerts = alerts.where(F.col("_id").isin(candids))
     out = run_filter(alerts, f, tables)
     if sort:
-        keys = alerts.select(F.col("_id").alias("__id"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(sort)))
-        order = [F.col(f"__k{i}").asc_nulls_first() if way > 0 else F.col(f"__k{i}").desc_nulls_last() for i, way in enumerate(sort.values())]
-        out = out.join(keys, F.col("_id") == F.col("__id")).orderBy(*order, "_id")
-        out = out.limit(limit) if limit else out
-        return out.drop("__id", *(f"__k{i}" for i in range(len(sort))))
+        scope = pipeline.scope_of(out)
+        own = {k for k in sort if pipeline.path_of(scope, k) is not pipeline.NULL}
+        if lost := [k for k in sort if k not in own]:
+            out = out.join(alerts.select(F.col("_id").alias("__id"), *(F.col(k).alias(f"__{k}") for k in lost)), F.col("_id") == F.col("__id"))
+        by = {k: pipeline.path_of(scope, k).column if k in own else F.col(f"`__{k}`") for k in sort}
+        out = out.orderBy(*(by[k].asc_nulls_first() if way > 0 else by[k].desc_nulls_last() for k, way in sort.items()), "_id")
+        return (out.limit(limit) if limit else out).drop("__id", *(f"__{k}" for k in lost))
     return out.limit(limit) if limit else out
 
 

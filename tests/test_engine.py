@@ -577,7 +577,9 @@ def test_lookups_by_arrays_under_other_partitionings(spark):
 
 
 def test_rows_within_a_time(spark):
-    assert [r.id for r in api.rows_within(spark.range(3), 60)] == [0, 1, 2]
+    assert [r.id for r in api.rows_within(spark.range(3), 60, most=3)] == [0, 1, 2]
+    with pytest.raises(api.QueryError, match="more than 2 rows"):
+        api.rows_within(spark.range(3), 60, most=2)
     with pytest.raises(api.QueryError, match="more than"):
         api.rows_within(spark.range(10**12).where("pmod(xxhash64(id), 1000003) = 5").groupBy().sum(), 1.0)
     assert spark.range(5).count() == 5  # the session goes on

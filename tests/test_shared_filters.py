@@ -48,3 +48,13 @@ def test_one_scan_and_one_join_for_any_number(spark):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan") == 2 and plan.count("Join") == 1 and "Union" not in plan
         assert out.count() > 0
+
+
+def test_dry_run_sorts_by_alert_and_by_annotation(spark):
+    alerts = views.alerts(spark, SF)
+    stages = [{"$match": {"candidate.magpsf": {"$lt": 18}}}, {"$project": {"objectId": 1, "annotations.d": "$candidate.drb", "annotations.m": "$candidate.magpsf"}}]
+    f = filters.Filter("f", "ZTF", {"v": json.dumps(stages)}, "v", {"ZTF": [1, 2]})
+    run = lambda **how: [(r["_id"], r.annotations.d, r.annotations.m) for r in filters.dry_run(alerts, f, {}, 2460315.0, 2460321.0, limit=30, **how).collect()]
+    every = [(r["_id"], r.annotations.d, r.annotations.m) for r in filters.dry_run(alerts, f, {}, 2460315.0, 2460321.0).collect()]
+    assert run(sort={"annotations.d": -1, "candidate.magpsf": 1}) == sorted(every, key=lambda r: (-r[1], r[2], r[0]))[:30]
+    assert run(sort={"candidate.magpsf": -1}) == sorted(every, key=lambda r: (-r[2], r[0]))[:30]

@@ -314,6 +314,28 @@ def dry_run(spark, sf):
     return out.select("_id", F.col("annotations.n").alias("n"))
 
 
+@query(f"WITH {D} SELECT candid AS _id, count(*) AS passed, CAST(sum(n_nationkey) AS BIGINT) AS which FROM d, nation WHERE n_regionkey <> 0 AND n_nationkey % 7 <> 0 AND mag < 15 + n_nationkey / 5.0::DOUBLE AND (programid = 1 OR programid = 2 AND n_nationkey % 2 = 0) GROUP BY 1")
+def stored_filters(spark, sf):
+    """Filters loaded from a table: the active version of the active ones, without those that may not run."""
+    n = F.col("n_nationkey")
+    text = F.when(n % 7 == 0, F.lit('[{"$group": {"_id": null}}]')).otherwise(F.format_string('[{"$match": {"candidate.magpsf": {"$lt": %s}}}, {"$project": {"objectId": 1, "annotations.k": {"$abs": %s}}}]', (15 + n / 5.0).cast("string"), n.cast("string")))
+    rows = views.load(spark, sf, "nation").select(
+        F.col("n_name").alias("_id"), F.lit("ZTF").alias("survey"), (F.col("n_regionkey") != 0).alias("active"), F.lit("v2").alias("active_fid"),
+        F.array(F.struct(F.lit("v1").alias("fid"), F.lit("[]").alias("pipeline")), F.struct(F.lit("v2").alias("fid"), text.alias("pipeline"))).alias("fv"), F.create_map(F.lit("ZTF"), F.when(n % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("permissions"),
+    )
+    good, _ = filters.sound_filters(filters.load_filters(rows, "ZTF"))
+    out = filters.run_filters(views.alerts(spark, sf), good, {"ZTF_objects": views.objects(spark, sf)})
+    which = F.aggregate("filters", F.lit(0).cast("long"), lambda s, x: s + F.get_json_object(x["annotations"], "$.k").cast("double").cast("long"))
+    return out.select("_id", _long("passed", F.size("filters")), which.alias("which"))
+
+
+@query(f"WITH {D}, a AS (SELECT * FROM d WHERE programid IN (1, 2) ORDER BY jd DESC, candid DESC LIMIT 200) SELECT candid AS _id FROM a WHERE mag < 16")
+def dry_run_latest(spark, sf):
+    """What a filter passes of the newest alerts that it may see."""
+    f = filters.Filter("f", "ZTF", {"v": json.dumps([{"$match": {"candidate.magpsf": {"$lt": 16}}}, {"$project": {"objectId": 1}}])}, "v", {"ZTF": [1, 2]})
+    return filters.dry_run(views.alerts(spark, sf), f, {}, latest=200).select("_id")
+
+
 def _standing(n: int) -> list[filters.Filter]:
     """Filters of rising brightness; every other one looks at the history that its programmes allow."""
     out = []

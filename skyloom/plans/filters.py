@@ -157,6 +157,19 @@ def load_filters(rows: DataFrame, survey: str) -> list[Filter]:
     return out
 
 
+def sound_filters(filters: list[Filter]) -> tuple[list[Filter], dict[str, str]]:
+    """The filters that may run, and why the others may not, by id: one bad filter doesn't stop the rest."""
+    good, bad = [], {}
+    for f in filters:
+        try:
+            validate(f.stages())
+        except ValueError as e:
+            bad[f.id] = str(e)
+        else:
+            good.append(f)
+    return good, bad
+
+
 def run_filter(alerts: DataFrame, f: Filter, tables: Tables) -> DataFrame:
     """Run a filter over a batch of alerts. ``tables`` has <survey>_objects for its survey and the others."""
     spec, stages = SURVEYS[f.survey], f.stages()
@@ -327,13 +340,18 @@ def is_selective(matched: Column, total: Column, percent: float) -> Column:
     return (total > 0) & (matched <= F.floor(total * percent / 100))
 
 
-def dry_run(alerts: DataFrame, f: Filter, tables: Tables, start: float | None = None, end: float | None = None, objects: list[str] | None = None, candids: list[int] | None = None, sort: dict[str, int] | None = None, limit: int | None = None) -> DataFrame:
+def dry_run(alerts: DataFrame, f: Filter, tables: Tables, start: float | None = None, end: float | None = None, objects: list[str] | None = None, candids: list[int] | None = None, sort: dict[str, int] | None = None, limit: int | None = None, latest: int | None = None) -> DataFrame:
     """What a filter would pass of a restricted set of alerts, sorted and limited if asked.
 
     The restriction is checked first, and thins the alerts before the filter runs; its count is ``dry_run(...).count()``.
-    A sort may name fields of the filter's result, annotations too, or else of the alert: these are looked up again for
+    With ``latest`` so many of the newest alerts that the filter may see are looked up. A sort may name fields of the filter's result, annotations too, or else of the alert: these are looked up again for
     what has passed, as the filter may not keep them.
     """
+    if latest:
+        if latest > 1000:
+            raise FilterError("too many objects or alerts")
+        seen = F.col("candidate.programid").isin(f.permissions.get(f.survey) or []) if SURVEYS[f.survey]["programs"] else F.lit(True)
+        candids = [r["_id"] for r in alerts.where(seen).orderBy(F.col("candidate.jd").desc(), F.col("_id").desc()).limit(latest).select("_id").collect()] or [None]
     check_test_window(start, end, objects, candids)
     if start is not None:
         alerts = alerts.where((F.col("candidate.jd") >= start) & (F.col("candidate.jd") <= end))

@@ -213,12 +213,13 @@ def _shared(alerts: DataFrame, filters: list[Filter], tables: Tables) -> DataFra
     """(_id, objectId, filters) of filters of one survey, in one scan of the alerts and one join with each table.
 
     Every filter has a bit, and a document: the alert's own columns until a stage changes it, then a struct. A step of all
-    filters is one projection. (With a column for each flag the optimizer's constraints would double with every filter.) First come the stages before any history is needed; rows that no filter wants
-    any more go, the others get their history and counterparts once, trimmed once for each set of permissions, and the
-    rest of the stages follows.
+    filters is one projection. (With a column for each flag the optimizer's constraints would double with every filter.)
+    First come the stages before any history is needed; rows that no filter wants any more go, the others get their
+    history and counterparts once, trimmed once for each set of permissions, and the rest of the stages follows.
     """
-    spec = SURVEYS[filters[0].survey]
-    survey, arrays = filters[0].survey, [a for a in spec["arrays"] if a in tables[f"{filters[0].survey}_objects"].columns] if f"{filters[0].survey}_objects" in tables else []
+    survey = filters[0].survey
+    spec, stored = SURVEYS[survey], tables.get(f"{survey}_objects")
+    arrays = [a for a in spec["arrays"] if stored is not None and a in stored.columns]
     df = alerts.select("_id", *(c for c in spec["fields"] if c in alerts.columns))
     base = Scope(df.schema)
     stages = [f.stages() for f in filters]

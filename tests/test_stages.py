@@ -2,8 +2,6 @@
 
 import json
 
-from pyspark.sql import functions as F
-
 from skyloom.operators import crossmatch
 from skyloom.plans import filters
 from skyloom.streaming import stages

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from skyloom.functions import photometry, sky
 from skyloom.operators import crossmatch
 from skyloom.plans import pipeline
+from skyloom.sources import tables
 
 #: Tables that no query may name.
 PROTECTED = ("users", "filters", "user_devices", "tokens")
@@ -76,7 +77,7 @@ class Store:
             raise QueryError("at most 1000 points")
         df = self.find(name, query)
         asked = self.spark.createDataFrame([(k, float(ra), float(dec)) for k, (ra, dec) in points.items()], "name string, ra double, dec double")
-        near = crossmatch.cone_search(df, asked, radius, unit)
+        near = crossmatch.cone_search(tables.around(df, asked, sky.to_arcsec(radius, unit)), asked, radius, unit)
         if limit:  # before anything is gathered
             w = Window.partitionBy("name").orderBy("distance_arcsec", F.xxhash64(*df.columns))
             near = near.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit).drop("__n")
@@ -185,9 +186,11 @@ def alert_search(alerts: DataFrame, object_id: str | None = None, cone: tuple[fl
         raise QueryError("limit is 1 to 100000")
     out = alerts
     if object_id is not None:
-        out = out.where(F.col("objectId") == object_id)
+        out = tables.with_key(out, "objectId", object_id)
     if cone is not None:
         ra, dec, radius = cone
+        cells = tables.in_cones(alerts.schema, "candidate.ra", [(ra, dec, radius / 3600)])
+        out = out if cells is None else out.where(cells)
         out = out.where(sky.near_box(F.col("candidate.ra"), F.col("candidate.dec"), ra, dec, radius / 3600) & (sky.separation_arcsec(F.col("candidate.ra"), F.col("candidate.dec"), F.lit(ra), F.lit(dec)) <= radius))
     if window is not None:
         out = out.where((F.col("candidate.jd") >= window[0]) & (F.col("candidate.jd") <= window[1]))
@@ -229,6 +232,8 @@ def objects_near(objects: dict[str, DataFrame], ra: float, dec: float, radius: f
     """Objects of all surveys around a position, nearest first."""
     found = None
     for survey, df in sorted(objects.items()):
+        cells = tables.in_cones(df.schema, "ra", [(ra, dec, radius / 3600)])
+        df = df if cells is None else df.where(cells)
         d = sky.separation_arcsec(F.col("ra"), F.col("dec"), F.lit(ra), F.lit(dec))
         here = df.where(sky.near_box(F.col("ra"), F.col("dec"), ra, dec, radius / 3600)).select("objectId", F.lit(survey).alias("survey"), "ra", "dec", d.alias("distance_arcsec")).where(F.col("distance_arcsec") <= radius)
         found = here if found is None else found.unionByName(here)

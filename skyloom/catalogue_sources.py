@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from skyloom import api, views
 from skyloom.catalogue import D, _apart, _sky, query
-from skyloom.operators import models, nights, series
+from skyloom.operators import crossmatch, models, nights, series
 from skyloom.plans import filters
-from skyloom.sources import images, packets, surveys
+from skyloom.sources import images, packets, surveys, tables
 from skyloom.streaming import replayed
 
 
@@ -156,3 +156,65 @@ def subscribed_topics(spark, sf):
     """Topics that a reader of each day follows: that day's and the two before it, of two programmes, each once."""
     days = views.load(spark, sf, "events").select(F.to_date("ts").alias("day")).distinct()
     return surveys.topics_of(days, "day", "ZTF", 2, (1, 2)).select(F.date_format("night", "yyyy-MM-dd").alias("night"), "topic").distinct()
+
+
+#: Crowds of positions: at a pole, across right ascension 0, and at a corner of coarse cells; and a third of all in one.
+_CROWDS = """c AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN (o_orderkey * 7.3) % 360 WHEN 1 THEN (359.98::DOUBLE + o_orderkey % 401 * 1e-4) % 360 WHEN 2 THEN 44.99 + o_orderkey % 211 * 1e-4 WHEN 3 THEN (o_orderkey * 137.2) % 360 ELSE 200 + o_orderkey % 17 * 1e-5 END::DOUBLE AS ra,
+  CASE o_orderkey % 6 WHEN 0 THEN 89.99 + o_orderkey % 101 * 1e-4 WHEN 1 THEN -0.01 + o_orderkey % 199 * 1e-4 WHEN 2 THEN 41.8 + o_orderkey % 223 * 1e-4 WHEN 3 THEN (o_orderkey * 0.37) % 180 - 90 ELSE 12 + o_orderkey % 19 * 1e-5 END::DOUBLE AS dec FROM orders)"""
+
+
+def _crowds(spark, sf):
+    k = F.col("o_orderkey")
+    of = lambda *values: F.when(k % 6 == 0, values[0]).when(k % 6 == 1, values[1]).when(k % 6 == 2, values[2]).when(k % 6 == 3, values[3]).otherwise(values[4])
+    turn = F.lit(360.0)
+    ra = of(F.pmod(k * 7.3, turn), F.pmod(359.98 + k % 401 * 1e-4, turn), 44.99 + k % 211 * 1e-4, F.pmod(k * 137.2, turn), 200 + k % 17 * 1e-5)
+    dec = of(89.99 + k % 101 * 1e-4, -0.01 + k % 199 * 1e-4, 41.8 + k % 223 * 1e-4, F.pmod(k * 0.37, F.lit(180.0)) - 90, 12 + k % 19 * 1e-5)
+    return views.load(spark, sf, "orders").select(k.alias("id"), ra.alias("ra"), dec.alias("dec"))
+
+
+@query(f"""WITH {_CROWDS}, p AS (SELECT * FROM (VALUES ('pole', 120.0::DOUBLE, 89.9953::DOUBLE, 13.7::DOUBLE), ('zero', 0.0003, 0.0007, 13.7), ('corner', 45.0, 41.81, 13.7), ('crowd', 200.00005, 12.00005, 13.7), ('none', 300.0, -45.0, 13.7)) t(name, ra, dec, radius))
+SELECT p.name, count(*) AS n, sum(c.id)::BIGINT AS ids FROM c, p WHERE {_apart('c', 'p')} * 3600 <= radius GROUP BY 1""")
+def stored_cones(spark, sf):
+    """Cones over a stored table that is laid out by sky, at a pole, across right ascension 0 and in crowds."""
+    folder = replayed.shared_folder(spark, "by-sky")
+    tables.write_by_sky(_crowds(spark, sf), folder, depth=1)
+    stored = spark.read.parquet(folder)
+    asked = spark.createDataFrame([("pole", 120.0, 89.9953), ("zero", 0.0003, 0.0007), ("corner", 45.0, 41.81), ("crowd", 200.00005, 12.00005), ("none", 300.0, -45.0)], "name string, ra double, dec double")
+    found = crossmatch.cone_search(tables.around(stored, asked, 13.7), asked, 13.7)
+    return found.groupBy("name").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n, round(coalesce(sum(o_totalprice), 0), 2) AS total FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 13 = 5 GROUP BY 1")
+def stored_by_key(spark, sf):
+    """Rows of some keys out of a stored table that is laid out by key: only their buckets are read."""
+    folder = replayed.shared_folder(spark, "by-key")
+    orders = views.load(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    tables.write_by_key(orders, folder, "o_custkey", 32)
+    keys = views.load(spark, sf, "customer").where("c_custkey % 13 = 5").select("c_custkey", F.col("c_custkey").alias("o_custkey"))
+    held = tables.buckets_of(spark.read.parquet(folder), keys, "o_custkey")
+    out = keys.join(held, "o_custkey", "left").groupBy("c_custkey")
+    return out.agg(F.count("o_orderkey").alias("n"), F.round(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)), 2).alias("total"))
+
+
+@query(f"WITH {_sky('a', 'customer', 'c_custkey')}, {_sky('b', 'supplier', 's_suppkey', 0.001)}, m AS (SELECT a.id, count(*) AS n FROM a, b WHERE {_apart('a', 'b')} <= 4 GROUP BY 1) SELECT a.id, coalesce(n, 0) AS n, 1::BIGINT AS others, 2::BIGINT AS version, 0::BIGINT AS seen_between FROM a LEFT JOIN m USING (id)")
+def rematch_stored(spark, sf):
+    """Stored objects matched anew by a run that is stopped before it is published, and started again."""
+    kind = "array<struct<distance_arcsec:double,row:struct<other:bigint,ra:double,dec:double>>>"
+    o = views.sky_positions(spark, sf, "customer", "c_custkey").withColumn("cross_matches", F.struct(F.array().cast(kind).alias("S"), F.array(F.lit(1)).alias("T")))
+    b = views.sky_positions(spark, sf, "supplier", "s_suppkey", 0.001).withColumnRenamed("objectId", "other")
+    stored, how = tables.Versions(spark, replayed.shared_folder(spark, "objects")), crossmatch.Catalog("S", 4 * 3600.0, ("other",))
+    stored.replace("load", lambda _: o)
+
+    class Stopped(Exception):
+        pass
+
+    def stop(before, after):
+        raise Stopped
+
+    try:
+        stored.replace("again", lambda before: crossmatch.rematch(before, {"S": b}, how), stop)
+    except Stopped:
+        between = stored.read().select("objectId", F.size("cross_matches.S").cast("long").alias("seen_between"))
+    version = crossmatch.rematch_stored(stored, "again", {"S": b}, how)
+    out = stored.read().join(between, "objectId")
+    return out.select(F.col("objectId").alias("id"), F.size("cross_matches.S").cast("long").alias("n"), F.size("cross_matches.T").cast("long").alias("others"), F.lit(version).cast("long").alias("version"), "seen_between")

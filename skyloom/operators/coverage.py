@@ -6,6 +6,8 @@ depths, becomes disjoint ranges of the numbers at one depth; positions meet them
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,14 +15,11 @@ from skyloom.functions import sky
 
 #: Depth of the cells that ranges and positions meet in: 12 * 4 ** COARSE of them.
 COARSE = 5
-#: How the bits of a coordinate are spread to every other place, a shift and a mask at a time.
-SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
 
 
 def _spread(x: Column) -> Column:
-    for shift, mask in SPREAD:
-        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
-    return x
+    """The bits of a number at every other place: its binary digits, read to base four."""
+    return F.conv(F.bin(x), 4, 10).cast("long")
 
 
 def pixel(ra: Column, dec: Column, depth: int) -> Column:
@@ -72,3 +71,60 @@ def covered(df: DataFrame, ranges: DataFrame, depth: int, ra: str = "ra", dec: s
     at = df.withColumn("__cell", pixel(F.col(ra), F.col(dec), depth)).withColumn("__over", F.shiftright("__cell", down))
     met = at.join(whole, (F.col("__over") == F.col("__coarse")) & (F.col("__cell") >= F.col("__low")) & (F.col("__cell") < F.col("__high")), "left")
     return met.withColumn(name, F.col("__low").isNotNull()).drop("__cell", "__over", "__low", "__high", "__coarse")
+
+
+# ---- cones as ranges ----
+
+
+def place(face: int, u: float, v: float) -> tuple[float, float]:
+    """(ra, dec) of a point of one of the twelve coarsest cells, (0, 0) its southern and (1, 1) its northern corner.
+
+    In the plane a cell is a square on its corner; towards a pole the plane's triangles close up.
+    """
+    k, row = face % 4, face // 4
+    m, p = k + (row == 0) + u, k + (row == 2) + 1 - v
+    t, h = (m + p - 1) / 2, (m - p) / 2
+    if abs(h) <= 0.5:
+        return t * 90 % 360, math.degrees(math.asin(max(-1.0, min(1.0, h * 4 / 3))))
+    s = 2 * (1 - abs(h))
+    z = math.copysign(1 - s * s / 3, h)
+    if s > 0:
+        t = k + 0.5 + (t - k - 0.5) / s
+    return t * 90 % 360, math.degrees(math.asin(max(-1.0, min(1.0, z))))
+
+
+def _apart(a: tuple[float, float], b: tuple[float, float]) -> float:
+    (a1, d1), (a2, d2) = ((math.radians(x) for x in p) for p in (a, b))
+    h = math.sin((d2 - d1) / 2) ** 2 + math.cos(d1) * math.cos(d2) * math.sin((a2 - a1) / 2) ** 2
+    return math.degrees(2 * math.asin(min(1.0, math.sqrt(h))))
+
+
+def cone(ra: float, dec: float, degrees: float, depth: int) -> list[tuple[int, int]]:
+    """Ranges (low, high), the end not included, of the numbers at a depth that hold every position within a cone.
+
+    Cells are halved while they may meet the cone and are wider than half its radius, so there are some tens of ranges
+    whatever the depth. Ranges may hold positions outside; none inside is left out.
+    """
+    found, wanted = [], [(f, 0, 0, 0, 0) for f in range(12)]
+    while wanted:
+        face, level, x, y, number = wanted.pop()
+        n = 1 << level
+        centre = place(face, (x + 0.5) / n, (y + 0.5) / n)
+        # edges bulge a little beyond the circle through a cell's corners
+        reach = 1.2 * max(_apart(centre, place(face, (x + i) / n, (y + j) / n)) for i in (0, 1) for j in (0, 1)) + 1e-9
+        far = _apart((ra, dec), centre)
+        if far > degrees + reach:
+            continue
+        if level == depth or far + reach <= degrees or reach <= degrees / 2:
+            down = 2 * (depth - level)
+            low = ((face << (2 * level)) | number) << down
+            found.append((low, low + (1 << down)))
+        else:
+            wanted += [(face, level + 1, 2 * x + i, 2 * y + j, number << 2 | j << 1 | i) for i in (0, 1) for j in (0, 1)]
+    merged: list[tuple[int, int]] = []
+    for low, high in sorted(found):
+        if merged and merged[-1][1] == low:
+            merged[-1] = (merged[-1][0], high)
+        else:
+            merged.append((low, high))
+    return merged

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from skyloom.functions import sky
 from skyloom.functions.expressions import NULL, ExpressionError, Scope, Typed, compile_expression, path_of, truth
+from skyloom.sources import tables as layouts
 
 Tables = Mapping[str, DataFrame]
 
@@ -78,7 +79,9 @@ def _condition(scope: Scope, name: str, cond: Any) -> Column:
 def _cone(scope: Scope, name: str, lon: float, lat: float, radians: float) -> Column:
     ra, dec = _position(scope, name)
     within = sky.separation(ra, dec, F.lit(lon + 180.0), F.lit(float(lat))) <= F.degrees(F.lit(float(radians)))
-    return F.coalesce(sky.near_box(ra, dec, lon + 180.0, lat, math.degrees(radians)) & within, F.lit(False))
+    here = sky.near_box(ra, dec, lon + 180.0, lat, math.degrees(radians)) & within
+    cells = layouts.in_cones(scope.schema, name, [(lon + 180.0, lat, math.degrees(radians))]) if scope.at is None else None
+    return F.coalesce(here, F.lit(False)) if cells is None else cells & F.coalesce(here, F.lit(False))
 
 
 def nearest_first(df: DataFrame, query: dict) -> DataFrame:

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.sources import tables
+
 #: Topics by survey; {date} is the night as YYYYMMDD, {program} a programme id.
 TOPICS = {"ZTF": "ztf_{date}_programid{program}", "DECAM": "decam_{date}_programid1", "WINTER": "winter_{date}", "LSST": "lsst-alerts-v11"}
 SIMULATED = "alerts-simulated"
@@ -107,19 +109,22 @@ def with_cutouts(alerts: DataFrame, cutouts: DataFrame, key: str = "_id") -> tup
     return alerts.join(cutouts, key), alerts.join(cutouts.select(key), key, "left_anti")
 
 
-def put_cutouts(rows: DataFrame, folder: str, batch: int, key: str = "_id") -> None:
-    """Images of a batch, one row for each key, in a folder of the batch: one that is written again replaces itself."""
-    rows.dropDuplicates([key]).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/batch={batch}")
+def put_cutouts(rows: DataFrame, folder: str, batch: int, key: str = "_id", buckets: int = 64) -> None:
+    """Images of a batch, one row for each key, by buckets of keys in a folder of the batch: one that is written again
+    replaces itself."""
+    tables.write_by_key(rows.dropDuplicates([key]), f"{folder}/batch={batch}", key, buckets, "overwrite")
 
 
 def get_cutouts(spark: SparkSession, folder: str, keys: DataFrame | None = None, key: str = "_id", latest: bool = False) -> DataFrame:
-    """Stored images, of ``keys`` if they are given. Of a key that was put more than once the first counts, or with
-    ``latest`` the last; which one it is takes a scan of keys alone, without the images."""
-    stored = spark.read.parquet(folder)
+    """Stored images, of ``keys`` if they are given; then only the buckets that these lie in are read. Of a key that was
+    put more than once the first counts, or with ``latest`` the last; which one it is takes a scan of keys alone, without
+    the images."""
+    every = spark.read.parquet(folder)
+    stored = tables.buckets_of(every, keys, key) if keys is not None else every
     known = stored.select(key, "batch")
     wanted = known.join(keys.select(key), key, "left_semi") if keys is not None else known
     which = wanted.groupBy(key).agg((F.max if latest else F.min)("batch").alias("batch"))
-    return stored.join(which, [key, "batch"]).drop("batch")
+    return stored.join(which, [key, "batch"]).select(*(c for c in every.columns if c != "batch" and not tables.is_layout(c)))
 
 
 def packed(*images: Column) -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from skyloom import api, views
 from skyloom.catalogue import D, _apart, _sky, query
-from skyloom.operators import crossmatch, models, nights, series
+from skyloom.operators import crossmatch, lightcurve, models, nights, series
 from skyloom.plans import filters
 from skyloom.sources import images, packets, surveys, tables
-from skyloom.streaming import replayed
+from skyloom.streaming import replayed, topics
 
 
 def _framed(i, value):
@@ -218,3 +220,53 @@ def rematch_stored(spark, sf):
     version = crossmatch.rematch_stored(stored, "again", {"S": b}, how)
     out = stored.read().join(between, "objectId")
     return out.select(F.col("objectId").alias("id"), F.size("cross_matches.S").cast("long").alias("n"), F.size("cross_matches.T").cast("long").alias("others"), F.lit(version).cast("long").alias("version"), "seen_between")
+
+
+@query("SELECT event_id, 'ztf_' || strftime(ts, '%Y%m%d') || '_programid' || (event_id % 3 + 1) AS topic, 1::BIGINT AS times, true AS dense FROM events WHERE event_id % 3 < 2")
+def topics_read(spark, sf):
+    """Packets sent to topics in batches, one of them twice, and read by a reader that is stopped and started again. Each
+    comes once, and the offsets of each topic and partition have no gaps."""
+    folder, progress, out = (replayed.shared_folder(spark, n) for n in ("topics", "progress", "packets"))
+    topic = F.concat(F.lit("ztf_"), F.date_format("ts", "yyyyMMdd"), F.lit("_programid"), (F.col("event_id") % 3 + 1).cast("string"))
+    sent = views.load(spark, sf, "events").select("event_id", topic.alias("topic"), F.col("event_id").cast("string").alias("key"), F.encode(F.col("event_id").cast("string"), "utf-8").alias("value"))
+    for batch, part in ((0, 0), (1, 1), (1, 1)):
+        topics.send(sent.where(F.col("event_id") % 2 == part), folder, batch)
+    first = dt.date(1970, 1, 1)
+    stream = topics.open_topics(spark, folder, "reader", surveys.topic_pattern("ZTF", (1, 2)), first, days=40_000, most=40_000)
+
+    def each(batch, i):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={i}")
+
+    def reading(**trigger):
+        return stream.writeStream.foreachBatch(each).option("checkpointLocation", progress).trigger(**trigger).start()
+
+    reading(availableNow=True).awaitTermination()  # what one batch admits
+    rest = reading(processingTime="0 seconds")
+    rest.processAllAvailable()
+    rest.stop()
+    got = spark.read.schema(f"{topics.PACKETS}, batch int").parquet(out)
+    whole = got.groupBy("topic", "partition").agg((F.count("*") == F.max("offset") + 1).alias("dense"))
+    rows = got.groupBy(F.decode("value", "utf-8").cast("long").alias("event_id"), "topic", "partition").agg(F.count("*").alias("times"))
+    return rows.join(whole, ["topic", "partition"]).select("event_id", "topic", "times", "dense")
+
+
+@query("""WITH s AS (SELECT l_suppkey, list_sort(list(l_extendedprice)) AS v FROM lineitem GROUP BY 1), e AS (SELECT l_suppkey, v, v[CAST(floor(0.01 * len(v)) AS INT) + 1] AS low, v[CAST(floor(0.95 * len(v)) AS INT) + 1] AS high FROM s)
+SELECT l_suppkey, round(low, 2) AS low, round(high, 2) AS high, round(CASE WHEN low = high THEN 0.5 * len(v) ELSE list_sum([(greatest(low, least(high, x)) - low) / (high - low) for x in v]) END, 4) AS lit FROM e""")
+def pixel_limits(spark, sf):
+    """Limits of values at two ranks, and the values between them as 0 to 1."""
+    v = views.load(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.collect_list("l_extendedprice").alias("v"))
+    at = v.select("l_suppkey", images.limits(F.col("v"), 0.01, 0.95).alias("e"), images.clipped(F.col("v"), 0.01, 0.95).alias("c"))
+    return at.select("l_suppkey", F.round("e.low", 2).alias("low"), F.round("e.high", 2).alias("high"), F.round(F.aggregate("c", F.lit(0.0), lambda a, x: a + x), 4).alias("lit"))
+
+
+@query(f"""WITH {D}, p AS (SELECT candid, objectId, jd, band, (359.9999 + candid % 97 * 3e-6 + CASE band WHEN 'g' THEN 1e-5 ELSE 0 END) % 360 AS ra, CASE WHEN objectId LIKE '%3' THEN 89.9 ELSE 20 END + candid % 89 * 3e-6 AS dec FROM d),
+c AS (SELECT *, avg(cos(radians(dec)) * cos(radians(ra))) OVER w AS x, avg(cos(radians(dec)) * sin(radians(ra))) OVER w AS y, avg(sin(radians(dec))) OVER w AS z FROM p WINDOW w AS (PARTITION BY objectId)),
+o AS (SELECT *, (degrees(atan2(y, x)) + 360) % 360 AS ra0, degrees(atan2(z, sqrt(x * x + y * y))) AS dec0 FROM c), f AS (SELECT *, ((ra - ra0 + 540) % 360 - 180) * cos(radians(dec0)) * 3600 AS east, (dec - dec0) * 3600 AS north FROM o)
+SELECT candid, round(east, 4) AS east, round(north, 4) AS north, round(sqrt(east * east + north * north), 4) AS radial, round(avg(east) OVER w, 4) AS mean_east, round(avg(north) OVER w, 4) AS mean_north, count(*) OVER w AS so_far FROM f WINDOW w AS (PARTITION BY objectId, band ORDER BY jd, candid ROWS UNBOUNDED PRECEDING)""")
+def offsets_over_time(spark, sf):
+    """Offsets from the centroid across right ascension 0 and near a pole, with the mean of each band up to then."""
+    d = views.detections(spark, sf)
+    ra = F.pmod(359.9999 + F.col("candid") % 97 * 3e-6 + F.when(F.col("band") == "g", 1e-5).otherwise(0.0), F.lit(360.0))
+    dec = F.when(F.col("objectId").endswith("3"), 89.9).otherwise(20.0) + F.col("candid") % 89 * 3e-6
+    out = lightcurve.drift(d.withColumns({"ra": ra, "dec": dec}))
+    return out.select("candid", *(F.round(c, 4).alias(c) for c in ("east", "north", "radial", "mean_east", "mean_north")), "so_far")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.functions import sky
+
 from .series import finite
 
 #: Days that a light curve must span not to be taken for a moving object, and a slope to be fitted.
@@ -148,3 +150,21 @@ def points_of(objects: DataFrame, arrays: list[str], key: str = "objectId", leas
     if least_snr is not None:
         rows = rows.where(F.abs("snr") >= least_snr)
     return (rows.where(F.col("jd") <= F.col(at)).drop(at) if at else rows).drop("snr")
+
+
+def drift(points: DataFrame, key: str = "objectId", tie: str = "candid") -> DataFrame:
+    """Points (object, jd, band, ra, dec) with ``mjd``, their offsets in arcseconds from the object's centroid (``east``,
+    ``north``, ``radial``), and of their band up to then the mean offset (``mean_east``, ``mean_north``) and the count.
+
+    The centroid is the direction of the mean unit vector, so objects at a pole or across right ascension 0 have one.
+    Points without finite position or time are left out. One shuffle, by object; windows by band sort within it.
+    """
+    good = points.where(finite(F.col("ra").cast("double")) & finite(F.col("dec").cast("double")) & finite(F.col("jd")))
+    own = Window.partitionBy(key)
+    a, d = F.radians("ra"), F.radians("dec")
+    x, y, z = (F.avg(v).over(own) for v in (F.cos(d) * F.cos(a), F.cos(d) * F.sin(a), F.sin(d)))
+    placed = good.withColumns({"__x": x, "__y": y, "__z": z})
+    ra0, dec0 = F.pmod(F.degrees(F.atan2("__y", "__x")), F.lit(360.0)), F.degrees(F.atan2(F.col("__z"), F.hypot("__x", "__y")))
+    o = placed.withColumn("__o", sky.offsets(F.col("ra"), F.col("dec"), ra0, dec0)).select(*points.columns, (F.col("jd") - 2400000.5).alias("mjd"), "__o.*")
+    so_far = Window.partitionBy(key, "band").orderBy("jd", tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return o.withColumns({"mean_east": F.avg("east").over(so_far), "mean_north": F.avg("north").over(so_far), "so_far": F.count("*").over(so_far)})

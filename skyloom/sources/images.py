@@ -86,3 +86,34 @@ def stretched(values: Column, how: str = "asinh") -> Column:
     shape = {"linear": lambda v: v, "sqrt": F.sqrt, "log": lambda v: F.log10(1 + 9 * v), "asinh": lambda v: F.asinh(10 * v) / F.asinh(F.lit(10.0))}[how]
     ends = F.struct(F.array_min(values).alias("low"), F.array_max(values).alias("high"))
     return _with(ends, lambda e: F.transform(values, lambda v: shape(F.coalesce(F.try_divide(v - e["low"], e["high"] - e["low"]), F.lit(0.0)))))
+
+
+def limits(values: Column, low: float = 0.01, high: float = 1.0) -> Column:
+    """struct<low, high>: the pixels at two ranks of an image in order, rank floor(share * pixels). A share of 0 or less
+    takes 0 for the lower limit and one of 1 or more takes 1 for the upper one. Null for an image without pixels.
+
+    Both are picked by selection, which is linear in the pixels; no image is put in order.
+    """
+    return _picked(values, F.lit(float(low)), F.lit(float(high)))
+
+
+@F.pandas_udf(T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]))
+def _picked(values: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
+    def one(v, a, b):
+        if v is None or not len(v):
+            return None, None
+        x = np.asarray(v, np.float64)
+        ranks = [int(np.floor(q * len(x))) for q in (a, b) if 0 < q < 1]
+        x = np.partition(x, ranks) if ranks else x
+        return (float(x[int(np.floor(a * len(x)))]) if a > 0 else 0.0), (float(x[int(np.floor(b * len(x)))]) if b < 1 else 1.0)
+
+    return pd.DataFrame([one(*r) for r in zip(values, low, high)], columns=["low", "high"])
+
+
+def clipped(values: Column, low: float = 0.01, high: float = 1.0) -> Column:
+    """Pixels between two ranks of the image as 0 to 1, those beyond at the ends; one half where the limits are equal."""
+    def scaled(e: Column) -> Column:
+        width = e["high"] - e["low"]
+        return F.transform(values, lambda v: F.when(width == 0, F.lit(0.5)).otherwise((F.greatest(e["low"], F.least(e["high"], v.cast("double"))) - e["low"]) / width))
+
+    return _with(limits(values, low, high), scaled)

@@ -60,6 +60,7 @@ def by_sky(spark, tmp_path_factory):
 
 def files(df):
     """How many files the plan's scan takes, and how many the table has."""
+    df = df.select("*")  # a plan that has not run before: its counters start at nothing
     df.collect()
     leaf = df._jdf.queryExecution().executedPlan()
     leaf = leaf.finalPhysicalPlan() if "Adaptive" in leaf.getClass().getSimpleName() else leaf

@@ -222,6 +222,16 @@ def missing_catalogs(row: dict, configured: list[str]) -> list[str]:
     return sorted(set(configured) - set(row.get("cross_matches") or {}))
 
 
+def coverage_gaps(objects: DataFrame, configured: list[str], key: str = "objectId", watchlists: str = "watchlist_") -> DataFrame:
+    """(catalogue, objects, example): configured catalogues that stored objects were never matched with, how many objects
+    those are, and the least of their ids. A catalogue without matches has an empty array, so null means never; tables
+    of watchlists aren't expected. One scan of the matches, a count for each catalogue."""
+    wanted = [c for c in dict.fromkeys(configured) if not c.startswith(watchlists)]
+    held = objects.schema["cross_matches"].dataType.names if "cross_matches" in objects.columns else []
+    absent = F.array_compact(F.array(*(F.when(F.col(f"cross_matches.`{c}`").isNull() if c in held else F.lit(True), F.lit(c)) for c in wanted)).cast("array<string>"))
+    return objects.select(key, F.explode(absent).alias("catalogue")).groupBy("catalogue").agg(F.count("*").alias("objects"), F.min(key).alias("example"))
+
+
 def object_search(spark: SparkSession, objects: dict[str, DataFrame], text: str, limit: int = 10) -> DataFrame:
     """Objects whose id starts like the text, in order of id."""
     survey, prefix = survey_of(text)

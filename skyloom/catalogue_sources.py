@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from skyloom import api, views
 from skyloom.catalogue import D, _apart, _sky, query
-from skyloom.operators import crossmatch, lightcurve, models, nights, series
+from skyloom.functions import photometry
+from skyloom.operators import crossmatch, enrich, lightcurve, models, nights, rules, series
 from skyloom.plans import filters
 from skyloom.sources import images, packets, surveys, tables
 from skyloom.streaming import replayed, topics
@@ -270,3 +271,46 @@ def offsets_over_time(spark, sf):
     dec = F.when(F.col("objectId").endswith("3"), 89.9).otherwise(20.0) + F.col("candid") % 89 * 3e-6
     out = lightcurve.drift(d.withColumns({"ra": ra, "dec": dec}))
     return out.select("candid", *(F.round(c, 4).alias(c) for c in ("east", "north", "radial", "mean_east", "mean_north")), "so_far")
+
+
+@query("SELECT 'A' AS catalogue, count(*) FILTER (c_custkey % 5 = 0) AS objects, min(c_custkey) FILTER (c_custkey % 5 = 0) AS example FROM customer UNION ALL SELECT 'B', count(*) FILTER (c_custkey % 5 = 0 OR c_custkey % 3 = 0), min(c_custkey) FILTER (c_custkey % 5 = 0 OR c_custkey % 3 = 0) FROM customer UNION ALL SELECT 'new', count(*), min(c_custkey) FROM customer")
+def coverage_gaps(spark, sf):
+    """Configured catalogues that stored objects lack."""
+    k, none = F.col("c_custkey"), F.array().cast("array<int>")
+    o = views.load(spark, sf, "customer").select(k.alias("objectId"), F.when(k % 5 != 0, F.struct(none.alias("A"), F.when(k % 3 != 0, none).alias("B"), none.alias("C"))).alias("cross_matches"))
+    return api.coverage_gaps(o, ["A", "B", "new", "watchlist_x"])
+
+
+@query(f"""WITH {D} SELECT candid, CASE WHEN candid % 4 <> 0 THEN 'rb ' ELSE '' END || 'drb ' || CASE WHEN candid % 5 <> 0 THEN 'sgscore1 ' ELSE '' END || CASE WHEN candid % 3 = 0 THEN 'acai_h acai_n acai_o acai_v acai_b btsbot ' ELSE '' END AS ztf,
+CASE WHEN candid % 4 <> 0 THEN 'reliability ' ELSE '' END AS lsst, CASE WHEN candid % 4 <> 0 THEN 'rb ' ELSE '' END || CASE WHEN candid % 5 <> 0 THEN 'sgscore1 ' ELSE '' END AS winter, round(CASE WHEN candid % 5 <> 0 THEN ssdistnr END, 3) AS distance FROM d""")
+def survey_classifications(spark, sf):
+    """The scores that packets of each survey carry, in their order; a star's only with its distance."""
+    k = F.col("candid")
+    a = views.alerts(spark, sf).select(F.col("_id").alias("candid"), "candidate")
+    score = {"rb": F.when(k % 4 != 0, 0.5), "reliability": F.when(k % 4 != 0, 0.5), "drb": F.col("candidate.drb"), "sgscore1": F.col("candidate.sgscore1"), "distpsnr1": F.when(k % 5 != 0, F.col("candidate.ssdistnr"))}
+    lists = {s: rules.survey_classifications(s, score.get, lambda n: F.when(k % 3 == 0, 0.25)) for s in ("ZTF", "LSST", "WINTER")}
+    names = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["classifier"], F.lit(" "))), "")
+    far = F.round(F.array_max(F.transform("ztf", lambda x: x["distance_arcsec"])).cast("double"), 3)
+    return a.select("candid", *(c.alias(s.lower()) for s, c in lists.items())).select("candid", *(names(F.col(s.lower())).alias(s.lower()) for s in lists), far.alias("distance"))
+
+
+@query(f"WITH {D} SELECT candid, CASE candid % 4 WHEN 1 THEN 'g' WHEN 2 THEN 'r' WHEN 3 THEN 'i' END AS band, round(mag, 4) AS magpsf, round(drb, 4) AS drb, candid % 2 = 0 AS positive, round(1.0857362 / mag_err, 2) AS snr FROM d WHERE candid % 10 <> 7")
+def ztf_own_points(spark, sf):
+    """Candidates as points of their objects' light curves; those without an error are none."""
+    d, k = views.detections(spark, sf), F.col("candid")
+    c = F.struct(k, "jd", "programid", (k % 4).cast("int").alias("fid"), F.when(k % 2 == 0, "t").otherwise("f").alias("isdiffpos"), F.lit("").alias("ssnamenr"), F.col("mag").alias("magpsf"), F.when(k % 10 != 7, F.col("mag_err")).alias("sigmapsf"), F.col("mag").alias("magap"), F.col("mag_err").alias("sigmagap"), F.lit(20.5).alias("diffmaglim"), F.lit(1.0).alias("ra"), F.lit(2.0).alias("dec"), (k % 7 / 7.0).alias("drb"))
+    p = d.select(c.alias("c")).select(photometry.ztf_own_point(F.col("c")).alias("p")).where("p IS NOT NULL").select("p.*")
+    return p.select("candid", "band", F.round("magpsf", 4).alias("magpsf"), F.round("drb", 4).alias("drb"), (F.col("psfFlux") > 0).alias("positive"), F.round(F.abs(F.col("snr").cast("double")), 2).alias("snr"))
+
+
+@query(f"""WITH {D}, s AS (SELECT candid, jd, min(jd) OVER w AS first, max(jd) OVER w AS last, arg_min(jd, struct_pack(m := CAST(mag AS FLOAT), b := band, j := jd)) OVER w AS peak, min(CAST(mag AS FLOAT)) OVER w AS bright, max(CAST(mag AS FLOAT)) OVER w AS faint FROM d WINDOW w AS (PARTITION BY objectId ORDER BY jd RANGE UNBOUNDED PRECEDING))
+SELECT candid AS _id, round(CAST(CAST(first - last AS FLOAT) AS DOUBLE), 3) AS age, round(CAST(CAST(last - peak AS FLOAT) AS DOUBLE), 3) AS since, round(CAST(CAST(peak - first AS FLOAT) AS DOUBLE), 3) AS until, round(bright::DOUBLE, 3) AS peakmag, round(faint::DOUBLE, 3) AS maxmag, CAST(candid % 13 - candid % 7 AS DOUBLE) AS nnondet, 25 AS features FROM s""")
+def light_curve_models(spark, sf):
+    """The features of a model that takes light curves too, as of each alert."""
+    a, k = views.alerts(spark, sf), F.col("_id")
+    given = {f: F.lit(1.0) for f in models.BOTH_FEATURES if f not in models.CURVE_FEATURES} | {"jd": F.col("candidate.jd"), "ncovhist": k % 13, "ndethist": k % 7}
+    a = a.withColumn("candidate", F.struct(*(c.alias(n) for n, c in given.items())))
+    figures = lightcurve.over_bands(enrich.alert_bands(a, views.objects(spark, sf), {"prv_candidates": None}), "_id")
+    f = models.both_features(a, figures)
+    out = f.select(k, *(F.round(F.col(c).cast("double"), 3).alias(n) for n, c in (("age", "age"), ("since", "days_since_peak"), ("until", "days_to_peak"), ("peakmag", "peakmag_so_far"), ("maxmag", "maxmag_so_far"), ("nnondet", "nnondet"))))
+    return out.withColumn("features", F.lit(len(f.columns) - 1))

@@ -104,6 +104,15 @@ def ztf_points(points: Column) -> Column:
     return F.filter(F.transform(points, one), lambda p: p["band"].isNotNull() & (p["psfFlux"].isNotNull() | p["diffmaglim"].isNotNull()))
 
 
+def ztf_own_point(c: Column) -> Column:
+    """A candidate as a point of its object's light curve, with the score that earlier points lack; null without a
+    magnitude, an error or a direction, as it would be no detection."""
+    n = ztf_candidate(c)
+    seen = c["magpsf"].isNotNull() & c["sigmapsf"].isNotNull() & c["isdiffpos"].isNotNull()
+    same = ("jd", "programid", "candid", "magpsf", "sigmapsf", "diffmaglim", "ra", "dec", "drb")
+    return F.when(seen, F.struct(*(c[k].alias(k) for k in same), n["band"].alias("band"), n["psfFlux"].alias("psfFlux"), n["psfFluxErr"].alias("psfFluxErr"), n["snr_psf"].alias("snr"), n["apFlux"].alias("apFlux"), n["apFluxErr"].alias("apFluxErr"), n["snr_ap"].alias("snr_ap")))
+
+
 def ztf_forced(points: Column) -> Column:
     """ZTF forced photometry, scaled from its own zero point; a magnitude where signal-to-noise exceeds 3."""
 

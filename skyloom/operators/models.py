@@ -19,6 +19,12 @@ CANDIDATE_FEATURES = (
 )
 CURVE_FEATURES = ("age", "days_since_peak", "days_to_peak", "peakmag_so_far", "maxmag_so_far", "nnondet")
 
+#: The order of the features of the model that takes light curves too.
+BOTH_FEATURES = (
+    "sgscore1", "distpsnr1", "sgscore2", "distpsnr2", "fwhm", "magpsf", "sigmapsf", "chipsf", "ra", "dec", "diffmaglim", "ndethist", "nmtchps",
+    "age", "days_since_peak", "days_to_peak", "peakmag_so_far", "drb", "ncovhist", "nnondet", "chinr", "sharpnr", "scorr", "sky", "maxmag_so_far",
+)
+
 
 #: Alerts that are decoded and scored at a time: their triplets take 12 MB in single precision.
 SLICE = 256
@@ -55,6 +61,18 @@ def curve_features(jd: Column, stats: Callable[[str], Column], non_detections: C
     }
 
 
+def both_features(alerts: DataFrame, stats: DataFrame, key: str = "_id") -> DataFrame:
+    """(key, BOTH_FEATURES, cut-outs) of alerts with their light curves' statistics (key, figures over all bands) as of each
+    alert. This model's age counts back from the first point to the last, so it is no more than 0. An alert without
+    usable points has no such features, and so no score."""
+    figures = {"age": "first_jd - last_jd", "days_since_peak": "last_jd - peak_jd", "days_to_peak": "peak_jd - first_jd", "peakmag_so_far": "peak_mag", "maxmag_so_far": "faintest_mag"}
+    made = stats.select(F.col(key), *(F.expr(e).cast("float").alias(k) for k, e in figures.items()))
+    own = [F.col(f"candidate.{f}").cast("float").alias(f) for f in BOTH_FEATURES if f not in CURVE_FEATURES]
+    nnondet = (F.col("candidate.ncovhist") - F.col("candidate.ndethist")).cast("float").alias("nnondet")
+    images = [c for c in ("cutoutScience", "cutoutTemplate", "cutoutDifference") if c in alerts.columns]
+    return alerts.select(key, *own, nnondet, *images).join(made, key, "left").select(key, *BOTH_FEATURES, *images)
+
+
 def scored(rows: DataFrame, models: dict[str, tuple[Model, tuple[str, ...]]], cutouts: tuple[str, str, str] = ("cutoutScience", "cutoutTemplate", "cutoutDifference"), key: str = "_id") -> DataFrame:
     """(key, classifications): a struct of scores for each alert.
 

@@ -102,6 +102,25 @@ def classifications(scores: dict[str, Column]) -> Column:
     return F.filter(F.array(*(F.when(v.isNotNull(), F.struct(F.lit(k).alias("classifier"), v.cast("double").alias("score"))) for k, v in scores.items())).cast(kind), lambda x: x.isNotNull())
 
 
+#: The scores that a survey's packets carry, in order; a score of shape comes with a distance.
+PACKET_SCORES = {"ZTF": ("rb", "drb", "sgscore1"), "LSST": ("reliability",), "DECAM": ("reliability",), "WINTER": ("rb", "sgscore1")}
+MODEL_SCORES = ("acai_h", "acai_n", "acai_o", "acai_v", "acai_b", "btsbot")
+
+
+def survey_classifications(survey: str, candidate: Callable[[str], Column], scored: Callable[[str], Column] | None = None) -> Column:
+    """array<struct<classifier, score, distance_arcsec>> of a survey's packets: the candidate's own scores that there are,
+    a star's only with its distance, and behind them those of the models if the alert was scored."""
+    kind = "array<struct<classifier:string,score:float,distance_arcsec:float>>"
+
+    def one(name: str, score: Column, distance: Column | None = None) -> Column:
+        there = score.isNotNull() if distance is None else score.isNotNull() & distance.isNotNull()
+        return F.when(there, F.struct(F.lit(name).alias("classifier"), score.cast("float").alias("score"), (F.lit(None) if distance is None else distance).cast("float").alias("distance_arcsec")))
+
+    own = [one(n, candidate(n), candidate("distpsnr1") if n == "sgscore1" else None) for n in PACKET_SCORES[survey]]
+    more = [one(n, scored(n)) for n in MODEL_SCORES] if scored and survey == "ZTF" else []
+    return F.filter(F.array(*own, *more).cast(kind), lambda x: x.isNotNull())
+
+
 def packet_photometry(survey: str, *series: Column) -> Column:
     """Series of points as those of an output packet: time order, band with the survey's name, origin."""
     own = [F.transform(s, lambda p: F.struct(p["jd"].alias("jd"), p["psfFlux"].cast("double").alias("flux"), p["psfFluxErr"].cast("double").alias("flux_err"), F.concat(F.lit(survey.lower()), p["band"]).alias("band"), F.lit(survey).alias("survey"), p["programid"].alias("programid"))) for s in series]

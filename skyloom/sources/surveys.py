@@ -109,6 +109,18 @@ def with_cutouts(alerts: DataFrame, cutouts: DataFrame, key: str = "_id") -> tup
     return alerts.join(cutouts, key), alerts.join(cutouts.select(key), key, "left_anti")
 
 
+def all_with_cutouts(alerts: DataFrame, cutouts: DataFrame, key: str = "_id", images: tuple[str, ...] = ()) -> DataFrame:
+    """Alerts with their images, where each must have them (all of ``images``, if they are named): the job fails at the
+    first one that hasn't, with its key. Of images stored twice under a key one counts, so no alert is multiplied."""
+    held = cutouts.dropDuplicates([key]).select(F.col(key).alias("__key"), *(c for c in cutouts.columns if c != key))
+    there = F.col("__key").isNotNull()
+    for c in images:
+        there = there & F.col(c).isNotNull()
+    met = alerts.join(held, F.col(key) == F.col("__key"), "left")
+    checked = F.when(there, F.col(key)).otherwise(F.raise_error(F.concat(F.lit(f"no images for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(alerts.schema[key].dataType))
+    return met.withColumn(key, checked).drop("__key")
+
+
 def put_cutouts(rows: DataFrame, folder: str, batch: int, key: str = "_id", buckets: int = 64) -> None:
     """Images of a batch, one row for each key, by buckets of keys in a folder of the batch: one that is written again
     replaces itself."""

@@ -94,12 +94,11 @@ def with_history(alerts: DataFrame, objects: DataFrame, survey: str, programs: l
 def with_counterpart(alerts: DataFrame, other: DataFrame, name: str, days: float, programs: list[int] | None = None) -> DataFrame:
     """Alerts with the object of another survey that their first alias names, as a struct under the survey's name."""
     kept = [a for a in SURVEYS[name]["arrays"] if a in other.columns]
-    mine = other.select(F.col("objectId").alias("__other"), F.struct(F.col("objectId"), *kept).alias(name))
+    seen = lambda a: permitted(F.col(a), programs if programs is not None else [PUBLIC]).alias(a) if SURVEYS[name]["programs"] else F.col(a)
+    mine = other.select(F.col("objectId").alias("__other"), F.struct(F.col("objectId"), *map(seen, kept)).alias(name))
     out = alerts.withColumn("__alias", F.get(F.col(f"aliases.{name}"), F.lit(0))).join(mine, F.col("__alias") == F.col("__other"), "left").drop("__alias", "__other")
     for a in kept:
         points = series.trailing(F.col(f"{name}.{a}"), F.col("candidate.jd"), days)
-        if SURVEYS[name]["programs"]:
-            points = permitted(points, programs if programs is not None else [PUBLIC])
         out = out.withColumn(name, F.when(F.col(name).isNotNull(), F.col(name).withField(a, points)))
     return out
 

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +69,19 @@ def history_of(days: float | None) -> Callable[[tuple, Iterator[pd.DataFrame], G
     return update
 
 
+def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(objectId, ids, ra, dec) of each object's least id in a partition: the only alert that can be its first sight."""
+    held: dict[str | None, tuple] = {}
+    kind = None
+    for b in batches:
+        kind = b.schema
+        for o, i, *at in zip(*(c.to_pylist() for c in b.columns)):
+            if i is not None and (o not in held or i < held[o][0]):
+                held[o] = (i, *at)
+    if held:
+        yield from pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*((o, *r) for o, r in held.items())), kind)], schema=kind).to_batches(10_000)
+
+
 @dataclass(frozen=True)
 class Stages:
     """Where the stages keep their tables, and what they work with.
@@ -102,10 +116,12 @@ class Stages:
         """The stream of new alerts and of the objects that they touch, from the stream of alerts."""
         c = {k: F.col(f"candidate.{k}").cast(t) for k, t in KEPT.items() if k != "ids"}
         own = alerts.select("objectId", F.col("_id").cast("bigint").alias("ids"), *(x.alias(k) for k, x in c.items()), F.to_json(F.struct(*alerts.columns)).alias("alert"), F.lit(None).cast("string").alias("catalog"))
-        at = alerts.select(F.struct("objectId", "_id").alias("__key"), F.col("candidate.ra").alias("__ra0"), F.col("candidate.dec").alias("__dec0"))
+        seen = alerts.select("objectId", F.col("_id").cast("bigint").alias("ids"), F.col("candidate.ra").cast("double").alias("__ra0"), F.col("candidate.dec").cast("double").alias("__dec0"))
+        firsts = seen.repartition("objectId").mapInArrow(first_of_each, seen.schema)  # so matches are looked up once for an object in a batch
+        at = firsts.select(F.struct("objectId", "ids").alias("__key"), "__ra0", "__dec0")
         for how in self.configs:
             near = crossmatch.matches(at, self.catalogs[how.name], replace(how, max_results=None), "__key", ("__ra0", "__dec0"))
-            own = own.unionByName(near.select("__key.objectId", F.col("__key._id").cast("bigint").alias("ids"), *(F.lit(None).cast(KEPT[k]).alias(k) for k in c), F.to_json("match").alias("alert"), F.lit(how.name).alias("catalog")))
+            own = own.unionByName(near.select("__key.objectId", "__key.ids", *(F.lit(None).cast(KEPT[k]).alias(k) for k in c), F.to_json("match").alias("alert"), F.lit(how.name).alias("catalog")))
         return own.groupBy("objectId").applyInPandasWithState(history_of(self.days), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
     def _objects(self, rows: DataFrame) -> DataFrame:

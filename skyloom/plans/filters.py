@@ -275,7 +275,9 @@ def _shared(alerts: DataFrame, filters: list[Filter], tables: Tables) -> DataFra
             return F.coalesce(permitted(points, list(p)) if p is not None else points, F.array().cast(objects.schema[a].dataType))
 
         sets = list(dict.fromkeys(programs[i] for i in wanting))
-        df = df.withColumns({f"__h{j}": F.struct(*(trimmed(a, p).alias(a) for a in arrays)) for j, p in enumerate(sets)}).drop(*(f"__{a}" for a in arrays)) if arrays else df
+        # as a generator's output the histories are trimmed once; a projection's would be put into every filter's conditions
+        held = F.struct(*(F.struct(*(trimmed(a, p).alias(a) for a in arrays)).alias(f"h{j}") for j, p in enumerate(sets)))
+        df = df.withColumn("__h", F.explode(F.array(held))).drop(*(f"__{a}" for a in arrays)) if arrays else df
         named = [n for n in spec["others"] if any(n in other[i] and other[i][n] is not None for i in wanting)]
         for n in named:
             mine = tables[f"{n}_objects"]
@@ -289,7 +291,7 @@ def _shared(alerts: DataFrame, filters: list[Filter], tables: Tables) -> DataFra
                     whole = whole.withField(a, permitted(points, list(p)) if SURVEYS[n]["programs"] else points)
                 df = df.withColumn(f"__{n}:{','.join(map(str, p))}", F.when(F.col(f"__{n}").isNotNull(), whole))
         for i in wanting:
-            given(i, {a: (F.col(f"__h{sets.index(programs[i])}.{a}"), objects.schema[a].dataType) for a in arrays} | {c: (F.col(f"__{c}"), objects.schema[c].dataType) for c in more if c not in docs[i].schema.names})
+            given(i, {a: (F.col(f"__h.h{sets.index(programs[i])}.{a}"), objects.schema[a].dataType) for a in arrays} | {c: (F.col(f"__{c}"), objects.schema[c].dataType) for c in more if c not in docs[i].schema.names})
         for k in range(min(early[i] for i in wanting), max(len(stages[i]) for i in wanting)):
             for i in wanting:
                 for n, at in other[i].items():

@@ -87,9 +87,16 @@ def scored(rows: DataFrame, models: dict[str, tuple[Model, tuple[str, ...]]], cu
         for frame in (whole.iloc[at : at + SLICE] for whole in frames for at in range(0, len(whole), SLICE)):
             values = frame[needed].to_numpy(float)
             usable, triplets = [], []
+            decoded: dict[bytes, np.ndarray] = {}  # stand-ins for missing cut-outs are the same for many alerts
+
+            def read(data: bytes) -> np.ndarray:
+                if data not in decoded:
+                    decoded[data] = normalised(image(data))
+                return decoded[data]
+
             for i in np.flatnonzero(np.isfinite(values).all(1)):
                 try:
-                    triplets.append(np.stack([normalised(image(bytes(frame[c].iat[i]))) for c in cutouts], -1))
+                    triplets.append(np.stack([read(bytes(frame[c].iat[i])) for c in cutouts], -1))
                     usable.append(i)
                 except (ValueError, KeyError, OSError, EOFError, TypeError):
                     continue

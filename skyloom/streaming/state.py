@@ -6,14 +6,18 @@ at any age. The version is kept because readers use it to see that an object has
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-STATE = "jd array<double>, mag array<double>, mag_err array<double>, band array<string>, version int, designation string"
+#: A light curve as it is kept: its columns as packed numbers, sorted by time, and the names of its bands.
+CURVE = "jd binary, mag binary, mag_err binary, band binary, bands array<string>, version int, designation string"
 OBJECT = "objectId string, added long, points long, resorted boolean, first_jd double, last_jd double, version int, is_new boolean, designation string"
 
 
@@ -22,37 +26,75 @@ def deduplicated(alerts: DataFrame, key: str = "candid", event_time: str | None
     return alerts.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key]) if event_time else alerts.dropDuplicates([key])
 
 
-def merged(stored: dict[float, tuple], new: list[tuple]) -> tuple[list[tuple], int, bool]:
-    """Points by time, the first of each time kept and non-finite times left out; how many came in, and whether one of
-    them precedes what was stored."""
-    last = max(stored, default=float("-inf"))
-    added, resort = 0, False
-    for p in new:
-        if p[0] is not None and p[0] == p[0] and abs(p[0]) != float("inf") and p[0] not in stored:
-            stored[p[0]] = p
-            added += 1
-            resort |= p[0] < last
-    return [stored[t] for t in sorted(stored)], added, resort
-
-
-def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    old = state.getOption
-    jd, mag, err, band, version, name = old if old is not None else ([], [], [], [], 0, None)
-    stored = {t: (t, m, e, b) for t, m, e, b in zip(jd, mag, err, band)}
-    new, names = [], [name]
-    for f in frames:
-        new += list(zip(f["jd"].tolist(), f["mag"].tolist(), f["mag_err"].tolist(), f["band"].tolist()))
-        names += [x for x in f["designation"].tolist() if x]
-    name = next((x for x in [name, *names] if x), None)  # a designation, once known, stays
-    points, added, resort = merged(stored, new)
-    version = version + 1 if added or old is None else version
-    state.update(tuple([list(c) for c in zip(*points)] or [[], [], [], []]) + (version, name))
-    yield pd.DataFrame([(key[0], added, len(points), resort, points[0][0] if points else None, points[-1][0] if points else None, version, old is None, name)], columns=[c.split()[0] for c in OBJECT.split(", ")])
+#: Groups that objects are dealt to. One call of Python takes a group's rows of a batch, since a call for each object
+#: costs more than its points do. A checkpoint depends on this number.
+GROUPS = 1024
+_CODE = np.dtype("int32")
+
+
+def merged(jd: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Where points go in a light curve of sorted times: the places of new points that are taken, by time, and where in
+    the stored ones each is put; and whether one of them precedes what was stored. The first point of each time is kept
+    and non-finite times are left out."""
+    at = np.flatnonzero(np.isfinite(new))
+    times, first = np.unique(new[at], return_index=True)
+    before = np.searchsorted(jd, times)
+    known = jd[np.minimum(before, len(jd) - 1)] == times if len(jd) else np.zeros(len(times), bool)
+    return at[first[~known]], before[~known], bool(len(jd) and (times[~known] < jd[-1]).any())
+
+
+class Curves(StatefulProcessor):
+    """Light curves of a group's objects, each a value of its own: a batch reads and writes those that it touches."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.curves = handle.getMapState("curves", "object string", CURVE)
+
+    def update(self, name: str | None, new: dict[str, np.ndarray]) -> tuple:
+        """Merge an object's rows of a batch; its row of the result."""
+        key = ("" if name is None else f"={name}",)
+        old = self.curves.getValue(key)
+        *packed, codes, bands, version, designation = old if old is not None else (b"", b"", b"", b"", [], 0, None)
+        columns, codes, bands = [np.frombuffer(bytes(c)) for c in packed], np.frombuffer(bytes(codes), _CODE), list(bands)
+        take, before, resort = merged(columns[0], new["jd"])
+        known = designation
+        if known is None:  # a designation, once known, stays
+            known = next((x for x in new["designation"] if x), None)
+        if len(take):
+            place = {b: i for i, b in enumerate(bands)}
+            code = [place.setdefault(b, len(place)) for b in new["band"][take]]
+            columns = [np.insert(c, before, new[k][take]) for k, c in zip(("jd", "mag", "mag_err"), columns)]
+            codes, bands = np.insert(codes, before, code), list(place)
+        version += bool(len(take) or old is None)
+        if len(take) or old is None or known != designation:
+            self.curves.updateValue(key, (*(c.tobytes() for c in columns), codes.astype(_CODE).tobytes(), bands, version, known))
+        jd = columns[0]
+        return name, len(take), len(jd), resort, float(jd[0]) if len(jd) else None, float(jd[-1]) if len(jd) else None, version, old is None, known
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names, parts = [], []
+        for f in rows:
+            names.append(f["objectId"].to_numpy(object))
+            parts.append([*(f[k].to_numpy(float) for k in ("jd", "mag", "mag_err")), *(f[k].to_numpy(object) for k in ("band", "designation"))])
+        found = np.concatenate(names)
+        new = dict(zip(("jd", "mag", "mag_err", "band", "designation"), map(np.concatenate, zip(*parts))))
+        code, objects = pd.factorize(found, use_na_sentinel=False)
+        order = np.argsort(code, kind="stable")
+        told = [self.update(None if pd.isna(o) else o, {k: c[at] for k, c in new.items()}) for o, at in zip(objects, np.split(order, np.bincount(code).cumsum()[:-1]))]
+        yield pd.DataFrame(told, columns=[c.split()[0] for c in OBJECT.split(", ")])
+
+    def close(self) -> None:
+        pass
 
 
 def objects_of(points: DataFrame) -> DataFrame:
-    """A row for each object that a batch touches, from a stream (objectId, jd, mag, mag_err, band, designation)."""
-    return points.groupBy("objectId").applyInPandasWithState(_update, OBJECT, STATE, "update", GroupStateTimeout.NoTimeout)
+    """A row for each object that a batch touches, from a stream (objectId, jd, mag, mag_err, band, designation).
+
+    States are kept on the executors' disks, with their changes in the checkpoint.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the driver's own worker may not find this module
+    points.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    dealt = points.select(F.pmod(F.xxhash64("objectId"), F.lit(GROUPS)).cast("int").alias("__group"), "objectId", "jd", "mag", "mag_err", "band", "designation")
+    return dealt.groupBy("__group").transformWithStateInPandas(Curves(), OBJECT, "update", "none")
 
 
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):

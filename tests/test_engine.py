@@ -9,6 +9,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -472,6 +473,42 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sum(r.added for r in got) == sum(r.points for r in last.values()) and any(r.resorted for r in got)
 
 
+def test_curves_are_read_and_written_by_object(spark):
+    """A call takes a whole group of objects, and touches the states of those alone that its rows name."""
+    held, read, written = {}, [], []
+
+    class Held:
+        def getMapState(self, name, key, value):
+            return self
+
+        def getValue(self, key):
+            read.append(key)
+            return held.get(key)
+
+        def updateValue(self, key, value):
+            written.append(key)
+            held[key] = value
+
+    curves = state.Curves()
+    curves.init(Held())
+
+    def told(*rows):
+        frames = [pd.DataFrame(rows[i::2], columns=["objectId", "jd", "mag", "mag_err", "band", "designation"]) for i in range(2)]
+        (out,) = curves.handleInputRows((0,), iter(f for f in frames if len(f)), None)
+        return {r[0]: r[1:] for r in out.astype(object).where(out.notna(), None).itertuples(index=False, name=None)}
+
+    nan, inf = float("nan"), float("inf")
+    first = told(*((f"o{i}", float(i), 18.0, 0.1, "g", None) for i in range(300)), (None, 5.0, nan, 0.1, None, None), ("", nan, 1.0, 1.0, "g", None))
+    assert len(first) == 302 and len(written) == len(read) == 302
+    assert first["o7"] == (1, 1, False, 7.0, 7.0, 1, True, None) and first[None][:2] == (1, 1) and first[""] == (0, 0, False, None, None, 1, True, None)
+    read.clear(), written.clear()
+    again = told(("o7", 3.0, 17.0, 0.1, "r", None), ("o7", 9.0, 17.0, 0.1, None, ""), ("o7", 7.0, 1.0, 1.0, "z", None), ("o7", 3.0, 1.0, 1.0, "z", None), ("o7", -inf, 1.0, 1.0, "z", None), ("o8", 8.0, 1.0, 1.0, "z", None), ("o9", 9.0, 1.0, 1.0, "z", "D"))
+    assert again == {"o7": (2, 3, True, 3.0, 9.0, 2, False, None), "o8": (0, 1, False, 8.0, 8.0, 1, False, None), "o9": (0, 1, False, 9.0, 9.0, 1, False, "D")}
+    assert len(read) == 3 and set(written) == {("=o7",), ("=o9",)}
+    jd, mag, err, codes, bands, *_ = held["=o7",]
+    assert [np.frombuffer(x).tolist() for x in (jd, mag, err)] == [[3.0, 7.0, 9.0], [17.0, 18.0, 17.0], [0.1] * 3] and [bands[i] for i in np.frombuffer(codes, "int32")] == ["r", "g", None]
+
+
 def test_standing_filters(spark, tmp_path):
     alerts(spark).union(alerts(spark)).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(alerts(spark).schema).parquet(str(tmp_path / "in"))

@@ -16,10 +16,12 @@ import heapq
 import json
 import re
 import unicodedata
-from collections import Counter
+from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -34,8 +36,7 @@ LONG = 48
 #: Pieces that a task remembers before it forgets all but those of the slice at hand.
 REMEMBERED = 120_000
 SLOTS, MULTIPLIER, NONE = 18, 0x9E3779B97F4A7C15, 1 << 40
-_WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
-_ODD = re.compile("[\x1c-\x1f]")
+_WIDE = re.compile("[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  # white space beyond ASCII
 
 
 #: Letters, numbers and lower-case forms that Unicode has gained since the version of ``unicodedata``, as
@@ -289,18 +290,23 @@ class Lexicon:
         return out
 
 
-def pieces(text: str) -> list[str]:
-    return [x for x in _WHITE.split(text) if x] if _ODD.search(text) else text.split()
+def pieces(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """What white space divides, of all texts one after the other, and where each text's pieces end."""
+    whole = pa.array(texts, pa.large_string())
+    if _WIDE.search("".join(texts)):
+        whole = pc.replace_substring_regex(whole, _WIDE.pattern, " ")
+    split = pc.ascii_split_whitespace(whole)
+    flat, ends = split.flatten(), np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    some = pc.greater(pc.binary_length(flat), 0)  # white space at either end leaves an empty piece
+    return flat.filter(some), np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])[ends]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts: summed in each batch, then by Spark."""
 
     def f(_, texts):
-        seen: Counter = Counter()
-        for t in texts:
-            seen.update(pieces(t))
-        return list(seen), list(seen.values())
+        seen = pieces(texts)[0].value_counts()
+        return seen.field("values").cast(pa.string()), seen.field("counts")
 
     return map_texts(docs, lambda: f, "word string, n long", rows=10_000, size=32 << 20).groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -339,42 +345,58 @@ def build_lexicon(docs: DataFrame, vocab: str, size: int = LEXICON_SIZE) -> str:
 
 
 class Coder:
-    """Encodes words: known ones from memory, else by the automaton, else by merging. Its memory is a task's."""
+    """Encodes words: known ones from memory, else by the automaton, else by merging. Its memory is a task's, and holds
+    the ids of each word as four bytes each."""
 
     def __init__(self, vocab: str, lexicon: str):
         self.v, self.lexicon = vocabulary(vocab), Lexicon(SparkFiles.get(lexicon))
-        self.ids: dict[str, str] = {}
-
-    def told(self, ids: list[int]) -> str:
-        return self.v.number[ids[0]] if len(ids) == 1 else " ".join([self.v.number[i] for i in ids])
+        self.number = pa.array(self.v.number, pa.large_string())
+        self.token = pa.array([self.v.tokens.get(i, "") for i in range(len(self.v.number))], pa.large_string())
+        self.known: dict[str, bytes] = {}
 
     def learn(self, new: list[str]) -> None:
         places = self.lexicon.places([p.encode() for p in new])
         listed = np.flatnonzero(places >= 0)
         starts, ends = (self.lexicon.ends[places[listed] + k] for k in (0, 1))
-        lens = ends - starts
-        flat = self.lexicon.ids[np.arange(lens.sum()) - np.repeat(lens.cumsum() - lens, lens) + np.repeat(starts, lens)].tolist()
+        flat = self.lexicon.ids[_ranges(starts, ends - starts)].astype(np.int32).tobytes()
         at = 0
-        for i, n in zip(listed.tolist(), lens.tolist()):
-            self.ids[new[i]] = self.told(flat[at : at + n])
+        for i, n in zip(listed.tolist(), (4 * (ends - starts)).tolist()):
+            self.known[new[i]] = flat[at : at + n]
             at += n
         rest = [new[i] for i in np.flatnonzero(places < 0).tolist()]
-        self.ids.update(zip(rest, map(self.told, self.v.pieces(rest))))
-
-    def encode(self, texts: list[str]) -> list[str]:
-        """The ids of each text, joined by single spaces."""
-        split = [pieces(t) for t in texts]
-        here = set()
-        for ps in split:
-            here.update(ps)
-        if len(self.ids) + len(here) > REMEMBERED:
-            self.ids = {p: self.ids[p] for p in here if p in self.ids}
-        if new := [p for p in here if p not in self.ids]:
+        self.known.update(zip(rest, [array("i", ids).tobytes() for ids in self.v.pieces(rest)]))
+
+    def encode(self, texts: list[str]) -> tuple[list[int], list[bytes], list[bytes]]:
+        """Of each text the number of its tokens, its ids joined by single spaces, and its decoded text, both in UTF-8."""
+        flat, ends = pieces(texts)
+        coded = flat.dictionary_encode()
+        here, places = coded.dictionary.to_pylist(), coded.indices
+        if len(self.known) + len(here) > REMEMBERED:
+            self.known = {p: self.known[p] for p in here if p in self.known}
+        if new := [p for p in here if p not in self.known]:
             self.learn(new)
-        return [" ".join(map(self.ids.__getitem__, ps)) for ps in split]
+        packed = [self.known[p] for p in here]
+        ids, lens = pa.array(np.frombuffer(b"".join(packed), np.int32)), np.array([len(x) >> 2 for x in packed], np.int64)
+        words, rows = _offsets(lens.cumsum()), _offsets(ends)
+
+        def told(names: pa.Array) -> list[bytes]:
+            return _joined(rows, _joined(words, names.take(ids)).take(places)).cast(pa.large_binary()).to_pylist()
+
+        n = np.diff(np.concatenate([[0], lens[places.to_numpy()].cumsum()])[rows.to_numpy()])
+        return n.tolist(), told(self.number), told(self.token)
+
+
+def _ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its length says, one after the other."""
+    return np.arange(lens.sum()) - np.repeat(lens.cumsum() - lens, lens) + np.repeat(starts, lens)
+
+
+def _offsets(ends: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], ends]), pa.int64())
+
 
-    def decode(self, ids: str) -> str:
-        return " ".join(map(self.v.shown.__getitem__, ids.split(" "))) if ids else ""
+def _joined(offsets: pa.Array, values: pa.Array) -> pa.Array:
+    return pc.binary_join(pa.LargeListArray.from_arrays(offsets, values), pa.scalar(" ", pa.large_string()))
 
 
 def encode(docs: DataFrame, vocab_path: str, lexicon_size: int = LEXICON_SIZE, keep: bool = False) -> DataFrame:
@@ -393,16 +415,9 @@ def encode(docs: DataFrame, vocab_path: str, lexicon_size: int = LEXICON_SIZE, k
         coder = Coder(sent.value, lexicon)
 
         def f(doc_ids, texts):
-            n, a, b, ids, shown = [], [], [], [], []
-            for x in coder.encode(texts):
-                y = coder.decode(x)
-                n.append(x.count(" ") + 1 if x else 0)
-                a.append(hashlib.sha256(x.encode()).hexdigest())
-                b.append(hashlib.sha256(y.encode()).hexdigest())
-                if keep:
-                    ids.append(x)
-                    shown.append(y)
-            return (doc_ids, n, a, b, ids, shown) if keep else (doc_ids, n, a, b)
+            n, ids, shown = coder.encode(texts)
+            digests = ([hashlib.sha256(x).hexdigest() for x in told] for told in (ids, shown))
+            return (doc_ids, n, *digests, *([x.decode() for x in told] for told in (ids, shown))) if keep else (doc_ids, n, *digests)
 
         return f
 

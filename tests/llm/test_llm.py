@@ -135,6 +135,18 @@ def naive_pii(text):
     return out
 
 
+def test_pieces_are_divided_in_whole_slices():
+    """All texts of a slice at once, at every white space and nowhere else."""
+    white = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["", " \t", "a", *(f"x{chr(c)}{chr(c)}y" for c in every), "  both ends\n", "\u3000wide", "end\xa0", ""]
+    flat, ends = bpe.pieces(texts)
+    flat, starts = flat.to_pylist(), [0, *ends.tolist()]
+    assert [starts[i + 1] - starts[i] for i in (0, 1, 2, -5 + len(ends), -4 + len(ends), -3 + len(ends), -2 + len(ends), -1 + len(ends))] == [0, 0, 1, 1, 2, 1, 1, 0]
+    assert [c for i, c in enumerate(every) if starts[i + 4] - starts[i + 3] == 2] == white and "".join(flat[1 : starts[3 + 0x61 + 1]]).startswith("x\0\0y")
+    assert bpe.pieces([])[0].to_pylist() == [] and bpe.pieces(["", " "])[1].tolist() == [0, 0]
+
+
 def test_plain_identifiers_equal_the_patterns():
     rng = random.Random(5)
     for _ in range(4000):

@@ -94,16 +94,19 @@ class Log:
                 out.setdefault(topic, {})[str(partition)] = first + rows
         return out
 
-    def slices(self, topic: str, partition: int, low: int, high: int) -> list[Slice]:
-        out = []
+    def slices(self, wanted: dict[tuple[str, int], tuple[int, int]]) -> list[Slice]:
+        """The messages from one offset up to another of each topic and partition, in one pass over the records."""
+        out: dict[tuple[str, int], list[Slice]] = {k: [] for k in wanted}
         for r in self.refresh():
             for t, p, first, rows, path in r["files"]:
+                low, high = wanted.get((t, p), (0, 0))
                 a, b = max(first, low), min(first + rows, high)
-                if (t, p) == (topic, partition) and a < b:
-                    out.append(Slice(t, p, path, a - first, b - a, a))
-        if sum(s.rows for s in out) != high - low:
-            raise ValueError(f"messages {low} to {high} of {topic}, partition {partition}, are not all there")
-        return out
+                if a < b:
+                    out[t, p].append(Slice(t, p, path, a - first, b - a, a))
+        for (t, p), (low, high) in wanted.items():
+            if sum(s.rows for s in out[t, p]) != high - low:
+                raise ValueError(f"messages {low} to {high} of {t}, partition {p}, are not all there")
+        return [s for found in out.values() for s in found]
 
     def commit(self, writer: str, batch: int, files: list[tuple[str, int, str, int]]) -> None:
         """Records staged files (topic, partition, path, rows). A batch that is recorded already stays as it is."""
@@ -250,7 +253,8 @@ class Reader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Part]:
         log, out, held = self._log(), [], 0
-        slices = [s for t, ps in end.items() for p, high in ps.items() for s in log.slices(t, int(p), start.get(t, {}).get(p, 0), high) if high > start.get(t, {}).get(p, 0)]
+        spans = {(t, int(p)): (start.get(t, {}).get(p, 0), high) for t, ps in end.items() for p, high in ps.items()}
+        slices = log.slices({k: (low, high) for k, (low, high) in spans.items() if high > low})
         share = -(-sum(s.rows for s in slices) // TASKS)
         for s in slices:
             if not out or held >= share:

@@ -107,3 +107,17 @@ def test_streams_send_each_batch_once(spark, tmp_path):
     last.with_name(f".{last.name}.crc").unlink(missing_ok=True)
     topics.send_stream(read, folder, str(tmp_path / "progress"), "alerts", availableNow=True).awaitTermination(60)
     assert total() == 30
+
+
+def test_a_batch_goes_through_the_records_once(spark, tmp_path, monkeypatch):
+    """However many topics and partitions there are, and only for those that have moved."""
+    folder = f"file://{tmp_path}/t"
+    for i in range(3):
+        topics.send(packets(spark, i * 50, i * 50 + 50, f"2024010{i + 1}"), folder, i)
+    reader = topics.Reader({"path": folder, "group": "g", "topics": PATTERN, "most": "1000", "first": "20240101", "days": "9"})
+    end, passes, refresh = topics.Log(folder).ends(), [], topics.Log.refresh
+    monkeypatch.setattr(topics.Log, "refresh", lambda log: passes.append(1) or refresh(log))
+    assert sum(s.rows for p in reader.partitions({}, end) for s in p.slices) == 150 and len(passes) == 1
+    assert reader.partitions(end, end) == [] and len(passes) == 2
+    with pytest.raises(ValueError, match="not all there"):
+        reader.partitions({}, end | {"ztf_20240101_programid1": {"0": 999}})

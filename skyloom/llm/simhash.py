@@ -124,7 +124,8 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     while True:
         rows = rows.withColumn("key", F.col("print").bitwiseAND(F.col("mask")))
         sizes = rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-        held = stage(rows.join(sizes, ["mask", "key"]), "buckets")
+        # Spark sizes the rows as what they are made of, 31 times too low, and would broadcast them
+        held = stage(rows.hint("merge").join(sizes, ["mask", "key"]), "buckets")
         small = held.where(F.col("n") <= block).select("mask", "key", "print").repartition("mask", "key").sortWithinPartitions("mask", "key")
         more = stage(small.mapInArrow(_forests, "a long, b long").distinct(), "links")
         found = more if found is None else found.unionByName(more)

@@ -85,6 +85,21 @@ def test_simhash_odd_rows_and_split_buckets(spark):
     assert [r.component_id for r in simhash.classes(docs.where("text = 'lonely one'")).collect()] == [None]
 
 
+def test_rows_of_all_masks_are_not_broadcast(spark, monkeypatch):
+    plans, staged = [], simhash.stage
+
+    def told(df, name):
+        out = staged(df, name)
+        plans.extend([df._jdf.queryExecution().executedPlan().toString()] if name == "buckets" else [])
+        return out
+
+    monkeypatch.setattr(simhash, "stage", told)
+    rng = random.Random(8)
+    prints = [1 << rng.randrange(64) for _ in range(60)]
+    simhash.links(spark.createDataFrame([(simhash._signed(p),) for p in set(prints)], "print long"), block=10)
+    assert len(plans) > 1 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
 def test_long_text_counts_all_shingles(monkeypatch):
     text = " ".join(f"w{i % 977} {i}" for i in range(3000))
     monkeypatch.setattr(simhash, "STEP", 64)

@@ -8,6 +8,7 @@ before make the batch smaller first. Programmes that a user may not see are remo
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -197,6 +198,8 @@ ROWWISE = ("$match", "$project", "$addFields", "$set", "$unset")
 #: Filters whose flags stand in one number.
 WORD = 60
 PASSED = "array<struct<filter_id:string,annotations:string>>"
+#: Column of objects whose matches are made on demand: a struct of ra and dec.
+FIRST_SIGHT = "first_sight"
 
 
 def _note(doc: Scope) -> Column:
@@ -208,13 +211,21 @@ def _seen_of(f: Filter, other: str) -> tuple[int, ...]:
     return tuple(f.permissions[other]) if f.permissions.get(other) is not None else (PUBLIC,)
 
 
-def _shared(alerts: DataFrame, filters: list[Filter], tables: Tables) -> DataFrame:
+def _names_matches(f: Filter) -> bool:
+    """Whether a filter can see its object's matches: it names them, or the whole document."""
+    return first_use(f.stages(), "cross_matches", "ROOT", "CURRENT") is not None
+
+
+def _shared(alerts: DataFrame, filters: list[Filter], tables: Tables, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(_id, objectId, filters) of filters of one survey, in one scan of the alerts and one join with each table.
 
     Every filter has a bit, and a document: the alert's own columns until a stage changes it, then a struct. A step of all
     filters is one projection. (With a column for each flag the optimizer's constraints would double with every filter.)
     First come the stages before any history is needed; rows that no filter wants any more go, the others get their
     history and counterparts once, trimmed once for each set of permissions, and the rest of the stages follows.
+
+    With ``near`` an object's alerts go with it as one row while its matches are made: that is done once for an object,
+    and no array of matches is shuffled.
     """
     survey = filters[0].survey
     spec, stored = SURVEYS[survey], tables.get(f"{survey}_objects")
@@ -268,11 +279,20 @@ def _shared(alerts: DataFrame, filters: list[Filter], tables: Tables) -> DataFra
     if wanting:
         objects = tables[f"{survey}_objects"]
         more = [c for c in ("cross_matches", "aliases") if c in objects.columns]
-        df = df.join(objects.select(F.col("objectId").alias("__object"), *(F.col(c).alias(f"__{c}") for c in (*arrays, *more))), F.col("objectId") == F.col("__object"), "left").drop("__object")
+        late = near is not None and "cross_matches" not in (*more, *base.schema.names) and any(_names_matches(filters[i]) for i in wanting)
+        if late:
+            df = df.groupBy("objectId").agg(F.collect_list(F.struct(*df.columns)).alias("__alerts"))
+        df = df.join(objects.select(F.col("objectId").alias("__object"), *(F.col(c).alias(f"__{c}") for c in (*arrays, *more)), *([FIRST_SIGHT] if late else [])), F.col("objectId") == F.col("__object"), "left")
+        if late:
+            df = near(df).withColumn("__cross_matches", F.when(F.col("__object").isNotNull(), F.col("cross_matches")))
+            more = [*more, "cross_matches"]
+            df = df.select(F.explode("__alerts").alias("__a"), *(f"__{c}" for c in (*arrays, *more)), "__object").select("__a.*", *(f"__{c}" for c in (*arrays, *more)), "__object")
+        df = df.drop("__object")
+        kinds = {c: df.schema[f"__{c}"].dataType for c in (*arrays, *more)}
 
         def trimmed(a: str, p: tuple | None) -> Column:
             points = series.trailing(F.col(f"__{a}"), F.col("candidate.jd"), spec["days"])
-            return F.coalesce(permitted(points, list(p)) if p is not None else points, F.array().cast(objects.schema[a].dataType))
+            return F.coalesce(permitted(points, list(p)) if p is not None else points, F.array().cast(kinds[a]))
 
         sets = list(dict.fromkeys(programs[i] for i in wanting))
         # as a generator's output the histories are trimmed once; a projection's would be put into every filter's conditions
@@ -291,7 +311,7 @@ def _shared(alerts: DataFrame, filters: list[Filter], tables: Tables) -> DataFra
                     whole = whole.withField(a, permitted(points, list(p)) if SURVEYS[n]["programs"] else points)
                 df = df.withColumn(f"__{n}:{','.join(map(str, p))}", F.when(F.col(f"__{n}").isNotNull(), whole))
         for i in wanting:
-            given(i, {a: (F.col(f"__h.h{sets.index(programs[i])}.{a}"), objects.schema[a].dataType) for a in arrays} | {c: (F.col(f"__{c}"), objects.schema[c].dataType) for c in more if c not in docs[i].schema.names})
+            given(i, {a: (F.col(f"__h.h{sets.index(programs[i])}.{a}"), kinds[a]) for a in arrays} | {c: (F.col(f"__{c}"), kinds[c]) for c in more if c not in docs[i].schema.names})
         for k in range(min(early[i] for i in wanting), max(len(stages[i]) for i in wanting)):
             for i in wanting:
                 for n, at in other[i].items():
@@ -310,20 +330,24 @@ def _alone(f: Filter) -> bool:
     return bool(f.watchlist) or first_use(stages, "sso_history") is not None or any(stage_of(s)[0] not in ROWWISE for s in stages)
 
 
-def run_filters(alerts: DataFrame, filters: list[Filter], tables: Tables) -> DataFrame:
+def run_filters(alerts: DataFrame, filters: list[Filter], tables: Tables, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(_id, objectId, filters): which filters each alert passes, with their annotations as JSON, by filter id.
 
     Filters of a survey share one plan, so the alerts are read once and objects joined once, however many there are.
     Those that need other alerts or a watchlist are run one by one.
+
+    ``near`` adds ``cross_matches`` to rows with the objects' ``FIRST_SIGHT``, each object once. It is called only where a
+    filter can see them.
     """
     parts = []
     for survey in dict.fromkeys(f.survey for f in filters):
         some = [f for f in filters if f.survey == survey and not _alone(f)]
         if some:
-            parts.append(_shared(alerts, some, tables))
+            parts.append(_shared(alerts, some, tables, near))
     for f in filters:
         if _alone(f):
-            got = run_filter(alerts, f, tables)
+            name = f"{f.survey}_objects"
+            got = run_filter(alerts, f, tables | {name: near(tables[name])} if near and _names_matches(f) else tables)
             parts.append(got.select("_id", "objectId", F.array(F.struct(F.lit(f.id).alias("filter_id"), _note(Scope(got.schema)).alias("annotations"))).alias("filters")))
     if not parts:
         return alerts.select("_id", "objectId").where(F.lit(False)).withColumn("filters", F.array().cast(PASSED))

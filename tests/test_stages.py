@@ -44,3 +44,26 @@ def test_batches_read_nothing_of_the_past(spark, tmp_path):
     }
     seen = [spark.read.parquet(f"{tmp_path}/{g}/objects").select("objectId").collect() for g in ("gone0", "gone1", "gone2", "out")]
     assert [sorted(str(r.objectId) for r in x) for x in seen] == [["o", "p"], ["q"], ["None", "r"], []]
+
+
+def test_matches_are_neither_kept_nor_shuffled(spark, tmp_path):
+    n = 300
+    catalog = spark.range(n).selectExpr("id", "10 + id / 1e6 AS ra", "5.0D AS dec")
+    f = filters.Filter("f", "ZTF", {"v": json.dumps([{"$match": {"candidate.magpsf": {"$lt": 20}}}, {"$project": {"objectId": 1, "annotations.near": {"$size": "$cross_matches.C"}}}])}, "v", {"ZTF": [1]})
+    s = stages.Stages(str(tmp_path / "out"), {"C": catalog}, [crossmatch.Catalog("C", 5.0)], lambda: {}, lambda: [f])
+    for i, rows in enumerate([[alert(1, "o", 100.0), alert(2, "o", 101.0, 50.0), alert(3, "p", 100.0, 50.0), alert(9, None, 100.0)], [alert(4, "o", 102.0, 50.0), alert(5, "p", 101.0)]]):
+        spark.createDataFrame(rows, ALERT).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        stream = spark.readStream.schema(ALERT).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        stages.run(stream, s, str(tmp_path / "progress")).awaitTermination()
+    found = spark.read.parquet(f"{tmp_path}/out/results").collect()
+    near = {r["_id"]: json.loads(r.filters[0].annotations).get("near") for r in found}
+    assert len(found) == 6 and near == {1: n, 2: n, 3: 0, 4: n, 5: 0, 9: None} | {9: near[9]} and not near[9]
+    stored = {r.objectId: r.cross_matches.C for r in spark.read.parquet(f"{tmp_path}/out/objects").collect()}
+    assert {k: len(v) for k, v in stored.items()} == {"o": n, "p": 0, None: n} and stored["o"] == sorted(stored["o"])
+    kept = []
+    stages.run_batches(s.keyed(stream), lambda b, _: kept.extend(b.where("kept IS NOT NULL").collect()), str(tmp_path / "again")).awaitTermination()
+    assert len(kept) == 3 and max(len(r.kept) for r in kept) < 1000
+    alerts = spark.createDataFrame([alert(i, f"o{i}", 100.0) for i in range(n // 3)], ALERT)
+    objects = alerts.selectExpr("objectId", "struct(candidate.ra, candidate.dec) AS first_sight")
+    plan = filters.run_filters(alerts, [f], {"ZTF_objects": objects}, s.matched)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("FlatMapCoGroupsInArrow")]
